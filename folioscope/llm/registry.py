@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from folioscope.llm import mixing
+from folioscope.llm import mixing, simhash
 
 QUERIES = {
+    "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op10_mixing": mixing.op10_mixing,
 }
 
