@@ -44,7 +44,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def source_bytes(df: DataFrame, text: str) -> int:
     """Bytes of the input: the planner's figure from file sizes, or else summed text lengths."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if size < 1 << 55:
         return size
     return df.select(F.sum(F.octet_length(F.col(text))).alias("n")).first()["n"] or 0

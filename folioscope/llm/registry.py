@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from folioscope.llm import mixing, simhash
+from folioscope.llm import mixing, simhash, token_ids
 
 QUERIES = {
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+    "op6_token_ids": token_ids.op6_token_ids,
     "op10_mixing": mixing.op10_mixing,
 }
 
