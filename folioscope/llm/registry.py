@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from folioscope.llm import mixing, simhash, token_ids
+from folioscope.llm import decontam, mixing, simhash, token_ids
 
 QUERIES = {
+    "op1_decontamination": decontam.op1_decontamination,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op6_token_ids": token_ids.op6_token_ids,
     "op10_mixing": mixing.op10_mixing,
