@@ -207,8 +207,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text="text", doc_id="doc_id", i
 
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = benchmark.schema[item_id].dataType
-    schema = T.StructType([chosen.schema["doc_id"], T.StructField("item_id", kind)]).add("item_words", "int").add("matched_words", "int").add("coverage", "double")
-    schema = schema.add("tiles", T.ArrayType(T.StructType().add("doc_start", "int").add("item_start", "int").add("words", "int")))
+    schema = T.StructType([chosen.schema["doc_id"], T.StructField("item_id", kind)]).add("item_words", "integer").add("matched_words", "integer").add("coverage", "double")
+    schema = schema.add("tiles", T.ArrayType(T.StructType().add("doc_start", "integer").add("item_start", "integer").add("words", "integer")))
     out = None
     for shared in benchmark_blocks(benchmark, item_text, item_id, min_tile, block_bytes):
         part = chosen.mapInArrow(lambda batches, s=shared: _matched(batches, s, coverage, to_arrow_type(kind)), schema)
