@@ -43,8 +43,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def source_bytes(df: DataFrame, text: str) -> int:
-    """Bytes of the input: the planner's figure from file sizes, or else summed text lengths."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Bytes of the input: the planner's figure of its files' sizes, or else summed text lengths."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
     if size < 1 << 55:
         return size
     return df.select(F.sum(F.octet_length(F.col(text))).alias("n")).first()["n"] or 0

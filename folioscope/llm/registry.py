@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from folioscope.llm import decontam, langid, licenses, mixing, simhash, token_ids
+from folioscope.llm import decontam, langid, licenses, mixing, pitman_yor, simhash, token_ids
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
     "op2_language_id": langid.op2_language_id,
     "op3_license_scan": licenses.op3_license_scan,
+    "op4_lm_scoring": pitman_yor.op4_lm_scoring,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op6_token_ids": token_ids.op6_token_ids,
     "op10_mixing": mixing.op10_mixing,
