@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.llm import decontam, langid, licenses, mixing, pitman_yor, simhash, token_ids
+from folioscope.llm import decontam, langid, licenses, mixing, pitman_yor, simhash, syncmers, token_ids
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_lm_scoring": pitman_yor.op4_lm_scoring,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op6_token_ids": token_ids.op6_token_ids,
+    "op8_syncmer_fingerprints": syncmers.op8_syncmer_fingerprints,
     "op10_mixing": mixing.op10_mixing,
 }
 
