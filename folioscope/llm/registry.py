@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.llm import decontam, langid, licenses, mixing, pitman_yor, simhash, syncmers, token_ids
+from folioscope.llm import decontam, langid, licenses, mixing, pitman_yor, simhash, syncmers, token_ids, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
@@ -12,10 +12,13 @@ QUERIES = {
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op6_token_ids": token_ids.op6_token_ids,
     "op8_syncmer_fingerprints": syncmers.op8_syncmer_fingerprints,
+    "op7_warc": warc.op7_warc,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_mixing": mixing.op10_mixing,
 }
 
 SQL = {
+    "op7_warc": warc.SQL,
     "op10_mixing": mixing.SQL,
 }
 
