@@ -9,6 +9,7 @@ take some documents, or only the metadata columns, without the ids.
 
 from __future__ import annotations
 
+import os
 import sys
 import zlib
 from array import array
@@ -16,6 +17,7 @@ from array import array
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +32,11 @@ FILE_BYTES = 16 << 20
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 1 << 20
 #: Pieces whose ids a worker remembers.
-MEMORY = 600_000
+MEMORY = 1_000_000
+#: Pieces that are encoded in one call.
+CALL = 5_000
+#: Bytes of text that are encoded at once.
+SLICE_BYTES = 8 << 20
 
 
 def _little_endian(ids: list[int]) -> bytes:
@@ -41,44 +47,99 @@ def _little_endian(ids: list[int]) -> bytes:
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes, equal to the tokenizer's own.
-
-    A byte-level BPE cuts before any single space that stands before a visible
-    character, whatever is around it, so what lies between such spaces can be
-    encoded apart, and its ids remembered.  Texts in which a space stands
-    before another blank or at the end, and tokenizers of any other kind, go to
-    the library whole.
+    """Token ids of texts, equal to the tokenizer's own.
+
+    A byte-level BPE cuts before a single space that stands before a visible
+    character, around a line feed between such, and between a letter or digit
+    and one full stop or comma that a blank follows, whatever else the text
+    holds.  Between those cuts pieces are encoded apart and their ids
+    remembered.  Texts in which a cut might not hold, and tokenizers of any
+    other kind, go to the library whole.
     """
 
+    #: Marks a piece that no space stands before.
+    MARK = "\x00"
+    #: What surely counts as a letter or digit before a full stop or comma.
+    ENDS = r"[A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}\x{400}-\x{481}\x{48A}-\x{52F}\x{4E00}-\x{9FA5}\x{3041}-\x{3096}]$"
+
     def __init__(self, path: str, memory: int = MEMORY):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel unit
         self.tokenizer = Tokenizer.from_file(path)
         pre = self.tokenizer.pre_tokenizer
         plain = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and pre.use_regex and self.tokenizer.normalizer is None
-        #: By piece without the space before it; a text's first piece has a space before it here, and none in the text.
-        self.known: dict[str, bytes] | None = {} if plain else None
+        #: Pieces, and where in ``flat`` their ids stand.
+        self.known = pa.array([], pa.string()) if plain else None
+        self.flat, self.sizes, self.starts = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.memory = memory
+        #: By id, whether its bytes begin with a space, which a byte-level BPE writes as U+0120.
+        self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(self.tokenizer.get_vocab_size())])
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [_little_endian(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if self.known is None:
-            return self._library(texts)
-        cut = [x.split(" ") for x in texts]
-        for pieces in cut:
-            pieces[0] = " " + pieces[0]
-        missing = set().union(*cut) - self.known.keys()
-        apart = {p for p in missing if not p or p[0].isspace() and p[0] != " "}
-        new = list(missing - apart)
-        self.known.update(zip(new, self._library([p[1:] if p[0] == " " else " " + p for p in new])))
-        whole = [i for i, p in enumerate(cut) if not apart.isdisjoint(p)] if apart else []
-        out = dict(zip(whole, self._library([texts[i] for i in whole])))
-        ids = self.known.__getitem__
-        done = [out[i] if i in out else b"".join(map(ids, p)) for i, p in enumerate(cut)]
-        if len(self.known) > self.memory:
-            for p in new:
-                del self.known[p]
-        return done
+    def _apart(self, pieces: list[str]):
+        """Ids by piece.  Pieces with a space before them are encoded as one text and cut where an id begins with a space."""
+        bare = [p for p in pieces if p[0] == self.MARK]
+        yield from zip(bare, self._library([p[1:] for p in bare]))
+        rest = [p for p in pieces if p[0] != self.MARK]
+        for i in range(0, len(rest), CALL):
+            some = rest[i : i + CALL]
+            packed = self._library([" " + " ".join(some)])[0]
+            at = np.flatnonzero(self.begins[np.frombuffer(packed, "<u4")]) * 4
+            ends = [*at[1:].tolist(), len(packed)]
+            yield from zip(some, map(packed.__getitem__, map(slice, at.tolist(), ends)), strict=True)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each has; a null text is empty."""
+        texts = pc.fill_null(texts, "")
+        if self.known is None or not len(texts):
+            ids = self._library(texts.to_pylist())
+            return np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], np.int64)
+        m = self.MARK
+        cut = pc.binary_join_element_wise(pa.scalar(m), texts, "")
+        for old, new in ((". ", f" {m}. "), (", ", f" {m}, "), (".\n", f" {m}.\n"), ("\n", f" {m}\n {m}")):
+            cut = pc.replace_substring(cut, old, new)
+        cut = pc.split_pattern(cut, " ")
+        bounds = cut.offsets.to_numpy().astype(np.int64)
+        coded = cut.flatten().dictionary_encode()
+        at, pieces = coded.indices.to_numpy(), coded.dictionary
+        place = pc.fill_null(pc.index_in(pieces, value_set=self.known), -1).to_numpy()
+        missing = np.flatnonzero(place < 0)
+        names = pieces.take(pa.array(missing)).to_pylist()
+        # a piece that is empty, or blank at either end where it is not a line feed alone, touches another blank
+        apart = np.array([not p or p == m or p != m + "\n" and (p.strip(m)[:1].isspace() or p[-1].isspace()) for p in names], bool)
+        new = missing[~apart]
+        found = dict(self._apart([p for p, x in zip(names, apart.tolist()) if not x]))
+        ids = [found[p] for p, x in zip(names, apart.tolist()) if not x]
+        sizes, starts = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        seen = place >= 0
+        sizes[seen], starts[seen] = self.sizes[place[seen]], self.starts[place[seen]]
+        sizes[new] = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts[new] = len(self.flat) + np.cumsum(sizes[new]) - sizes[new]
+        flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), "<u4")])
+        if len(self.known) < self.memory:
+            self.known = pa.concat_arrays([self.known, pieces.take(pa.array(new))])
+            self.flat, self.sizes, self.starts = flat, np.append(self.sizes, sizes[new]), np.append(self.starts, starts[new])
+        doubtful = np.zeros(len(pieces), bool)
+        doubtful[missing[apart]] = True
+        stop = pc.is_in(pieces, value_set=pa.array([m + ".", m + ","])).to_numpy(zero_copy_only=False)
+        firm = pc.match_substring_regex(pieces, self.ENDS).to_numpy(zero_copy_only=False)
+        bad = doubtful[at]
+        bad[1:] |= stop[at[1:]] & ~firm[at[:-1]]
+        whole = np.add.reduceat(bad, bounds[:-1]) > 0
+        whole |= pc.match_substring(texts, m).to_numpy(zero_copy_only=False)
+
+        size = sizes[at]
+        before = np.cumsum(size) - size
+        out = flat[np.repeat(starts[at] - before, size) + np.arange(size.sum())]
+        counts = np.add.reduceat(size, bounds[:-1])
+        if whole.any():
+            chosen = np.flatnonzero(whole)
+            parts = np.split(out, np.cumsum(counts)[:-1])
+            for i, x in zip(chosen.tolist(), self._library(texts.take(pa.array(chosen)).to_pylist())):
+                parts[i] = np.frombuffer(x, "<u4")
+            out, counts = np.concatenate(parts), np.array([len(x) for x in parts])
+        return out, counts
 
 
 _encoders: dict[str, Encoder] = {}
@@ -93,15 +154,14 @@ def _encoder(path: str) -> Encoder:
 
 def _encoded(batches, path: str, end_id: int):
     """(doc_id, part, text) to (doc_id, part, n_tokens, ids)."""
-    end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
-        for rows in slices(batch, "text"):
-            ids = [x + end for x in _encoder(path).encode([t or "" for t in rows.column("text").to_pylist()])]
-            sizes = np.fromiter((len(x) // 4 for x in ids), np.int32, len(ids))
-            offsets = np.zeros(len(ids) + 1, np.int32)
+        for rows in slices(batch, "text", SLICE_BYTES):
+            ids, counts = _encoder(path).encode(rows.column("text"))
+            ids = np.insert(ids, np.cumsum(counts), end_id)
+            sizes = (counts + 1).astype(np.int32)
+            offsets = np.zeros(len(sizes) + 1, np.int32)
             np.cumsum(sizes, out=offsets[1:])
-            values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            lists = pa.ListArray.from_arrays(pa.array(offsets), values)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.view("<i4")))
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("part"), pa.array(sizes), lists], ["doc_id", "part", "n_tokens", "ids"])
 
 
