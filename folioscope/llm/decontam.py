@@ -23,6 +23,7 @@ COVERAGE = 0.8
 #: Benchmark text that is broadcast at once; a larger benchmark takes several passes over the documents.
 BLOCK_BYTES = 16 << 20
 _RADIX = np.uint64(0xD6E8FEB86659FD93)
+_INVERSE = np.uint64(pow(int(_RADIX), -1, 1 << 64))
 _FILTER_BITS = 22
 
 SPANS = "array<struct<doc_start:int,item_start:int,words:int>>"
@@ -43,10 +44,9 @@ def _rolling(words: np.ndarray, n: int) -> list[int]:
     """The same for long windows, off prefix sums."""
     if len(words) < n:
         return []
-    powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(words), _RADIX)]))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers[:-1])])
-    count = len(words) - n + 1
-    return ((sums[n:] - sums[:count]) * powers[len(words) - np.arange(count)]).tolist()
+    up, down = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(words) - 1, r)])) for r in (_RADIX, _INVERSE))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up)])
+    return ((sums[n:] - sums[: len(words) - n + 1]) * down[: len(words) - n + 1]).tolist()
 
 
 def tiles(doc: np.ndarray, item: np.ndarray, open_doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
