@@ -47,15 +47,14 @@ def _is_letter() -> np.ndarray:
 
 def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the subwords of all texts, and the end of each text's run of them."""
-    joined = " ".join(x.lower() for x in texts) + "  "
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    sizes = np.fromiter((len(x.lower()) + 1 for x in texts), np.int64, len(texts))
-    text_ends = np.cumsum(sizes)
+    lower = [" " + x.lower() for x in texts]
+    codes = np.frombuffer(("".join(lower) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    text_ends = np.cumsum(np.fromiter(map(len, lower), np.int64, len(lower)))
     letter = _is_letter()[codes]
-    # blanks are squeezed to one, so that a gram may only begin or end with one
+    # of other characters the one before a word is kept, as the mark at its start and at the end of the word before
     keep = letter.copy()
-    keep[1:] |= letter[:-1]
-    keep[0] = True
+    keep[:-1] |= letter[1:]
+    keep[-1] = True
     place = np.flatnonzero(keep)
     x = np.where(letter[place], codes[place], _MARK).astype(np.uint64)
     blank = ~letter[place]
