@@ -222,8 +222,13 @@ class Scanner:
                 for _, at, run in chain:
                     covered[at : at + run] = True
                 if covered.mean() >= COVERAGE:
-                    spans.append((label, chain[0][0], max(s + run for s, _, run in chain), float(covered.mean())))
-        return sorted(spans)
+                    spans.append((label, chain[0][0], max(s + run for s, _, run in chain), float(covered.mean()), int(covered.sum())))
+        # licences share wording: of spans that lie over one another for the most part, the one with most words stays
+        kept: list[tuple] = []
+        for span in sorted(spans, key=lambda x: (-x[4], -x[3], x)):
+            if all(2 * (min(span[2], k[2]) - max(span[1], k[1])) <= min(span[2] - span[1], k[2] - k[1]) for k in kept):
+                kept.append(span)
+        return sorted(x[:4] for x in kept)
 
 
 def _chains(seeds: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
