@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,8 +25,10 @@ K, S = 24, 11
 FINE, SHORT = (6, 3), 256
 #: Anchors whose hashes the fingerprint string shows, those with the smallest.
 SHOWN = 32
-#: Input bytes of a run of documents that one task goes through.
-RUN_BYTES = 6 << 20
+#: Input bytes of a run of documents.
+RUN_BYTES = 1 << 20
+#: Runs that a task goes through, on average: a few, as they are dealt out by hash.
+TASK_RUNS = 4
 _RADIX = np.uint64(0x9E3779B97F4A7C13)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -145,6 +148,22 @@ def _compared(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
+def _place(spark: SparkSession, bounds: list):
+    """A function of the id: the number of bounds that are not above it, negative where it is one of them."""
+    shared = spark.sparkContext.broadcast(np.array(bounds))
+
+    @F.pandas_udf("int")
+    def place(ids: pd.Series) -> pd.Series:
+        known = ids.notna().to_numpy()
+        out = np.zeros(len(ids), np.int32)
+        own = ids[known].to_numpy().astype(shared.value.dtype)
+        low, high = (np.searchsorted(shared.value, own, side) for side in ("left", "right"))
+        out[known] = np.where(high > low, -high, high)
+        return pd.Series(out)
+
+    return place
+
+
 def compare_with_next(docs: DataFrame, text="text", doc_id="doc_id", run_bytes: int = RUN_BYTES) -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness, in order of the id.
 
@@ -161,16 +180,14 @@ def compare_with_next(docs: DataFrame, text="text", doc_id="doc_id", run_bytes:
     bounds = sorted({x for x in cuts[0] or [] if x is not None and x != cuts[1]})
     head = chosen.orderBy(F.col("doc_id").asc_nulls_first(), "tie").limit(1)
     if bounds:
-        edges = F.array(*[F.lit(b) for b in bounds])
-        run = F.coalesce(F.size(F.filter(edges, lambda b: b <= F.col("doc_id"))), F.lit(0))
-        rows = chosen.withColumn("run", run).withColumn("first", F.array_contains(edges, F.col("doc_id")))
-        places = F.when(F.coalesce(F.col("first"), F.lit(False)), F.array(F.struct(F.col("run").alias("run"), F.lit(False).alias("ahead")), F.struct((F.col("run") - 1).alias("run"), F.lit(True).alias("ahead"))))
+        rows = chosen.withColumn("at", _place(docs.sparkSession, bounds)("doc_id")).withColumn("run", F.expr("abs(at)"))
+        places = F.when(F.col("at") < 0, F.array(F.struct(F.col("run").alias("run"), F.lit(False).alias("ahead")), F.struct((F.col("run") - 1).alias("run"), F.lit(True).alias("ahead"))))
         places = places.otherwise(F.array(F.struct(F.col("run").alias("run"), F.lit(False).alias("ahead"))))
         rows = rows.withColumn("place", F.explode(places)).select("place.run", "place.ahead", "doc_id", "text", "tie")
     else:
         rows = chosen.select(F.lit(0).alias("run"), F.lit(False).alias("ahead"), "doc_id", "text", "tie")
     last = head.select(F.lit(len(bounds)).alias("run"), F.lit(True).alias("ahead"), "doc_id", "text", "tie")
-    rows = rows.unionByName(last).repartition(len(bounds) + 1, "run").sortWithinPartitions("run", "ahead", F.col("doc_id").asc_nulls_first(), "tie")
+    rows = rows.unionByName(last).repartition(len(bounds) // TASK_RUNS + 1, "run").sortWithinPartitions("run", "ahead", F.col("doc_id").asc_nulls_first(), "tie")
     schema = T.StructType([chosen.schema["doc_id"]]).add("n_chars", "long").add("edited_sha256", "string").add("fingerprint", "string").add("edited_fingerprint", "string")
     schema = schema.add("near_edited", "double").add("near_next", "double").add("n_anchors", "long")
     return rows.select("run", "ahead", "doc_id", "text").mapInArrow(_compared, schema)
