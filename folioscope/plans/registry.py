@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from folioscope.plans import star
+from folioscope.plans import sequences, star
 
 FLAGSHIP = "pricing_summary"
 
-_MODULES = (star,)
+_MODULES = (star, sequences)
 
 
 def queries():
