@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import crc_mod, free_name, mix64, slices
+from folioscope.llm.common import crc_mod, free_name, mix64, release_memory, slices
 
 SAMPLE = 4000
 BUCKETS = 1 << 14
@@ -87,6 +87,7 @@ def _bags(batches):
                 [rows.column("lang"), pa.array([b.astype("<i4").tobytes() for b, _ in parts], pa.binary()), pa.array([c.astype("<f4").tobytes() for _, c in parts], pa.binary())],
                 ["lang", "buckets", "counts"],
             )
+    release_memory()
 
 
 class Model:
@@ -186,6 +187,7 @@ def _predicted(batches, shared, text, names):
             langs, score = shared.value.predict([t or "" for t in rows.column(text).to_pylist()])
             drop = pa.array(score < REJECT)
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(langs, pa.string()), pa.array(score), drop], [*rows.schema.names, *names])
+    release_memory()
 
 
 def identify(docs: DataFrame, model: Model, text="text") -> DataFrame:
@@ -207,6 +209,7 @@ def _kept(batches, shared, text):
         for rows in slices(batch, text):
             _, score = shared.value.predict([t or "" for t in rows.column(text).to_pylist()])
             yield rows.filter(pa.array(score >= REJECT))
+    release_memory()
 
 
 def accepted(docs: DataFrame, model: Model, text="text") -> DataFrame:

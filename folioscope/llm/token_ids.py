@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from folioscope.llm.common import scratch_path, slices, source_bytes
+from folioscope.llm.common import release_memory, scratch_path, slices, source_bytes
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -32,11 +32,11 @@ FILE_BYTES = 16 << 20
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 1 << 20
 #: Pieces whose ids a worker remembers.
-MEMORY = 1_000_000
+MEMORY = 800_000
 #: Pieces that are encoded in one call.
 CALL = 5_000
 #: Bytes of text that are encoded at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def _little_endian(ids: list[int]) -> bytes:
@@ -163,6 +163,9 @@ def _encoded(batches, path: str, end_id: int):
             np.cumsum(sizes, out=offsets[1:])
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.view("<i4")))
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("part"), pa.array(sizes), lists], ["doc_id", "part", "n_tokens", "ids"])
+            del rows, ids, lists
+        release_memory()
+    release_memory()
 
 
 def write_token_ids(docs: DataFrame, path: str, text="text", doc_id="doc_id", vocabulary: str | None = None, end_id: int = END_ID) -> None:
