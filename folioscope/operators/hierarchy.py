@@ -1,7 +1,7 @@
 """Trees and inheritance as adjacency tables (node, parent), by iteration with a bound on depth.
 
 Depth, not size, decides how many joins run: each step doubles the distance
-that is known, so a chain of n takes about log2(n) joins.
+that is known, so a chain of n takes about log2(n) joins, each cut by a checkpoint.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.sources.shared import cut
+
 MOST_DEPTH = 64
 
 
@@ -18,17 +20,22 @@ def ancestors(nodes: DataFrame, by, node="node", parent="parent", most_depth: in
     Parents that are not nodes end a chain.  Of a cycle each node has every other
     as an ancestor once; it never runs beyond ``most_depth``.
     """
-    step = nodes.filter(F.col(parent).isNotNull()).select(*by, F.col(node).alias("_n"), F.col(parent).alias("_a"), F.lit(1).alias("_d"))
-    step = step.join(nodes.select(*by, F.col(node).alias("_a")), [*by, "_a"], "left_semi")
-    selves = nodes.select(*by, F.col(node).alias("_n"), F.col(node).alias("_a"), F.lit(0).alias("_d"))
-    known, reach = selves.unionByName(step), 1
+    # nodes that stand twice with different parents keep all of them
+    step = nodes.filter(F.col(parent).isNotNull()).select(*by, F.col(node).alias("_n"), F.col(parent).alias("_a"), F.lit(1).alias("_d")).distinct()
+    step = step.join(nodes.select(*by, F.col(node).alias("_a")), [*by, "_a"], "left_semi").select(*by, "_n", "_a", "_d")
+    known, size, reach = cut(step), -1, 1
     while reach < most_depth:
-        far = known.select(*by, F.col("_n").alias("_m"), F.col("_a").alias("_far"), F.col("_d").alias("_e")).filter(F.col("_e") > 0)
+        far = known.select(*by, F.col("_n").alias("_m"), F.col("_a").alias("_far"), F.col("_d").alias("_e"))
         longer = known.withColumnRenamed("_a", "_m").join(far, [*by, "_m"])
         longer = longer.select(*by, "_n", F.col("_far").alias("_a"), (F.col("_d") + F.col("_e")).alias("_d"))
-        known = known.unionByName(longer).groupBy(*by, "_n", "_a").agg(F.min("_d").alias("_d"))
+        known = cut(known.unionByName(longer).groupBy(*by, "_n", "_a").agg(F.min("_d").alias("_d")))
+        before, size = size, known.count()
         reach *= 2
-    return known.filter(F.col("_d") <= most_depth).select(*by, F.col("_n").alias("node"), F.col("_a").alias("ancestor"), F.col("_d").alias("distance"))
+        if size == before:
+            break
+    selves = nodes.select(*by, F.col(node).alias("_n"), F.col(node).alias("_a"), F.lit(0).alias("_d")).distinct()
+    known = known.filter((F.col("_d") <= most_depth) & (F.col("_n") != F.col("_a"))).unionByName(selves)
+    return known.select(*by, F.col("_n").alias("node"), F.col("_a").alias("ancestor"), F.col("_d").alias("distance"))
 
 
 def resolve_inherited(nodes: DataFrame, by, values, node="node", parent="parent", most_depth: int = MOST_DEPTH) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from folioscope.plans import sequences, star
+from folioscope.plans import sequences, star, verdicts
 
 FLAGSHIP = "pricing_summary"
 
-_MODULES = (star, sequences)
+_MODULES = (star, sequences, verdicts)
 
 
 def queries():
