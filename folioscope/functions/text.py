@@ -7,6 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words that mark a note on format in brackets.
 FORMAT_MARKERS = "号 黑体 宋体 楷体 仿宋 Times 居中 加粗 行距 字号 字体 页边距 厘米 空格 格式 pt 表示".split()
@@ -180,7 +181,7 @@ def replaced_ranges(x, ranges) -> Column:
     return F.aggregate(backward, _c(x), lambda t, r: F.concat(F.substring(t, F.lit(1), r["start"]), r["replacement"], F.substring(t, r["end"] + 1, F.length(t))))
 
 
-@F.pandas_udf("array<struct<start:int,end:int,text:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())])))
 def atomic_spans(texts: pd.Series) -> pd.Series:
     """A text cut at bracketed groups, placeholder runs and after colons: ordered, complete, not overlapping.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _c(x) -> Column:
@@ -121,7 +122,7 @@ def sha256_text(x) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(_c(x).cast("binary"), 256))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def sha256_json(documents: pd.Series) -> pd.Series:
     """sha256:<hex> of the canonical form of JSON texts: sorted keys, no blanks, non-ASCII as it is, nulls kept; null if it is no JSON."""
     import hashlib
