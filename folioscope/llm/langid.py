@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import crc_mod, free_name, mix64, release_memory, slices
 
 SAMPLE = 4000
+#: Parts in which a language's smallest hashes are looked for.
+PARTS = 64
 BUCKETS = 1 << 14
 DIMENSIONS = 16
 ORDERS = (2, 3, 4)
@@ -172,8 +174,11 @@ def fit(labelled: DataFrame, text="text", lang="lang", doc_id="doc_id", sample:
     if not count:
         return train([])
     share = max(1, sample // count)
-    order = Window.partitionBy("lang").orderBy("h")
-    cuts = rows.select("lang", "h").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= share).groupBy("lang").agg(F.max("h").alias("cut"))
+    # the smallest of each part of a language first, so that no task sees more of it than a bound
+    small, parts = rows.select("lang", "h", F.pmod("h", F.lit(PARTS)).alias("part")), (["lang", "part"], ["lang"])
+    for keys in parts:
+        small = small.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).filter(F.col("n") <= share)
+    cuts = small.groupBy("lang").agg(F.max("h").alias("cut"))
     limits = {r["lang"]: r["cut"] for r in cuts.collect()}
     keep = F.coalesce(*[F.when(F.col("lang") == k, F.col("h") <= v) for k, v in sorted(limits.items())])
     bags = rows.filter(keep).select("lang", "text").mapInArrow(_bags, "lang string, buckets binary, counts binary").collect()
