@@ -32,7 +32,7 @@ def covered(ranges: DataFrame, targets: DataFrame, by, name="covered") -> DataFr
     """
     w = Window.partitionBy(*by).orderBy("start", "end")
     joined = targets.join(ranges, by, "left").withColumn("start", F.greatest("start", "target_start"))
-    joined = joined.withColumn("_reach", F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("target_start")))
+    joined = joined.withColumn("_reach", F.greatest(F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("target_start")), F.col("target_start")))
     gap = F.max(F.when((F.col("start") > F.col("_reach")) & (F.col("_reach") < F.col("target_end")), 1).otherwise(0))
     done = joined.groupBy(*by, "target_start", "target_end").agg(gap.alias("_gap"), F.max("end").alias("_end"))
     whole = (F.col("target_end") <= F.col("target_start")) | ((F.col("_gap") == 0) & F.coalesce(F.col("_end") >= F.col("target_end"), F.lit(False)))
