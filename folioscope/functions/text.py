@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -194,13 +195,13 @@ def atomic_spans(texts: pd.Series) -> pd.Series:
     colon = re.compile("[：:]")
 
     def cut(text):
-        text = text or ""
-        edges = {0, len(text)} | {m.end() for m in colon.finditer(text)}
-        for p in patterns:
-            for m in p.finditer(text):
-                edges |= {m.start(), m.end()}
-        places = sorted(edges)
-        spans = list(zip(places, places[1:])) or [(0, 0)]
-        return [{"start": a, "end": b, "text": text[a:b]} for a, b in spans]
+        size = len(text or "")
+        bounds = np.zeros(size + 1, bool)
+        for p in patterns if size else ():
+            bounds[[place for m in p.finditer(text) for place in m.span()]] = True
+        bounds[[m.end() for m in colon.finditer(text or "")]] = True
+        bounds[0] = False
+        starts = [0, *np.flatnonzero(bounds[:size]).tolist()]
+        return [{"start": a, "end": b, "text": (text or "")[a:b]} for a, b in zip(starts, [*starts[1:], size])]
 
     return texts.map(cut, na_action=None)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from folioscope.plans import sequences, star, texts, verdicts
+from folioscope.plans import layouts, sequences, star, texts, verdicts
 
 FLAGSHIP = "pricing_summary"
 
-_MODULES = (star, sequences, verdicts, texts)
+_MODULES = (star, sequences, verdicts, texts, layouts)
 
 
 def queries():
