@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from folioscope.plans import layouts, sequences, star, texts, verdicts
+from folioscope.plans import layouts, sequences, star, texts, verdicts, word_files
 
 FLAGSHIP = "pricing_summary"
 
-_MODULES = (star, sequences, verdicts, texts, layouts)
+_MODULES = (star, sequences, verdicts, texts, layouts, word_files)
 
 
 def queries():
