@@ -35,6 +35,8 @@ CALIBRATE = 5
 #: A text is rejected where its calibrated confidence is under this.
 REJECT = 0.5
 UNKNOWN = "und"
+#: Bytes of text whose subwords are held at once, some hundred bytes for each.
+SLICE_BYTES = 256 << 10
 
 _letters: np.ndarray | None = None
 _MARK = np.uint32(0x20)
@@ -82,7 +84,7 @@ def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _bags(batches):
     """(lang, text) to (lang, buckets, counts): what training sees of a text."""
     for batch in batches:
-        for rows in slices(batch, "text"):
+        for rows in slices(batch, "text", SLICE_BYTES):
             bucket, ends = subwords([t or "" for t in rows.column("text").to_pylist()])
             parts = [np.unique(p, return_counts=True) for p in np.split(bucket, ends[:-1])]
             yield pa.RecordBatch.from_arrays(
@@ -188,7 +190,7 @@ def fit(labelled: DataFrame, text="text", lang="lang", doc_id="doc_id", sample:
 
 def _predicted(batches, shared, text, names):
     for batch in batches:
-        for rows in slices(batch, text):
+        for rows in slices(batch, text, SLICE_BYTES):
             langs, score = shared.value.predict([t or "" for t in rows.column(text).to_pylist()])
             drop = pa.array(score < REJECT)
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(langs, pa.string()), pa.array(score), drop], [*rows.schema.names, *names])
@@ -211,7 +213,7 @@ def identify(docs: DataFrame, model: Model, text="text") -> DataFrame:
 
 def _kept(batches, shared, text):
     for batch in batches:
-        for rows in slices(batch, text):
+        for rows in slices(batch, text, SLICE_BYTES):
             _, score = shared.value.predict([t or "" for t in rows.column(text).to_pylist()])
             yield rows.filter(pa.array(score >= REJECT))
     release_memory()

@@ -32,11 +32,11 @@ FILE_BYTES = 16 << 20
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 1 << 20
 #: Pieces whose ids a worker remembers.
-MEMORY = 800_000
+MEMORY = 700_000
 #: Pieces that are encoded in one call.
 CALL = 5_000
 #: Bytes of text that are encoded at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 20
 
 
 def _little_endian(ids: list[int]) -> bytes:
