@@ -4,8 +4,8 @@ A text is the mean of the embeddings of its subwords, the character 2-, 3- and
 4-grams of its words with a mark at either end, hashed into buckets.  A softmax
 over linear scores of that mean gives the languages.  Embeddings and weights
 are trained together by stochastic gradient descent in numpy.  On rows kept
-apart from training a temperature is fitted, and with it the confidence below
-which a prediction is more often wrong than right; such texts are rejected.
+apart from training a temperature is fitted, so that confidences are the shares
+of right predictions; texts with a confidence little above chance are rejected.
 
 The model is fitted on a bounded sample: at most SAMPLE texts, an equal share
 for each language, taken by hash of the id.  Its size does not depend on the
@@ -32,8 +32,9 @@ BATCH = 32
 RATE = 0.5
 #: Every so many-th sampled text calibrates and does not train.
 CALIBRATE = 5
-#: A text is rejected where its calibrated confidence is under this.
-REJECT = 0.5
+#: A text is rejected where its calibrated confidence is less than this part of the way from chance to certainty:
+#: its subwords then say next to nothing, and the best language is a guess.
+REJECT = 0.15
 UNKNOWN = "und"
 #: Bytes of text whose subwords are held at once, some hundred bytes for each.
 SLICE_BYTES = 256 << 10
@@ -99,6 +100,9 @@ class Model:
 
     def __init__(self, langs: list[str], scores: np.ndarray, bias: np.ndarray, temperature: float):
         self.langs, self.scores, self.bias, self.temperature = langs, scores, bias, temperature
+        chance = 1 / max(len(langs), 1)
+        #: The confidence under which a text is rejected; all are where nothing was learnt.
+        self.least = chance + REJECT * (1 - chance)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """The language and the calibrated confidence of each text; `und` and 0 without a letter."""
@@ -192,7 +196,7 @@ def _predicted(batches, shared, text, names):
     for batch in batches:
         for rows in slices(batch, text, SLICE_BYTES):
             langs, score = shared.value.predict([t or "" for t in rows.column(text).to_pylist()])
-            drop = pa.array(score < REJECT)
+            drop = pa.array(score < shared.value.least)
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(langs, pa.string()), pa.array(score), drop], [*rows.schema.names, *names])
     release_memory()
 
@@ -215,7 +219,7 @@ def _kept(batches, shared, text):
     for batch in batches:
         for rows in slices(batch, text, SLICE_BYTES):
             _, score = shared.value.predict([t or "" for t in rows.column(text).to_pylist()])
-            yield rows.filter(pa.array(score >= REJECT))
+            yield rows.filter(pa.array(score >= shared.value.least))
     release_memory()
 
 

@@ -59,7 +59,7 @@ def test_against_brute_force(spark, folder):
     docs = spark.read.parquet(f"{path}/documents.parquet")
     model = langid.fit(docs.filter(crc_mod("doc_id") != 0))
     _, scores = model.predict([r[1] for r in rows])
-    rows = [r for r, s in zip(rows, scores) if s >= langid.REJECT]
+    rows = [r for r, s in zip(rows, scores) if s >= model.least]
     assert all(any(c.isalpha() for c in r[1]) for r in rows)
     groups = plain_components([(r[0], plain_fingerprint(r[1])) for r in rows])
     rows = [r for r, g in zip(rows, groups) if r[0] == g]
