@@ -73,24 +73,31 @@ def asof_forward(left: DataFrame, right: DataFrame, by, at, value, tie=(), or_la
     return both.withColumn(f"next_{value}", ahead).filter("_side = 0").drop("_side", "_value")
 
 
+#: Needles up to which every text is tried against all of them, broadcast; beyond, needles are joined on their first characters.
+MOST_NEEDLES = 200
+
+
 def contains_match(texts: DataFrame, needles: DataFrame, text, needle, key, order, n: int = 1) -> DataFrame:
-    """The first ``n`` texts, in order, that contain each needle; needles are few and broadcast behind a check of their number."""
-    if needles.limit(MOST_NEEDLES + 1).count() > MOST_NEEDLES:
-        words = lambda c: F.array_distinct(F.split(c, r"\s+"))
-        a = texts.withColumn("_word", F.explode(words(F.col(text))))
-        b = needles.withColumn("_word", F.element_at(F.array_sort(words(F.col(needle)), lambda x, y: F.length(y) - F.length(x)), 1))
-        pairs = a.join(b, "_word").drop("_word").distinct()
-    else:
+    """The first ``n`` texts, in order, that contain each needle; null and empty needles match nothing.
+
+    Few needles are broadcast, behind a check of their number.  Many are joined
+    by equality: a text stands under all its distinct runs of as many characters as
+    the shortest needle has, four at most, and a needle under its first.
+    """
+    needles = needles.filter(F.length(needle) > 0)
+    size, shortest = needles.agg(F.count(F.lit(1)), F.min(F.length(needle))).first()
+    if size <= MOST_NEEDLES:
         pairs = texts.join(F.broadcast(needles), F.col(text).contains(F.col(needle)))
+    else:
+        g = min(shortest, 4)
+        runs = F.transform(F.sequence(F.lit(1), F.length(text) - g + 1), lambda i: F.substring(F.col(text), i, F.lit(g)))
+        spread = texts.filter(F.length(text) >= g).withColumn("_run", F.explode(F.array_distinct(runs)))
+        pairs = spread.join(needles.withColumn("_run", F.substring(needle, 1, g)), "_run").drop("_run")
     pairs = pairs.filter(F.col(text).contains(F.col(needle)))
     w = Window.partitionBy(*key).orderBy(*order)
     return pairs.withColumn("match_no", F.row_number().over(w)).filter(F.col("match_no") <= n)
 
 
-#: Needles up to which a text scan broadcasts them; beyond, needles are joined on their longest word.
-MOST_NEEDLES = 10_000
-
-
 def tokens_spread(hits: DataFrame, key, token, place, least: int) -> DataFrame:
     """Keys whose distinct tokens, found over several places, are ``least`` or more."""
     out = hits.groupBy(*key).agg(F.countDistinct(token).alias("n_tokens"), F.countDistinct(place).alias("n_places"), F.min(place).alias("first_place"))

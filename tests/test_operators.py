@@ -97,9 +97,9 @@ def test_asof(spark):
     assert rows(matching.asof_forward(left, right, ["g"], "at", "v", or_last=True).na.fill(-1), "g", "at", "next_v") == [("a", 1, 10), ("a", 5, 50), ("a", 9, 60), ("b", 5, -1)]
 
 
-def test_contains_match_by_words(spark, monkeypatch):
+def test_contains_match_few_and_many(spark, monkeypatch):
     texts = spark.createDataFrame([(1, "one two three"), (2, "two three four"), (3, None)], "id int, text string")
-    needles = spark.createDataFrame([("n1", "two three"), ("n2", "four"), ("n3", "zz")], "n string, needle string")
+    needles = spark.createDataFrame([("n1", "wo thre"), ("n2", "four"), ("n3", "zz"), ("n4", ""), ("n5", None)], "n string, needle string")
     want = [("n1", 1), ("n1", 2), ("n2", 2)]
     assert rows(matching.contains_match(texts, needles, "text", "needle", ["n"], ["id"], 3), "n", "id") == want
     monkeypatch.setattr(matching, "MOST_NEEDLES", 1)
