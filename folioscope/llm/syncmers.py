@@ -29,6 +29,8 @@ SHOWN = 32
 RUN_BYTES = 1 << 20
 #: Runs that a task goes through, on average: a few, as they are dealt out by hash.
 TASK_RUNS = 4
+#: Runs at most: of a corpus beyond so many RUN_BYTES the runs are longer; a task streams through them all the same.
+MOST_RUNS = 10_000
 _RADIX = np.uint64(0x9E3779B97F4A7C13)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -174,7 +176,7 @@ def compare_with_next(docs: DataFrame, text="text", doc_id="doc_id", run_bytes:
     come first; a null text is empty; a single document is its own next one.
     """
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("tie", F.xxhash64("text"))
-    runs = max(1, -(-source_bytes(docs, text) // run_bytes))
+    runs = max(1, min(MOST_RUNS, -(-source_bytes(docs, text) // run_bytes)))
     ids = docs.select(F.col(doc_id).alias("doc_id"))
     cuts = ids.agg(F.percentile_approx("doc_id", [i / runs for i in range(1, runs)], 20 * runs), F.min("doc_id")).first() if runs > 1 else [[], ids.agg(F.min("doc_id")).first()[0]]
     bounds = sorted({x for x in cuts[0] or [] if x is not None and x != cuts[1]})

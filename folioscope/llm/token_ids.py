@@ -27,8 +27,10 @@ from folioscope.llm.common import release_memory, scratch_path, slices, source_b
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
-#: Input bytes that go to one file, and bytes of a row group and of a page.
+#: Input bytes that go to one file, and files at most: of a larger corpus the files are longer.
 FILE_BYTES = 16 << 20
+MOST_FILES = 20_000
+#: Bytes of a row group and of a page.
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 1 << 20
 #: Pieces whose ids a worker remembers.
@@ -177,7 +179,7 @@ def write_token_ids(docs: DataFrame, path: str, text="text", doc_id="doc_id", vo
     so a lost executor leaves no half-written file.
     """
     vocabulary = vocabulary or public_tokenizers.path(VOCABULARY)
-    parts = max(1, -(-source_bytes(docs.select(text), text) // FILE_BYTES))
+    parts = max(1, min(MOST_FILES, -(-source_bytes(docs, text) // FILE_BYTES)))
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = chosen.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     ordered = ordered.select("doc_id", F.spark_partition_id().alias("part"), "text")
