@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -74,6 +75,18 @@ def release_memory() -> None:
         trim(0)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Holds the session's Arrow batches to so many rows while a job runs, and puts its setting back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def byte_rows(array: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     return [x or b"" for x in array.cast(pa.binary()).to_pylist()]
@@ -130,18 +143,29 @@ def hash_bytes(word: bytes) -> int:
     return int(hashed_words([word], np.zeros(256, bool))[0][0])
 
 
-def hashed_words(rows: list[bytes], breaks: np.ndarray, positions: bool = False):
+def hashed_words(rows: list[bytes], breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the rows, lower-cased over A-Z, and the words of each row.
 
     ``breaks`` marks the bytes that are not part of a word.  A word's hash is
     a polynomial in its bytes, read off prefix sums and then mixed, so it
-    depends on the word alone.  With ``positions`` also the byte at which each
-    word starts, within the joined rows.
+    depends on the word alone.  Rows are taken SLICE_BYTES at a time, as the
+    sums need some 50 bytes for each.
     """
+    parts, start, size = [], 0, 0
+    for i, row in enumerate(rows):
+        if size and size + len(row) > SLICE_BYTES:
+            parts.append(_hashed(rows[start:i], breaks))
+            start, size = i, 0
+        size += len(row) + 1
+    if start < len(rows):
+        parts.append(_hashed(rows[start:], breaks))
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*parts)) if len(parts) > 1 else parts[0]
+
+
+def _hashed(rows: list[bytes], breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.fromiter((len(r) + 1 for r in rows), np.int64, len(rows))
-    if not len(rows):
-        none = np.zeros(0, np.uint64)
-        return (none, np.zeros(0, np.int64), np.zeros(0, np.int64)) if positions else (none, np.zeros(0, np.int64))
     data = _LOWER[np.frombuffer(b"\n".join(rows) + b"\n", np.uint8)]
     inside = ~breaks[data]
     row_ends = np.cumsum(lengths)
@@ -150,7 +174,9 @@ def hashed_words(rows: list[bytes], breaks: np.ndarray, positions: bool = False)
     starts, ends = edges[::2], edges[1::2]
     up, down = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    weighed = data.astype(np.uint64)
+    weighed += np.uint64(1)
+    weighed *= up[: len(data)]
+    np.cumsum(weighed, out=sums[1:])
     hashes = mix64((sums[ends] - sums[starts]) * down[starts])
-    counts = np.diff(np.searchsorted(starts, row_ends), prepend=0)
-    return (hashes, counts, starts) if positions else (hashes, counts)
+    return hashes, np.diff(np.searchsorted(starts, row_ends), prepend=0)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import PUNCT, byte_rows, hashed_words, slices
+from folioscope.llm.common import PUNCT, byte_rows, hashed_words, release_memory, slices
 
 MIN_TILE = 5
 COVERAGE = 0.8
@@ -221,6 +221,7 @@ def _clean(batches, shared, coverage, column):
         for rows in slices(batch, column):
             bad = {r for r, _, _ in shared.value.matches(byte_rows(rows.column(column)), coverage)}
             yield rows.filter(pa.array([i not in bad for i in range(rows.num_rows)]))
+    release_memory()
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text="text", item_text="text", item_id="item_id", coverage=COVERAGE, min_tile=MIN_TILE, block_bytes=BLOCK_BYTES) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from folioscope.llm.common import byte_rows, checkpointed, free_name, slices
+from folioscope.llm.common import byte_rows, checkpointed, free_name, release_memory, slices
 from folioscope.llm.components import component_roots, local_stars
 
 SHINGLE = 4
@@ -63,6 +63,7 @@ def _fingerprints(batches, columns):
         for part in slices(batch, "text"):
             prints = np.fromiter(map(fingerprint, byte_rows(part.column("text"))), np.uint64, part.num_rows)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(prints.view(np.int64))], [*columns, "fp"])
+    release_memory()
 
 
 def _remainder(x: int) -> int:

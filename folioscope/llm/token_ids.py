@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from folioscope.llm.common import release_memory, scratch_path, slices, source_bytes
+from folioscope.llm.common import arrow_rows, release_memory, scratch_path, slices, source_bytes
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -34,11 +34,13 @@ MOST_FILES = 20_000
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 1 << 20
 #: Pieces whose ids a worker remembers.
-MEMORY = 700_000
+MEMORY = 400_000
 #: Pieces that are encoded in one call.
 CALL = 5_000
 #: Bytes of text that are encoded at once.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
+#: Rows of an Arrow batch while ids are written.
+BATCH_ROWS = 2_000
 
 
 def _little_endian(ids: list[int]) -> bytes:
@@ -186,7 +188,8 @@ def write_token_ids(docs: DataFrame, path: str, text="text", doc_id="doc_id", vo
     schema = T.StructType([chosen.schema["doc_id"], T.StructField("part", T.IntegerType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
     writer = ordered.mapInArrow(lambda batches: _encoded(batches, vocabulary, end_id), schema).write.option("compression", "zstd")
     writer = writer.option("parquet.writer.version", "v2").option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.page.size", PAGE_BYTES)
-    writer.parquet(path)
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        writer.parquet(path)
 
 
 def _summed(batches):
