@@ -41,6 +41,7 @@ def _facts(spark, sf_dir):
             yield pd.DataFrame({"path": frame["doc_id"].astype(str), "content": [_package(t) for t in frame["text"]]})
 
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.repartition(F.col("doc_id"))  # packing is all the work, and one file may be one split
     return docx.facts(docs.mapInPandas(pack, "path string, content binary"))
 
 
