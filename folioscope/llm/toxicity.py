@@ -2,20 +2,24 @@
 
 P(grade <= j) is a logistic function of threshold_j - w.x; the thresholds are
 ordered and share the weights w.  The features of a text are the logarithms of
-the counts of those words and beginnings of words that go with the labels.
+the counts of its words and beginnings of words, of all that stand in
+LEAST_TEXTS sample texts; the ridge penalty shrinks those that say little.
 What comes out is the expected grade (severity) and the probability of any
 grade above 0.
 
 Labels say toxic or not.  Severity is graded within the toxic ones by how many
-of the words that go with that label they hold, in thirds: grades 0 to 3.  Grades
-given as such are taken as they are.  The model is fitted on a bounded sample
+of the words that go with that label they hold, in thirds: grades 0 to 3.  Which
+do is told by a likelihood ratio test, which has no quarrel with words that no
+clean text holds.  Grades given as such are taken as they are.  The model is fitted on a bounded sample
 of labelled rows, SAMPLE at most, half of them toxic where there are so many;
 weights bring the sample back to the labels' proportions.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +33,13 @@ from folioscope.llm.licenses import words_of
 SAMPLE = 20_000
 #: Characters of the beginnings of longer words that can be features.
 BEGINNINGS = (4, 5, 6, 7, 8)
-#: Words and beginnings that are features: at most so many, in so many texts at least, so far from chance (standard errors of the log odds).
-FEATURES = 2_000
+#: Texts that hold a word or beginning that is a feature, at least.
 LEAST_TEXTS = 5
+#: How far from chance (signed root of the likelihood ratio) a feature is that grades the toxic texts.
 LEAST_Z = 5.0
+#: Entries that are added up at once, so that they stay in the cache, and threads that do so.
+RUN = 1 << 18
+THREADS = 4
 STEPS = 800
 #: Words whose features a worker remembers, and counts that a task gathers before it sends them on.
 MEMORY = 500_000
@@ -59,7 +66,7 @@ class Model:
 
     def bag(self, text: bytes) -> tuple[list[int], list[int]]:
         """Features and counts of a text."""
-        memory, counts = self.memory, Counter()
+        memory, counts = self.memory, defaultdict(int)
         if len(memory) > MEMORY:
             memory.clear()
         for word, n in Counter(words_of(text)).items():
@@ -84,6 +91,50 @@ class Model:
         return out
 
 
+def _adder(to: np.ndarray, of: np.ndarray, values: np.ndarray, size: int, pool: ThreadPoolExecutor):
+    """x to the sums of x[of] * values by ``to``, one for each of ``size`` places."""
+    to, of, values = to.astype(np.int32, copy=False), of.astype(np.int32, copy=False), values.astype(np.float32, copy=False)
+    cuts = range(0, len(to), RUN)
+    ends = np.cumsum(sum((np.bincount(to[a : a + RUN], minlength=size) for a in cuts), np.zeros(size, np.int64)))
+    begins = np.concatenate([np.zeros(1, np.int64), ends[:-1]])
+    if np.any(to[1:] < to[:-1]):
+        # dealt out run by run, so that no sort of all entries is held
+        by, amounts, free = np.empty_like(of), np.empty_like(values), begins.copy()
+        for a in cuts:
+            order = np.argsort(to[a : a + RUN], kind="stable")
+            own = to[a : a + RUN][order]
+            starts = np.flatnonzero(np.diff(own, prepend=-1))
+            sizes = np.diff(starts, append=len(own))
+            at = free[own] + np.arange(len(own)) - np.repeat(starts, sizes)
+            by[at], amounts[at] = of[a : a + RUN][order], values[a : a + RUN][order]
+            free[own[starts]] += sizes
+        of, values = by, amounts
+    runs = []
+    for a in cuts:
+        places = np.arange(np.searchsorted(ends, a, "right"), np.searchsorted(begins, min(a + RUN, len(to))))
+        places = places[ends[places] > begins[places]]
+        runs.append((of[a : a + RUN], values[a : a + RUN], np.maximum(begins[places] - a, 0), places))
+
+    def add(x):
+        out = np.zeros(size)
+        for run, sums in zip(runs, pool.map(lambda r: np.add.reduceat(x[r[0]] * r[1], r[2]), runs)):
+            out[run[3]] += sums
+        return out
+
+    return add
+
+
+def likelihood_root(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float) -> np.ndarray:
+    """Signed roots of the likelihood ratios for counts of texts by label, above 0 where the toxic hold a feature more often."""
+    share = (toxic + clean) / max(n_toxic + n_clean, 1)
+
+    def part(seen, expected):
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
+
+    ratio = sum(part(c, n * share) + part(n - c, n * (1 - share)) for c, n in ((toxic, n_toxic), (clean, n_clean)))
+    return np.sign(toxic * n_clean - clean * n_toxic) * np.sqrt(np.maximum(2 * ratio, 0))
+
+
 def fit_ordinal(rows: np.ndarray, features: np.ndarray, values: np.ndarray, grades: np.ndarray, sample_weight: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by gradient descent with adaptive steps, on entries (row, feature, value)."""
     top = int(grades.max(initial=0))
@@ -95,10 +146,12 @@ def fit_ordinal(rows: np.ndarray, features: np.ndarray, values: np.ndarray, grad
     theta = np.concatenate([np.zeros(width), start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     scale = sample_weight / sample_weight.sum()
+    pool = ThreadPoolExecutor(THREADS)
+    scores, slopes = _adder(rows, features, values, len(grades), pool), _adder(features, rows, values, width, pool)
     for step in range(1, STEPS + 1):
         w, gaps = theta[:width], np.exp(theta[width + 1 :])
         cuts = theta[width] + np.concatenate([[0.0], np.cumsum(gaps)])
-        z = np.bincount(rows, w[features] * values, len(grades))
+        z = scores(w)
         full = np.concatenate([[-np.inf], cuts, [np.inf]])
         high, low = _sigmoid(full[grades + 1] - z), _sigmoid(full[grades] - z)
         p = np.maximum(high - low, 1e-12)
@@ -106,9 +159,10 @@ def fit_ordinal(rows: np.ndarray, features: np.ndarray, values: np.ndarray, grad
         dz = up - down  # of minus the log likelihood
         dcut = np.bincount(grades, -up, top + 1)[:top] + np.bincount(grades, down, top + 1)[1:]
         tail = np.cumsum(dcut[::-1])[::-1]
-        gradient = np.concatenate([np.bincount(features, dz[rows] * values, width) + RIDGE * w, tail[:1], tail[1:] * gaps])
+        gradient = np.concatenate([slopes(dz) + RIDGE * w, tail[:1], tail[1:] * gaps])
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         theta = theta - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+    pool.shutdown()
     return theta[:width], theta[width] + np.concatenate([[0.0], np.cumsum(np.exp(theta[width + 1 :]))])
 
 
@@ -132,12 +186,25 @@ def _word_counts(batches):
     yield flush()
 
 
+def _pack(features: list[int], counts: list[int]) -> bytes:
+    """A bag as bytes: gaps between features in order, then their counts, the first bytes of all together."""
+    bag = np.array([features, counts], "<i4")
+    bag = np.ascontiguousarray(bag[:, np.argsort(bag[0])])
+    bag[0] = np.diff(bag[0], prepend=0)
+    return zlib.compress(np.ascontiguousarray(bag.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Features and counts from bytes of :func:`_pack`."""
+    bag = np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<i4").reshape(2, -1)
+    return np.cumsum(bag[0], dtype=np.int32), bag[1]
+
+
 def _bags(batches, shared):
     for batch in batches:
         for part in slices(batch, "text"):
             bags = [shared.value.bag(x) for x in byte_rows(part.column("text"))]
-            lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("grade"), pa.array([f for f, _ in bags], lists), pa.array([c for _, c in bags], lists)], ["grade", "features", "counts"])
+            yield pa.RecordBatch.from_arrays([part.column("grade"), pa.array([len(f) for f, _ in bags], pa.int32()), pa.array([_pack(*b) for b in bags], pa.binary())], ["grade", "n", "bag"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, text="text", doc_id="doc_id", grade="toxic", sample: int = SAMPLE) -> Model:
@@ -146,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, text="text", doc_id="doc_id", grade=
     ``grade`` is 0 for clean; if no grade is above 1, the toxic are graded by
     their words.  Null labels, and labels of documents that are not there, are
     left out; repeated labels count as often as they stand.  To the driver come
-    the sample's ids, its features and their counts.
+    the sample's ids, its features and their counts, packed.
     """
     spark = docs.sparkSession
     known = labels.select(F.col(doc_id).alias("label_id"), F.col(grade).cast("int").alias("grade"), F.xxhash64(F.lit(23), F.col(doc_id)).alias("h")).filter("grade IS NOT NULL AND label_id IS NOT NULL")
@@ -160,26 +227,24 @@ def fit(docs: DataFrame, labels: DataFrame, text="text", doc_id="doc_id", grade=
     rows = docs.select(F.col(doc_id).alias("label_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "label_id").select("grade", "text")
     counts = rows.mapInArrow(_word_counts, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     n = {bad: float(take.get(bad, 0)) for bad in (False, True)}
-    odds = lambda c, size: F.log((F.col(c) + 0.5) / (F.lit(size) - F.col(c) + 0.5))
-    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    z = (odds("toxic", n[True]) - odds("clean", n[False])) / error
-    best = counts.filter(F.col("toxic") + F.col("clean") >= LEAST_TEXTS).withColumn("z", z).filter(F.abs("z") >= LEAST_Z)
-    best = best.orderBy(F.abs("z").desc(), "feature").limit(FEATURES).collect()
-    model = Model({r["feature"]: i for i, r in enumerate(best)}, np.zeros(len(best)), np.zeros(0))
+    best = counts.filter(F.col("toxic") + F.col("clean") >= LEAST_TEXTS).toArrow().sort_by("feature")
+    model = Model({f: i for i, f in enumerate(best.column("feature").to_pylist())}, np.zeros(best.num_rows), np.zeros(0))
     shared = spark.sparkContext.broadcast(model)
-    bags = rows.mapInArrow(lambda batches: _bags(batches, shared), "grade int, features array<bigint>, counts array<bigint>").collect()
-    bags = sorted((r["grade"], sorted(zip(r["features"], r["counts"]))) for r in bags)
-    grades = np.array([g for g, _ in bags], np.int64)
+    bags = rows.mapInArrow(lambda batches: _bags(batches, shared), "grade int, n int, bag binary").toArrow()
+    bags = sorted(zip(*(bags.column(c).to_pylist() for c in ("grade", "bag", "n"))))
+    grades, sizes_of = np.array([g for g, _, _ in bags], np.int64), np.array([k for _, _, k in bags], np.int64)
+    row = np.repeat(np.arange(len(bags), dtype=np.int32), sizes_of)
+    feature, value, hits = np.empty(len(row), np.int32), np.empty(len(row), np.float32), np.zeros(len(bags))
+    telling = likelihood_root(*(best.column(c).to_numpy().astype(float) for c in ("toxic", "clean")), n[True], n[False]) >= LEAST_Z
+    for i, (end, (_, bag, k)) in enumerate(zip(np.cumsum(sizes_of), bags)):
+        own, times = _unpack(bag)
+        feature[end - k : end], value[end - k : end], hits[i] = own, np.log1p(times), times[telling[own]].sum()
+    del bags
     if grades.max(initial=0) == 1:
-        sign = np.array([r["z"] > 0 for r in best])
-        hits = np.array([sum(c for f, c in bag if sign[f]) for _, bag in bags], float)
         cuts = np.quantile(hits[grades == 1], [1 / 3, 2 / 3])
         grades = np.where(grades == 1, 1 + (hits[:, None] > np.unique(cuts)[None, :]).sum(axis=1), 0)
     weight = np.where(grades > 0, sizes.get(True, 0) / max(n[True], 1), sizes.get(False, 0) / max(n[False], 1))
-    row = np.repeat(np.arange(len(bags)), [len(b) for _, b in bags])
-    entries = [e for _, b in bags for e in b]
-    feature, value = np.array([f for f, _ in entries], np.int64), np.log1p(np.array([c for _, c in entries], float))
-    model.weights, model.thresholds = fit_ordinal(row, feature, value, grades, weight, len(best))
+    model.weights, model.thresholds = fit_ordinal(row, feature, value, grades, weight, best.num_rows)
     return model
 
 

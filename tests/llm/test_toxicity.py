@@ -53,3 +53,25 @@ def test_given_grades_awkward_and_empty(spark):
     none = toxicity.fit(rows, odd.limit(0))
     assert {(r["severity"], r["toxic"]) for r in toxicity.grade_toxicity(rows, none).collect()} == {(0.0, False)}
     assert toxicity.grade_toxicity(empty(spark), graded).count() == 0
+
+
+def test_words_of_toxic_texts_alone_are_learnt_from_small_tables(spark):
+    """As at scales 0.001 and 0.01: each insult in a part of the toxic texts, in no clean one."""
+    for n, bad, found in ((90, 11, 18), (400, 51, 24)):
+        rng, docs = random.Random(n), []
+        for i in range(n):
+            words = prose(i, 60).split()
+            for word in rng.sample(BAD, 2) if i < bad else []:
+                words.insert(rng.randrange(len(words)), word)
+            docs.append((i, " ".join(words)))
+        labels = spark.createDataFrame([(i, int(i < bad)) for i in range(n)], "doc_id long, toxic int")
+        model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), labels)
+        assert all(model.weights[model.features[w]] > 0 for w in BAD)
+        new = [(i, f"{prose(1000 + i, 60)} {BAD[i % 3]} {BAD[(i + 1) % 3]}" if i < 30 else prose(1000 + i, 60)) for i in range(60)]
+        out = toxicity.grade_toxicity(spark.createDataFrame(new, "doc_id long, text string"), model).collect()
+        assert sum(r["toxic"] for r in out if r["doc_id"] < 30) >= found and sum(r["toxic"] for r in out if r["doc_id"] >= 30) <= 2
+
+
+def test_likelihood_root():
+    root = toxicity.likelihood_root(np.array([12.0, 51.0, 0.0, 0.0]), np.array([0.0, 348.0, 40.0, 0.0]), 51.0, 348.0)
+    assert root[0] > 5 and abs(root[1]) < 1e-6 and root[2] < 0 and root[3] == 0
