@@ -106,6 +106,20 @@ def gold_faults(spark, sf_dir):
     return documents.span_ledger_faults(items, runs)
 
 
+def gold_faults_whole(spark, sf_dir):
+    """Whole documents as gold spans of three thirds, some of them shifted or cut; those under three characters as one run."""
+    docs = table(spark, sf_dir, "documents").withColumn("n", F.length("text"))
+    key = [F.col("source").alias("doc_id"), F.col("doc_id").cast("string").alias("raw_run_id")]
+    third, two = F.floor(F.col("n") / 3).cast("int"), F.floor(F.col("n") * 2 / 3).cast("int")
+    cuts = F.array(*[F.struct(F.lit(i).alias("i"), a.alias("start"), b.alias("end")) for i, (a, b) in enumerate(((F.lit(0), third), (third, two), (two, F.col("n"))))])
+    s = docs.filter("n >= 3").select("source", "doc_id", "text", F.explode(cuts).alias("c"))
+    shifted = F.when(F.col("doc_id") % 10 == 0, F.col("c.start") + 1).otherwise(F.col("c.start"))
+    spans = s.filter("NOT (doc_id % 7 = 0 AND c.i = 2)").select(*key, F.lit("span").alias("target_kind"), shifted.alias("start"), F.col("c.end").alias("end"), F.substring("text", shifted + 1, F.col("c.end") - shifted).alias("text"))
+    none = F.lit(None).cast("int")
+    runs = docs.filter("n < 3 OR n IS NULL").select(*key, F.lit("run").alias("target_kind"), none.alias("start"), none.alias("end"), "text")
+    return documents.span_ledger_faults(spans.unionByName(runs), docs.select(*key, F.col("text").alias("run_text")))
+
+
 def span_counts(spark, sf_dir):
     """Atomic spans of turns: how many there are, and that they cover the turn."""
     t = table(spark, sf_dir, "conversations")
@@ -128,7 +142,7 @@ def boundary_dedupe(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    boundary_sides, kept_with_next, page_tiers, aligned_turns, located_units, planned_breaks, untitled_contents, reference_ids, slot_kinds, graded_elements, gold_faults, span_counts, word_boxes, boundary_dedupe,
+    boundary_sides, kept_with_next, page_tiers, aligned_turns, located_units, planned_breaks, untitled_contents, reference_ids, slot_kinds, graded_elements, gold_faults, gold_faults_whole, span_counts, word_boxes, boundary_dedupe,
 )}
 
 _TURNS = """t AS (SELECT conv_id, turn, length(text) AS n, CASE WHEN turn % 3 = 0 THEN turn // 3 + 1 END AS page, length(text) % 2 = 0 AS keep FROM conversations),

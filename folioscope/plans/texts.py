@@ -42,6 +42,12 @@ def anchors(spark, sf_dir):
     return docs.select("doc_id", F.array_join(tx.stable_anchors(F.substring("text", 1, 200)), " ").alias("anchors"))
 
 
+def anchors_whole(spark, sf_dir):
+    """Distinct long letter runs of whole documents in any language."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.coalesce(F.array_join(tx.stable_anchors("text"), " "), F.lit("")).alias("anchors"))
+
+
 def policies(spark, sf_dir):
     """Policies by the words of part types and brands."""
     part = table(spark, sf_dir, "part")
@@ -58,6 +64,14 @@ def heading_scores(spark, sf_dir):
     return turns.filter(F.regexp_like(F.substring("text", 1, 3), F.lit("^[A-Za-z]{3}$"))).select("conv_id", "turn", score.alias("score"))
 
 
+def heading_scores_whole(spark, sf_dir):
+    """Scores of all turns as headings of a needle, the letters of the whole turn."""
+    turns = table(spark, sf_dir, "conversations").withColumn("style", F.when(F.col("turn") == 0, "Heading 1").otherwise("Body"))
+    needle = F.array(F.lower(F.regexp_replace("text", "[^A-Za-z]", "")))
+    score = tx.anchor_score("text", "style", F.when(F.col("conv_id") % 2 == 0, "center"), F.col("turn") + 12, F.array(F.lit("")), needle, F.lit(1))
+    return turns.select("conv_id", "turn", score.alias("score"))
+
+
 def toc_lines(spark, sf_dir):
     """Lines of documents that look like entries of a table of contents or like instructions on format."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -129,7 +143,7 @@ def shipped_first(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    text_facts, match_forms, match_token_lists, identifiers, anchors, policies, heading_scores, toc_lines, review_sections, spacing_codes, lenient_numbers, content_hashes,
+    text_facts, match_forms, match_token_lists, identifiers, anchors, anchors_whole, policies, heading_scores, heading_scores_whole, toc_lines, review_sections, spacing_codes, lenient_numbers, content_hashes,
     json_hashes, user_boxes, lineage_breaks, bound_bundle, numbered_findings, shipped_first,
 )}
 
