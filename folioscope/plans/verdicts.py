@@ -50,6 +50,19 @@ def spread_tokens(spark, sf_dir):
     return matching.tokens_spread(words.join(docs, "token"), ["item_id", "source"], "token", "doc_id", 2)
 
 
+def needle_documents_whole(spark, sf_dir):
+    """The first three documents that hold the whole of each benchmark item."""
+    needles = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle"))
+    return matching.contains_match(table(spark, sf_dir, "documents").select("doc_id", "text"), needles, "text", "needle", ["item_id"], ["doc_id"], 3).select("item_id", "doc_id", "match_no")
+
+
+def spread_tokens_whole(spark, sf_dir):
+    """Items of which two or more of all words stand in the documents of a source, over which places."""
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(F.split("text", " "))).alias("token"))
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("token"))
+    return matching.tokens_spread(words.join(docs, "token"), ["item_id", "source"], "token", "doc_id", 2)
+
+
 def best_event(spark, sf_dir):
     """The best-scored event of each user, the earliest among equals."""
     score = F.when(F.col("event_type") == "purchase", 70).when(F.col("event_type") == "signup", 120).otherwise(0) + F.when(F.col("value") > 50, 20).otherwise(0)
@@ -266,7 +279,7 @@ def compared_contracts(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    last_order_lookup, first_order_lookup, ranked_supplier, prefix_binding, needle_documents, spread_tokens, best_event, shared_parts, label_ledger, label_coverage, part_paths,
+    last_order_lookup, first_order_lookup, ranked_supplier, prefix_binding, needle_documents, needle_documents_whole, spread_tokens, spread_tokens_whole, best_event, shared_parts, label_ledger, label_coverage, part_paths,
     nations_apart, repeated_lines, repeats_in_order, ownership_difference, contested_places, agreed_claims, customer_verdicts, check_summary, finding_clusters, report_counters,
     stage_cascade, availability, owner_histogram, set_scores, language_scores, macro_scores, exact_orders, dominant_type, action_outcomes, inherited_size, rolled_up, leaf_counts,
     settled_leaves, tree_faults, compared_contracts,

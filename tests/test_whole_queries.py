@@ -25,3 +25,15 @@ def test_gold_faults_in_whole_texts(spark, tmp_path):
     data = [("a", 1, "x" * 50), ("a", 7, "y" * 40), ("a", 10, "z" * 30), ("a", 14, "short"), ("a", 20, "abc"), ("a", 21, "ab"), ("a", 3, "")]
     out = run(spark, tmp_path, "gold_faults_whole", documents=(data, "source string, doc_id long, text string"))
     assert out == {("a", "7", "spans_incomplete"), ("a", "10", "spans_not_contiguous"), ("a", "14", "spans_incomplete"), ("a", "20", "spans_not_contiguous")}
+
+
+def test_spread_tokens_of_long_documents_and_later_words(spark, tmp_path):
+    bench = [(1, "a b c d e sixth seventh"), (2, "a x")]
+    docs = [("s", 1, "sixth " + "long " * 300), ("s", 2, "seventh"), ("s", 2, "seventh"), ("t", 3, "x y")]
+    tables = {"benchmark": (bench, "item_id long, text string"), "documents": ([(*d, len(d[2])) for d in docs], "source string, doc_id long, text string, n_chars long")}
+    assert run(spark, tmp_path, "spread_tokens_whole", **tables) == {(1, "s", 2, 2, 1)}
+
+
+def test_needles_are_whole_items(spark, tmp_path):
+    docs = [(1, "x one two three four y"), (2, "one two three five")]
+    assert run(spark, tmp_path, "needle_documents_whole", benchmark=([(7, "one two three four")], "item_id long, text string"), documents=(docs, "doc_id long, text string")) == {(7, 1, 1)}
