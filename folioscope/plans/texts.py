@@ -129,6 +129,14 @@ def bound_bundle(spark, sf_dir):
     return lineage.bound(expected, actual, declared).select("name", "binding")
 
 
+def bound_bundle_whole(spark, sf_dir):
+    """All expected customers bound to orders that are there and to suppliers that declare them."""
+    expected = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("name"))
+    actual = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("name")).agg(F.max("o_orderstatus").alias("sha256"))
+    declared = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("name"), F.lit("P").alias("sha256"))
+    return lineage.bound(expected, actual, declared).select("name", "binding")
+
+
 def numbered_findings(spark, sf_dir):
     """Findings of several sources numbered in a fixed order of the sources, as ids."""
     o = table(spark, sf_dir, "orders")
@@ -144,7 +152,7 @@ def shipped_first(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     text_facts, match_forms, match_token_lists, identifiers, anchors, anchors_whole, policies, heading_scores, heading_scores_whole, toc_lines, review_sections, spacing_codes, lenient_numbers, content_hashes,
-    json_hashes, user_boxes, lineage_breaks, bound_bundle, numbered_findings, shipped_first,
+    json_hashes, user_boxes, lineage_breaks, bound_bundle, bound_bundle_whole, numbered_findings, shipped_first,
 )}
 
 SQL = {

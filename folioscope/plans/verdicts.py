@@ -78,6 +78,14 @@ def shared_parts(spark, sf_dir):
     return matching.array_overlap_match(a, b, ["o_custkey"], "sa", "sb", ["a", "b"])
 
 
+def shared_parts_whole(spark, sf_dir):
+    """All pairs of orders of a customer that share suppliers."""
+    sup = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("s"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(sup, F.col("o_orderkey") == F.col("l_orderkey"))
+    a, b = (orders.select("o_custkey", F.col("o_orderkey").alias(k), F.col("s").alias("s" + k)) for k in "ab")
+    return matching.array_overlap_match(a, b, ["o_custkey"], "sa", "sb", ["a", "b"]).filter("a < b")
+
+
 def label_ledger(spark, sf_dir):
     """Documents as leaves claimed by labels of one, two or no rows."""
     docs = table(spark, sf_dir, "documents").select("source", "doc_id")
@@ -105,6 +113,12 @@ def nations_apart(spark, sf_dir):
     return ledger.symmetric_difference(c, s, ["n"])
 
 
+def nations_apart_whole(spark, sf_dir):
+    """Nations with customers or suppliers alone."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n"))
+    return ledger.symmetric_difference(c, table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n")), ["n"])
+
+
 def repeated_lines(spark, sf_dir):
     """Line keys that stand more than once."""
     return ledger.duplicate_ids(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
@@ -148,6 +162,12 @@ def customer_verdicts(spark, sf_dir):
     return both.groupBy("o_custkey").agg(status.merged("status", where=F.col("status").isNotNull()).alias("verdict"))
 
 
+def customer_verdicts_whole(spark, sf_dir):
+    """Verdicts of customers over all their orders."""
+    both = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey")).join(_checks(spark, sf_dir), "o_custkey", "left")
+    return both.groupBy("o_custkey").agg(status.merged("status", where=F.col("status").isNotNull()).alias("verdict"))
+
+
 def check_summary(spark, sf_dir):
     """Counts of checks by customer with display, known and gate verdicts."""
     return status.check_summary(_checks(spark, sf_dir), ["o_custkey"])
@@ -264,6 +284,20 @@ def tree_faults(spark, sf_dir):
     return hierarchy.tree_errors(x.unionByName(t.filter("node = 7").withColumn("parent", F.lit(1).cast("long"))), ["p_brand"])
 
 
+def settled_leaves_whole(spark, sf_dir):
+    """Results of a walk down the whole tree, however deep, by decisions at some nodes."""
+    t = _tree(spark, sf_dir)
+    d = t.filter("node % 5 <> 0").select("p_brand", "node", F.when(F.col("own") % 2 == 0, "fill").otherwise("delete").alias("result"), (F.col("own") % 7 != 0).alias("descend"))
+    return hierarchy.sparse_decisions(t, d, ["p_brand"], most_depth=hierarchy.MOST_DEPTH)
+
+
+def tree_faults_whole(spark, sf_dir):
+    """Faults of the whole tree after some edges at any depth are bent into a ring, cut or doubled."""
+    t = _tree(spark, sf_dir).select("p_brand", "node", "parent")
+    bent = F.when(F.col("node") % 40 == 2, F.col("node") * 4 + 1).when(F.col("node") % 40 == 5, F.lit(-1)).otherwise(F.col("parent"))
+    return hierarchy.tree_errors(t.withColumn("parent", bent).unionByName(t.filter("node % 40 = 7").withColumn("parent", F.lit(1).cast("long"))), ["p_brand"])
+
+
 def compared_contracts(spark, sf_dir):
     """Orders' figures compared with what their lines say, by mode."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.round(F.sum("l_extendedprice"), 2).alias("total"), F.count(F.lit(1)).alias("n"))
@@ -279,10 +313,10 @@ def compared_contracts(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    last_order_lookup, first_order_lookup, ranked_supplier, prefix_binding, needle_documents, needle_documents_whole, spread_tokens, spread_tokens_whole, best_event, shared_parts, label_ledger, label_coverage, part_paths,
-    nations_apart, repeated_lines, repeats_in_order, ownership_difference, contested_places, agreed_claims, customer_verdicts, check_summary, finding_clusters, report_counters,
+    last_order_lookup, first_order_lookup, ranked_supplier, prefix_binding, needle_documents, needle_documents_whole, spread_tokens, spread_tokens_whole, best_event, shared_parts, shared_parts_whole, label_ledger, label_coverage, part_paths,
+    nations_apart, nations_apart_whole, repeated_lines, repeats_in_order, ownership_difference, contested_places, agreed_claims, customer_verdicts, customer_verdicts_whole, check_summary, finding_clusters, report_counters,
     stage_cascade, availability, owner_histogram, set_scores, language_scores, macro_scores, exact_orders, dominant_type, action_outcomes, inherited_size, rolled_up, leaf_counts,
-    settled_leaves, tree_faults, compared_contracts,
+    settled_leaves, settled_leaves_whole, tree_faults, tree_faults_whole, compared_contracts,
 )}
 
 _CHECKS = """c AS (SELECT o_custkey, o_orderkey, o_orderpriority, o_orderpriority < '3' AS blocking,

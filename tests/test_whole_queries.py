@@ -37,3 +37,24 @@ def test_spread_tokens_of_long_documents_and_later_words(spark, tmp_path):
 def test_needles_are_whole_items(spark, tmp_path):
     docs = [(1, "x one two three four y"), (2, "one two three five")]
     assert run(spark, tmp_path, "needle_documents_whole", benchmark=([(7, "one two three four")], "item_id long, text string"), documents=(docs, "doc_id long, text string")) == {(7, 1, 1)}
+
+
+def test_all_customers_orders_and_suppliers(spark, tmp_path):
+    tables = {
+        "customer": ([(1, 4), (601, 5)], "c_custkey long, c_nationkey int"),
+        "supplier": ([(601, 5), (2, 6)], "s_suppkey long, s_nationkey int"),
+        "orders": ([(2, 601, "P", "1"), (7, 601, "P", "1"), (10, 1, "F", "1")], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string"),
+        "lineitem": ([(2, 601), (7, 601), (7, 11), (2, 21)], "l_orderkey long, l_suppkey long"),
+    }
+    assert run(spark, tmp_path, "shared_parts_whole", **tables) == {(601, 2, 7, 1)}
+    assert run(spark, tmp_path, "nations_apart_whole") == {(4, "missing"), (6, "unexpected")}
+    assert run(spark, tmp_path, "bound_bundle_whole") == {("1", "undeclared"), ("601", "bound")}
+    assert run(spark, tmp_path, "customer_verdicts_whole") == {(1, "PASS"), (601, "FAIL")}
+
+
+def test_deep_nodes_of_trees(spark, tmp_path):
+    part = [("b", i, 2, 1.0) for i in range(1, 401)]
+    leaves = run(spark, tmp_path, "settled_leaves_whole", part=(part, "p_brand string, p_partkey long, p_size int, p_retailprice double"))
+    assert {leaf for _, leaf, _, _ in leaves} == set(range(201, 401)) and all(s is not None for _, _, s, _ in leaves)
+    faults = run(spark, tmp_path, "tree_faults_whole")
+    assert {("b", 82, "cycle"), ("b", 325, "unknown_parent"), ("b", 247, "several_parents")} <= faults
