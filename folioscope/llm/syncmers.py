@@ -4,26 +4,25 @@ A k-mer is taken where the least of its inner substrings of s bytes lies at
 one of its two edges.  Whether it is taken depends on its own bytes alone, so
 an edit moves or removes only the anchors that it touches.  Two texts are
 compared by the anchors that they share on common diagonals, that is at a
-common shift of position.  K-mers are read over the UTF-8 bytes, lower-cased over A-Z.
+common shift of position.  K-mers are read over the UTF-8 bytes, lower-cased
+over A-Z, at one scale for texts of any length; the start of a text is marked.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.llm.common import mix64, slices, source_bytes
 
-K, S = 24, 11
-#: The scale that short texts have besides, and the bytes under which a text is short.
-FINE, SHORT = (6, 3), 256
-#: Anchors whose hashes the fingerprint string shows, those with the smallest.
+K, S = 16, 7
+#: Anchors that the fingerprint string shows with place and hash, those with the smallest hashes; its digest stands for all.
 SHOWN = 32
 #: Input bytes of a run of documents.
 RUN_BYTES = 1 << 20
@@ -69,22 +68,34 @@ def _closed(x: np.ndarray, k: int, s: int) -> tuple[np.ndarray, np.ndarray]:
 def anchors(text: bytes, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of a text's closed syncmers.
 
-    Texts shorter than SHORT bytes have those of a finer scale besides.  A text
-    that has none at all has itself as its one anchor.
+    The start of a text is marked by k - 1 blanks of its own, so that a text of
+    any length has k-mers; those that reach into the mark have negative places.
+    A text without any anchor, such as the empty one, has itself as its one anchor.
     """
     data = _LOWER[np.frombuffer(text, np.uint8)]
-    x = data.astype(np.uint64) + np.uint64(1)
-    found = [_closed(x, *scale) for scale in ((k, s), *([FINE] if len(x) < SHORT else [])) if len(x) >= scale[0]]
-    if not sum(len(p) for p, _ in found):
-        whole = int.from_bytes(hashlib.sha256(data.tobytes()).digest()[:8], "little")
-        return np.zeros(1, np.int64), np.array([whole], np.uint64)
-    return found[0] if len(found) == 1 else tuple(map(np.concatenate, zip(*found)))
+    if len(data):
+        place, hashes = _closed(np.concatenate([np.zeros(k - 1, np.uint64), data.astype(np.uint64) + np.uint64(1)]), k, s)
+        if len(place):
+            return place - (k - 1), hashes
+    whole = int.from_bytes(hashlib.sha256(data.tobytes()).digest()[:8], "little")
+    return np.zeros(1, np.int64), np.array([whole], np.uint64)
 
 
-def fingerprint(hashes: np.ndarray) -> str:
-    """The number of anchors and the smallest of their hashes as hex."""
-    small = np.unique(hashes)[:SHOWN] >> np.uint64(32)
-    return f"{len(hashes):08x}" + "".join(f"{h:08x}" for h in small.tolist())
+def fingerprint(found: tuple[np.ndarray, np.ndarray]) -> str:
+    """The anchors as text: their number, a digest of all places and hashes, then ``place.hash`` of those with the smallest hashes.
+
+    Numbers are hex; a shown hash is the upper half of its 64 bits.  Two strings
+    are equal if and only if (but for chance) all anchors are, and what is shown
+    can be matched by position.
+    """
+    place, hashes = found
+    small = np.lexsort((place, hashes))[:SHOWN] if len(hashes) <= SHOWN else np.argpartition(hashes, SHOWN - 1)
+    if len(hashes) > SHOWN:
+        small = np.flatnonzero(hashes <= hashes[small[SHOWN - 1]])
+        small = small[np.lexsort((place[small], hashes[small]))][:SHOWN]
+    digest = hashlib.blake2b(place.astype("<i8").tobytes() + hashes.astype("<u8").tobytes(), digest_size=8).hexdigest()
+    shown = " ".join(f"{p:x}.{h >> 32:08x}" for p, h in zip(place[small].tolist(), hashes[small].tolist()))
+    return f"{len(hashes):x} {digest} {shown}"
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -134,7 +145,7 @@ def _compared(batches):
         other = edited(text, following)
         raw = other.encode()
         changed = anchors(raw)
-        return (doc_id, len(text), hashlib.sha256(raw).hexdigest(), fingerprint(own[1]), fingerprint(changed[1]), likeness(own, changed), likeness(own, nearest), len(own[1]))
+        return (doc_id, len(text), hashlib.sha256(raw).hexdigest(), fingerprint(own), fingerprint(changed), likeness(own, changed), likeness(own, nearest), len(own[1]))
 
     for batch in batches:
         for part in slices(batch, "text"):
@@ -150,46 +161,72 @@ def _compared(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
-def _place(spark: SparkSession, bounds: list):
-    """A function of the id: the number of bounds that are not above it, negative where it is one of them."""
-    shared = spark.sparkContext.broadcast(np.array(bounds))
-
-    @F.pandas_udf("int")
-    def place(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        out = np.zeros(len(ids), np.int32)
-        own = ids[known].to_numpy().astype(shared.value.dtype)
-        low, high = (np.searchsorted(shared.value, own, side) for side in ("left", "right"))
-        out[known] = np.where(high > low, -high, high)
-        return pd.Series(out)
-
-    return place
-
-
-def compare_with_next(docs: DataFrame, text="text", doc_id="doc_id", run_bytes: int = RUN_BYTES) -> DataFrame:
+class Bounds:
+    """Sorted (id, tie) pairs of rows that exist; ids in their own type, nulls first."""
+
+    def __init__(self, ids: pa.Array, ties: pa.Array):
+        self.ties = ties.to_pylist()
+        self.nulls = ids.null_count
+        known = ids.slice(self.nulls)
+        self.exact = pa.types.is_integer(ids.type) or pa.types.is_floating(ids.type)
+        self.ids = known.to_numpy(zero_copy_only=False) if self.exact else known.to_pylist()
+
+    def place(self, ids: pa.Array, ties: pa.Array) -> pa.Array:
+        """The number of bounds that are not above each row, negative where the row is one of them."""
+        low, high = np.zeros(len(ids), np.int64), np.full(len(ids), self.nulls)
+        known = ids.is_valid().to_numpy(zero_copy_only=False)
+        own = ids.drop_null()
+        if self.exact:
+            own = own.to_numpy(zero_copy_only=False)
+            low[known], high[known] = (self.nulls + np.searchsorted(self.ids, own, side) for side in ("left", "right"))
+        else:
+            own = own.to_pylist()
+            low[known], high[known] = (self.nulls + np.fromiter((find(self.ids, x) for x in own), np.int64, len(own)) for find in (bisect_left, bisect_right))
+        out = high.copy()
+        for i in np.flatnonzero(high > low):
+            a, tie = int(low[i]), ties[i].as_py()
+            at = bisect_right(self.ties, tie, a, int(high[i]))
+            out[i] = -at if at > a and self.ties[at - 1] == tie else at
+        return pa.array(out, pa.int32())
+
+
+def _bounds(keys: DataFrame, runs: int) -> pa.Table:
+    """The first (id, tie) of every range of rows but the first: rows that exist, in their own types."""
+    first = F.min(F.struct("doc_id", "tie"))
+    ranged = keys.repartitionByRange(runs, F.col("doc_id").asc_nulls_first(), "tie")
+    firsts = ranged.groupBy(F.spark_partition_id().alias("at")).agg(first.alias("first")).select("first.*").distinct()
+    return firsts.orderBy(F.col("doc_id").asc_nulls_first(), "tie").toArrow().combine_chunks().slice(1)
+
+
+def compare_with_next(docs: DataFrame, text="text", doc_id="doc_id", run_bytes: int = RUN_BYTES, most_runs: int = MOST_RUNS) -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness, in order of the id.
 
-    The ids are cut into runs of about ``run_bytes`` of input at ids that exist,
-    so that the text after a run is known: the rows with the next run's first
-    id go to both runs, those ahead of the run's own rows last.  Each text is
-    shuffled once.  Rows that repeat an id follow one another by hash of the text, null ids
-    come first; a null text is empty; a single document is its own next one.
+    Rows are ordered by (id, hash of the text), null ids first, and cut into runs of about
+    ``run_bytes`` of input at rows that exist, so that the text after a run is
+    known: the rows equal to the next run's first go to both runs, those ahead
+    of the run's own rows last.  Ids may be of any type that Spark orders but
+    structs and arrays, and are compared in that type.  Each text is shuffled once.
+    Rows that repeat an id follow one another by hash of the text, and may fall
+    into several runs unless their texts are the same too; a null text is empty;
+    a single document is its own next one; an empty table gives no rows.
     """
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("tie", F.xxhash64("text"))
-    runs = max(1, min(MOST_RUNS, -(-source_bytes(docs, text) // run_bytes)))
-    ids = docs.select(F.col(doc_id).alias("doc_id"))
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / runs for i in range(1, runs)], 20 * runs), F.min("doc_id")).first() if runs > 1 else [[], ids.agg(F.min("doc_id")).first()[0]]
-    bounds = sorted({x for x in cuts[0] or [] if x is not None and x != cuts[1]})
+    runs = max(1, min(most_runs, -(-source_bytes(docs, text) // run_bytes)))
     head = chosen.orderBy(F.col("doc_id").asc_nulls_first(), "tie").limit(1)
-    if bounds:
-        rows = chosen.withColumn("at", _place(docs.sparkSession, bounds)("doc_id")).withColumn("run", F.expr("abs(at)"))
-        places = F.when(F.col("at") < 0, F.array(F.struct(F.col("run").alias("run"), F.lit(False).alias("ahead")), F.struct((F.col("run") - 1).alias("run"), F.lit(True).alias("ahead"))))
-        places = places.otherwise(F.array(F.struct(F.col("run").alias("run"), F.lit(False).alias("ahead"))))
-        rows = rows.withColumn("place", F.explode(places)).select("place.run", "place.ahead", "doc_id", "text", "tie")
+    cuts = _bounds(chosen.select("doc_id", "tie"), runs) if runs > 1 else None
+    n = cuts.num_rows if cuts else 0
+    own = F.struct(F.col("run").alias("run"), F.lit(False).alias("ahead"))
+    if n:
+        shared = docs.sparkSession.sparkContext.broadcast(Bounds(*(c.chunk(0) for c in cuts.columns)))
+        place = F.arrow_udf(lambda ids, ties: shared.value.place(ids, ties), "int")
+        rows = chosen.withColumn("at", place("doc_id", "tie")).withColumn("run", F.expr("abs(at)"))
+        before = F.struct((F.col("run") - 1).alias("run"), F.lit(True).alias("ahead"))
+        rows = rows.withColumn("place", F.explode(F.when(F.col("at") < 0, F.array(own, before)).otherwise(F.array(own))))
     else:
-        rows = chosen.select(F.lit(0).alias("run"), F.lit(False).alias("ahead"), "doc_id", "text", "tie")
-    last = head.select(F.lit(len(bounds)).alias("run"), F.lit(True).alias("ahead"), "doc_id", "text", "tie")
-    rows = rows.unionByName(last).repartition(len(bounds) // TASK_RUNS + 1, "run").sortWithinPartitions("run", "ahead", F.col("doc_id").asc_nulls_first(), "tie")
+        rows = chosen.withColumn("run", F.lit(0)).withColumn("place", own)
+    rows = rows.select("place.run", "place.ahead", "doc_id", "text", "tie")
+    last = head.select(F.lit(n).alias("run"), F.lit(True).alias("ahead"), "doc_id", "text", "tie")
+    rows = rows.unionByName(last).repartition(n // TASK_RUNS + 1, "run").sortWithinPartitions("run", "ahead", F.col("doc_id").asc_nulls_first(), "tie")
     schema = T.StructType([chosen.schema["doc_id"]]).add("n_chars", "long").add("edited_sha256", "string").add("fingerprint", "string").add("edited_fingerprint", "string")
     schema = schema.add("near_edited", "double").add("near_next", "double").add("n_anchors", "long")
     return rows.select("run", "ahead", "doc_id", "text").mapInArrow(_compared, schema)
