@@ -8,8 +8,8 @@ apart from training a temperature is fitted, so that confidences are the shares
 of right predictions; texts with a confidence little above chance are rejected.
 
 The model is fitted on a bounded sample: at most SAMPLE texts, an equal share
-for each language, taken by hash of the id.  Its size does not depend on the
-corpus (BUCKETS x DIMENSIONS and one column per language), so it is broadcast.
+for each language, taken by hash.  Its size does not depend on the corpus
+(BUCKETS x DIMENSIONS and one column per language), so it is broadcast.
 """
 
 from __future__ import annotations
@@ -18,12 +18,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from folioscope.llm.common import crc_mod, free_name, mix64, release_memory, slices
+from folioscope.llm.common import crc_mod, free_name, mix64, release_memory, scratch_path, slices
 
 SAMPLE = 4000
-#: Parts in which a language's smallest hashes are looked for.
-PARTS = 64
 BUCKETS = 1 << 14
 DIMENSIONS = 16
 ORDERS = (2, 3, 4)
@@ -168,26 +167,37 @@ def train(bags: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mode
     return Model(langs, scores, bias.astype(np.float64), float(grid[int(np.argmin(loss))]))
 
 
+def sampled(labelled: DataFrame, text="text", lang="lang", doc_id="doc_id", sample: int = SAMPLE) -> DataFrame:
+    """(lang, h, text) of ``sample`` distinct rows at most, kept in the shared folder.
+
+    Each language gives an equal share at most, the rows with the smallest
+    hashes h of id and text; rows that are the same in id, text and language
+    count once.  Of more than ``sample`` languages those with most rows give one
+    row each.  A language's share is first cut off its hashes by the count of its
+    rows, with some room, so that what is ranked and written stays bounded
+    however large or hot a language is.
+    """
+    spark = labelled.sparkSession
+    rows = labelled.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(F.lit(17), F.col(doc_id), F.col(text)).alias("h"), F.col(text).alias("text"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()
+    share = max(1, sample // max(len(counts), 1))
+    room = share + 4 * share**0.5 + 8
+    cuts = [(r["lang"], min((1 << 63) - 1, int(room / r["n"] * 2.0**64) - (1 << 63))) for r in counts]
+    limits = spark.createDataFrame(cuts, T.StructType([rows.schema["lang"], T.StructField("cut", T.LongType())]))
+    path = scratch_path(spark, "lang-sample")
+    rows.join(F.broadcast(limits), "lang").filter("h <= cut").dropDuplicates(["lang", "h"]).drop("cut").write.parquet(path)
+    near = spark.read.parquet(path)
+    first = near.select("lang", "h").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("n") <= share)
+    return near.join(F.broadcast(first.drop("n")), ["lang", "h"])
+
+
 def fit(labelled: DataFrame, text="text", lang="lang", doc_id="doc_id", sample: int = SAMPLE) -> Model:
     """A model from the labelled rows given: those with a language, ``sample`` at most.
 
-    Each language gives an equal share at most, those with the smallest hashes
-    of their ids.  The languages' names come to the driver, and the sample's
-    bags of subwords.
+    The sample's bags of subwords come to the driver; see :func:`sampled`.  Null
+    texts teach nothing, and an empty table gives a model that knows no language.
     """
-    rows = labelled.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(F.lit(17), F.col(doc_id)).alias("h"), F.col(text).alias("text"))
-    count = rows.select("lang").distinct().count()
-    if not count:
-        return train([])
-    share = max(1, sample // count)
-    # the smallest of each part of a language first, so that no task sees more of it than a bound
-    small, parts = rows.select("lang", "h", F.pmod("h", F.lit(PARTS)).alias("part")), (["lang", "part"], ["lang"])
-    for keys in parts:
-        small = small.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).filter(F.col("n") <= share)
-    cuts = small.groupBy("lang").agg(F.max("h").alias("cut"))
-    limits = {r["lang"]: r["cut"] for r in cuts.collect()}
-    keep = F.coalesce(*[F.when(F.col("lang") == k, F.col("h") <= v) for k, v in sorted(limits.items())])
-    bags = rows.filter(keep).select("lang", "text").mapInArrow(_bags, "lang string, buckets binary, counts binary").collect()
+    bags = sampled(labelled, text, lang, doc_id, sample).select("lang", "text").mapInArrow(_bags, "lang string, buckets binary, counts binary").collect()
     unpacked = [(r[0], np.frombuffer(r[1], "<i4"), np.frombuffer(r[2], "<f4")) for r in bags]
     return train(sorted(unpacked, key=lambda b: (b[0], b[1].tobytes(), b[2].tobytes())))
 
@@ -230,7 +240,7 @@ def accepted(docs: DataFrame, model: Model, text="text") -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predicted language of every document, learnt from those that are not held out."""
+    """Predicted language of every document, learnt from those that are not held out; `und` without a letter."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     docs = docs.withColumn("held_out", crc_mod("doc_id") == 0)
     model = fit(docs.filter(~F.col("held_out")))

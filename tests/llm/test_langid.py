@@ -55,3 +55,29 @@ def test_awkward_and_empty(spark):
     none = langid.fit(empty(spark))
     assert {r["lang_pred"] for r in langid.identify(docs, none).collect()} == {"und"}
     assert langid.identify(empty(spark), model).count() == 0
+
+
+def test_the_sample_never_grows_beyond_its_bound(spark):
+    """More languages than the sample has rows, a language with most rows, null and repeated ids, rows that are the same."""
+    many = spark.range(9000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL ELSE id % 50 END AS doc_id", "concat('wort ', id % 4000) AS text", "CASE WHEN id % 2 = 0 THEN 'big' ELSE concat('l', id % 3001) END AS lang")
+    assert langid.sampled(many, sample=100).count() == 100
+    same = spark.range(5000).selectExpr("CAST(1 AS LONG) AS doc_id", "'ein Text' AS text", "'de' AS lang").unionByName(spark.range(700).selectExpr("id AS doc_id", "concat('a text ', id) AS text", "'en' AS lang"))
+    got = langid.sampled(same, sample=400).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in got} == {"de": 1, "en": 200}
+    few = spark.range(7).selectExpr("id AS doc_id", "'x' AS text", "'en' AS lang")
+    assert langid.sampled(few, sample=400).count() == 7
+
+
+def test_predictions_against_plain_averages(spark):
+    rows = [(i, text(x, i, 1 + i % 9) + (" 12 Éa" if i % 7 == 0 else ""), x) for i in range(60) for x in SYLLABLES]
+    docs = spark.createDataFrame([(k, *r[1:]) for k, r in enumerate(rows)], "doc_id long, text string, lang string")
+    model = langid.fit(docs, sample=90)
+    for r in langid.identify(docs, model).collect():
+        # one subword after another, each by itself
+        columns = [model.scores[:, b].astype(float) for b in langid.subwords([r["text"]])[0]]
+        mean = [sum(c[k] for c in columns) / len(columns) + model.bias[k] for k in range(len(model.langs))]
+        e = [2.718281828459045 ** ((m - max(mean)) / model.temperature) for m in mean]
+        best = max(range(len(e)), key=e.__getitem__)
+        assert r["lang_pred"] == model.langs[best] and abs(r["score"] - e[best] / sum(e)) < 1e-6
+        assert r["rejected"] == (r["score"] < model.least)
+
