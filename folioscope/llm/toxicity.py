@@ -9,10 +9,11 @@ grade above 0.
 
 Labels say toxic or not.  Severity is graded within the toxic ones by how many
 of the words that go with that label they hold, in thirds: grades 0 to 3.  Which
-do is told by a likelihood ratio test, which has no quarrel with words that no
-clean text holds.  Grades given as such are taken as they are.  The model is fitted on a bounded sample
-of labelled rows, SAMPLE at most, half of them toxic where there are so many;
-weights bring the sample back to the labels' proportions.
+words do is told by a likelihood ratio test on the other half of the sample, so
+that no text is graded by what its own label says.  Grades given as such are
+taken as they are.  The model is fitted on a bounded sample of labelled rows,
+SAMPLE at most, half of them toxic where there are so many; weights bring the
+sample back to the labels' proportions.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import byte_rows, free_name, slices
+from folioscope.llm.common import byte_rows, free_name, scratch_path, slices
 from folioscope.llm.licenses import words_of
 
 SAMPLE = 20_000
@@ -35,12 +36,14 @@ SAMPLE = 20_000
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Texts that hold a word or beginning that is a feature, at least.
 LEAST_TEXTS = 5
-#: How far from chance (signed root of the likelihood ratio) a feature is that grades the toxic texts.
-LEAST_Z = 5.0
+#: How far from chance (signed root of the likelihood ratio) a feature of one half is that grades the toxic texts of the other.
+LEAST_Z = 4.0
 #: Entries that are added up at once, so that they stay in the cache, and threads that do so.
 RUN = 1 << 18
 THREADS = 4
-STEPS = 800
+STEPS = 200
+#: What a step must still gain, as a share of the loss.
+LEAST_GAIN = 1e-6
 #: Words whose features a worker remembers, and counts that a task gathers before it sends them on.
 MEMORY = 500_000
 RIDGE = 2e-5
@@ -135,20 +138,46 @@ def likelihood_root(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clea
     return np.sign(toxic * n_clean - clean * n_toxic) * np.sqrt(np.maximum(2 * ratio, 0))
 
 
-def fit_ordinal(rows: np.ndarray, features: np.ndarray, values: np.ndarray, grades: np.ndarray, sample_weight: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds by gradient descent with adaptive steps, on entries (row, feature, value)."""
-    top = int(grades.max(initial=0))
-    share = np.array([sample_weight[grades <= j].sum() for j in range(top)]) / max(sample_weight.sum(), 1e-9)
-    if not top:
-        return np.zeros(width), np.zeros(0)
-    start = np.log(np.clip(share, 1e-4, 1 - 1e-4) / np.clip(1 - share, 1e-4, 1))
-    # the first threshold, then logarithms of the gaps
-    theta = np.concatenate([np.zeros(width), start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    scale = sample_weight / sample_weight.sum()
-    pool = ThreadPoolExecutor(THREADS)
+def minimised(f, x: np.ndarray, steps: int, memory: int = 10) -> np.ndarray:
+    """The least of a smooth function that gives value and gradient, by limited-memory quasi-Newton steps."""
+    value, gradient = f(x)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        way, parts = gradient.copy(), []
+        for s, y, r in reversed(past):
+            parts.append(r * (s @ way))
+            way -= parts[-1] * y
+        way *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / max(np.abs(gradient).max(), 1e-12)
+        for (s, y, r), part in zip(past, reversed(parts)):
+            way += s * (part - r * (y @ way))
+        slope, step = gradient @ way, 1.0
+        while True:
+            there = x - step * way
+            low, steep = f(there)
+            if low <= value - 1e-4 * step * slope or step < 1e-9:
+                break
+            step /= 2
+        gain = value - low
+        if gain <= 0:
+            break
+        s, y = there - x, steep - gradient
+        if s @ y > 1e-14:
+            past = [*past, (s, y, 1 / (s @ y))][-memory:]
+        x, value, gradient = there, low, steep
+        if gain < LEAST_GAIN * abs(value):
+            break
+    return x
+
+
+def ordinal_loss(rows, features, values, grades, sample_weight, width: int, pool: ThreadPoolExecutor):
+    """The function to be least: minus the mean log likelihood plus the ridge, with its gradient.
+
+    Its argument holds the weights, the first threshold, and the logarithms of the gaps between thresholds.
+    """
+    top, scale = int(grades.max(initial=0)), sample_weight / sample_weight.sum()
     scores, slopes = _adder(rows, features, values, len(grades), pool), _adder(features, rows, values, width, pool)
-    for step in range(1, STEPS + 1):
+
+    def loss(theta):
         w, gaps = theta[:width], np.exp(theta[width + 1 :])
         cuts = theta[width] + np.concatenate([[0.0], np.cumsum(gaps)])
         z = scores(w)
@@ -156,32 +185,46 @@ def fit_ordinal(rows: np.ndarray, features: np.ndarray, values: np.ndarray, grad
         high, low = _sigmoid(full[grades + 1] - z), _sigmoid(full[grades] - z)
         p = np.maximum(high - low, 1e-12)
         up, down = scale * high * (1 - high) / p, scale * low * (1 - low) / p
-        dz = up - down  # of minus the log likelihood
         dcut = np.bincount(grades, -up, top + 1)[:top] + np.bincount(grades, down, top + 1)[1:]
         tail = np.cumsum(dcut[::-1])[::-1]
-        gradient = np.concatenate([slopes(dz) + RIDGE * w, tail[:1], tail[1:] * gaps])
-        m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
-        theta = theta - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-    pool.shutdown()
+        return -scale @ np.log(p) + RIDGE / 2 * (w @ w), np.concatenate([slopes(up - down) + RIDGE * w, tail[:1], tail[1:] * gaps])
+
+    return loss
+
+
+def fit_ordinal(rows: np.ndarray, features: np.ndarray, values: np.ndarray, grades: np.ndarray, sample_weight: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds of greatest penalised likelihood, from entries (row, feature, value)."""
+    top = int(grades.max(initial=0))
+    if not top:
+        return np.zeros(width), np.zeros(0)
+    share = np.array([sample_weight[grades <= j].sum() for j in range(top)]) / max(sample_weight.sum(), 1e-9)
+    start = np.log(np.clip(share, 1e-4, 1 - 1e-4) / np.clip(1 - share, 1e-4, 1))
+    theta = np.concatenate([np.zeros(width), start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
+    with ThreadPoolExecutor(THREADS) as pool:
+        theta = minimised(ordinal_loss(rows, features, values, grades, sample_weight, width, pool), theta, STEPS)
     return theta[:width], theta[width] + np.concatenate([[0.0], np.cumsum(np.exp(theta[width + 1 :]))])
 
 
+#: Columns of the texts that hold a feature, by half of the sample and label.
+_HELD = ("clean_0", "toxic_0", "clean_1", "toxic_1")
+
+
 def _word_counts(batches):
-    """(grade, text) to (feature, toxic texts, clean texts), of some texts of a task at a time."""
-    toxic, clean = Counter(), Counter()
+    """(grade, half, text) to a feature's clean and toxic texts in both halves, of some texts of a task at a time."""
+    held = [Counter() for _ in _HELD]
 
     def flush():
-        names = list({*toxic, *clean})
-        columns = [pa.array(names, pa.string()), pa.array([toxic[f] for f in names], pa.int64()), pa.array([clean[f] for f in names], pa.int64())]
-        toxic.clear()
-        clean.clear()
-        return pa.RecordBatch.from_arrays(columns, ["feature", "toxic", "clean"])
+        names = list(set().union(*held))
+        columns = [pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in held)]
+        for c in held:
+            c.clear()
+        return pa.RecordBatch.from_arrays(columns, ["feature", *_HELD])
 
     for batch in batches:
         for part in slices(batch, "text"):
-            for grade, text in zip(part.column("grade").to_pylist(), byte_rows(part.column("text"))):
-                (toxic if grade else clean).update({f for word in set(words_of(text)) for f in features_of(word)})
-                if len(toxic) + len(clean) > MEMORY:
+            for grade, half, text in zip(part.column("grade").to_pylist(), part.column("half").to_pylist(), byte_rows(part.column("text"))):
+                held[2 * half + (grade > 0)].update({f for word in set(words_of(text)) for f in features_of(word)})
+                if sum(map(len, held)) > MEMORY:
                     yield flush()
     yield flush()
 
@@ -204,46 +247,70 @@ def _bags(batches, shared):
     for batch in batches:
         for part in slices(batch, "text"):
             bags = [shared.value.bag(x) for x in byte_rows(part.column("text"))]
-            yield pa.RecordBatch.from_arrays([part.column("grade"), pa.array([len(f) for f, _ in bags], pa.int32()), pa.array([_pack(*b) for b in bags], pa.binary())], ["grade", "n", "bag"])
+            yield pa.RecordBatch.from_arrays([part.column("grade"), part.column("half"), pa.array([len(f) for f, _ in bags], pa.int32()), pa.array([_pack(*b) for b in bags], pa.binary())], ["grade", "half", "n", "bag"])
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, text="text", doc_id="doc_id", grade="toxic", sample: int = SAMPLE) -> tuple[DataFrame, dict[bool, float]]:
+    """(grade, half, text) of ``sample`` distinct rows at most, kept in the shared folder, and what a clean and a toxic row weigh.
+
+    Labels that are the same in id and grade count once, and so do documents that
+    are the same in id and text; a document with two grades counts with both.
+    Null labels, and labels of documents that are not there, are left out.  To
+    the driver come ids and hashes of the sample.
+    """
+    spark = docs.sparkSession
+    known = labels.select(F.col(doc_id).alias("label_id"), F.col(grade).cast("int").alias("grade")).filter("grade IS NOT NULL AND label_id IS NOT NULL").distinct()
+    bad = F.col("grade") > 0
+    sizes = {r["bad"]: r["n"] for r in known.groupBy(bad.alias("bad")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    take = {b: min(n, max(sample // 2, sample - sizes.get(not b, 0))) for b, n in sizes.items()}
+    picks = [known.filter(bad == F.lit(b)).orderBy(F.xxhash64(F.lit(23), "label_id"), "label_id", "grade").limit(n) for b, n in sorted(take.items())]
+    chosen = spark.createDataFrame([tuple(r) for p in picks for r in p.collect()], known.schema)
+    rows = docs.select(F.col(doc_id).alias("label_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "label_id")
+    rows = rows.withColumn("h", F.xxhash64(F.lit(29), "label_id", "grade", "text")).dropDuplicates(["label_id", "grade", "h"])
+    path = scratch_path(spark, "toxicity-sample")
+    rows.write.parquet(path)
+    rows = spark.read.parquet(path)
+    n = {r["bad"]: r["n"] for r in rows.groupBy(bad.alias("bad")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    for b in n:
+        if n[b] > take[b]:  # ids that stand with several texts
+            last = rows.filter(bad == F.lit(b)).select("h").orderBy("h").limit(take[b]).agg(F.max("h")).first()[0]
+            rows, n[b] = rows.filter((bad != F.lit(b)) | (F.col("h") <= last)), take[b]
+    return rows.select("grade", F.expr("CAST(h & 1 AS INT)").alias("half"), "text"), {b: sizes[b] / n[b] for b in n}
 
 
 def fit(docs: DataFrame, labels: DataFrame, text="text", doc_id="doc_id", grade="toxic", sample: int = SAMPLE) -> Model:
     """A model of the labelled documents.
 
     ``grade`` is 0 for clean; if no grade is above 1, the toxic are graded by
-    their words.  Null labels, and labels of documents that are not there, are
-    left out; repeated labels count as often as they stand.  To the driver come
-    the sample's ids, its features and their counts, packed.
+    their words.  See :func:`labelled_sample` for the rows that count.  To the driver come
+    the sample's features and their counts, packed.
     """
     spark = docs.sparkSession
-    known = labels.select(F.col(doc_id).alias("label_id"), F.col(grade).cast("int").alias("grade"), F.xxhash64(F.lit(23), F.col(doc_id)).alias("h")).filter("grade IS NOT NULL AND label_id IS NOT NULL")
-    sizes = {bool(r["bad"]): r["n"] for r in known.groupBy((F.col("grade") > 0).alias("bad")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    take = {bad: min(n, max(sample // 2, sample - sizes.get(not bad, 0))) for bad, n in sizes.items()}
-    halves = [known.filter((F.col("grade") > 0) == F.lit(bad)).orderBy("h", "label_id", "grade").limit(n) for bad, n in sorted(take.items())]
-    if not halves:
+    rows, weigh = labelled_sample(docs, labels, text, doc_id, grade, sample)
+    if not weigh:
         return Model({}, np.zeros(0), np.zeros(0))
-    picked = [(r[0], r[1]) for half in halves for r in half.select("label_id", "grade").collect()]
-    chosen = spark.createDataFrame(picked, known.select("label_id", "grade").schema)
-    rows = docs.select(F.col(doc_id).alias("label_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "label_id").select("grade", "text")
-    counts = rows.mapInArrow(_word_counts, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    n = {bad: float(take.get(bad, 0)) for bad in (False, True)}
-    best = counts.filter(F.col("toxic") + F.col("clean") >= LEAST_TEXTS).toArrow().sort_by("feature")
+    counts = rows.mapInArrow(_word_counts, "feature string, " + ", ".join(f"{c} long" for c in _HELD)).groupBy("feature").agg(*[F.sum(c).alias(c) for c in _HELD])
+    best = counts.filter(sum(F.col(c) for c in _HELD) >= LEAST_TEXTS).toArrow().sort_by("feature")
     model = Model({f: i for i, f in enumerate(best.column("feature").to_pylist())}, np.zeros(best.num_rows), np.zeros(0))
     shared = spark.sparkContext.broadcast(model)
-    bags = rows.mapInArrow(lambda batches: _bags(batches, shared), "grade int, n int, bag binary").toArrow()
-    bags = sorted(zip(*(bags.column(c).to_pylist() for c in ("grade", "bag", "n"))))
-    grades, sizes_of = np.array([g for g, _, _ in bags], np.int64), np.array([k for _, _, k in bags], np.int64)
+    bags = rows.mapInArrow(lambda batches: _bags(batches, shared), "grade int, half int, n int, bag binary").toArrow()
+    bags = sorted(zip(*(bags.column(c).to_pylist() for c in ("grade", "bag", "half", "n"))))
+    grades, halves, sizes_of = (np.array([b[i] for b in bags], np.int64) for i in (0, 2, 3))
     row = np.repeat(np.arange(len(bags), dtype=np.int32), sizes_of)
     feature, value, hits = np.empty(len(row), np.int32), np.empty(len(row), np.float32), np.zeros(len(bags))
-    telling = likelihood_root(*(best.column(c).to_numpy().astype(float) for c in ("toxic", "clean")), n[True], n[False]) >= LEAST_Z
-    for i, (end, (_, bag, k)) in enumerate(zip(np.cumsum(sizes_of), bags)):
+    held = [best.column(c).to_numpy().astype(float) for c in _HELD]
+    texts = [float(((halves == i // 2) & ((grades > 0) == bool(i % 2))).sum()) for i in range(4)]
+    # what tells in one half grades the other
+    telling = [likelihood_root(held[2 * (1 - half) + 1], held[2 * (1 - half)], texts[2 * (1 - half) + 1], texts[2 * (1 - half)]) >= LEAST_Z for half in (0, 1)]
+    for i, (end, (_, bag, half, k)) in enumerate(zip(np.cumsum(sizes_of), bags)):
         own, times = _unpack(bag)
-        feature[end - k : end], value[end - k : end], hits[i] = own, np.log1p(times), times[telling[own]].sum()
+        feature[end - k : end], value[end - k : end], hits[i] = own, np.log1p(times), times[telling[half][own]].sum()
     del bags
+    weight = np.where(grades > 0, weigh.get(True, 1.0), weigh.get(False, 1.0))
     if grades.max(initial=0) == 1:
         cuts = np.quantile(hits[grades == 1], [1 / 3, 2 / 3])
         grades = np.where(grades == 1, 1 + (hits[:, None] > np.unique(cuts)[None, :]).sum(axis=1), 0)
-    weight = np.where(grades > 0, sizes.get(True, 0) / max(n[True], 1), sizes.get(False, 0) / max(n[False], 1))
+        grades = np.unique(grades, return_inverse=True)[1] if (grades == 0).any() else grades
     model.weights, model.thresholds = fit_ordinal(row, feature, value, grades, weight, best.num_rows)
     return model
 
@@ -270,7 +337,7 @@ def grade_toxicity(docs: DataFrame, model: Model, text="text") -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected severity, likeliest grade and toxicity of all documents."""
+    """Expected severity, likeliest grade and toxicity of all documents; null and empty texts get the prior."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return grade_toxicity(docs, model).drop("text")

@@ -75,3 +75,64 @@ def test_words_of_toxic_texts_alone_are_learnt_from_small_tables(spark):
 def test_likelihood_root():
     root = toxicity.likelihood_root(np.array([12.0, 51.0, 0.0, 0.0]), np.array([0.0, 348.0, 40.0, 0.0]), 51.0, 348.0)
     assert root[0] > 5 and abs(root[1]) < 1e-6 and root[2] < 0 and root[3] == 0
+
+
+def test_repeated_rows_change_nothing(spark):
+    docs, labels = table(spark, 240)
+    once = toxicity.fit(docs, labels)
+    ten = docs
+    for _ in range(9):
+        ten = ten.unionByName(docs)
+    again = toxicity.fit(ten, labels.unionByName(labels))
+    assert once.features == again.features and np.allclose(once.weights, again.weights) and np.allclose(once.thresholds, again.thresholds)
+    assert all(once.weights[once.features[w]] > 0 for w in BAD)
+
+
+def test_the_sample_is_bounded_where_one_id_has_many_texts(spark):
+    docs = spark.range(3000).selectExpr("id % 3 AS doc_id", "concat('text ', id) AS text")
+    labels = spark.createDataFrame([(0, 0), (1, 1), (2, 1), (2, 0)], "doc_id long, toxic int")
+    rows, weigh = toxicity.labelled_sample(docs, labels, sample=4)
+    assert rows.count() <= 4 and set(weigh) == {False, True}
+
+
+def test_loss_and_gradient_against_plain_sums():
+    rng = np.random.default_rng(2)
+    n, width = 40, 5
+    rows, cols = np.nonzero(rng.integers(0, 2, (n, width)))
+    values, grades, weight = rng.random(len(rows)).astype(np.float32), rng.integers(0, 4, n), rng.random(n) + 0.5
+    theta = np.concatenate([rng.normal(0, 1, width), [-1.0], rng.normal(0, 0.3, 2)])
+    with toxicity.ThreadPoolExecutor(2) as pool:
+        loss = toxicity.ordinal_loss(rows, cols, values, grades, weight, width, pool)
+
+        def plain(x):
+            cuts = [x[width], x[width] + np.exp(x[width + 1]), x[width] + np.exp(x[width + 1]) + np.exp(x[width + 2])]
+            total = 0.0
+            for i in range(n):
+                z = sum(float(v) * x[f] for r, f, v in zip(rows, cols, values) if r == i)
+                below = [0.0, *(1 / (1 + np.exp(-(c - z))) for c in cuts), 1.0]
+                total -= weight[i] / weight.sum() * np.log(below[grades[i] + 1] - below[grades[i]])
+            return total + toxicity.RIDGE / 2 * sum(x[:width] ** 2)
+
+        value, gradient = loss(theta)
+        assert abs(value - plain(theta)) < 1e-6
+        for k in range(len(theta)):
+            step = np.zeros(len(theta))
+            step[k] = 1e-5
+            assert abs((plain(theta + step) - plain(theta - step)) / 2e-5 - gradient[k]) < 1e-4
+        best = toxicity.minimised(loss, theta, 500)
+        assert np.abs(loss(best)[1]).max() < 2e-3 and all(loss(best)[0] <= loss(best + rng.normal(0, 0.05, len(best)))[0] for _ in range(20))
+
+
+def test_grades_against_plain_products(spark):
+    docs, labels = table(spark, 200)
+    model = toxicity.fit(docs, labels)
+    for r in toxicity.grade_toxicity(docs, model).collect():
+        counts = {}
+        for word in r["text"].split():
+            for f in [word, *(word[:n] + "-" for n in toxicity.BEGINNINGS if len(word) > n)]:
+                counts[f] = counts.get(f, 0) + 1
+        z = sum(model.weights[model.features[f]] * np.log1p(n) for f, n in counts.items() if f in model.features)
+        below = [0.0, *(1 / (1 + np.exp(-(c - z))) for c in model.thresholds), 1.0]
+        p = np.diff(below)
+        assert abs(r["severity"] - sum(k * x for k, x in enumerate(p))) < 1e-6 and abs(r["p_toxic"] - (1 - p[0])) < 1e-6
+        assert r["toxic"] == (r["p_toxic"] >= toxicity.FLAG) and r["grade"] == int(np.argmax(p))
