@@ -5,7 +5,8 @@ They are prefix-summed over the documents of the source, one random offset is
 added, and a document is emitted once for every integer that the running sum
 crosses.  The running sum is a row number times a constant, so a source is cut
 into (size class, salt) buckets: rows are numbered inside a bucket and the
-bucket's start comes from a prefix over bucket counts.  No task holds more of
+bucket's start comes from a prefix over bucket counts.  Salts go by id and text,
+so that rows without an id are spread like others.  No task holds more of
 a source than one bucket, however hot the source is.  Since buckets go by
 size, the sample is also spread evenly over short and long documents.
 """
@@ -69,7 +70,7 @@ def mix_plan(docs: DataFrame, text="text", doc_id="doc_id", source="source", wei
     key = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))
     id_text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     rows = docs.withColumn(names["size"], _word_count(F.col(text)))
-    rows = rows.withColumns({k: key, c: F.length(F.bin(F.col(names["size"]))), s: F.substring(F.md5(id_text), 1, 2), h: F.xxhash64(F.col(text))})
+    rows = rows.withColumns({k: key, c: F.length(F.bin(F.col(names["size"]))), s: F.substring(F.md5(F.concat(id_text, F.lit(" "), F.coalesce(F.col(text), F.lit("")))), 1, 2), h: F.xxhash64(F.col(text))})
     counts = rows.groupBy(F.col(k).alias("skey"), F.col(c).alias("class"), F.col(s).alias("salt")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(names["size"]).alias("words"), F.first(F.col(source)).alias("source")
     )
@@ -103,7 +104,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes, targets and taken words of all documents."""
+    """Sizes, targets and taken words of all documents; null texts have size 0, null sources are one source."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     plan = mix_plan(docs)
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -112,7 +113,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = """
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
-         coalesce('s' || source, 'n') AS skey, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 2) AS salt
+         coalesce('s' || source, 'n') AS skey, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || coalesce(text, '')), 1, 2) AS salt
   FROM documents),
 c AS (SELECT *, length(bin(size)) AS class FROM d),
 src AS (SELECT skey, any_value(source) AS source, sum(size) AS source_size FROM d GROUP BY skey),

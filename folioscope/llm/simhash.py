@@ -232,19 +232,20 @@ def deduplicated(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
     Ties of the id go to the smaller hash of the text, and of rows that are
     equal in both one stays.
     """
-    hashed = F.xxhash64(F.col(text))
-    prints = checkpointed(fingerprints(docs, text, doc_id, keep=[hashed]))
-    first = Window.partitionBy("root").orderBy("keep_0")
+    hashed, named = F.xxhash64(F.col(text)), F.xxhash64(F.lit(31), F.col(doc_id))
+    prints = checkpointed(fingerprints(docs, text, doc_id, keep=[hashed, named]))
+    first = Window.partitionBy("root").orderBy("keep_0", "keep_1")
     known = components(prints).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).withColumn("n", F.row_number().over(first))
-    known = known.filter("n = 1").select(F.col("doc_id").alias("kept_id"), F.col("keep_0").alias("kept_hash"))
-    h, n = free_name(docs, "text_hash"), free_name(docs, "row_no")
-    rows = docs.withColumn(h, hashed)
-    rows = rows.join(known, (F.col(h) == F.col("kept_hash")) & F.col(doc_id).eqNullSafe(F.col("kept_id")), "left_semi")
-    again = Window.partitionBy(F.col(h), F.col(doc_id)).orderBy(F.lit(0))
+    known = known.filter("n = 1").select("keep_0", "keep_1")
+    # one row of each kept pair of hashes: the join and the numbering share one shuffle of the texts
+    h, k, n = free_name(docs, "text_hash"), free_name(docs, "id_hash"), free_name(docs, "row_no")
+    rows = docs.withColumns({h: hashed, k: named})
+    rows = rows.join(known.hint("shuffle_merge"), (F.col(h) == F.col("keep_0")) & (F.col(k) == F.col("keep_1")), "left_semi")
+    again = Window.partitionBy(h, k).orderBy(F.lit(0))
     return rows.withColumn(n, F.row_number().over(again)).filter(F.col(n) == 1).select(*docs.columns)
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprint and component of every document."""
+    """Fingerprint and component of every document; null texts and texts without words have fingerprint 0."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
