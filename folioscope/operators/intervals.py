@@ -25,18 +25,21 @@ def overlaps_closed(a_start, a_end, b_start, b_end, unknown: bool | None = None)
     return test if unknown is None else F.coalesce(test, F.lit(unknown))
 
 
-def covered(ranges: DataFrame, targets: DataFrame, by, name="covered") -> DataFrame:
+def covered(ranges: DataFrame, targets: DataFrame, by, name="covered", empty_needs_touch: bool = False) -> DataFrame:
     """Whether the ranges of each target cover it: ranges (by, start, end), targets (by, target_start, target_end), half-open.
 
-    An empty target is covered.  A running greatest end finds the first gap in one pass.
+    An empty target is covered; with ``empty_needs_touch`` only where some range
+    holds its place, ends included.  A running greatest end finds the first gap in one pass.
     """
     w = Window.partitionBy(*by).orderBy("start", "end")
-    joined = targets.join(ranges, by, "left").withColumn("start", F.greatest("start", "target_start"))
+    touch = (F.col("start") <= F.col("target_start")) & (F.col("end") >= F.col("target_start"))
+    joined = targets.join(ranges, by, "left").withColumn("_touch", F.coalesce(touch, F.lit(False))).withColumn("start", F.greatest("start", "target_start"))
     joined = joined.withColumn("_reach", F.greatest(F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("target_start")), F.col("target_start")))
     gap = F.max(F.when((F.col("start") > F.col("_reach")) & (F.col("_reach") < F.col("target_end")), 1).otherwise(0))
-    done = joined.groupBy(*by, "target_start", "target_end").agg(gap.alias("_gap"), F.max("end").alias("_end"))
-    whole = (F.col("target_end") <= F.col("target_start")) | ((F.col("_gap") == 0) & F.coalesce(F.col("_end") >= F.col("target_end"), F.lit(False)))
-    return done.withColumn(name, whole).drop("_gap", "_end")
+    done = joined.groupBy(*by, "target_start", "target_end").agg(gap.alias("_gap"), F.max("end").alias("_end"), F.bool_or("_touch").alias("_touch"))
+    empty = F.col("target_end") <= F.col("target_start")
+    whole = (empty & F.col("_touch") if empty_needs_touch else empty) | (~empty if empty_needs_touch else F.lit(True)) & ((F.col("_gap") == 0) & F.coalesce(F.col("_end") >= F.col("target_end"), F.lit(False)))
+    return done.withColumn(name, whole).drop("_gap", "_end", "_touch")
 
 
 def uncovered(ranges: DataFrame, targets: DataFrame, by) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def one_each(df: DataFrame, key, order, last: bool = True) -> DataFrame:
@@ -73,27 +76,68 @@ def asof_forward(left: DataFrame, right: DataFrame, by, at, value, tie=(), or_la
     return both.withColumn(f"next_{value}", ahead).filter("_side = 0").drop("_side", "_value")
 
 
-#: Needles up to which every text is tried against all of them, broadcast; beyond, needles are joined on their first characters.
-MOST_NEEDLES = 200
+#: Bytes of needles that are broadcast at once; more needles take several passes over the texts.
+NEEDLE_BYTES = 16 << 20
+#: Bytes by which places in a text are looked up, at most.
+RUN = 16
+_RADIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def contains_match(texts: DataFrame, needles: DataFrame, text, needle, key, order, n: int = 1) -> DataFrame:
+def _runs(data: bytes, g: int) -> np.ndarray:
+    """Hashes of all runs of g bytes."""
+    x = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
+    out = np.zeros(max(len(x) - g + 1, 0), np.uint64)
+    for i in range(g if len(out) else 0):
+        out = out * _RADIX + x[i : i + len(out)]
+    return out * _RADIX ^ out >> np.uint64(32)
+
+
+class _Needles:
+    """Needles by the hash of their first bytes."""
+
+    def __init__(self, texts: list[str]):
+        raw = [t.encode() for t in texts]
+        self.g = min(RUN, min(map(len, raw)))
+        self.by_run: dict[int, list[tuple[bytes, str]]] = {}
+        for data, text in zip(raw, texts):
+            self.by_run.setdefault(int(_runs(data[: self.g], self.g)[0]), []).append((data, text))
+        self.hit = np.zeros(1 << 20, bool)
+        self.hit[np.array(list(self.by_run), np.uint64) >> np.uint64(44)] = True
+
+    def inside(self, data: bytes) -> list[str]:
+        """The needles that stand in a text."""
+        hashes, found = _runs(data, self.g), set()
+        at = np.flatnonzero(self.hit[hashes >> np.uint64(44)])
+        for i, h in zip(at.tolist(), hashes[at].tolist()):
+            found.update(text for needle, text in self.by_run.get(h, ()) if text not in found and data.startswith(needle, i))
+        return sorted(found)
+
+
+def _holding(batches, shared, column: str):
+    for batch in batches:
+        found = [shared.value.inside((x or "").encode()) for x in batch.column(column).to_pylist()]
+        rows = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+        yield pa.RecordBatch.from_arrays([*batch.take(rows).columns, pa.array([n for f in found for n in f], pa.string())], [*batch.schema.names, "_needle"])
+
+
+def contains_match(texts: DataFrame, needles: DataFrame, text, needle, key, order, n: int = 1, needle_bytes: int = NEEDLE_BYTES) -> DataFrame:
     """The first ``n`` texts, in order, that contain each needle; null and empty needles match nothing.
 
-    Few needles are broadcast, behind a check of their number.  Many are joined
-    by equality: a text stands under all its distinct runs of as many characters as
-    the shortest needle has, four at most, and a needle under its first.
+    Texts are streamed once past the needles, ``needle_bytes`` of them at a time,
+    and looked up at every place by the hash of a needle's first bytes; texts are
+    not shuffled, only the pairs found are.
     """
-    needles = needles.filter(F.length(needle) > 0)
-    size, shortest = needles.agg(F.count(F.lit(1)), F.min(F.length(needle))).first()
-    if size <= MOST_NEEDLES:
-        pairs = texts.join(F.broadcast(needles), F.col(text).contains(F.col(needle)))
-    else:
-        g = min(shortest, 4)
-        runs = F.transform(F.sequence(F.lit(1), F.length(text) - g + 1), lambda i: F.substring(F.col(text), i, F.lit(g)))
-        spread = texts.filter(F.length(text) >= g).withColumn("_run", F.explode(F.array_distinct(runs)))
-        pairs = spread.join(needles.withColumn("_run", F.substring(needle, 1, g)), "_run").drop("_run")
-    pairs = pairs.filter(F.col(text).contains(F.col(needle)))
+    spark = texts.sparkSession
+    distinct = needles.filter(F.length(needle) > 0).select(F.col(needle).alias("needle")).distinct()
+    size = distinct.agg(F.sum(F.octet_length("needle"))).first()[0] or 0
+    blocks, pairs = max(1, -(-size // needle_bytes)), texts.limit(0).withColumn("_needle", F.lit(""))
+    schema = T.StructType([*texts.schema.fields, T.StructField("_needle", T.StringType())])
+    for b in range(blocks):
+        own = [r[0] for r in distinct.filter(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == b).collect()]
+        if own:
+            shared = spark.sparkContext.broadcast(_Needles(own))
+            pairs = pairs.unionByName(texts.mapInArrow(lambda batches, s=shared: _holding(batches, s, text), schema))
+    pairs = pairs.join(needles, F.col("_needle") == F.col(needle)).drop("_needle")
     w = Window.partitionBy(*key).orderBy(*order)
     return pairs.withColumn("match_no", F.row_number().over(w)).filter(F.col("match_no") <= n)
 

@@ -8,9 +8,13 @@ same ``by`` and ``order`` shares one shuffle and one sort.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.sources.shared import cut
+
 
 def _window(by, order):
     return Window.partitionBy(*by).orderBy(*order)
@@ -21,6 +25,24 @@ def dense_sequence(df: DataFrame, by, order, name="seq") -> DataFrame:
     return df.withColumn(name, F.row_number().over(_window(by, order)))
 
 
+def ranged_sequence(df: DataFrame, by, order, name="seq") -> DataFrame:
+    """The same numbers where a partition may hold a great part of all rows.
+
+    Rows are ranged over (by, order); each range numbers its own, and adds what
+    the ranges before it hold of the same partition, one row a range and
+    partition.  The ranges are kept in the shared folder, as later passes must
+    see the same ones.
+    """
+    ranged = cut(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part", *by).orderBy(*order)
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    starts = starts.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], "_before")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)], F.col("_part") == F.col("_p"))
+    rows = ranged.withColumn("_at", F.row_number().over(inside)).join(starts, same)
+    return rows.withColumn(name, (F.col("_before") + F.col("_at")).cast("long")).select(*df.columns, name)
+
+
 def first_rows(df: DataFrame, by, order, n: int = 1) -> DataFrame:
     """The first ``n`` rows of each partition: first wins."""
     return df.withColumn("_row", F.row_number().over(_window(by, order))).filter(F.col("_row") <= n).drop("_row")
@@ -77,10 +99,15 @@ def neighbour_fill(df: DataFrame, by, order, column, name, one_sided: bool = Fal
 
 
 def unanimous_fill(df: DataFrame, key, column, name) -> DataFrame:
-    """Fills nulls of a group whose known values are all the same."""
-    w = Window.partitionBy(*key)
-    low, high = F.min(column).over(w), F.max(column).over(w)
-    return df.withColumn(name, F.coalesce(F.col(column), F.when(low == high, low)))
+    """Fills nulls of a group whose known values are all the same.
+
+    Groups are summed up by partial aggregation and joined back as one row each,
+    so that a hot group is not one task; a null in the key is a key like others.
+    """
+    known = df.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)]).agg(F.min(column).alias("_low"), F.max(column).alias("_high"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(key)])
+    filled = F.coalesce(F.col(column), F.when(F.col("_low") == F.col("_high"), F.col("_low")))
+    return df.join(known, same, "left").withColumn(name, filled).select(*df.columns, name)
 
 
 def segments(df: DataFrame, by, order, boundary, name="segment") -> DataFrame:

@@ -33,20 +33,30 @@ def check_summary(checks: DataFrame, by, status="status", blocking="blocking") -
     )
 
 
-def clusters(findings: DataFrame, by, key, order, message, affected) -> DataFrame:
-    """Findings with one key together: the first's message, all affected ids sorted, numbered by first appearance.
+def clusters(findings: DataFrame, by, key, order, message, affected, sample: int = 100) -> DataFrame:
+    """Findings with one key together: the first's message, numbered by first appearance, with what they affect.
 
-    ``affected`` is an array column.
+    ``affected`` is an array column; ``n_affected`` counts its distinct values over
+    all findings of a cluster, and ``affected`` lists the first ``sample`` of them in order, so
+    that no row grows with a cluster.  :func:`cluster_members` gives them all, as rows.
     """
     from pyspark.sql import Window
 
-    out = findings.groupBy(*by, *key).agg(
-        F.count(F.lit(1)).alias("n_findings"), F.min(order).alias("first_at"), F.min_by(message, order).alias("title"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(affected)))).alias("affected"),
-    )
+    out = findings.groupBy(*by, *key).agg(F.count(F.lit(1)).alias("n_findings"), F.min(order).alias("first_at"), F.min_by(message, order).alias("title"))
+    members = cluster_members(findings, by, key, affected)
+    first = Window.partitionBy(*by, *key).orderBy("member")
+    shown = members.withColumn("_row", F.row_number().over(first)).groupBy(*by, *key).agg(
+        F.count(F.lit(1)).alias("n_affected"), F.array_sort(F.collect_list(F.when(F.col("_row") <= sample, F.col("member")))).alias("affected")
+    )
+    out = out.join(shown, [*by, *key], "left").withColumn("n_affected", F.coalesce("n_affected", F.lit(0)))
     return out.withColumn("cluster_no", F.row_number().over(Window.partitionBy(*by).orderBy("first_at")))
 
 
+def cluster_members(findings: DataFrame, by, key, affected) -> DataFrame:
+    """(by, key, member): every distinct value that a cluster's findings affect."""
+    return findings.select(*by, *key, F.explode(affected).alias("member")).distinct()
+
+
 def report_counters(findings: DataFrame, by, severity, status, bucket, order) -> DataFrame:
     """Blocking and unknown findings by group, and the bucket of the first blocking one."""
     blocking = F.col(severity) == "blocking"

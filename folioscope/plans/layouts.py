@@ -96,17 +96,6 @@ def graded_elements(spark, sf_dir):
 
 
 def gold_faults(spark, sf_dir):
-    """Documents' first characters as gold spans of three, some of them shifted or cut."""
-    docs = table(spark, sf_dir, "documents").filter("n_chars >= 12")
-    runs = docs.select(F.col("source").alias("doc_id"), F.col("doc_id").cast("string").alias("raw_run_id"), F.substring("text", 1, 12).alias("run_text"))
-    cuts = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((0, 3), (3, 7), (7, 12))])
-    s = docs.select("source", "doc_id", "text", F.explode(cuts).alias("c"))
-    shifted = F.when(F.col("doc_id") % 10 == 0, F.col("c.start") + 1).otherwise(F.col("c.start"))
-    items = s.filter("NOT (doc_id % 7 = 0 AND c.start = 7)").select(F.col("source").alias("doc_id"), F.col("doc_id").cast("string").alias("raw_run_id"), F.lit("span").alias("target_kind"), shifted.alias("start"), F.col("c.end").alias("end"), F.substring("text", shifted + 1, F.col("c.end") - shifted).alias("text"))
-    return documents.span_ledger_faults(items, runs)
-
-
-def gold_faults_whole(spark, sf_dir):
     """Whole documents as gold spans of three thirds, some of them shifted or cut; those under three characters as one run."""
     docs = table(spark, sf_dir, "documents").withColumn("n", F.length("text"))
     key = [F.col("source").alias("doc_id"), F.col("doc_id").cast("string").alias("raw_run_id")]
@@ -129,7 +118,7 @@ def span_counts(spark, sf_dir):
 
 def word_boxes(spark, sf_dir):
     """Links of pages as words of a layout, with their offsets."""
-    pages = table(spark, sf_dir, "pages").filter("page_id < 50")
+    pages = table(spark, sf_dir, "pages")
     html = F.concat(F.lit('<page width="10" height="20">'), F.array_join(F.transform(F.regexp_extract_all("html", F.lit('<a href="/([^"]*)"')), lambda a: F.concat(F.lit('<word xMin="1" yMin="2" xMax="3" yMax="4">'), a, F.lit("</word>"))), ""), F.lit("</page>"))
     words = layout.words(pages.select(F.col("page_id").cast("string").alias("path"), html.alias("html")))
     return words.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("end").alias("end"))
@@ -142,7 +131,7 @@ def boundary_dedupe(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    boundary_sides, kept_with_next, page_tiers, aligned_turns, located_units, planned_breaks, untitled_contents, reference_ids, slot_kinds, graded_elements, gold_faults, gold_faults_whole, span_counts, word_boxes, boundary_dedupe,
+    boundary_sides, kept_with_next, page_tiers, aligned_turns, located_units, planned_breaks, untitled_contents, reference_ids, slot_kinds, graded_elements, gold_faults, span_counts, word_boxes, boundary_dedupe,
 )}
 
 _TURNS = """t AS (SELECT conv_id, turn, length(text) AS n, CASE WHEN turn % 3 = 0 THEN turn // 3 + 1 END AS page, length(text) % 2 = 0 AS keep FROM conversations),
@@ -176,7 +165,10 @@ SQL = {
                CASE WHEN p = 'fixed' AND h THEN 'medium' WHEN p IN ('instruction_remove', 'generated') THEN 'high' WHEN p = 'fill' THEN CASE WHEN contains(t, '1') AND contains(t, '2') THEN 'high' ELSE 'medium' END WHEN trim(t) = '' THEN 'low' ELSE 'high' END AS confidence,
                CASE p WHEN 'fill' THEN 'student_content' WHEN 'generated' THEN 'generated_field' END AS source FROM x""",
     "gold_faults": """
-        SELECT source AS doc_id, CAST(doc_id AS VARCHAR) AS raw_run_id, CASE WHEN doc_id % 10 = 0 THEN 'spans_not_contiguous' ELSE 'spans_incomplete' END AS fault FROM documents WHERE length(text) >= 12 AND n_chars >= 12 AND (doc_id % 10 = 0 OR doc_id % 7 = 0)""",
+        SELECT source AS doc_id, CAST(doc_id AS VARCHAR) AS raw_run_id, CASE WHEN doc_id % 10 = 0 THEN 'spans_not_contiguous' ELSE 'spans_incomplete' END AS fault FROM documents WHERE length(text) >= 3 AND (doc_id % 10 = 0 OR doc_id % 7 = 0)""",
+    "word_boxes": """
+        WITH w AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="/([^"]*)"', 1)) AS x FROM pages)
+        SELECT CAST(page_id AS VARCHAR) AS path, count(*) AS n, CAST(sum(length(regexp_replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', '', 'g'))) AS BIGINT) AS "end" FROM w GROUP BY page_id""",
     "boundary_dedupe": """
         WITH p AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, min(event_id) AS by_id FROM events WHERE event_type = 'purchase' GROUP BY ALL)
         SELECT event_id, by_id AS absorbed_by FROM events e JOIN p ON p.user_id = e.user_id AND p.day = strftime(e.ts, '%Y-%m-%d') WHERE event_type = 'view'""",

@@ -11,7 +11,7 @@ from folioscope.sources.tables import table
 def source_sequence(spark, sf_dir):
     """Documents numbered within their source."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    return sequence.dense_sequence(docs, ["source"], ["doc_id"])
+    return sequence.ranged_sequence(docs, ["source"], ["doc_id"])
 
 
 def folded_turns(spark, sf_dir):
@@ -163,7 +163,7 @@ _RANGES = """
   p AS (SELECT l_id, r_id, least(l_end, r_end) - greatest(l_start, r_start) + 1 AS overlap FROM a JOIN b USING (user_id) WHERE l_start <= r_end AND r_start <= l_end)"""
 
 SQL = {
-    "source_sequence": "SELECT doc_id, source, n_chars, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS seq FROM documents",
+    "source_sequence": "SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS seq FROM documents",
     "folded_turns": """
         WITH n AS (SELECT *, row_number() OVER w AS place, CASE WHEN lag(role) OVER w IS NOT DISTINCT FROM role AND lag(1) OVER w = 1 THEN 0 ELSE 1 END AS st
                    FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),

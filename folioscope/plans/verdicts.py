@@ -38,25 +38,12 @@ def prefix_binding(spark, sf_dir):
 
 
 def needle_documents(spark, sf_dir):
-    """The first three documents that hold the first three words of each benchmark item."""
-    needles = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("needle"))
-    return matching.contains_match(table(spark, sf_dir, "documents").select("doc_id", "text"), needles, "text", "needle", ["item_id"], ["doc_id"], 3).select("item_id", "doc_id", "match_no")
-
-
-def spread_tokens(spark, sf_dir):
-    """Items of which two or more of the first five words stand in the documents of a source, over which places."""
-    words = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(F.slice(F.split("text", " "), 1, 5))).alias("token"))
-    docs = table(spark, sf_dir, "documents").filter("n_chars < 800").select("source", "doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("token"))
-    return matching.tokens_spread(words.join(docs, "token"), ["item_id", "source"], "token", "doc_id", 2)
-
-
-def needle_documents_whole(spark, sf_dir):
     """The first three documents that hold the whole of each benchmark item."""
     needles = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle"))
     return matching.contains_match(table(spark, sf_dir, "documents").select("doc_id", "text"), needles, "text", "needle", ["item_id"], ["doc_id"], 3).select("item_id", "doc_id", "match_no")
 
 
-def spread_tokens_whole(spark, sf_dir):
+def spread_tokens(spark, sf_dir):
     """Items of which two or more of all words stand in the documents of a source, over which places."""
     words = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(F.split("text", " "))).alias("token"))
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("token"))
@@ -70,15 +57,6 @@ def best_event(spark, sf_dir):
 
 
 def shared_parts(spark, sf_dir):
-    """Pairs of neighbouring orders of a customer that share suppliers."""
-    sup = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set((F.col("l_suppkey") % 10)).alias("s"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(sup, F.col("o_orderkey") == F.col("l_orderkey")).drop("l_orderkey")
-    a = orders.filter("o_orderkey % 4 = 0").select("o_custkey", F.col("o_orderkey").alias("a"), F.col("s").alias("sa"))
-    b = orders.filter("o_orderkey % 4 = 1").select("o_custkey", F.col("o_orderkey").alias("b"), F.col("s").alias("sb"))
-    return matching.array_overlap_match(a, b, ["o_custkey"], "sa", "sb", ["a", "b"])
-
-
-def shared_parts_whole(spark, sf_dir):
     """All pairs of orders of a customer that share suppliers."""
     sup = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("s"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(sup, F.col("o_orderkey") == F.col("l_orderkey"))
@@ -107,13 +85,6 @@ def part_paths(spark, sf_dir):
 
 
 def nations_apart(spark, sf_dir):
-    """Nations with customers or suppliers alone, of some keys."""
-    c = table(spark, sf_dir, "customer").filter("c_custkey % 17 = 0").select(F.col("c_nationkey").alias("n"))
-    s = table(spark, sf_dir, "supplier").filter("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("n"))
-    return ledger.symmetric_difference(c, s, ["n"])
-
-
-def nations_apart_whole(spark, sf_dir):
     """Nations with customers or suppliers alone."""
     c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n"))
     return ledger.symmetric_difference(c, table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n")), ["n"])
@@ -156,13 +127,6 @@ def _checks(spark, sf_dir):
 
 
 def customer_verdicts(spark, sf_dir):
-    """Verdicts of customers, of whom some have no order."""
-    checks = _checks(spark, sf_dir).filter("o_orderkey % 3 = 0")
-    both = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey")).join(checks, "o_custkey", "left")
-    return both.groupBy("o_custkey").agg(status.merged("status", where=F.col("status").isNotNull()).alias("verdict"))
-
-
-def customer_verdicts_whole(spark, sf_dir):
     """Verdicts of customers over all their orders."""
     both = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey")).join(_checks(spark, sf_dir), "o_custkey", "left")
     return both.groupBy("o_custkey").agg(status.merged("status", where=F.col("status").isNotNull()).alias("verdict"))
@@ -270,28 +234,13 @@ def leaf_counts(spark, sf_dir):
 
 
 def settled_leaves(spark, sf_dir):
-    """Results of a walk down the same tree, by decisions at some nodes."""
-    t = _tree(spark, sf_dir).filter("node < 64")
-    d = t.filter("node % 5 <> 0").select("p_brand", "node", F.when(F.col("own") % 2 == 0, "fill").otherwise("delete").alias("result"), ((F.col("node") < 8) & (F.col("own") % 7 != 0)).alias("descend"))
-    return hierarchy.sparse_decisions(t, d, ["p_brand"])
-
-
-def tree_faults(spark, sf_dir):
-    """Faults of the same tree after some edges are bent into a ring, cut or doubled."""
-    t = _tree(spark, sf_dir).filter("node < 40").select("p_brand", "node", "parent")
-    bent = F.when(F.col("node") == 2, F.lit(9)).when(F.col("node") == 5, F.lit(999)).otherwise(F.col("parent"))
-    x = t.withColumn("parent", bent)
-    return hierarchy.tree_errors(x.unionByName(t.filter("node = 7").withColumn("parent", F.lit(1).cast("long"))), ["p_brand"])
-
-
-def settled_leaves_whole(spark, sf_dir):
     """Results of a walk down the whole tree, however deep, by decisions at some nodes."""
     t = _tree(spark, sf_dir)
     d = t.filter("node % 5 <> 0").select("p_brand", "node", F.when(F.col("own") % 2 == 0, "fill").otherwise("delete").alias("result"), (F.col("own") % 7 != 0).alias("descend"))
     return hierarchy.sparse_decisions(t, d, ["p_brand"], most_depth=hierarchy.MOST_DEPTH)
 
 
-def tree_faults_whole(spark, sf_dir):
+def tree_faults(spark, sf_dir):
     """Faults of the whole tree after some edges at any depth are bent into a ring, cut or doubled."""
     t = _tree(spark, sf_dir).select("p_brand", "node", "parent")
     bent = F.when(F.col("node") % 40 == 2, F.col("node") * 4 + 1).when(F.col("node") % 40 == 5, F.lit(-1)).otherwise(F.col("parent"))
@@ -313,10 +262,10 @@ def compared_contracts(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    last_order_lookup, first_order_lookup, ranked_supplier, prefix_binding, needle_documents, needle_documents_whole, spread_tokens, spread_tokens_whole, best_event, shared_parts, shared_parts_whole, label_ledger, label_coverage, part_paths,
-    nations_apart, nations_apart_whole, repeated_lines, repeats_in_order, ownership_difference, contested_places, agreed_claims, customer_verdicts, customer_verdicts_whole, check_summary, finding_clusters, report_counters,
+    last_order_lookup, first_order_lookup, ranked_supplier, prefix_binding, needle_documents, spread_tokens, best_event, shared_parts, label_ledger, label_coverage, part_paths,
+    nations_apart, repeated_lines, repeats_in_order, ownership_difference, contested_places, agreed_claims, customer_verdicts, check_summary, finding_clusters, report_counters,
     stage_cascade, availability, owner_histogram, set_scores, language_scores, macro_scores, exact_orders, dominant_type, action_outcomes, inherited_size, rolled_up, leaf_counts,
-    settled_leaves, settled_leaves_whole, tree_faults, tree_faults_whole, compared_contracts,
+    settled_leaves, tree_faults, compared_contracts,
 )}
 
 _CHECKS = """c AS (SELECT o_custkey, o_orderkey, o_orderpriority, o_orderpriority < '3' AS blocking,
@@ -352,17 +301,17 @@ SQL = {
         p AS (SELECT key, r.p_partkey AS other, ref = p_name AS exact FROM l JOIN part r ON l.p_brand = r.p_brand AND (starts_with(ref, p_name) OR starts_with(p_name, ref)))
         SELECT key, other, exact FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY exact DESC, other) AS w FROM p) WHERE w = 1""",
     "needle_documents": """
-        WITH n AS (SELECT item_id, array_to_string(string_split(text, ' ')[1:3], ' ') AS needle FROM benchmark)
+        WITH n AS (SELECT item_id, text AS needle FROM benchmark WHERE length(text) > 0)
         SELECT item_id, doc_id, CAST(w AS INTEGER) AS match_no FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS w FROM n JOIN documents d ON contains(d.text, needle)) WHERE w <= 3""",
     "spread_tokens": """
-        WITH n AS (SELECT DISTINCT item_id, unnest(string_split(text, ' ')[1:5]) AS token FROM benchmark), d AS (SELECT DISTINCT source, doc_id, unnest(string_split(text, ' ')) AS token FROM documents WHERE n_chars < 800)
+        WITH n AS (SELECT DISTINCT item_id, unnest(string_split(text, ' ')) AS token FROM benchmark), d AS (SELECT DISTINCT source, doc_id, unnest(string_split(text, ' ')) AS token FROM documents)
         SELECT item_id, source, count(DISTINCT token) AS n_tokens, count(DISTINCT doc_id) AS n_places, min(doc_id) AS first_place FROM n JOIN d USING (token) GROUP BY item_id, source HAVING count(DISTINCT token) >= 2""",
     "best_event": """
         WITH s AS (SELECT *, CASE event_type WHEN 'purchase' THEN 70 WHEN 'signup' THEN 120 ELSE 0 END + CASE WHEN value > 50 THEN 20 ELSE 0 END AS score FROM events)
         SELECT user_id, event_id, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, ts, event_id) AS w FROM s WHERE score > 0) WHERE w = 1""",
     "shared_parts": """
-        WITH s AS (SELECT DISTINCT l_orderkey, l_suppkey % 10 AS v FROM lineitem), o AS (SELECT o_orderkey, o_custkey, v FROM orders JOIN s ON l_orderkey = o_orderkey)
-        SELECT a.o_custkey, a.o_orderkey AS a, b.o_orderkey AS b, count(*) AS n_shared FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND a.v = b.v AND a.o_orderkey % 4 = 0 AND b.o_orderkey % 4 = 1 GROUP BY ALL""",
+        WITH s AS (SELECT DISTINCT l_orderkey, l_suppkey AS v FROM lineitem), o AS (SELECT o_orderkey, o_custkey, v FROM orders JOIN s ON l_orderkey = o_orderkey)
+        SELECT a.o_custkey, a.o_orderkey AS a, b.o_orderkey AS b, count(*) AS n_shared FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND a.v = b.v AND a.o_orderkey < b.o_orderkey GROUP BY ALL""",
     "label_ledger": f"WITH {_CLAIMS} SELECT * FROM cl",
     "label_coverage": f"""WITH {_CLAIMS}, k AS (SELECT source, count(*) FILTER (state = 'owned') AS owned, count(*) FILTER (state IN ('unclaimed', 'contested')) AS unknown, count(*) FILTER (state = 'unexpected') AS unexpected, count(*) FILTER (state <> 'unexpected') AS total FROM cl GROUP BY source)
         SELECT *, owned = total AND unexpected = 0 AS complete FROM k""",
@@ -370,7 +319,7 @@ SQL = {
         WITH u AS (SELECT DISTINCT p_brand, string_split(p_type, ' ')[1] AS used FROM part WHERE p_partkey % 5 = 0), d AS (SELECT DISTINCT p_brand, replace(p_type, ' ', '.') AS path FROM part)
         SELECT d.p_brand, path, count(used) > 0 AS consumed FROM d LEFT JOIN u ON d.p_brand = u.p_brand AND (path = used OR starts_with(path, used || '.')) GROUP BY d.p_brand, path""",
     "nations_apart": """
-        WITH c AS (SELECT DISTINCT c_nationkey AS n FROM customer WHERE c_custkey % 17 = 0), s AS (SELECT DISTINCT s_nationkey AS n FROM supplier WHERE s_suppkey % 3 = 0)
+        WITH c AS (SELECT DISTINCT c_nationkey AS n FROM customer), s AS (SELECT DISTINCT s_nationkey AS n FROM supplier)
         SELECT n, 'missing' AS side FROM c WHERE n NOT IN (SELECT n FROM s) UNION ALL SELECT n, 'unexpected' FROM s WHERE n NOT IN (SELECT n FROM c)""",
     "repeated_lines": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
     "repeats_in_order": """
@@ -387,11 +336,19 @@ SQL = {
         WITH x AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, event_type, floor(value / 20) AS rank FROM events), m AS (SELECT *, max(rank) OVER (PARTITION BY user_id, day) AS top FROM x)
         SELECT user_id, day, CASE WHEN count(DISTINCT event_type) = 1 THEN min(event_type) END AS owner, count(DISTINCT event_type) > 1 AS contested FROM m WHERE rank = top GROUP BY user_id, day""",
     "agreed_claims": "SELECT o_custkey, o_orderpriority, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN min(o_orderstatus) END AS signature, count(DISTINCT o_orderstatus) > 1 AS conflict FROM orders GROUP BY ALL",
-    "customer_verdicts": f"WITH {_CHECKS} SELECT c_custkey AS o_custkey, {_MERGED.format(w='status IS NOT NULL', e='UNKNOWN')} AS verdict FROM customer LEFT JOIN c ON o_custkey = c_custkey AND o_orderkey % 3 = 0 GROUP BY c_custkey",
+    "customer_verdicts": f"WITH {_CHECKS} SELECT c_custkey AS o_custkey, {_MERGED.format(w='status IS NOT NULL', e='UNKNOWN')} AS verdict FROM customer LEFT JOIN c ON o_custkey = c_custkey GROUP BY c_custkey",
     "check_summary": f"""WITH {_CHECKS} SELECT o_custkey, count(*) FILTER (status = 'PASS') AS n_pass, count(*) FILTER (status = 'FAIL') AS n_fail, count(*) FILTER (status = 'UNKNOWN') AS n_unknown,
         {_MERGED.format(w='true', e='UNKNOWN')} AS display, {_MERGED.format(w="status <> 'UNKNOWN'", e='UNKNOWN')} AS known, {_MERGED.format(w='blocking', e='PASS')} AS gate FROM c GROUP BY o_custkey""",
+    "settled_leaves": """
+        WITH RECURSIVE p AS (SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS node, p_size AS own FROM part),
+        t AS (SELECT *, node % 5 <> 0 AS told, CASE WHEN node % 5 = 0 THEN 'keep' WHEN own % 2 = 0 THEN 'fill' ELSE 'delete' END AS result, node % 5 <> 0 AND own % 7 <> 0 AS descend,
+                     node * 2 > max(node) OVER (PARTITION BY p_brand) AS leaf FROM p),
+        w AS (SELECT p_brand, node, leaf, descend, CASE WHEN NOT descend OR leaf THEN node END AS spot, CASE WHEN NOT descend OR leaf THEN result END AS result FROM t WHERE node = 1
+              UNION ALL SELECT t.p_brand, t.node, t.leaf, t.descend, coalesce(w.spot, CASE WHEN NOT t.descend OR t.leaf THEN t.node END), coalesce(w.result, CASE WHEN NOT t.descend OR t.leaf THEN t.result END)
+              FROM w JOIN t ON t.p_brand = w.p_brand AND t.node // 2 = w.node AND t.node > 1)
+        SELECT p_brand, node AS leaf, spot AS settled_at, result FROM w WHERE leaf""",
     "finding_clusters": f"""WITH {_CHECKS}, k AS (SELECT o_custkey, status, o_orderpriority, count(*) AS n_findings, min(o_orderkey) AS first_at, 'order ' || min(o_orderkey) AS title,
-        (SELECT string_agg(i, ',' ORDER BY i) FROM (SELECT DISTINCT unnest(list(CAST(o_orderkey % 100 AS VARCHAR))) AS i)) AS affected FROM c WHERE status <> 'PASS' GROUP BY ALL)
+        (SELECT string_agg(i, ',' ORDER BY i) FROM (SELECT DISTINCT unnest(list(CAST(o_orderkey % 100 AS VARCHAR))) AS i)) AS affected, count(DISTINCT o_orderkey % 100) AS n_affected FROM c WHERE status <> 'PASS' GROUP BY ALL)
         SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY first_at) AS INTEGER) AS cluster_no FROM k""",
     "report_counters": f"""WITH {_CHECKS}, x AS (SELECT *, blocking AND status <> 'PASS' AS hard FROM c)
         SELECT o_custkey, count(*) FILTER (hard) AS n_blocking, count(*) FILTER (status = 'UNKNOWN') AS n_unknown, min_by(o_orderpriority, o_orderkey) FILTER (hard) AS first_bucket, {_MERGED.format(w='hard', e='PASS')} AS status FROM x GROUP BY o_custkey""",

@@ -97,13 +97,12 @@ def test_asof(spark):
     assert rows(matching.asof_forward(left, right, ["g"], "at", "v", or_last=True).na.fill(-1), "g", "at", "next_v") == [("a", 1, 10), ("a", 5, 50), ("a", 9, 60), ("b", 5, -1)]
 
 
-def test_contains_match_few_and_many(spark, monkeypatch):
+def test_contains_match_few_and_many(spark):
     texts = spark.createDataFrame([(1, "one two three"), (2, "two three four"), (3, None)], "id int, text string")
     needles = spark.createDataFrame([("n1", "wo thre"), ("n2", "four"), ("n3", "zz"), ("n4", ""), ("n5", None)], "n string, needle string")
     want = [("n1", 1), ("n1", 2), ("n2", 2)]
     assert rows(matching.contains_match(texts, needles, "text", "needle", ["n"], ["id"], 3), "n", "id") == want
-    monkeypatch.setattr(matching, "MOST_NEEDLES", 1)
-    assert rows(matching.contains_match(texts, needles, "text", "needle", ["n"], ["id"], 3), "n", "id") == want
+    assert rows(matching.contains_match(texts, needles, "text", "needle", ["n"], ["id"], 3, needle_bytes=4), "n", "id") == want
 
 
 def test_ledger(spark):
@@ -202,3 +201,23 @@ def test_reviews(spark):
     assert (named["field_0"], named["field_1"]) == ("甲", "")
     a = spark.createDataFrame([(3,), (1,)], "k int")
     assert [r["action_id"] for r in reviews.numbered_union([a, a.limit(1)], ["k"], "a_{:03d}").orderBy("phase", "k").collect()] == ["a_001", "a_002", "a_003"]
+
+
+def test_cover_of_empty_targets(spark):
+    """An empty place is covered as such, or only where a range touches it."""
+    r = spark.createDataFrame([("touched", 3, 5), ("ended", 1, 4), ("apart", 6, 9)], "g string, start int, end int")
+    t = spark.createDataFrame([(g, 4, 4) for g in ("touched", "ended", "apart", "bare")], "g string, target_start int, target_end int")
+    assert all(x["covered"] for x in intervals.covered(r, t, ["g"]).collect())
+    got = {x["g"]: x["covered"] for x in intervals.covered(r, t, ["g"], empty_needs_touch=True).collect()}
+    assert got == {"touched": True, "ended": True, "apart": False, "bare": False}
+    whole = spark.createDataFrame([("touched", 3, 5), ("apart", 3, 7)], "g string, target_start int, target_end int")
+    assert {x["g"]: x["covered"] for x in intervals.covered(r, whole, ["g"], empty_needs_touch=True).collect()} == {"touched": True, "apart": False}
+
+
+def test_clusters_show_a_sample_beside_exact_counts(spark):
+    from folioscope.operators import status
+
+    f = spark.range(1000).selectExpr("'a' AS run", "'FAIL' AS status", "id AS finding_id", "concat('m', id) AS message", "array(id % 700, -1) AS affected")
+    got = status.clusters(f, ["run"], ["status"], "finding_id", "message", "affected", sample=3).first()
+    assert (got["n_findings"], got["title"], got["n_affected"], got["affected"]) == (1000, "m0", 701, [-1, 0, 1])
+    assert status.cluster_members(f, ["run"], ["status"], "affected").count() == 701
