@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Words that mark a note on format in brackets.
-FORMAT_MARKERS = "号 黑体 宋体 楷体 仿宋 Times 居中 加粗 行距 字号 字体 页边距 厘米 空格 格式 pt 表示".split()
+FORMAT_MARKERS = ["号", "黑体", "宋体", "楷体", "仿宋", "Times", "居中", "加粗", "行距", "字号", "字体", "页边距", "厘米", "空格", "格式", "pt", "表示"]
 # Words that mark an instruction to the writer.
-ANCHOR_INSTRUCTIONS = "如果 点击 建议 选择 插入 模板 说明 格式 更新 使用 可以 不建议".split()
+ANCHOR_INSTRUCTIONS = ["如果", "点击", "建议", "选择", "插入", "模板", "说明", "格式", "更新", "使用", "可以", "不建议"]
 # Words of a description, and descriptions that stand alone.
-DESCRIPTORS = "当前阶段 目标输出 系统生成 ×× 模板 正文 标题 内容流".split()
-DESCRIPTOR_WORDS = "固定 填充 生成 手工 学生".split()
+DESCRIPTORS = ["当前阶段", "目标输出", "系统生成", "××", "模板", "正文", "标题", "内容流"]
+DESCRIPTOR_WORDS = ["固定", "填充", "生成", "手工", "学生"]
 
 _SPACE = r"(?U)\s+"
 
@@ -47,12 +47,16 @@ def without_format_notes(x) -> Column:
     return F.regexp_replace(x, rf"\([^()]*(?:{words})[^()]*\)", "")
 
 
+# What a matching form leaves out, in this order: placeholders, leaders, blanks and punctuation.
+PLACEHOLDERS = "[□×Xx_＿]+"
+LEADERS = "[…·•.。．]{2,}"
+PUNCTUATION = "(?U)[\\s:：;；,，.。!！?？、（）()《》<>“”\"'‘’\\[\\]【】]"
+
+
 def match_key(x, squeeze: bool = True) -> Column:
     """The form in which texts are matched: no format notes, placeholders, leaders, blanks or punctuation, lower case."""
-    x = without_format_notes(squeezed(x) if squeeze else F.coalesce(_c(x).cast("string"), F.lit("")))
-    x = F.regexp_replace(x, "[□×Xx_＿]+", "")
-    x = F.regexp_replace(x, "[…·•.。．]{2,}", "")
-    return F.lower(F.regexp_replace(x, "(?U)[\\s:：;；,，.。!！?？、（）()《》<>“”\"'‘’\\[\\]【】]", ""))
+    bare = without_format_notes(squeezed(x) if squeeze else F.coalesce(_c(x).cast("string"), F.lit("")))
+    return F.lower(reduce(lambda text, pattern: F.regexp_replace(text, pattern, ""), [PLACEHOLDERS, LEADERS, PUNCTUATION], bare))
 
 
 def is_descriptor(x) -> Column:
@@ -120,6 +124,28 @@ def partial_match(needle, text) -> Column:
     return F.when(F.length(n) <= 2, t.startswith(n)).otherwise(t.contains(n))
 
 
+# Points of a needle that is the entry, or stands in it; of tokens; and what an entry's features add or take away.
+WHOLE_NEEDLE, PART_NEEDLE, TOKENS, EACH_TOKEN = 120, 70, 35, 8
+FEATURES = [
+    ("length", "<=", 24, 30),
+    ("length", ">", 80, -35),
+    ("length", ">", 140, -45),
+    ("size", ">=", 15, 15),
+    ("alignment", "is", ["center"], 20),
+    ("style", "has", ["heading", "标题"], 20),
+    ("style", "has", ["正文前标题", "正文尾标题"], 25),
+    ("text", "has", ANCHOR_INSTRUCTIONS, -90),
+    ("text", "has", ["\t"], -20),
+]
+
+
+def _feature_points(values: dict[str, Column]) -> Column:
+    """The points of all features that hold, summed over the table above; a null holds nothing."""
+    tests = {"<=": lambda c, v: c <= v, ">": lambda c, v: c > v, ">=": lambda c, v: c >= v, "is": lambda c, v: c.isin(*v), "has": contains_any}
+    points = [F.when(F.coalesce(tests[kind](values[of], against), F.lit(False)), worth).otherwise(0) for of, kind, against, worth in FEATURES]
+    return reduce(lambda a, b: a + b, points)
+
+
 def anchor_score(text, style, alignment, font_pt, full, tokens, least_tokens) -> Column:
     """How well an entry stands for the heading that full needles and tokens describe; 0 for no match.
 
@@ -127,24 +153,12 @@ def anchor_score(text, style, alignment, font_pt, full, tokens, least_tokens) ->
     and ``tokens`` are arrays of matching forms.
     """
     raw, key = F.trim(F.coalesce(_c(text), F.lit(""))), match_key(text)
-    style = F.lower(F.coalesce(_c(style), F.lit("")))
-    points = F.transform(F.filter(_c(full), lambda n: n != ""), lambda n: F.when(n == key, 120).when(partial_match(n, key), 70).otherwise(0))
+    worth = F.transform(F.filter(_c(full), lambda n: n != ""), lambda n: F.when(n == key, WHOLE_NEEDLE).when(partial_match(n, key), PART_NEEDLE).otherwise(0))
     hits = F.size(F.filter(_c(tokens), lambda n: (n != "") & ((n == key) | partial_match(n, key))))
-    by_tokens = F.when((hits > 0) & (hits >= F.coalesce(_c(least_tokens), F.lit(1))), 35 + 8 * hits).otherwise(0)
-    base = F.greatest(F.coalesce(F.array_max(points), F.lit(0)), by_tokens)
-    # fixed values: what length, place and style add and take away
-    extra = (
-        F.when(F.length(raw) <= 24, 30).otherwise(0)
-        + F.when(_c(alignment) == "center", 20).otherwise(0)
-        + F.when(_c(font_pt) >= 15, 15).otherwise(0)
-        + F.when(style.contains("heading") | style.contains("标题"), 20).otherwise(0)
-        + F.when(style.contains("正文前标题") | style.contains("正文尾标题"), 25).otherwise(0)
-        - F.when(contains_any(raw, ANCHOR_INSTRUCTIONS), 90).otherwise(0)
-        - F.when(F.length(raw) > 80, 35).otherwise(0)
-        - F.when(F.length(raw) > 140, 45).otherwise(0)
-        - F.when(raw.contains("\t"), 20).otherwise(0)
-    )
-    return F.when(base > 0, base + extra).otherwise(0)
+    enough = (hits > 0) & (hits >= F.coalesce(_c(least_tokens), F.lit(1)))
+    base = F.greatest(F.coalesce(F.array_max(worth), F.lit(0)), F.when(enough, TOKENS + EACH_TOKEN * hits).otherwise(0))
+    features = {"length": F.length(raw), "size": _c(font_pt), "alignment": _c(alignment), "style": F.lower(F.coalesce(_c(style), F.lit(""))), "text": raw}
+    return F.when(base > 0, base + _feature_points(features)).otherwise(0)
 
 
 def policy_of(status, kind, fill) -> Column:

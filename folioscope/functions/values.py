@@ -76,23 +76,32 @@ def is_a4(width_mm, height_mm, tolerance: float = 0.6) -> Column:
     return (close(w, F.lit(210.0), tolerance) & close(h, F.lit(297.0), tolerance)) | (close(w, F.lit(297.0), tolerance) & close(h, F.lit(210.0), tolerance))
 
 
+# The words and patterns by which a text asks for fonts, sizes, weight, alignment and line spacing.
+FONT_PATTERN = "((?:[\\x{4e00}-\\x{9fff}A-Za-z ]{1,30}(?:黑体|宋体|楷体|仿宋|行楷))|Times New Roman)"
+SIZE_PATTERN = "(\\d+(?:\\.\\d+)?)\\s*pt"
+EXACT_PATTERN = "固定(?:值|行距约)?\\s*(\\d+(?:\\.\\d+)?)\\s*pt"
+MULTIPLE_PATTERN = "多倍行距[；;，, ]*设置值[=＝]?\\s*(\\d+(?:\\.\\d+)?)"
+WEIGHTS = [("不加粗", False), ("加粗", True)]
+ALIGNMENTS = [("居中", "center"), ("两端对齐", "both"), ("左对齐", "left")]
+SPACINGS = [("单倍行距", "single"), ("1.5 倍行距", "1.5"), ("1.5倍行距", "1.5")]
+
+
+def _first_word(t: Column, table) -> Column:
+    """The value of the first word of a table that stands in the text."""
+    return F.coalesce(*[F.when(t.contains(word), F.lit(value)) for word, value in table])
+
+
 def style_requirements(x) -> Column:
     """Fonts, size, weight, alignment and line spacing that a text asks for; nulls for what it does not say."""
     t = _c(x)
-    # fixed values: the words for fonts, alignment and spacing
-    fonts = F.regexp_extract_all(t, F.lit("((?:[\\x{4e00}-\\x{9fff}A-Za-z ]{1,30}(?:黑体|宋体|楷体|仿宋|行楷))|Times New Roman)"))
     number = lambda p: F.nullif(F.regexp_extract(t, p, 1), F.lit("")).cast("double")
-    multiple, exact = number("多倍行距[；;，, ]*设置值[=＝]?\\s*(\\d+(?:\\.\\d+)?)"), number("固定(?:值|行距约)?\\s*(\\d+(?:\\.\\d+)?)\\s*pt")
-    spacing = (
-        F.when(exact.isNotNull(), F.concat(F.lit("exact:"), shortest(exact), F.lit("pt")))
-        .when(multiple.isNotNull(), F.concat(F.lit("multiple:"), shortest(multiple)))
-        .when(t.contains("单倍行距"), "single")
-        .when(t.contains("1.5 倍行距") | t.contains("1.5倍行距"), "1.5")
+    exact, multiple = number(EXACT_PATTERN), number(MULTIPLE_PATTERN)
+    spacing = F.coalesce(
+        F.when(exact.isNotNull(), F.concat(F.lit("exact:"), shortest(exact), F.lit("pt"))), F.when(multiple.isNotNull(), F.concat(F.lit("multiple:"), shortest(multiple))), _first_word(t, SPACINGS)
     )
     return F.struct(
-        F.array_distinct(F.transform(fonts, lambda f: F.trim(f))).alias("fonts"), number("(\\d+(?:\\.\\d+)?)\\s*pt").alias("font_size_pt"),
-        F.when(t.contains("不加粗"), False).when(t.contains("加粗"), True).alias("bold"),
-        F.when(t.contains("居中"), "center").when(t.contains("两端对齐"), "both").when(t.contains("左对齐"), "left").alias("alignment"), spacing.alias("line_spacing"),
+        F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(FONT_PATTERN)), lambda f: F.trim(f))).alias("fonts"), number(SIZE_PATTERN).alias("font_size_pt"),
+        _first_word(t, WEIGHTS).alias("bold"), _first_word(t, ALIGNMENTS).alias("alignment"), spacing.alias("line_spacing"),
     )
 
 
