@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from folioscope.plans import gaps, layouts, sequences, star, texts, verdicts, word_files
+from folioscope.plans import audits, gaps, layouts, sequences, star, texts, verdicts, word_files
 
 FLAGSHIP = "pricing_summary"
 
-_MODULES = (star, sequences, verdicts, texts, layouts, gaps, word_files)
+_MODULES = (star, sequences, verdicts, texts, layouts, gaps, audits, word_files)
 
 
 def queries():
