@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.llm import decontam, langid, licenses, mixing, pitman_yor, simhash, syncmers, token_ids, toxicity, warc
+from folioscope.llm import crosstoken, decontam, langid, licenses, mixing, pitman_yor, simhash, syncmers, token_ids, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
@@ -15,6 +15,7 @@ QUERIES = {
     "op7_warc": warc.op7_warc,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_mixing": mixing.op10_mixing,
+    "op13_crosstoken": crosstoken.op13_crosstoken,
 }
 
 SQL = {

@@ -66,9 +66,10 @@ class Encoder:
     #: What surely counts as a letter or digit before a full stop or comma.
     ENDS = r"[A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}\x{400}-\x{481}\x{48A}-\x{52F}\x{4E00}-\x{9FA5}\x{3041}-\x{3096}]$"
 
-    def __init__(self, path: str, memory: int = MEMORY):
+    def __init__(self, path: str, memory: int = MEMORY, plain_specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel unit
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain_specials
         pre = self.tokenizer.pre_tokenizer
         plain = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and pre.use_regex and self.tokenizer.normalizer is None
         #: Pieces, and where in ``flat`` their ids stand.
@@ -93,14 +94,18 @@ class Encoder:
             ends = [*at[1:].tolist(), len(packed)]
             yield from zip(some, map(packed.__getitem__, map(slice, at.tolist(), ends)), strict=True)
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, and how many each has; a null text is empty."""
+    def encode(self, texts: pa.Array, spaced: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each has; a null text is empty.
+
+        With ``spaced`` each text is encoded with one space before it.
+        """
         texts = pc.fill_null(texts, "")
+        lead = " " if spaced else ""
         if self.known is None or not len(texts):
-            ids = self._library(texts.to_pylist())
+            ids = self._library([lead + x for x in texts.to_pylist()])
             return np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], np.int64)
         m = self.MARK
-        cut = pc.binary_join_element_wise(pa.scalar(m), texts, "")
+        cut = texts if spaced else pc.binary_join_element_wise(pa.scalar(m), texts, "")
         for old, new in ((". ", f" {m}. "), (", ", f" {m}, "), (".\n", f" {m}.\n"), ("\n", f" {m}\n {m}")):
             cut = pc.replace_substring(cut, old, new)
         cut = pc.split_pattern(cut, " ")
@@ -140,7 +145,7 @@ class Encoder:
         if whole.any():
             chosen = np.flatnonzero(whole)
             parts = np.split(out, np.cumsum(counts)[:-1])
-            for i, x in zip(chosen.tolist(), self._library(texts.take(pa.array(chosen)).to_pylist())):
+            for i, x in zip(chosen.tolist(), self._library([lead + x for x in texts.take(pa.array(chosen)).to_pylist()])):
                 parts[i] = np.frombuffer(x, "<u4")
             out, counts = np.concatenate(parts), np.array([len(x) for x in parts])
         return out, counts
