@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.llm import crosstoken, decontam, langid, licenses, mixing, pitman_yor, simhash, syncmers, token_ids, toxicity, warc
+from folioscope.llm import crosstoken, decontam, langid, licenses, mixing, nearest, pitman_yor, simhash, syncmers, token_ids, toxicity, warc, whitening
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
@@ -15,6 +15,8 @@ QUERIES = {
     "op7_warc": warc.op7_warc,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_mixing": mixing.op10_mixing,
+    "op11_nearest": nearest.op11_nearest,
+    "op12_whitening": whitening.op12_whitening,
     "op13_crosstoken": crosstoken.op13_crosstoken,
 }
 
