@@ -1,95 +1,367 @@
-"""Trees and inheritance as adjacency tables (node, parent), by iteration with a bound on depth.
+"""Trees and inheritance as adjacency tables (node, parent), of any depth.
 
-Depth, not size, decides how many joins run: each step doubles the distance
-that is known, so a chain of n takes about log2(n) joins, each cut by a checkpoint.
+What a node takes from above is found by climbing: every node knows a stretch of
+its path, and a join with the stretch that begins where its own ends doubles
+it, so a path of n takes log2(n) joins and nodes that have reached the top rest.
+What a node sums up from below is found by contraction: leaves are added to
+their parents, and where few are left, chains of only children are folded into
+one edge; both at least halve the tree in a few rounds, and the folded nodes get
+their sums afterwards.  Neither holds a row for each node and ancestor.  Each
+round is written as a table in the shared folder, and only counts come to the driver.
+
+Columns keep their names at the edges; within, a node is the struct of ``by``
+and its own id, so that no column of the input can clash with a helper.  Rows
+without a node are no nodes.  Rows that repeat a node are one node, whose parent
+is none if a row says so, or else the smallest.  Parents that are not nodes end
+a path.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.sources.shared import cut
+from folioscope.operators.sequence import ranged_sequence
+from folioscope.sources.shared import written
+
+_AGGREGATES = {"sum": F.sum, "all": F.bool_and, "min": F.min, "max": F.max, "xor": F.bit_xor}
+#: Chains are folded when a round takes off fewer than one in so many nodes.
+_FEW = 4
+
+
+def _both(kind: str, a: Column, b: Column) -> Column:
+    """Two values as one, where a null is nothing."""
+    both = {"sum": lambda: a + b, "all": lambda: a & b, "min": lambda: F.least(a, b), "max": lambda: F.greatest(a, b), "xor": lambda: a.bitwiseXOR(b)}[kind]()
+    return F.coalesce(both, a, b)
+
+
+def _key_of(by):
+    return lambda c: F.struct(*[F.col(b).alias(f"b{i}") for i, b in enumerate(by)], F.col(c).alias("n"))
+
+
+def _forest(nodes: DataFrame, by, node: str, parent: str, values: dict[str, Column] | None = None) -> DataFrame:
+    """(id, up, lost, *values): one row a node; ``up`` is null at the top, ``lost`` where the parent is not a node.
+
+    ``values`` are aggregates over the rows of a node.
+    """
+    key = _key_of(by)
+    rows = nodes.filter(F.col(node).isNotNull())
+    grouped = rows.groupBy(key(node).alias("id")).agg(
+        F.when(F.count_if(F.col(parent).isNull()) == 0, F.min(F.when(F.col(parent).isNotNull(), key(parent)))).alias("up"), *[c.alias(f"v{i}") for i, c in enumerate((values or {}).values())]
+    )
+    known = rows.select(key(node).alias("up"), F.lit(True).alias("known")).distinct()
+    out = grouped.join(known, "up", "left").withColumn("lost", F.col("up").isNotNull() & F.col("known").isNull())
+    return out.select("id", F.when(~F.col("lost"), F.col("up")).alias("up"), "lost", *[f"v{i}" for i in range(len(values or {}))])
+
 
-MOST_DEPTH = 64
+def _named(df: DataFrame, by, columns) -> DataFrame:
+    """A frame by id with the names of ``by`` and of its node put back."""
+    return df.select(*[F.col(f"id.b{i}").alias(b) for i, b in enumerate(by)], F.col("id.n").alias("node"), *columns)
 
 
-def ancestors(nodes: DataFrame, by, node="node", parent="parent", most_depth: int = MOST_DEPTH) -> DataFrame:
+def _climb(forest: DataFrame, carried: dict[str, tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, up, *carried) of nodes that reach a top, ``up`` null, and of those that run into a ring, ``up`` on the ring.
+
+    ``carried`` names columns of ``forest`` and says how that of a stretch
+    follows from its lower and upper part: ``nearest`` and ``topmost`` take the
+    first that is not null from below or above, ``last`` the upper one, and
+    others as in :func:`_both`.
+    """
+    rules = {"nearest": F.coalesce, "topmost": lambda a, b: F.coalesce(b, a), "last": lambda a, b: b}
+    joined = {name: rules[kind] if kind in rules else (lambda a, b, k=kind: _both(k, a, b)) for name, kind in carried.items()}
+    parts, moving = [], written(forest.select("id", "up", *carried))
+    steps, before, n = 1, -1, -1
+    while True:
+        parts.append(moving.filter(F.col("up").isNull()))
+        moving = moving.filter(F.col("up").isNotNull())
+        before, n = n, moving.count()
+        # each round brings nodes to the top while any can get there; what stays runs into rings, and is walked once around
+        if not n or n == before and steps >= n:
+            break
+        known = reduce(DataFrame.unionByName, [*parts, moving]).select(F.col("id").alias("u_id"), F.col("up").alias("u_up"), *[F.col(c).alias(f"u_{c}") for c in carried])
+        step = moving.join(known, F.col("up") == F.col("u_id"))
+        moving = written(step.select("id", F.col("u_up").alias("up"), *[joined[c](F.col(c), F.col(f"u_{c}")).alias(c) for c in carried]))
+        steps *= 2
+    return reduce(DataFrame.unionByName, parts), moving
+
+
+def _folded(alive: DataFrame, kinds: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Folds chains of only children: what is left of ``alive``, the chains' nodes (id, below, *sums) and the nodes of bare rings (id)."""
+    vs, es = [f"v{i}" for i in range(len(kinds))], [f"e{i}" for i in range(len(kinds))]
+    single = alive.filter("kids = 1")
+    names = single.select(F.col("id").alias("below"), F.lit(True).alias("open"))
+    child = alive.filter(F.col("up").isNotNull()).select(F.col("up").alias("id"), F.col("id").alias("below"), *[F.col(e).alias(f"k{e}") for e in es])
+    seg = single.join(child, "id").join(names, "below", "left")
+    seg = written(seg.select("id", "below", "up", *es, *[_both(k, F.col(v), F.col(f"k{e}")).alias(v) for k, v, e in zip(kinds, vs, es)], F.coalesce("open", F.lit(False)).alias("open")))
+    before, n = -1, seg.filter("open").count()
+    while n and n != before:
+        known = seg.select(F.col("id").alias("u_id"), F.col("below").alias("u_below"), *[F.col(v).alias(f"u_{v}") for v in vs], F.col("open").alias("u_open"))
+        step = seg.filter("open").join(known, F.col("below") == F.col("u_id"))
+        step = step.select("id", F.col("u_below").alias("below"), "up", *es, *[_both(k, F.col(v), F.col(f"u_{v}")).alias(v) for k, v in zip(kinds, vs)], F.col("u_open").alias("open"))
+        seg = written(seg.filter("NOT open").unionByName(step))
+        before, n = n, seg.filter("open").count()
+    ring, chains = seg.filter("open").select("id"), seg.filter("NOT open")
+    tops = chains.join(chains.select(F.col("id").alias("up"), F.lit(True).alias("inside")), "up", "left").filter(F.col("inside").isNull())
+    moved = tops.select(F.col("below").alias("id"), F.col("up").alias("new_up"), *[_both(k, F.col(e), F.col(v)).alias(f"new_{e}") for k, v, e in zip(kinds, vs, es)], F.lit(True).alias("moved"))
+    rest = alive.filter("kids <> 1").join(moved, "id", "left")
+    pick = lambda c: F.when(F.col("moved"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c)
+    return written(rest.select("id", pick("up"), *vs, *[pick(e) for e in es], "kids")), chains.select("id", "below", *vs), ring
+
+
+def _totals(forest: DataFrame, kinds: list[str]) -> DataFrame:
+    """(id, known, *v): each v over the node and all below it; a node on a ring has none and is not ``known``."""
+    vs, es = [f"v{i}" for i in range(len(kinds))], [f"e{i}" for i in range(len(kinds))]
+    kids = forest.filter(F.col("up").isNotNull()).groupBy(F.col("up").alias("id")).agg(F.count(F.lit(1)).alias("kids"))
+    nothing = {f"e{i}": F.lit(None).cast(forest.schema[v].dataType) for i, v in enumerate(vs)}
+    alive = written(forest.select("id", "up", *vs).withColumns(nothing).join(kids, "id", "left").withColumn("kids", F.coalesce("kids", F.lit(0))))
+    done, chains, n = [], [], alive.count()
+    while n:
+        leaves = alive.filter("kids = 0")
+        done.append(leaves.select("id", F.lit(True).alias("known"), *vs))
+        told = leaves.filter(F.col("up").isNotNull()).select(F.col("up").alias("id"), F.lit(None).cast(alive.schema["up"].dataType).alias("up"),
+            *[_both(k, F.col(v), F.col(e)).alias(v) for k, v, e in zip(kinds, vs, es)], *[nothing[e].alias(e) for e in es], F.lit(-1).cast("long").alias("kids"))
+        both = alive.filter("kids > 0").unionByName(told).groupBy("id")
+        alive = written(both.agg(F.max("up").alias("up"), *[_AGGREGATES[k](v).alias(v) for k, v in zip(kinds, vs)], *[F.max(e).alias(e) for e in es], F.sum("kids").alias("kids")))
+        m = alive.count()
+        if m and (n - m) * _FEW < n:
+            alive, chain, ring = _folded(alive, kinds)
+            chains.append(chain)
+            done.append(ring.select("id", F.lit(False).alias("known"), *[F.lit(None).cast(forest.schema[v].dataType).alias(v) for v in vs]))
+            m = alive.count()
+        n = m
+    for chain in reversed(chains):
+        below = reduce(DataFrame.unionByName, done).select(F.col("id").alias("below"), "known", *[F.col(v).alias(f"u_{v}") for v in vs])
+        sums = [F.when(F.col("known"), _both(k, F.col(v), F.col(f"u_{v}"))).alias(v) for k, v in zip(kinds, vs)]
+        done.append(written(chain.join(below, "below").select("id", "known", *sums)))
+    if not done:
+        return forest.select("id", F.lit(True).alias("known"), *vs)
+    return reduce(DataFrame.unionByName, done)
+
+
+def ancestors(nodes: DataFrame, by, node="node", parent="parent") -> DataFrame:
     """All (node, ancestor, distance) with distance 0 to itself, nearest distance first found.
 
-    Parents that are not nodes end a chain.  Of a cycle each node has every other
-    as an ancestor once; it never runs beyond ``most_depth``.
+    The result has a row for each node and ancestor; the other operators here
+    do without it.  Nodes that stand twice with different parents keep all of
+    them.  Of a cycle each node has every other as an ancestor once.
     """
-    # nodes that stand twice with different parents keep all of them
-    step = nodes.filter(F.col(parent).isNotNull()).select(*by, F.col(node).alias("_n"), F.col(parent).alias("_a"), F.lit(1).alias("_d")).distinct()
-    step = step.join(nodes.select(*by, F.col(node).alias("_a")), [*by, "_a"], "left_semi").select(*by, "_n", "_a", "_d")
-    known, size, reach = cut(step), -1, 1
-    while reach < most_depth:
-        far = known.select(*by, F.col("_n").alias("_m"), F.col("_a").alias("_far"), F.col("_d").alias("_e"))
-        longer = known.withColumnRenamed("_a", "_m").join(far, [*by, "_m"])
-        longer = longer.select(*by, "_n", F.col("_far").alias("_a"), (F.col("_d") + F.col("_e")).alias("_d"))
-        known = cut(known.unionByName(longer).groupBy(*by, "_n", "_a").agg(F.min("_d").alias("_d")))
+    key = _key_of(by)
+    rows = nodes.filter(F.col(node).isNotNull())
+    selves = rows.select(key(node).alias("id")).distinct()
+    step = rows.filter(F.col(parent).isNotNull()).select(key(node).alias("id"), key(parent).alias("a"), F.lit(1).alias("d")).distinct()
+    known, size = written(step.join(selves.withColumnRenamed("id", "a"), "a", "left_semi").select("id", "a", "d")), -1
+    while True:
+        far = known.select(F.col("id").alias("a"), F.col("a").alias("far"), F.col("d").alias("e"))
+        longer = known.join(far, "a").select("id", F.col("far").alias("a"), (F.col("d") + F.col("e")).alias("d"))
+        known = written(known.unionByName(longer).groupBy("id", "a").agg(F.min("d").alias("d")))
         before, size = size, known.count()
-        reach *= 2
         if size == before:
             break
-    selves = nodes.select(*by, F.col(node).alias("_n"), F.col(node).alias("_a"), F.lit(0).alias("_d")).distinct()
-    known = known.filter((F.col("_d") <= most_depth) & (F.col("_n") != F.col("_a"))).unionByName(selves)
-    return known.select(*by, F.col("_n").alias("node"), F.col("_a").alias("ancestor"), F.col("_d").alias("distance"))
+    known = known.filter("id <> a").unionByName(selves.select("id", F.col("id").alias("a"), F.lit(0).alias("d")))
+    return _named(known, by, [F.col("a.n").alias("ancestor"), F.col("d").alias("distance")])
+
+
+def resolve_inherited(nodes: DataFrame, by, values, node="node", parent="parent") -> DataFrame:
+    """Each node's values, where null those of the nearest ancestor that has one, and its depth.
 
+    Of rows that repeat a node the smallest value counts.  A node that runs
+    into a ring takes what it meets on its way; its depth is null.
+    """
+    forest = _forest(nodes, by, node, parent, {v: F.min(v) for v in values}).withColumn("depth", F.when(F.col("up").isNotNull(), 1).otherwise(0))
+    names = [f"v{i}" for i in range(len(values))]
+    at_top, in_rings = _climb(forest, dict.fromkeys(names, "nearest") | {"depth": "sum"})
+    both = at_top.unionByName(in_rings.withColumn("depth", F.lit(None).cast("int")))
+    return _named(both, by, [*[F.col(x).alias(v) for x, v in zip(names, values)], "depth"])
 
-def resolve_inherited(nodes: DataFrame, by, values, node="node", parent="parent", most_depth: int = MOST_DEPTH) -> DataFrame:
-    """Each node's values, where null those of the nearest ancestor that has one."""
-    chain = ancestors(nodes, by, node, parent, most_depth)
-    theirs = nodes.select(*by, F.col(node).alias("ancestor"), *values)
-    joined = chain.join(theirs, [*by, "ancestor"])
-    return joined.groupBy(*by, "node").agg(*[F.min_by(v, F.when(F.col(v).isNotNull(), F.col("distance"))).alias(v) for v in values], F.max("distance").alias("depth"))
 
+def roll_up(nodes: DataFrame, by, sums=(), alls=(), mins=(), xors=(), node="node", parent="parent") -> DataFrame:
+    """Sums, conjunctions, minima and exclusive ors over each node and its descendants, and how many nodes those are.
 
-def roll_up(nodes: DataFrame, by, sums=(), alls=(), node="node", parent="parent", most_depth: int = MOST_DEPTH) -> DataFrame:
-    """Sums and conjunctions over each node and its descendants."""
-    chain = ancestors(nodes, by, node, parent, most_depth)
-    own = chain.join(nodes.select(*by, F.col(node).alias("node"), *sums, *alls), [*by, "node"])
-    return own.groupBy(*by, F.col("ancestor").alias("node")).agg(*[F.sum(c).alias(c) for c in sums], *[F.bool_and(c).alias(c) for c in alls], F.count(F.lit(1)).alias("n_nodes"))
+    Nulls count for nothing; of rows that repeat a node all count, but it is
+    one node.  A node on a ring has no end below it: its values are null.
+    """
+    kinds = {c: "sum" for c in sums} | {c: "all" for c in alls} | {c: "min" for c in mins} | {c: "xor" for c in xors}
+    forest = _forest(nodes, by, node, parent, {**{c: _AGGREGATES[k](c) for c, k in kinds.items()}, "": F.lit(1).cast("long")})
+    total = _totals(forest, [*kinds.values(), "sum"])
+    return _named(total, by, [*[F.col(f"v{i}").alias(c) for i, c in enumerate(kinds)], F.col(f"v{len(kinds)}").alias("n_nodes")])
 
 
-def leaf_members(nodes: DataFrame, by, node="node", parent="parent", most_depth: int = MOST_DEPTH) -> DataFrame:
-    """(node, leaf) for every leaf at or under every node."""
+def leaf_members(nodes: DataFrame, by, node="node", parent="parent") -> DataFrame:
+    """(node, leaf) for every leaf at or under every node: as many rows as :func:`ancestors` has for leaves."""
     parents = nodes.select(*by, F.col(parent).alias(node)).filter(F.col(node).isNotNull()).distinct()
     leaves = nodes.select(*by, node).join(parents, [*by, node], "left_anti").withColumnRenamed(node, "node")
-    return ancestors(nodes, by, node, parent, most_depth).join(leaves, [*by, "node"], "left_semi").select(*by, F.col("ancestor").alias("node"), F.col("node").alias("leaf"))
+    return ancestors(nodes, by, node, parent).join(leaves, [*by, "node"], "left_semi").select(*by, F.col("ancestor").alias("node"), F.col("node").alias("leaf"))
+
+
+def leaf_sets(nodes: DataFrame, by, node="node", parent="parent") -> DataFrame:
+    """(node, n_leaves, first_leaf, print_1, print_2): a fingerprint of the set of leaves at or under every node.
+
+    The prints are exclusive ors of two 64-bit hashes of each leaf, so they
+    need no order and no list, and two sets of the same size with the same
+    prints are taken for equal.
+    """
+    forest = _forest(nodes, by, node, parent)
+    inner = forest.filter(F.col("up").isNotNull()).select(F.col("up").alias("id"), F.lit(True).alias("inner")).distinct()
+    own = lambda c: F.when(F.col("inner").isNull(), c)
+    leaf = F.col("id.n")
+    rows = forest.join(inner, "id", "left").select("id", "up", own(F.lit(1).cast("long")).alias("v0"), own(leaf).alias("v1"), own(F.xxhash64(leaf)).alias("v2"), own(F.xxhash64(F.lit(1), leaf)).alias("v3"))
+    total = _totals(rows, ["sum", "min", "xor", "xor"])
+    return _named(total, by, [F.col("v0").alias("n_leaves"), F.col("v1").alias("first_leaf"), F.col("v2").alias("print_1"), F.col("v3").alias("print_2")])
 
 
-def tree_errors(nodes: DataFrame, by, node="node", parent="parent", most_depth: int = MOST_DEPTH) -> DataFrame:
-    """What is wrong with a tree: repeated nodes, unknown parents, several parents, cycles and nodes that no root reaches."""
-    per = nodes.groupBy(*by, F.col(node).alias("node")).agg(F.count(F.lit(1)).alias("_n"), F.countDistinct(parent).alias("_p"), F.count_if(F.col(parent).isNull()).alias("_roots"))
-    out = per.filter("_n > 1").select(*by, "node", F.when(F.col("_p") + F.least("_roots", F.lit(1)) > 1, "several_parents").otherwise("repeated").alias("error"))
-    known = nodes.select(*by, F.col(node).alias(parent)).distinct()
-    lost = nodes.filter(F.col(parent).isNotNull()).join(known, [*by, parent], "left_anti").select(*by, F.col(node).alias("node"), F.lit("unknown_parent").alias("error"))
-    chain = ancestors(nodes, by, node, parent, most_depth)
-    step = nodes.filter(F.col(parent).isNotNull()).select(*by, F.col(node).alias("ancestor"), F.col(parent).alias("node"))
-    ring = chain.join(step, [*by, "node", "ancestor"], "left_semi").select(*by, F.col("node"), F.lit("cycle").alias("error"))
-    roots = nodes.filter(F.col(parent).isNull()).select(*by, F.col(node).alias("ancestor"))
-    reached = chain.join(roots, [*by, "ancestor"], "left_semi").select(*by, "node").distinct()
-    adrift = nodes.select(*by, F.col(node).alias("node")).distinct().join(reached, [*by, "node"], "left_anti").withColumn("error", F.lit("unreachable"))
-    return out.unionByName(lost).unionByName(ring).unionByName(adrift).distinct()
+def leaf_set_faults(nodes: DataFrame, members: DataFrame, by, node="node", parent="parent", leaf="leaf") -> DataFrame:
+    """What is wrong with declared leaves (by, node, leaf) of a tree.
+
+    ``not_the_union``: a node's leaves are not the union of those that its
+    children declare; ``no_identity``: a node without children declares none;
+    ``not_derived``: a node's leaves are not those that the tree has under it.
+    Repeated declarations count once; those of unknown nodes are left out, as
+    are nodes on a ring from the last check.
+    """
+    key = _key_of(by)
+    declared = members.filter(F.col(node).isNotNull() & F.col(leaf).isNotNull()).select(key(node).alias("id"), F.col(leaf).alias("leaf")).distinct()
+    prints = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("leaf")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "leaf")).alias("h2")]
+    own = declared.groupBy("id").agg(*prints)
+    forest = written(_forest(nodes, by, node, parent))
+    edges = forest.filter(F.col("up").isNotNull()).select("id", "up")
+    union = declared.join(edges, "id").select(F.col("up").alias("id"), "leaf").distinct().groupBy("id").agg(*prints)
+    inner = edges.select(F.col("up").alias("id"), F.lit(True).alias("inner")).distinct()
+    derived = leaf_sets(nodes, by, node, parent)
+    derived = derived.select(key("node").alias("id"), F.col("n_leaves").alias("d_n"), F.col("print_1").alias("d_h1"), F.col("print_2").alias("d_h2"))
+    wide = forest.select("id").join(inner, "id", "left").join(own, "id", "left").join(union.select("id", *[F.col(c).alias(f"u_{c}") for c in ("n", "h1", "h2")]), "id", "left").join(derived, "id", "left")
+    differs = lambda side: reduce(lambda a, b: a | b, [~F.col(c).eqNullSafe(F.col(f"{side}_{c}")) for c in ("n", "h1", "h2")])
+    faults = F.array(
+        F.when(F.col("inner").isNotNull() & differs("u"), "not_the_union"), F.when(F.col("inner").isNull() & F.col("n").isNull(), "no_identity"), F.when(F.col("d_n").isNotNull() & differs("d"), "not_derived")
+    )
+    return _named(wide.withColumn("fault", F.explode(F.array_compact(faults))), by, ["fault"])
+
+
+def tree_errors(nodes: DataFrame, by, node="node", parent="parent") -> DataFrame:
+    """What is wrong with a tree: repeated nodes, unknown parents, several parents, cycles and nodes that no root reaches.
+
+    A node with several parents follows one of them, as everywhere here.
+    """
+    rows = nodes.filter(F.col(node).isNotNull())
+    per = rows.groupBy(*by, F.col(node).alias("node")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(parent).alias("p"), F.count_if(F.col(parent).isNull()).alias("r"))
+    out = per.filter(F.col("n") > 1).select(*by, "node", F.when(F.col("p") + F.least("r", F.lit(1)) > 1, "several_parents").otherwise("repeated").alias("error"))
+    key = _key_of(by)
+    edges = rows.filter(F.col(parent).isNotNull()).select(key(node).alias("id"), key(parent).alias("up"))
+    lost = _named(edges.join(rows.select(key(node).alias("up")).distinct(), "up", "left_anti"), by, [F.lit("unknown_parent").alias("error")])
+    forest = _forest(nodes, by, node, parent).withColumn("rooted", F.col("up").isNull() & ~F.col("lost"))
+    at_top, in_rings = _climb(forest, {"rooted": "last"})
+    adrift = at_top.filter("NOT rooted").select("id").unionByName(in_rings.select("id"))
+    ring = in_rings.select(F.col("up").alias("id")).distinct()
+    return reduce(DataFrame.unionByName, [out, lost, _named(ring, by, [F.lit("cycle").alias("error")]), _named(adrift, by, [F.lit("unreachable").alias("error")])]).distinct()
 
 
-def sparse_decisions(nodes: DataFrame, decisions: DataFrame, by, default: str = "keep", node="node", parent="parent", most_depth: int = 7) -> DataFrame:
+def preorder(nodes: DataFrame, by, order, node="node", parent="parent") -> DataFrame:
+    """(node, depth, first, last): places 1, 2, ... of a walk depth first, and the last place below each node.
+
+    A node is under another if its place lies in the other's range.  Roots
+    and siblings go by ``order`` (a column, smallest first, nulls before all)
+    and then by node.  Nodes that no top reaches are left out.
+    """
+    kin = _forest(nodes, by, node, parent, {"": F.lit(1).cast("long"), "order": F.min(order)})
+    kin = written(kin.select("id", F.struct(*[F.col(f"id.b{i}").alias(f"b{i}") for i in range(len(by))], F.coalesce("up.n", F.lit(None)).alias("n")).alias("under"), "up", "v0", "v1"))
+    size = _totals(kin.select("id", "up", "v0"), ["sum"]).filter("known").select("id", F.col("v0").alias("size"))
+    # running sums among siblings, by ranges, as a node may have a great part of all nodes as children
+    lined = ranged_sequence(kin.join(size, "id"), ["under"], ["v1", "id"], "place").withColumn("range", F.floor((F.col("place") - 1) / _SIBLINGS))
+    whole = lined.groupBy("under", "range").agg(F.sum("size").alias("held"))
+    earlier = Window.partitionBy("under").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.withColumn("before", F.coalesce(F.sum("held").over(earlier), F.lit(0))).select("under", "range", "before")
+    inside = Window.partitionBy("under", "range").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    lined = lined.join(whole, ["under", "range"]).withColumn("step", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)) + 1)
+    at_top, _ = _climb(lined.select("id", "up", "step", "size", F.when(F.col("up").isNotNull(), 1).otherwise(0).alias("depth")), {"step": "sum", "depth": "sum"})
+    out = at_top.join(size, "id")
+    return _named(out, by, ["depth", F.col("step").alias("first"), (F.col("step") + F.col("size") - 1).alias("last")])
+
+
+#: Siblings that one task sums up.
+_SIBLINGS = 1 << 20
+
+
+def sparse_decisions(nodes: DataFrame, decisions: DataFrame, by, default: str = "keep", node="node", parent="parent", most_depth: int | None = 7) -> DataFrame:
     """The result of each leaf when a tree is walked from its roots down.
 
     ``decisions`` holds (by, node, result, descend).  A decision without
     ``descend`` settles everything below it; one with it hands on to the
-    children; a node without a decision stops with ``default``.  So the
-    settling node of a leaf is its highest ancestor that does not descend.
+    children; a node without a decision stops with ``default``, and so does
+    one deeper than ``most_depth``.  The settling node of a leaf is its highest
+    ancestor that does not descend.  Leaves that no top reaches are left out.
+    """
+    key = _key_of(by)(node)
+    forest = written(_forest(nodes, by, node, parent).withColumn("depth", F.when(F.col("up").isNotNull(), 1).otherwise(0)))
+    told = decisions.groupBy(key.alias("id")).agg(F.min_by(F.struct("result", F.coalesce("descend", F.lit(False)).alias("descend")), F.col("result")).alias("told"))
+    inner = forest.filter(F.col("up").isNotNull()).select(F.col("up").alias("id"), F.lit(True).alias("inner")).distinct()
+    deep, _ = _climb(forest, {"depth": "sum"})
+    rows = forest.select("id", "up").join(deep.select("id", "depth"), "id").join(told, "id", "left").join(inner, "id", "left")
+    too_deep = F.lit(False) if most_depth is None else F.col("depth") > most_depth
+    stops = too_deep | ~F.coalesce("told.descend", F.lit(False)) | F.col("inner").isNull()
+    stop = F.when(stops, F.struct(F.col("id.n").alias("at"), F.when(too_deep, F.lit(default)).otherwise(F.coalesce("told.result", F.lit(default))).alias("result")))
+    walked, _ = _climb(rows.select("id", "up", stop.alias("stop")), {"stop": "topmost"})
+    leaves = walked.join(inner, "id", "left_anti")
+    return _named(leaves, by, [F.col("stop.at").alias("settled_at"), F.col("stop.result").alias("result")]).withColumnRenamed("node", "leaf")
+
+
+def budgeted_walk(nodes: DataFrame, decisions: DataFrame, by, order, max_depth: int = 7, max_calls: int = 512, node="node", parent="parent") -> DataFrame:
+    """One row a leaf: what a walk depth first settles it with when each node costs a call and calls are few.
+
+    ``decisions`` holds (by, node, result, status, error, inspect, inline):
+    checked decisions, ``result`` one of keep, fill, delete and split,
+    ``status`` accepted or another, ``error`` set where the call failed,
+    ``inspect`` the children to visit, ``inline`` an array of (node, result,
+    status) for children settled at once.  A node without one is under manual
+    review and kept.
+
+    Roots are visited, then the children that a split inspects, in ``order``.
+    A visit deeper than ``max_depth`` or beyond ``max_calls`` in its ``by``, or
+    whose call fails, keeps all below it as a fallback.  Children that a split
+    neither settles nor inspects are kept under it.  Rows (by, leaf, action,
+    resolution, status, reason, settled_at, inherited_from).  Leaves that no
+    top reaches are left out; a repeated decision counts once, by the smallest
+    result.
     """
-    chain = ancestors(nodes, by, node, parent, most_depth)
-    known = decisions.select(*by, F.col(node).alias("ancestor"), F.col("result").alias("_result"), F.coalesce("descend", F.lit(False)).alias("_descend"))
-    leaves = leaf_members(nodes, by, node, parent, most_depth).select(*by, F.col("leaf").alias("node")).distinct()
-    walked = chain.join(leaves, [*by, "node"], "left_semi").join(known, [*by, "ancestor"], "left")
-    stop = F.when(~F.coalesce("_descend", F.lit(False)) | (F.col("distance") == 0), F.struct("distance", "ancestor", F.coalesce("_result", F.lit(default)).alias("result")))
-    out = walked.groupBy(*by, "node").agg(F.max_by(stop, F.when(stop.isNotNull(), F.col("distance"))).alias("_stop"))
-    return out.select(*by, F.col("node").alias("leaf"), F.col("_stop.ancestor").alias("settled_at"), F.col("_stop.result").alias("result"))
+    placed = preorder(nodes, by, order, node, parent)
+    key = _key_of(by)
+    told = decisions.groupBy(key(node).alias("id")).agg(F.min_by(F.struct("result", "status", "error", "inspect", "inline"), F.struct("result", "status", "error")).alias("told"))
+    forest = _forest(nodes, by, node, parent)
+    rows = written(forest.select("id", "up").join(placed.select(key("node").alias("id"), "depth", "first"), "id").join(told, "id", "left"))
+    # what the parent says of each node
+    splits = (F.col("told.result") == "split") & (F.col("told.status") == "accepted") & F.col("told.error").isNull()
+    says = rows.filter(splits).select(F.col("id").alias("up"), F.col("told.inspect").alias("inspect"), F.col("told.inline").alias("inline"))
+    inner = rows.filter(F.col("up").isNotNull()).select(F.col("up").alias("id"), F.lit(True).alias("inner")).distinct()
+    rows = rows.join(says, "up", "left").join(inner, "id", "left")
+    inline = F.get(F.filter("inline", lambda x: x["node"] == F.col("id.n")), F.lit(0))
+    rows = rows.withColumns({"here": inline, "asked": F.coalesce(F.array_contains("inspect", F.col("id.n")), F.lit(False)), "splits": F.coalesce(splits, F.lit(False))})
+    rows = written(rows.withColumn("visit", F.col("up").isNull() | (F.col("here").isNull() & F.col("asked"))).drop("inspect", "inline"))
+    # visits that are made if calls are free, and the first of them in order
+    wanted, _ = _climb(rows, {"visit": "all"})
+    wanted = wanted.filter("visit").join(rows.select("id", "depth", "first"), "id")
+    groups = [F.col(f"id.b{i}") for i in range(len(by))]
+    called = wanted.filter(F.col("depth") <= max_depth).withColumn("call", F.row_number().over(Window.partitionBy(*groups).orderBy("first"))).filter(F.col("call") <= max_calls)
+    called = written(called.select("id", "call"))
+    rows = rows.join(called, "id", "left").join(called.select(F.col("id").alias("up"), F.lit(True).alias("above")), "up", "left")
+    leaf, at, told_ok = F.col("inner").isNull(), F.col("id.n"), F.col("told.status") == "accepted"
+    outcome = lambda action, resolution, status, reason, origin: F.struct(
+        action.alias("action"), resolution.alias("resolution"), status.alias("status"), reason.alias("reason"), at.alias("settled_at"), origin.alias("inherited_from"))
+    none, kept = F.lit(None).cast("string"), F.lit("keep")
+    nobody = F.lit(None).cast(nodes.schema[node].dataType)
+    settled = lambda accepted, result, status: outcome(
+        F.when(accepted, result).otherwise("keep"), F.when(~accepted, "fallback").when(leaf, "direct").otherwise("inherited"), F.coalesce(status, F.lit("manual_review")), none, F.when(accepted & ~leaf, at))
+    refused = F.when(F.col("depth") > max_depth, F.lit(f"maximum traversal depth {max_depth} reached")).otherwise(F.lit(f"maximum decision call budget {max_calls} reached"))
+    stop = (
+        F.when(F.col("up").isNotNull() & F.col("above").isNull(), None)
+        .when(F.col("here").isNotNull(), settled(F.coalesce(F.col("here.status") == "accepted", F.lit(False)), F.col("here.result"), F.col("here.status")))
+        .when(F.col("visit") & F.col("call").isNull(), outcome(kept, F.lit("fallback"), F.lit("fallback"), refused, nobody))
+        .when(F.col("visit") & F.col("told.error").isNotNull(), outcome(kept, F.lit("fallback"), F.lit("failed"), F.col("told.error"), nobody))
+        .when(F.col("visit") & F.col("splits") & ~leaf, None)
+        .when(F.col("visit"), settled(F.coalesce(told_ok & (F.col("told.result") != "split"), F.lit(False)), F.col("told.result"), F.when(F.col("told.result") == "split", "manual_review").otherwise(F.col("told.status"))))
+        .otherwise(outcome(kept, F.lit("inherited"), F.lit("accepted"), none, F.col("up.n")))
+    )
+    walked, _ = _climb(rows.select("id", "up", stop.alias("stop")), {"stop": "topmost"})
+    return _named(walked.join(inner, "id", "left_anti"), by, ["stop.*"]).withColumnRenamed("node", "leaf")
 
 
 def siblings(nodes: DataFrame, by, order, node="node", parent="parent") -> DataFrame:

@@ -230,14 +230,14 @@ def rolled_up(spark, sf_dir):
 
 def leaf_counts(spark, sf_dir):
     """Leaves under every node of the same tree."""
-    return hierarchy.leaf_members(_tree(spark, sf_dir), ["p_brand"]).groupBy("p_brand", "node").agg(F.count(F.lit(1)).alias("n_leaves"), F.min("leaf").alias("first_leaf"))
+    return hierarchy.leaf_sets(_tree(spark, sf_dir), ["p_brand"]).select("p_brand", "node", "n_leaves", "first_leaf")
 
 
 def settled_leaves(spark, sf_dir):
     """Results of a walk down the whole tree, however deep, by decisions at some nodes."""
     t = _tree(spark, sf_dir)
     d = t.filter("node % 5 <> 0").select("p_brand", "node", F.when(F.col("own") % 2 == 0, "fill").otherwise("delete").alias("result"), (F.col("own") % 7 != 0).alias("descend"))
-    return hierarchy.sparse_decisions(t, d, ["p_brand"], most_depth=hierarchy.MOST_DEPTH)
+    return hierarchy.sparse_decisions(t, d, ["p_brand"], most_depth=None)
 
 
 def tree_faults(spark, sf_dir):
@@ -379,6 +379,14 @@ SQL = {
     "rolled_up": f"""WITH RECURSIVE {_TREE} SELECT a.p_brand, a.ancestor AS node, CAST(sum(own) AS BIGINT) AS own, bool_and(whole) AS whole, count(*) AS n_nodes FROM a JOIN t ON t.p_brand = a.p_brand AND t.node = a.node GROUP BY a.p_brand, a.ancestor""",
     "leaf_counts": f"""WITH RECURSIVE {_TREE}, f AS (SELECT p_brand, node FROM t WHERE (p_brand, node) NOT IN (SELECT (p_brand, parent) FROM t WHERE parent IS NOT NULL))
         SELECT a.p_brand, a.ancestor AS node, count(*) AS n_leaves, min(a.node) AS first_leaf FROM a JOIN f ON f.p_brand = a.p_brand AND f.node = a.node GROUP BY a.p_brand, a.ancestor""",
+    "tree_faults": f"""WITH RECURSIVE {_TREE.split("a AS (")[0].rstrip().rstrip(",")},
+        r AS (SELECT p_brand, node, CASE WHEN node % 40 = 2 THEN node * 4 + 1 WHEN node % 40 = 5 THEN -1 ELSE parent END AS parent FROM t UNION ALL SELECT p_brand, node, 1 FROM t WHERE node % 40 = 7),
+        c AS (SELECT p_brand, node, CASE WHEN count(*) = count(parent) THEN min(parent) END AS parent FROM r GROUP BY ALL),
+        u AS (SELECT p_brand, node, parent AS spot FROM c WHERE parent IS NOT NULL UNION SELECT u.p_brand, u.node, c.parent FROM u JOIN c ON c.p_brand = u.p_brand AND c.node = u.spot WHERE c.parent IS NOT NULL),
+        top AS (SELECT p_brand, node FROM c WHERE parent IS NULL UNION SELECT u.p_brand, u.node FROM u JOIN c ON c.p_brand = u.p_brand AND c.node = u.spot AND c.parent IS NULL)
+        SELECT p_brand, node, CASE WHEN count(DISTINCT parent) + CASE WHEN count(*) > count(parent) THEN 1 ELSE 0 END > 1 THEN 'several_parents' ELSE 'repeated' END AS error FROM r GROUP BY p_brand, node HAVING count(*) > 1
+        UNION SELECT p_brand, node, 'unknown_parent' FROM r WHERE parent IS NOT NULL AND (p_brand, parent) NOT IN (SELECT (p_brand, node) FROM r)
+        UNION SELECT p_brand, node, 'cycle' FROM u WHERE node = spot UNION SELECT p_brand, node, 'unreachable' FROM c WHERE (p_brand, node) NOT IN (SELECT (p_brand, node) FROM top)""",
     "compared_contracts": """
         WITH l AS (SELECT l_orderkey, round(sum(l_extendedprice), 2) AS total, count(*) AS n FROM lineitem GROUP BY l_orderkey),
         j AS (SELECT *, o_orderkey % 5 AS m FROM orders LEFT JOIN l ON l_orderkey = o_orderkey WHERE o_orderkey % 11 <> 0),

@@ -26,6 +26,9 @@ def test_engine_stands_alone(tmp_path, gone):
             shutil.rmtree(path)
         elif path.exists():
             path.unlink()
-    env = {**os.environ, "PYTHONPATH": str(copy)}
-    subprocess.run([sys.executable, "-c", CODE], cwd=copy, env=env, check=True)
-    subprocess.run([sys.executable, "-m", "pytest", "tests", "-q", "--collect-only", "-p", "no:cacheprovider"], cwd=copy, env=env, check=True, stdout=subprocess.DEVNULL)
+    # what the outer interpreter finds, the inner one finds too, but for this repository
+    inherited = [x for x in os.environ.get("PYTHONPATH", "").split(os.pathsep) if x and os.path.realpath(x) != os.path.realpath(ROOT)]
+    env = {**os.environ, "PYTHONPATH": os.pathsep.join([str(copy), *inherited])}
+    for command in (["-c", CODE], ["-m", "pytest", "tests", "-q", "--collect-only", "-p", "no:cacheprovider"]):
+        run = subprocess.run([sys.executable, *command], cwd=copy, env=env, stdout=subprocess.PIPE, stderr=subprocess.STDOUT, text=True)
+        assert run.returncode == 0, run.stdout[-4000:]
