@@ -7,6 +7,13 @@ are trained together by stochastic gradient descent in numpy.  On rows kept
 apart from training a temperature is fitted, so that confidences are the shares
 of right predictions; texts with a confidence little above chance are rejected.
 
+A confidence cannot tell a language that was not learnt, as it only weighs the
+learnt ones against each other.  So the mean log-likelihood of a text's subwords,
+each in the learnt language that it is likeliest in, is compared with that of the
+rows kept apart: a text that falls too far below theirs, in deviations of a text
+of its length, is in no learnt language.  A text that mixes learnt languages is
+not far from them.
+
 The model is fitted on a bounded sample: at most SAMPLE texts, an equal share
 for each language, taken by hash.  Its size does not depend on the corpus
 (BUCKETS x DIMENSIONS and one column per language), so it is broadcast.
@@ -34,6 +41,11 @@ CALIBRATE = 5
 #: A text is rejected where its calibrated confidence is less than this part of the way from chance to certainty:
 #: its subwords then say next to nothing, and the best language is a guess.
 REJECT = 0.15
+#: A text is also rejected where its subwords are less likely than those of the rows kept apart by so many deviations:
+#: the farthest of SAFE of those rows by FACTOR, or LEAST_FAR.
+SAFE, FACTOR, LEAST_FAR = 0.995, 1.5, 4.0
+#: What is added to a bucket's count in a language.
+PRIOR = 0.1
 UNKNOWN = "und"
 #: Bytes of text whose subwords are held at once, some hundred bytes for each.
 SLICE_BYTES = 256 << 10
@@ -95,30 +107,45 @@ def _bags(batches):
 
 
 class Model:
-    """Languages, and per bucket the scores that embedding and softmax weights give together."""
+    """Languages, and per bucket the scores that embedding and softmax weights give together.
+
+    ``logs`` are log-likelihoods of the buckets in their likeliest language;
+    ``mean``, ``spread`` and ``drift`` have by language what they come to in a
+    text: over n subwords about ``mean``, with the variance drift + spread / n.
+    """
 
-    def __init__(self, langs: list[str], scores: np.ndarray, bias: np.ndarray, temperature: float):
+    def __init__(self, langs: list[str], scores: np.ndarray, bias: np.ndarray, temperature: float, logs=None, mean=None, spread=None, drift=None, far: float = np.inf):
         self.langs, self.scores, self.bias, self.temperature = langs, scores, bias, temperature
+        self.logs, self.mean, self.spread, self.drift, self.far = logs, mean, spread, drift, far
         chance = 1 / max(len(langs), 1)
         #: The confidence under which a text is rejected; all are where nothing was learnt.
         self.least = chance + REJECT * (1 - chance)
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """The language and the calibrated confidence of each text; `und` and 0 without a letter."""
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The language and the calibrated confidence of each text, and whether it is rejected; `und`, 0 and true without a letter."""
         if not self.langs:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         bucket, ends = subwords(texts)
         counts = np.diff(ends, prepend=0)
-        sums = np.zeros((len(texts), len(self.langs)))
+        sums, logs = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
         full = np.flatnonzero(counts)
         if len(full):
             begins = (ends - counts)[full]
             for k in range(len(self.langs)):
                 sums[full, k] = np.add.reduceat(self.scores[k][bucket], begins, dtype=np.float64)
+            if self.logs is not None:
+                logs[full] = np.add.reduceat(self.logs[bucket], begins, dtype=np.float64)
         p = _softmax((sums / np.maximum(counts, 1)[:, None] + self.bias) / self.temperature)
         best = p.argmax(axis=1)
-        langs = [self.langs[b] if n else UNKNOWN for b, n in zip(best, counts)]
-        return langs, np.where(counts > 0, p[np.arange(len(texts)), best], 0.0)
+        rows = np.arange(len(texts))
+        score = np.where(counts > 0, p[rows, best], 0.0)
+        strange = self.distance(logs, counts, best) > self.far if self.logs is not None else np.zeros(len(texts), bool)
+        return [self.langs[b] if n else UNKNOWN for b, n in zip(best, counts)], score, (score < self.least) | strange
+
+    def distance(self, logs: np.ndarray, counts: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """Deviations by which the summed log-likelihoods of texts fall below those of their languages."""
+        n = np.maximum(counts, 1)
+        return (self.mean[lang] - logs / n) / np.sqrt(self.drift[lang] + self.spread[lang] / n)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -164,7 +191,35 @@ def train(bags: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mode
     truth = np.array([index[b[0]] for b in apart])
     grid = np.geomspace(0.05, 20, 121)
     loss = [-np.log(np.maximum(_softmax(raw / t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in grid]
-    return Model(langs, scores, bias.astype(np.float64), float(grid[int(np.argmin(loss))]))
+    model = Model(langs, scores, bias.astype(np.float64), float(grid[int(np.argmin(loss))]))
+    _learn_distance(model, rest, apart, index)
+    return model
+
+
+def _learn_distance(model: Model, rest, apart, index: dict[str, int]) -> None:
+    """Log-likelihoods of buckets from the training rows, and from the rows kept apart what is usual in a text."""
+    k = len(index)
+    seen = np.full((k, BUCKETS), PRIOR)
+    for lang, bucket, count in rest:
+        seen[index[lang], bucket] += count
+    model.logs = np.log((seen / seen.sum(axis=1, keepdims=True)).max(axis=0)).astype(np.float32)
+    lang = np.array([index[b[0]] for b in apart])
+    n = np.array([b[2].sum() for b in apart], np.float64)
+    sums = np.array([(model.logs[b[1]] * b[2]).sum(dtype=np.float64) for b in apart])
+    squares = np.array([(model.logs[b[1]].astype(np.float64) ** 2 * b[2]).sum() for b in apart])
+    model.mean, model.spread, model.drift = np.zeros(k), np.ones(k), np.ones(k)
+    for i in range(k):
+        own = lang == i
+        if not own.any():  # nothing kept apart: as in the others together
+            own = np.ones(len(lang), bool)
+        model.mean[i] = np.median(sums[own] / n[own])
+        model.spread[i] = max(squares[own].sum() / n[own].sum() - (sums[own].sum() / n[own].sum()) ** 2, 1e-6)
+        away = (sums[own] / n[own] - model.mean[i]) ** 2 - model.spread[i] / n[own]
+        # neighbouring subwords overlap, so that a text of n has fewer than n of its own
+        long = n[own] >= np.median(n[own])
+        model.spread[i] *= max(ORDERS)
+        model.drift[i] = max(np.median(away[long]) * 2.2, 1e-3)  # the median of squares is 1 / 2.2 of their mean in normal rows
+    model.far = max(LEAST_FAR, FACTOR * float(np.quantile(model.distance(sums, n, lang), SAFE)))
 
 
 def sampled(labelled: DataFrame, text="text", lang="lang", doc_id="doc_id", sample: int = SAMPLE) -> DataFrame:
@@ -172,14 +227,14 @@ def sampled(labelled: DataFrame, text="text", lang="lang", doc_id="doc_id", samp
 
     Each language gives an equal share at most, the rows with the smallest
     hashes h of id and text; rows that are the same in id, text and language
-    count once.  Of more than ``sample`` languages those with most rows give one
-    row each.  A language's share is first cut off its hashes by the count of its
-    rows, with some room, so that what is ranked and written stays bounded
+    count once.  Of more than ``sample`` languages those with most distinct rows
+    (to one in a hundred) give one row each.  A language's share is first cut off
+    its hashes by the count of its distinct rows, with some room, so that what is ranked and written stays bounded
     however large or hot a language is.
     """
     spark = labelled.sparkSession
     rows = labelled.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(F.lit(17), F.col(doc_id), F.col(text)).alias("h"), F.col(text).alias("text"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.01).alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()
     share = max(1, sample // max(len(counts), 1))
     room = share + 4 * share**0.5 + 8
     cuts = [(r["lang"], min((1 << 63) - 1, int(room / r["n"] * 2.0**64) - (1 << 63))) for r in counts]
@@ -205,9 +260,8 @@ def fit(labelled: DataFrame, text="text", lang="lang", doc_id="doc_id", sample:
 def _predicted(batches, shared, text, names):
     for batch in batches:
         for rows in slices(batch, text, SLICE_BYTES):
-            langs, score = shared.value.predict([t or "" for t in rows.column(text).to_pylist()])
-            drop = pa.array(score < shared.value.least)
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(langs, pa.string()), pa.array(score), drop], [*rows.schema.names, *names])
+            langs, score, drop = shared.value.predict([t or "" for t in rows.column(text).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(langs, pa.string()), pa.array(score), pa.array(drop)], [*rows.schema.names, *names])
     release_memory()
 
 
@@ -228,8 +282,8 @@ def identify(docs: DataFrame, model: Model, text="text") -> DataFrame:
 def _kept(batches, shared, text):
     for batch in batches:
         for rows in slices(batch, text, SLICE_BYTES):
-            _, score = shared.value.predict([t or "" for t in rows.column(text).to_pylist()])
-            yield rows.filter(pa.array(score >= shared.value.least))
+            _, _, drop = shared.value.predict([t or "" for t in rows.column(text).to_pylist()])
+            yield rows.filter(pa.array(~drop))
     release_memory()
 
 

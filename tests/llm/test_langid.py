@@ -79,5 +79,31 @@ def test_predictions_against_plain_averages(spark):
         e = [2.718281828459045 ** ((m - max(mean)) / model.temperature) for m in mean]
         best = max(range(len(e)), key=e.__getitem__)
         assert r["lang_pred"] == model.langs[best] and abs(r["score"] - e[best] / sum(e)) < 1e-6
-        assert r["rejected"] == (r["score"] < model.least)
-
+        logs = [float(model.logs[b]) for b in langid.subwords([r["text"]])[0]]
+        k = best
+        distance = (model.mean[k] - sum(logs) / len(logs)) / (model.drift[k] + model.spread[k] / len(logs)) ** 0.5
+        assert r["rejected"] == (r["score"] < model.least or distance > model.far)
+
+
+
+def test_a_repeated_row_changes_nothing(spark):
+    """A language beside one row of it that stands 200,000 times is learnt as if that row stood once."""
+    words = spark.createDataFrame([(i, text("bb", i), "bb") for i in range(300)] + [(1000 + i, text("aa", i), "aa") for i in range(300)], "doc_id long, text string, lang string")
+    hot = spark.range(200_000).selectExpr("CAST(9 AS LONG) AS doc_id", "'schein ungern' AS text", "'bb' AS lang")
+    once, often = (langid.sampled(words.unionByName(x), sample=400) for x in (hot.limit(1), hot))
+    rows = [sorted(map(tuple, x.select("lang", "h").collect())) for x in (once, often)]
+    assert rows[0] == rows[1] and sum(r[0] == "bb" for r in rows[0]) == 200
+    assert langid.fit(words.unionByName(hot), sample=400).langs == ["aa", "bb"]
+
+
+def test_texts_of_no_learnt_language_are_rejected(spark):
+    """A language left out, and strings of consonants, against texts of the learnt languages that were not trained on."""
+    docs = spark.createDataFrame([(k, text(x, k, 5 + k % 40), x) for k in range(300) for x in ("aa", "bb")], "doc_id long, text string, lang string")
+    model = langid.fit(docs, sample=500)
+    rng = random.Random(3)
+    consonants = [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randrange(3, 9))) for _ in range(12)) for _ in range(200)]
+    assert model.predict(consonants)[2].mean() > 0.97
+    assert model.predict([text("cc", k, 12) for k in range(200)])[2].mean() > 0.9
+    for lang in ("aa", "bb"):
+        assert model.predict([text(lang, 5000 + k, 1 + k % 50) for k in range(200)])[2].mean() < 0.03
+    assert model.predict([text("aa", k, 20) + " " + text("bb", k, 20) for k in range(200)])[2].mean() < 0.05  # a mixture of learnt ones
