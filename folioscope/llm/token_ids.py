@@ -162,7 +162,8 @@ def _encoder(path: str) -> Encoder:
 
 
 def _encoded(batches, path: str, end_id: int):
-    """(doc_id, part, text) to (doc_id, part, n_tokens, ids)."""
+    """(doc_id, part, text) of one file to (doc_id, part, row, n_tokens, ids)."""
+    done = 0
     for batch in batches:
         for rows in slices(batch, "text", SLICE_BYTES):
             ids, counts = _encoder(path).encode(rows.column("text"))
@@ -171,16 +172,18 @@ def _encoded(batches, path: str, end_id: int):
             offsets = np.zeros(len(sizes) + 1, np.int32)
             np.cumsum(sizes, out=offsets[1:])
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.view("<i4")))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("part"), pa.array(sizes), lists], ["doc_id", "part", "n_tokens", "ids"])
+            row = pa.array(np.arange(done, done + len(sizes)))
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("part"), row, pa.array(sizes), lists], ["doc_id", "part", "row", "n_tokens", "ids"])
+            done += len(sizes)
             del rows, ids, lists
         release_memory()
     release_memory()
 
 
 def write_token_ids(docs: DataFrame, path: str, text="text", doc_id="doc_id", vocabulary: str | None = None, end_id: int = END_ID) -> None:
-    """Writes (doc_id, part, n_tokens, ids) of all rows in ascending order of id, nulls first.
+    """Writes (doc_id, part, row, n_tokens, ids) of all rows in ascending order of id, nulls first.
 
-    ``part`` numbers the files.  Rows that repeat an id stand side by side in
+    ``part`` numbers the files and ``row`` the rows of a file from 0.  Rows that repeat an id stand side by side in
     order of their text's hash; a null text is empty and yields the end id alone.
     Other columns are not written.  Spark's writer commits files as tasks end,
     so a lost executor leaves no half-written file.
@@ -190,7 +193,7 @@ def write_token_ids(docs: DataFrame, path: str, text="text", doc_id="doc_id", vo
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = chosen.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     ordered = ordered.select("doc_id", F.spark_partition_id().alias("part"), "text")
-    schema = T.StructType([chosen.schema["doc_id"], T.StructField("part", T.IntegerType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
+    schema = T.StructType([chosen.schema["doc_id"], T.StructField("part", T.IntegerType()), T.StructField("row", T.LongType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
     writer = ordered.mapInArrow(lambda batches: _encoded(batches, vocabulary, end_id), schema).write.option("compression", "zstd")
     writer = writer.option("parquet.writer.version", "v2").option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.page.size", PAGE_BYTES)
     with arrow_rows(docs.sparkSession, BATCH_ROWS):
@@ -198,35 +201,36 @@ def write_token_ids(docs: DataFrame, path: str, text="text", doc_id="doc_id", vo
 
 
 def _summed(batches):
-    """(doc_id, part, ids) to (doc_id, part, n_tokens, ids_crc32)."""
+    """(doc_id, part, row, ids) to (doc_id, part, row, n_tokens, ids_crc32)."""
     for batch in batches:
         lists = batch.column("ids")
         offsets = lists.offsets.to_numpy().astype(np.int64) * 4
         data = memoryview(np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), "<i4")).cast("B")
         sums = [zlib.crc32(data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("part"), pa.array(np.diff(offsets) // 4), pa.array(sums, pa.int64())], ["doc_id", "part", "n_tokens", "ids_crc32"]
+            [batch.column("doc_id"), batch.column("part"), batch.column("row"), pa.array(np.diff(offsets) // 4), pa.array(sums, pa.int64())], ["doc_id", "part", "row", "n_tokens", "ids_crc32"]
         )
 
 
 def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, part, n_tokens, ids) of the files; filters and columns are pushed into the reader."""
+    """(doc_id, part, row, n_tokens, ids) of the files; filters and columns are pushed into the reader."""
     return spark.read.parquet(path)
 
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the ids in the files.
 
-    ``start`` counts the ids of all documents before.  It is a running sum in
+    ``start`` counts the ids of all rows before in the files, so it is the
+    place of a row's ids also where ids repeat.  It is a running sum in
     each file, plus the sum of the files before, of which there is one row a file.
     """
-    files = read_token_ids(spark, path).select("doc_id", "part", "ids")
-    schema = T.StructType([files.schema["doc_id"], T.StructField("part", T.IntegerType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
+    files = read_token_ids(spark, path).select("doc_id", "part", "row", "ids")
+    schema = T.StructType([files.schema["doc_id"], T.StructField("part", T.IntegerType()), T.StructField("row", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
     rows = files.mapInArrow(_summed, schema)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = read_token_ids(spark, path).groupBy("part").agg(F.sum("n_tokens").alias("total"))
     starts = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("part").orderBy("doc_id", "ids_crc32", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(starts, "part")
     return rows.select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 

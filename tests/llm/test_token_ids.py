@@ -60,7 +60,7 @@ def test_round_trip_over_many_files(spark, tokenizer, tmp_path, monkeypatch):
     last = -1
     for f in files:  # files and rows in ascending order of id, with page indexes and version 2 encodings
         meta = pq.ParquetFile(f).metadata
-        column = meta.row_group(0).column(3)
+        column = meta.row_group(0).column(4)
         assert column.path_in_schema.startswith("ids") and column.has_offset_index and column.has_column_index
         assert any("DICTIONARY" in e or "DELTA" in e for e in column.encodings)
         ids = pq.read_table(f, columns=["doc_id"])["doc_id"].to_pylist()
@@ -77,3 +77,18 @@ def test_awkward_and_empty(spark, tokenizer):
     assert [g[1] for g in got] == np.cumsum([0] + [g[2] for g in got])[:-1].tolist()
     assert sorted((str(g[0]), g[2], g[3]) for g in got) == sorted((str(w[0]), w[2], w[3]) for w in wanted([(r[0], r[1]) for r in docs.collect()], tokenizer))
     assert token_ids.encode_documents(empty(spark)).count() == 0
+
+
+def test_start_is_the_place_in_the_files_where_ids_repeat(spark, tmp_path, monkeypatch):
+    """Rows that repeat an id, over several files: the ids from ``start`` on are the row's own."""
+    monkeypatch.setattr(token_ids, "FILE_BYTES", 2_000)
+    rows = [(i // 6 if i % 11 else None, prose(i, i % 17)) for i in range(120)] + [(3, "the same"), (3, "the same"), (3, None)]
+    src, path = str(tmp_path / "docs"), str(tmp_path / "ids")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(src)
+    index = token_ids.encode_documents(spark.read.parquet(src), path).collect()
+    flat = []
+    for file in sorted((tmp_path / "ids").glob("*.parquet")):
+        flat += [x for ids in pq.read_table(file)["ids"].to_pylist() for x in ids]
+    assert len(index) == len(rows) and sum(r.n_tokens for r in index) == len(flat)
+    for r in index:
+        assert zlib.crc32(np.array(flat[r.start : r.start + r.n_tokens], "<u4").tobytes()) == r.ids_crc32
