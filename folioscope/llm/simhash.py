@@ -236,13 +236,11 @@ def deduplicated(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
     prints = checkpointed(fingerprints(docs, text, doc_id, keep=[hashed, named]))
     first = Window.partitionBy("root").orderBy("keep_0", "keep_1")
     known = components(prints).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).withColumn("n", F.row_number().over(first))
-    known = known.filter("n = 1").select("keep_0", "keep_1")
-    # one row of each kept pair of hashes: the join and the numbering share one shuffle of the texts
-    h, k, n = free_name(docs, "text_hash"), free_name(docs, "id_hash"), free_name(docs, "row_no")
-    rows = docs.withColumns({h: hashed, k: named})
-    rows = rows.join(known.hint("shuffle_merge"), (F.col(h) == F.col("keep_0")) & (F.col(k) == F.col("keep_1")), "left_semi")
-    again = Window.partitionBy(h, k).orderBy(F.lit(0))
-    return rows.withColumn(n, F.row_number().over(again)).filter(F.col(n) == 1).select(*docs.columns)
+    # one row of each kept pair of hashes: equal rows meet in the tasks that read them, and both steps share one shuffle of the texts
+    h, k, h_of, k_of = (free_name(docs, x) for x in ("text_hash", "id_hash", "kept_text_hash", "kept_id_hash"))
+    known = known.filter("n = 1").select(F.col("keep_0").alias(h_of), F.col("keep_1").alias(k_of))
+    rows = docs.withColumns({h: hashed, k: named}).dropDuplicates([h, k])
+    return rows.join(known.hint("shuffle_merge"), (F.col(h) == F.col(h_of)) & (F.col(k) == F.col(k_of)), "left_semi").select(*docs.columns)
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,3 +101,11 @@ def test_awkward_and_empty(spark):
     assert kept.columns == docs.columns
     assert kept.count() == len({r["root"] for r in rows})
     assert simhash.near_duplicates(empty(spark)).count() == simhash.deduplicated(empty(spark)).count() == 0
+
+
+def test_dedup_with_clashing_columns_and_equal_rows(spark):
+    docs = spark.range(300).selectExpr("IF(id < 200, 1, id) AS doc_id", "IF(id < 200, 'one text that stands often', concat('text ', id, ' of its own ', id * 7)) AS text", "id % 2 AS keep_0", "'x' AS keep_1", "1 AS text_hash", "2 AS kept_id_hash", "3 AS fp", "4 AS root")
+    kept = simhash.deduplicated(docs)
+    assert kept.columns == docs.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert ids.count(1) == 1 and len(ids) == len(set(ids))
