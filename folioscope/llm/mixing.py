@@ -67,6 +67,7 @@ def mix_plan(docs: DataFrame, text="text", doc_id="doc_id", source="source", wei
     """
     names = {k: free_name(docs, k) for k in ("size", "source_size", "target", "copies")}
     k, c, s, h, n = (free_name(docs, f"mix_{x}") for x in ("key", "class", "salt", "hash", "row"))
+    k_of, c_of, s_of, start, shift = (free_name(docs, f"mix_{x}") for x in ("key_of", "class_of", "salt_of", "start", "offset"))
     key = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))
     id_text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     rows = docs.withColumn(names["size"], _word_count(F.col(text)))
@@ -82,16 +83,16 @@ def mix_plan(docs: DataFrame, text="text", doc_id="doc_id", source="source", wei
         counts.withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
         .join(targets, "skey")
         .select(
-            F.col("skey").alias(f"{k}_"), F.col("class").alias(f"{c}_"), F.col("salt").alias(f"{s}_"), F.col("start").alias(f"{n}_start"),
-            offset.alias(f"{n}_offset"), F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"]),
+            F.col("skey").alias(k_of), F.col("class").alias(c_of), F.col("salt").alias(s_of), F.col("start").alias(start),
+            offset.alias(shift), F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"]),
         )
     )
     order = Window.partitionBy(k, c, s).orderBy(F.col(names["size"]), F.col(doc_id), F.col(h))
     rows = rows.withColumn(n, F.row_number().over(order))
-    joined = rows.join(starts, (F.col(k) == F.col(f"{k}_")) & (F.col(c) == F.col(f"{c}_")) & (F.col(s) == F.col(f"{s}_")))
+    joined = rows.join(starts, (F.col(k) == F.col(k_of)) & (F.col(c) == F.col(c_of)) & (F.col(s) == F.col(s_of)))
     ratio = F.when(F.col(names["source_size"]) > 0, F.col(names["target"]) / F.col(names["source_size"])).otherwise(F.lit(0.0))
-    at = F.col(f"{n}_start") + F.col(n)
-    crossed = F.floor(F.col(f"{n}_offset") + at * ratio) - F.floor(F.col(f"{n}_offset") + (at - 1) * ratio)
+    at = F.col(start) + F.col(n)
+    crossed = F.floor(F.col(shift) + at * ratio) - F.floor(F.col(shift) + (at - 1) * ratio)
     return joined.withColumn(names["copies"], crossed).select(*docs.columns, *names.values())
 
 

@@ -59,3 +59,10 @@ def test_awkward_and_empty(spark):
 def test_no_python_in_the_plan(spark):
     plan = mixing.mix(awkward(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan
+
+
+def test_clashing_names(spark):
+    docs = spark.range(60).selectExpr("id AS doc_id", "repeat('w ', CAST(id % 9 AS INT)) AS text", "concat('s', id % 3) AS source", "1 AS mix_key", "1 AS mix_key_of", "1 AS mix_key_", "1 AS mix_row_start", "1 AS mix_start", "1 AS mix_offset", "1 AS mix_salt_of", "1 AS size", "1 AS again")
+    plain = mixing.mix(docs.select("doc_id", "text", "source"))
+    got = mixing.mix(docs)
+    assert got.columns == docs.columns and sorted(got.select("doc_id").collect()) == sorted(plain.select("doc_id").collect())

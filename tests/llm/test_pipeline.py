@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from folioscope.llm import decontam, langid, mixing, registry
 from folioscope.llm.common import crc_mod
-from tests.llm.fixtures import prose
+from tests.llm.fixtures import awkward, prose
 from tests.llm.test_decontam import plain_tiles
 from tests.llm.test_mixing import plain_targets
 from tests.llm.test_simhash import plain_components, plain_fingerprint
@@ -58,8 +58,8 @@ def test_against_brute_force(spark, folder):
     path, rows, items = folder
     docs = spark.read.parquet(f"{path}/documents.parquet")
     model = langid.fit(docs.filter(crc_mod("doc_id") != 0))
-    _, scores = model.predict([r[1] for r in rows])
-    rows = [r for r, s in zip(rows, scores) if s >= model.least]
+    _, _, rejected = model.predict([r[1] for r in rows])
+    rows = [r for r, x in zip(rows, rejected) if not x]
     assert all(any(c.isalpha() for c in r[1]) for r in rows)
     groups = plain_components([(r[0], plain_fingerprint(r[1])) for r in rows])
     rows = [r for r, g in zip(rows, groups) if r[0] == g]
@@ -85,8 +85,26 @@ def test_empty_documents_pass_through(spark, tmp_path):
     assert corpus_pipeline.run(spark, path).count() == 0
 
 
+def test_nulls_ties_and_repeated_rows(spark, tmp_path):
+    path, docs = str(tmp_path), awkward(spark)
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, None), (None, ""), (3, prose(77, 9))], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    for name in list(stages)[:-1]:
+        rows = stages[name](spark, docs, path)
+        assert rows.columns == docs.columns and set(map(repr, rows.collect())) <= set(map(repr, docs.collect())), name
+    known = stages["language"](spark, docs, path)
+    assert all(any(c.isalpha() for c in r.text or "") for r in known.collect())
+    kept = stages["near_duplicates"](spark, known, path).collect()
+    assert len({(r.doc_id, r.text) for r in kept}) == len(kept)
+    assert stages["decontamination"](spark, docs, path).count() == docs.count()
+    assert stages["tokens"](spark, docs, path).count() == docs.count()
+    index = sorted((r.start, r.n_tokens) for r in corpus_pipeline.run(spark, path).collect())
+    assert index and all(a + n == b for (a, n), (b, _) in zip(index, index[1:]))
+
+
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 14))
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
 
