@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from folioscope.operators import hierarchy
+from folioscope.operators import document_tree, hierarchy
 from folioscope.sources.tables import table
 
 BY = ["p_brand"]
@@ -106,3 +106,81 @@ SQL = {
               FROM q JOIN g ON g.p_brand = q.p_brand AND g.parent = q.node)
         SELECT p_brand, node AS leaf, action, resolution, status, reason, settled_at, inherited_from FROM q WHERE leaf""",
 }
+
+
+# -- document trees ----------------------------------------------------------------
+
+#: Lines of a unit and of a table, and what a line's place in the document is multiplied by.
+_UNIT, _TABLE, _STEP = 20, 6, 100_000
+
+
+def _packet(spark, sf_dir):
+    """Rows and run facts of documents: lines are paragraphs, and parts of lines with bars are cells.
+
+    Some table rows lack a number, some cells share an id, and parts with the same text share their runs.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("l", "line"))
+    part = docs.select("doc_id", "l", F.contains("line", F.lit("|")).alias("bars"), F.posexplode(F.when(F.contains("line", F.lit("|")), F.split("line", "[|]")).otherwise(F.array("line"))).alias("j", "raw"))
+    part = part.withColumns({"text": F.trim("raw"), "source_seq": F.col("l").cast("long") * _STEP + F.col("j"), "unit_id": F.concat(F.lit("u"), F.floor(F.col("l") / _UNIT).cast("string"))}).filter(~F.col("bars") | (F.col("text") != ""))
+    bars, l, j = F.col("bars"), F.col("l"), F.col("j")
+    run = lambda x: F.substring(F.md5(F.concat("text", F.lit(x))), 1, 8)
+    rows = part.select(
+        "doc_id", "unit_id", "source_seq", F.when(bars, F.concat(F.lit("t"), F.floor(l / _TABLE).cast("string"))).alias("table_id"), F.when(bars & (l % 11 != 5), l + 1).alias("row_no"), F.when(bars, j + 1).alias("column_no"),
+        F.when(bars & (j % 3 != 2), F.concat(F.lit("c"), l.cast("string"), F.lit("-"), F.floor(j / 2).cast("string"))).alias("cell_id"), F.concat(F.lit("p"), F.col("source_seq").cast("string")).alias("paragraph_id"), "text",
+        F.when(F.col("text") != "", F.array(run(""), run("x"))).alias("raw_run_ids"), F.when(l % 13 == 0, "unbound").otherwise("bound").alias("binding"),
+    )
+    half = F.floor(F.length("text") / 2).cast("int")
+    first = part.filter("text <> ''").select("doc_id", "source_seq", F.lit(0).alias("position"), run("").alias("raw_run_id"), F.substring(F.col("text"), F.lit(1), half).alias("text"))
+    second = part.filter("text <> '' AND length(text) % 3 <> 0").select("doc_id", "source_seq", F.lit(1).alias("position"), F.lit("other").alias("raw_run_id"), F.substring(F.col("text"), half + 1, F.length("text")).alias("text"))
+    return rows, first.unionByName(second)
+
+
+def tree_nodes(spark, sf_dir):
+    """Nodes of all documents down to runs, with spans in document order and what is complete below each."""
+    rows, runs = _packet(spark, sf_dir)
+    nodes = document_tree.nested_sets(document_tree.document_nodes(rows, runs, ["doc_id"], spans=False), ["doc_id", "unit_id"])
+    return nodes.select("doc_id", "unit_id", "node", "parent", "kind", F.md5(F.coalesce("text", F.lit("-"))).alias("text"), "alias_of", "children_complete", "content_complete", "unbound", "omitted", "first", "last", "n_leaves")
+
+
+QUERIES["tree_nodes"] = tree_nodes
+
+SQL["tree_nodes"] = f"""
+    WITH d AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS l FROM documents),
+    c AS (SELECT doc_id, l, contains(line, '|') AS bars, CASE WHEN contains(line, '|') THEN string_split(line, '|') ELSE [line] END AS parts FROM d),
+    e AS (SELECT doc_id, l, bars, unnest(parts) AS raw, generate_subscripts(parts, 1) - 1 AS j FROM c),
+    r AS (SELECT doc_id, l, bars, j, trim(raw, ' ') AS text, l * {_STEP} + j AS seq, 'u' || (l // {_UNIT}) AS unit_id, CASE WHEN bars THEN 't' || (l // {_TABLE}) END AS table_id,
+            CASE WHEN bars AND l % 11 <> 5 THEN l + 1 END AS row_no, CASE WHEN bars THEN coalesce(CASE WHEN j % 3 <> 2 THEN 'c' || l || '-' || (j // 2) END, 'column:' || (j + 1)) END AS cell_key, l % 13 = 0 AS loose
+          FROM e WHERE NOT bars OR trim(raw, ' ') <> ''),
+    p AS (SELECT *, CASE WHEN bars THEN coalesce(row_no, {1_000_000} + row_number() OVER (PARTITION BY doc_id, unit_id, table_id, row_no IS NULL ORDER BY seq)) END AS row_at FROM r),
+    g AS (SELECT doc_id, unit_id, table_id, row_at, cell_key, min(seq) AS first_seq, min_by(j + 1, seq) AS col, string_agg(text, chr(10) ORDER BY seq) AS text, count(*) FILTER (loose) AS unbound, list_sort(list(DISTINCT text)) AS sig
+          FROM p WHERE bars GROUP BY ALL),
+    h AS (SELECT *, row_number() OVER (PARTITION BY doc_id, unit_id, table_id, row_at ORDER BY first_seq) AS cell_at FROM g),
+    n AS (SELECT *, 'table:' || table_id || '/row:' || CASE WHEN row_at < 100 THEN lpad(CAST(row_at AS VARCHAR), 3, '0') ELSE CAST(row_at AS VARCHAR) END AS row_ref, min(first_seq) OVER (PARTITION BY doc_id, unit_id, table_id) AS table_at, 2 * len(sig) AS n_runs FROM h),
+    k AS (SELECT *, row_ref || '/cell:' || CASE WHEN col < 100 THEN lpad(CAST(col AS VARCHAR), 3, '0') ELSE CAST(col AS VARCHAR) END AS cell FROM n),
+    a AS (SELECT *, first_value(cell) OVER w AS owner, row_number() OVER w AS nth FROM k WINDOW w AS (PARTITION BY doc_id, unit_id, table_id, sig ORDER BY row_at, cell_at)),
+    cells AS (SELECT *, nth > 1 AS aliased, CASE WHEN nth > 1 THEN owner END AS alias_of, CASE WHEN nth > 1 THEN n_runs ELSE unbound END AS missing FROM a),
+    whole AS (SELECT doc_id, table_id, count(*) AS whole FROM r WHERE bars GROUP BY ALL),
+    rws AS (SELECT doc_id, unit_id, table_id, table_at, row_at, row_ref, bool_and(NOT aliased) AS ok, sum(unbound) + sum(missing) AS missing, string_agg(text, ' | ' ORDER BY cell_at) AS text FROM cells GROUP BY ALL),
+    hold AS (SELECT doc_id, unit_id, table_id, count(*) AS held, count(*) FILTER (row_no IS NULL) AS lost FROM p WHERE bars GROUP BY ALL),
+    tbl AS (SELECT w.doc_id, w.unit_id, w.table_id, w.table_at, bool_and(ok) AS ok, sum(missing) AS missing, any_value(whole) - any_value(held) AS omitted, any_value(lost) AS lost
+            FROM rws w JOIN hold USING (doc_id, unit_id, table_id) JOIN whole USING (doc_id, table_id) GROUP BY ALL),
+    par AS (SELECT p.doc_id, p.unit_id, p.seq, p.text, p.loose, 'unit:' || p.unit_id AS parent, [] AS above FROM p WHERE NOT bars
+            UNION ALL SELECT p.doc_id, p.unit_id, p.seq, p.text, p.loose, c.cell, [table_at, c.row_at, c.cell_at] FROM p JOIN cells c USING (doc_id, unit_id, table_id, row_at, cell_key) WHERE NOT aliased),
+    allp AS (SELECT *, parent || '/paragraph:p' || seq AS paragraph, list_append(above, seq) AS place, text = '' OR length(text) % 3 <> 0 AS ok FROM par),
+    runs AS (SELECT doc_id, unit_id, paragraph, list_append(place, 0) AS place, substr(md5(text), 1, 8) AS id, substr(text, 1, length(text) // 2) AS text, true AS ok FROM allp WHERE text <> ''
+             UNION ALL SELECT doc_id, unit_id, paragraph, list_append(place, 1), substr(md5(text || 'x'), 1, 8), CASE WHEN ok THEN substr(text, length(text) // 2 + 1) ELSE '' END, ok FROM allp WHERE text <> ''),
+    nodes AS (
+      SELECT doc_id, unit_id, cell AS node, row_ref AS parent, 'cell' AS kind, [table_at, row_at, cell_at] AS place, text, alias_of, NOT aliased AS children_complete, NOT aliased AS content_complete, missing AS unbound, 0 AS omitted FROM cells
+      UNION ALL SELECT doc_id, unit_id, row_ref, 'table:' || table_id, 'row', [table_at, row_at], text, NULL, true, ok, missing, 0 FROM rws
+      UNION ALL SELECT doc_id, unit_id, 'table:' || table_id, 'unit:' || unit_id, 'table', [table_at], NULL, NULL, omitted = 0 AND lost = 0, omitted = 0 AND ok, missing + lost, omitted FROM tbl
+      UNION ALL SELECT doc_id, unit_id, paragraph, parent, 'paragraph', place, text, NULL, true, ok, CASE WHEN loose THEN 1 ELSE 0 END, 0 FROM allp
+      UNION ALL SELECT doc_id, unit_id, 'run:' || id, paragraph, 'run', place, text, NULL, true, ok, CASE WHEN ok THEN 0 ELSE 1 END, 0 FROM runs),
+    direct AS (SELECT doc_id, unit_id, bool_and(content_complete) AS ok, sum(unbound) AS unbound, sum(omitted) AS omitted FROM nodes WHERE len(place) = 1 GROUP BY ALL),
+    every AS (SELECT * FROM nodes UNION ALL SELECT doc_id, unit_id, 'unit:' || unit_id, NULL, 'unit', [], NULL, NULL, true, ok, unbound, omitted FROM direct),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id, unit_id ORDER BY place) AS first FROM every),
+    up AS (SELECT doc_id, unit_id, first, unnest([place[:i] for i in range(0, len(place) + 1)]) AS place FROM placed),
+    size AS (SELECT doc_id, unit_id, place, count(*) AS size FROM up GROUP BY ALL),
+    lone AS (SELECT placed.doc_id, placed.unit_id, placed.first FROM placed JOIN size USING (doc_id, unit_id, place) WHERE size = 1),
+    leaves AS (SELECT up.doc_id, up.unit_id, up.place, count(*) AS n_leaves FROM up JOIN lone USING (doc_id, unit_id, first) GROUP BY ALL)
+    SELECT doc_id, unit_id, node, parent, kind, md5(coalesce(text, '-')) AS text, alias_of, children_complete, content_complete, CAST(unbound AS BIGINT) AS unbound, CAST(omitted AS BIGINT) AS omitted, first, first + size - 1 AS last, n_leaves
+    FROM placed JOIN size USING (doc_id, unit_id, place) JOIN leaves USING (doc_id, unit_id, place)"""
