@@ -1,11 +1,11 @@
-"""Queries of tree operators over parts as nodes, with their SQL."""
+"""Queries of trees and nested documents, with their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from folioscope.operators import document_tree, hierarchy
+from folioscope.operators import assembly, document_tree, hierarchy
 from folioscope.sources.tables import table
 
 BY = ["p_brand"]
@@ -184,3 +184,55 @@ SQL["tree_nodes"] = f"""
     leaves AS (SELECT up.doc_id, up.unit_id, up.place, count(*) AS n_leaves FROM up JOIN lone USING (doc_id, unit_id, first) GROUP BY ALL)
     SELECT doc_id, unit_id, node, parent, kind, md5(coalesce(text, '-')) AS text, alias_of, children_complete, content_complete, CAST(unbound AS BIGINT) AS unbound, CAST(omitted AS BIGINT) AS omitted, first, first + size - 1 AS last, n_leaves
     FROM placed JOIN size USING (doc_id, unit_id, place) JOIN leaves USING (doc_id, unit_id, place)"""
+
+
+# -- assembled documents -----------------------------------------------------------
+
+
+def template_spec(spark, sf_dir):
+    """A customer's orders as units and their lines as elements, put together, as a digest of the nested rows."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    n = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long")
+    key = F.col("o_orderkey")
+    x = orders.join(n, "o_orderkey").withColumn("place", place)
+    units = x.select(
+        F.col("o_custkey").alias("doc"), "place", F.concat(F.lit("u"), key).alias("unit_id"), F.col("o_orderpriority").alias("section"), F.when(key % 3 == 0, "new_page").otherwise("odd").alias("start"), F.lit("page_range_exclusive").alias("scope"),
+        F.when(key % 7 != 0, F.col("place") * 5).alias("u_start"), F.when(key % 7 != 0, F.col("place") * 5 + F.col("n") - 1).alias("u_end"), (F.col("place") * 2).alias("p_start"), (F.col("place") * 2 + 1).alias("p_end"),
+    )
+    sections = units.filter("place % 3 = 1").select("doc", F.concat(F.lit("s"), "place").alias("section_id"), F.col("place").alias("s_order"), (F.col("place") * 5 - 2).alias("s_start"), (F.col("place") * 5 + 12).alias("s_end"), (F.col("place") * 2).alias("sp_start"), (F.col("place") * 2 + 2).alias("sp_end"))
+    number = F.col("l_linenumber")
+    word = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (n % len(words) + 1).cast("int"))
+    lines = lines.withColumns({"l_shipmode": word(("AIR", "MAIL", "TRUCK", "RAIL", "SHIP"), F.col("l_partkey")), "l_shipinstruct": word(("NONE", "COD", "page", "seq"), F.col("l_suppkey"))})
+    elements = lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("doc")), "l_orderkey").select(
+        "doc", F.concat(F.lit("u"), "l_orderkey").alias("unit_id"), F.concat(F.lit("e"), number).alias("element_id"), F.when(F.col("l_returnflag") == "N", "fill").when(F.col("l_returnflag") == "R", "generated").alias("policy"),
+        F.when(F.col("l_shipmode") == "AIR", "student_field_candidate").when(F.col("l_shipmode") != "MAIL", "fixed_text_candidate").alias("role_hint"), F.concat_ws(" ", "l_shipmode", "l_shipinstruct").alias("content"), F.when(number != 3, number).alias("e_order"),
+    )
+    spec = assembly.template_spec(units, assembly.element_spec(elements, ["TRUCK", "RAIL"], ["NONE", "COD"]), sections, ["doc"])
+    element = lambda e: F.concat_ws("^", e["stable_id"], e["executed"], e["role"], F.coalesce(e["fill_source"], F.lit("-")), F.coalesce(e["field_type"], F.lit("-")), e["confidence"], F.array_join(e["flags"], "+"))
+    text = lambda u: F.concat_ws("~", u["unit_id"], u["page_policy"]["start"], u["section_profile"], F.array_join(F.transform(u["section_refs"], lambda r: F.concat(r["section_id"], F.lit(":"), r["from"], F.lit("-"), r["to"])), ","),
+                                 F.array_join(u["flags"], ","), F.array_join(F.transform(u["elements"], element), ";"))
+    return spec.select("doc", F.size("units").alias("n_units"), F.md5(F.array_join(F.transform("units", text), "|")).alias("digest"))
+
+
+QUERIES["template_spec"] = template_spec
+
+SQL["template_spec"] = """
+    WITH n AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1),
+    u AS (SELECT o_custkey AS doc, o_orderkey AS k, o_orderpriority AS section, n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders JOIN n ON l_orderkey = o_orderkey),
+    s AS (SELECT doc, 's' || place AS id, place AS o, place * 5 - 2 AS a, place * 5 + 12 AS b, place * 2 AS pa, place * 2 + 2 AS pb FROM u WHERE place % 3 = 1),
+    d AS (SELECT u.doc, u.place, s.id, s.o, greatest(u.place * 5, a) AS f, least(u.place * 5 + n - 1, b) AS t FROM u JOIN s ON s.doc = u.doc AND u.place * 5 <= b AND u.place * 5 + n - 1 >= a WHERE k % 7 <> 0),
+    p AS (SELECT u.doc, u.place, s.id, s.o, greatest(u.place * 2, pa) AS f, least(u.place * 2 + 1, pb) AS t FROM u JOIN s ON s.doc = u.doc AND u.place * 2 <= pb AND u.place * 2 + 1 >= pa WHERE (u.doc, u.place) NOT IN (SELECT (doc, place) FROM d)),
+    r AS (SELECT * FROM d UNION ALL SELECT * FROM p),
+    b AS (SELECT doc, place, string_agg(id || ':' || f || '-' || t, ',' ORDER BY o) AS refs, count(*) AS c, arg_max(id, (t - f) * 100000 - o) AS best FROM r GROUP BY ALL),
+    w AS (SELECT *, ['AIR', 'MAIL', 'TRUCK', 'RAIL', 'SHIP'][l_partkey % 5 + 1] AS l_shipmode, ['NONE', 'COD', 'page', 'seq'][l_suppkey % 4 + 1] AS l_shipinstruct FROM lineitem),
+    e AS (SELECT o_custkey AS doc, l_orderkey AS k, l_linenumber AS l, l_shipmode || ' ' || l_shipinstruct AS content, CASE l_returnflag WHEN 'N' THEN 'fill' WHEN 'R' THEN 'generated' ELSE 'fixed' END AS policy,
+            CASE WHEN l_shipmode = 'AIR' THEN 'student_field_candidate' WHEN l_shipmode <> 'MAIL' THEN 'fixed_text_candidate' END AS hint FROM w JOIN orders ON o_orderkey = l_orderkey),
+    g AS (SELECT *, CASE WHEN policy = 'generated' THEN 'high' WHEN policy = 'fixed' AND hint IS NOT DISTINCT FROM 'student_field_candidate' THEN 'medium' WHEN policy = 'fixed' THEN 'high'
+                    WHEN (contains(content, 'TRUCK') OR contains(content, 'RAIL')) AND (contains(content, 'NONE') OR contains(content, 'COD')) THEN 'high' ELSE 'medium' END AS confidence FROM e),
+    x AS (SELECT doc, k, string_agg(concat_ws('^', 'u' || k || '.e' || l, policy, CASE WHEN hint = 'student_field_candidate' THEN 'student_content' WHEN hint IS NOT NULL THEN 'template_fixed' WHEN policy = 'fill' THEN 'student_content' WHEN policy = 'generated' THEN 'generated_field' ELSE 'template_fixed' END,
+            CASE policy WHEN 'fill' THEN 'student_content' WHEN 'generated' THEN 'generated_field' ELSE '-' END, CASE WHEN policy <> 'generated' THEN '-' WHEN contains(content, 'seq') THEN 'SEQ' WHEN contains(content, 'page') THEN 'PAGE' ELSE 'FIELD_PLACEHOLDER' END, confidence, CASE WHEN confidence <> 'high' THEN 'element_confidence_needs_review' ELSE '' END), ';' ORDER BY CASE WHEN l = 3 THEN 0 ELSE l END) AS elements
+          FROM g GROUP BY ALL)
+    SELECT doc, count(*) AS n_units, md5(string_agg(concat_ws('~', 'u' || k, CASE WHEN k % 3 <> 0 AND place = 1 THEN 'document_start' ELSE 'new_page' END, coalesce(best, section), coalesce(refs, ''),
+        CASE WHEN c IS NULL THEN 'unit_section_profile_unmapped' WHEN c > 1 THEN 'unit_crosses_section_profiles' ELSE '' END, elements), '|' ORDER BY place)) AS digest
+    FROM u LEFT JOIN b USING (doc, place) LEFT JOIN x USING (doc, k) GROUP BY doc"""
