@@ -32,6 +32,8 @@ from folioscope.llm.common import byte_rows, free_name, scratch_path, slices
 from folioscope.llm.licenses import words_of
 
 SAMPLE = 20_000
+#: Bytes of the sample's texts, about: of longer ones fewer rows are taken, by hash.
+SAMPLE_BYTES = 64 << 20
 #: Characters of the beginnings of longer words that can be features.
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Texts that hold a word or beginning that is a feature, at least.
@@ -251,7 +253,7 @@ def _bags(batches, shared):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, text="text", doc_id="doc_id", grade="toxic", sample: int = SAMPLE) -> tuple[DataFrame, dict[bool, float]]:
-    """(grade, half, text) of ``sample`` distinct rows at most, kept in the shared folder, and what a clean and a toxic row weigh.
+    """(grade, half, text) of ``sample`` distinct rows and about SAMPLE_BYTES at most, kept in the shared folder, and what a clean and a toxic row weigh.
 
     Labels that are the same in id and grade count once, and so do documents that
     are the same in id and text; a document with two grades counts with both.
@@ -270,7 +272,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, text="text", doc_id="doc
     path = scratch_path(spark, "toxicity-sample")
     rows.write.parquet(path)
     rows = spark.read.parquet(path)
-    n = {r["bad"]: r["n"] for r in rows.groupBy(bad.alias("bad")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    held = rows.groupBy(bad.alias("bad")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes"), F.min("h").alias("first")).collect()
+    n, size = {r["bad"]: r["n"] for r in held}, sum(r["bytes"] for r in held)
+    if size > SAMPLE_BYTES:  # long texts: fewer of them, but one of each at least
+        last = int(SAMPLE_BYTES / size * 2.0**64) - (1 << 63)
+        rows = rows.filter((F.col("h") <= last) | F.col("h").isin([r["first"] for r in held]))
+        n = {r["bad"]: r["n"] for r in rows.groupBy(bad.alias("bad")).agg(F.count(F.lit(1)).alias("n")).collect()}
     for b in n:
         if n[b] > take[b]:  # ids that stand with several texts
             last = rows.filter(bad == F.lit(b)).select("h").orderBy("h").limit(take[b]).agg(F.max("h")).first()[0]

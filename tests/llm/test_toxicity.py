@@ -136,3 +136,17 @@ def test_grades_against_plain_products(spark):
         p = np.diff(below)
         assert abs(r["severity"] - sum(k * x for k, x in enumerate(p))) < 1e-6 and abs(r["p_toxic"] - (1 - p[0])) < 1e-6
         assert r["toxic"] == (r["p_toxic"] >= toxicity.FLAG) and r["grade"] == int(np.argmax(p))
+
+
+def test_the_sample_is_bounded_by_bytes(spark, monkeypatch):
+    docs = spark.range(400).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 100) AS text")
+    labels = spark.range(400).selectExpr("id AS doc_id", "CAST(id % 10 = 0 AS INT) AS toxic")
+    whole, weigh = toxicity.labelled_sample(docs, labels)
+    assert whole.count() == 400 and weigh == {False: 1.0, True: 1.0}
+    size = docs.selectExpr("sum(octet_length(text)) AS n").first()["n"]
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", size // 4)
+    some, weigh = toxicity.labelled_sample(docs, labels)
+    assert 60 < some.count() < 140 and set(some.toDF("grade", "half", "text").select("grade").distinct().toPandas()["grade"]) == {0, 1} and weigh[True] > 2
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 10)
+    some, weigh = toxicity.labelled_sample(docs, labels)
+    assert some.count() == 2 and weigh == {False: 360.0, True: 40.0}
