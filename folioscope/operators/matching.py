@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioscope.operators.sequence import ranged_sequence
+
 
 def one_each(df: DataFrame, key, order, last: bool = True) -> DataFrame:
     """One row for each key: the last in ``order``, or the first."""
@@ -142,10 +144,35 @@ def contains_match(texts: DataFrame, needles: DataFrame, text, needle, key, orde
     return pairs.withColumn("match_no", F.row_number().over(w)).filter(F.col("match_no") <= n)
 
 
-def tokens_spread(hits: DataFrame, key, token, place, least: int) -> DataFrame:
-    """Keys whose distinct tokens, found over several places, are ``least`` or more."""
-    out = hits.groupBy(*key).agg(F.countDistinct(token).alias("n_tokens"), F.countDistinct(place).alias("n_places"), F.min(place).alias("first_place"))
-    return out.filter(F.col("n_tokens") >= least)
+def tokens_spread(items: DataFrame, places: DataFrame, key, by, token, place, least: int, close: bool = False) -> DataFrame:
+    """(key, by, n_tokens, n_places, first_place): items of which ``least`` or more distinct tokens stand in the places of a group.
+
+    ``items`` has rows (key, token), ``places`` rows (by, place, token).  The
+    places of a token are a posting bitmap, one for each 32,768 of them; an item
+    takes the union of its tokens' bitmaps, so no row stands for an item and a
+    place, however common a token is.  Only tokens that some item has are
+    posted.  ``close`` says that places are integers with few gaps; others are
+    numbered first.  Null tokens and null places are none; repeats count once.
+    """
+    wanted = items.select(*key, F.col(token).alias("token")).dropna(subset=["token"]).distinct()
+    posted = places.select(*[F.col(c).alias(f"by_{i}") for i, c in enumerate(by)], F.col(place).alias("place"), F.col(token).alias("token")).dropna(subset=["place", "token"])
+    posted = posted.join(wanted.select("token").distinct(), "token", "left_semi")
+    if not close:
+        numbers = ranged_sequence(posted.select("place").distinct(), [], ["place"], "number")
+        posted = posted.join(numbers, "place")
+    else:
+        posted = posted.withColumn("number", F.col("place").cast("long"))
+    groups = [f"by_{i}" for i in range(len(by))]
+    bitmaps = posted.groupBy(*groups, "token", F.bitmap_bucket_number("number").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"), F.min("place").alias("first"))
+    named = wanted.select(*[F.col(c).alias(f"key_{i}") for i, c in enumerate(key)], "token")
+    owners = [f"key_{i}" for i in range(len(key))]
+    both = named.join(bitmaps, "token")
+    spread = both.groupBy(*owners, *groups, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"), F.min("first").alias("first"))
+    n_places = spread.select(*owners, *groups, F.lit(0).cast("long").alias("n_tokens"), F.bitmap_count("bits").alias("n_places"), "first")
+    n_tokens = both.groupBy(*owners, *groups).agg(F.countDistinct("token").alias("n_tokens")).withColumns({"n_places": F.lit(0).cast("long"), "first": F.lit(None).cast(places.schema[place].dataType)})
+    out = n_places.unionByName(n_tokens).groupBy(*owners, *groups).agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_places").alias("n_places"), F.min("first").alias("first_place"))
+    names = [F.col(a).alias(b) for a, b in zip([*owners, *groups], [*key, *by])]
+    return out.filter(F.col("n_tokens") >= least).select(*names, "n_tokens", "n_places", "first_place")
 
 
 def best_scored(candidates: DataFrame, key, score: Column, order) -> DataFrame:

@@ -61,7 +61,7 @@ def heading_scores(spark, sf_dir):
 def toc_lines(spark, sf_dir):
     """Lines of documents that look like entries of a table of contents or like instructions on format."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    line = F.when(F.col("line_no") % 3 == 0, F.concat(F.substring("line", 1, 20), F.lit(" ..... 12"))).when(F.col("line_no") % 3 == 1, F.concat(F.col("line"), F.lit("(12PT bold)"))).otherwise(F.col("line"))
+    line = F.when(F.col("line_no") % 3 == 0, F.concat(F.col("line"), F.lit(" ..... 12"))).when(F.col("line_no") % 3 == 1, F.concat(F.col("line"), F.lit("(12PT bold)"))).otherwise(F.col("line"))
     return lines.groupBy("doc_id").agg(F.count_if(tx.is_toc_entry(line)).alias("n_toc"), F.count_if(tx.is_format_instruction(line)).alias("n_format"))
 
 
@@ -165,7 +165,7 @@ SQL = {
                + CASE WHEN turn = 0 THEN 20 ELSE 0 END - CASE WHEN length(raw) > 80 THEN 35 ELSE 0 END - CASE WHEN length(raw) > 140 THEN 45 ELSE 0 END - CASE WHEN contains(raw, chr(9)) THEN 20 ELSE 0 END ELSE 0 END AS score FROM s""",
     "toc_lines": r"""
         WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents),
-        m AS (SELECT doc_id, CASE i % 3 WHEN 0 THEN substr(line, 1, 20) || ' ..... 12' WHEN 1 THEN line || '(12PT bold)' ELSE line END AS line FROM l)
+        m AS (SELECT doc_id, CASE i % 3 WHEN 0 THEN line || ' ..... 12' WHEN 1 THEN line || '(12PT bold)' ELSE line END AS line FROM l)
         SELECT doc_id, count(*) FILTER (contains(line, chr(9)) OR regexp_matches(line, '[….．·•]{2,}\s*(\d+|[ivxlcIVXLC]+)\s*$')) AS n_toc,
                count(*) FILTER (regexp_matches(line, '(?i)[（(].*(宋体|黑体|楷体|居中|行距|字号|号字|pt).*[）)]')) AS n_format FROM m GROUP BY doc_id""",
     "review_sections": """

@@ -221,3 +221,24 @@ def test_clusters_show_a_sample_beside_exact_counts(spark):
     got = status.clusters(f, ["run"], ["status"], "finding_id", "message", "affected", sample=3).first()
     assert (got["n_findings"], got["title"], got["n_affected"], got["affected"]) == (1000, "m0", 701, [-1, 0, 1])
     assert status.cluster_members(f, ["run"], ["status"], "affected").count() == 701
+
+
+@pytest.mark.parametrize("close", [True, False])
+def test_spread_tokens_against_plain_sets(spark, close):
+    import random
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(12)]
+    items = [(i, rng.choice([*words, "nowhere", None])) for i in range(9) for _ in range(5)]
+    places = [(rng.choice(["a", "b", None]), rng.choice([None, *range(70_000)]) if rng.random() < 0.9 else 5, rng.choice([*words[:8], None, "other"])) for _ in range(600)]
+    i, p = spark.createDataFrame(items, "item int, token string"), spark.createDataFrame(places, "source string, place long, token string")
+    want = set()
+    for item in range(9):
+        own = {t for k, t in items if k == item and t}
+        for source in ("a", "b", None):
+            hits = [(x, t) for s, x, t in places if s == source and x is not None and t in own]
+            if len({t for _, t in hits}) >= 2:
+                want.add((item, source, len({t for _, t in hits}), len({x for x, _ in hits}), min(x for x, _ in hits)))
+    got = matching.tokens_spread(i, p, ["item"], ["source"], "token", "place", 2, close=close)
+    assert {tuple(r) for r in got.collect()} == want
+    assert matching.tokens_spread(i.limit(0), p, ["item"], ["source"], "token", "place", 2, close=close).count() == 0
