@@ -32,7 +32,7 @@ NEAREST = 20
 #: Vectors of the sample that centroids are fitted to, at most (about; they are chosen by hash), and of it a list.
 FIT_ROWS = 1 << 18
 LIST_ROWS = 256
-FEW_ROWS = 64
+FEW_ROWS = 128
 MOST_LISTS = 1 << 15
 #: Lists that a vector stands in, at most, and how much farther than the nearest they may be.
 COPIES = 4
