@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from folioscope.operators import assembly, document_tree, hierarchy
+from folioscope.operators import assembly, document_tree, drift, hierarchy
 from folioscope.sources.tables import table
 
 BY = ["p_brand"]
@@ -236,3 +236,23 @@ SQL["template_spec"] = """
     SELECT doc, count(*) AS n_units, md5(string_agg(concat_ws('~', 'u' || k, CASE WHEN k % 3 <> 0 AND place = 1 THEN 'document_start' ELSE 'new_page' END, coalesce(best, section), coalesce(refs, ''),
         CASE WHEN c IS NULL THEN 'unit_section_profile_unmapped' WHEN c > 1 THEN 'unit_crosses_section_profiles' ELSE '' END, elements), '|' ORDER BY place)) AS digest
     FROM u LEFT JOIN b USING (doc, place) LEFT JOIN x USING (doc, k) GROUP BY doc"""
+
+
+# -- rows under other ids ------------------------------------------------------------
+
+
+def drifted_lines(spark, sf_dir):
+    """Lines of documents, numbered, against their edited documents, in which some lines are dropped, some added and all numbered anew.
+
+    No SQL: the longest rising run is a fold; tests hold the operator against loops.
+    """
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("order", "text")).withColumn("action", F.when(F.length("text") % 2 == 0, "keep").otherwise("fill"))
+    expected = lines.withColumn("ref", F.concat(F.lit("r"), F.col("order").cast("string")))
+    kept = lines.filter("order % 7 <> 3").withColumn("twice", F.explode(F.when(F.col("order") % 5 == 4, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    kept = kept.withColumn("text", F.when(F.col("twice") == 1, F.concat(F.lit("added "), F.col("order").cast("string"))).otherwise(F.col("text")))
+    numbered = kept.withColumn("order", (F.row_number().over(Window.partitionBy("doc_id").orderBy("order", "twice")) - 1)).withColumn("ref", F.concat(F.lit("r"), F.col("order").cast("string")))
+    actual = numbered.withColumn("action", F.when(F.col("order") % 9 == 0, "delete").otherwise(F.col("action"))).drop("twice")
+    return drift.expectation_audit(expected, actual, ["doc_id"])
+
+
+QUERIES["drifted_lines"] = drifted_lines
