@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from folioscope.operators import assembly, document_tree, drift, hierarchy
+from folioscope.operators import assembly, baselines, document_tree, drift, hierarchy
 from folioscope.sources.tables import table
 
 BY = ["p_brand"]
@@ -256,3 +256,27 @@ def drifted_lines(spark, sf_dir):
 
 
 QUERIES["drifted_lines"] = drifted_lines
+
+
+# -- nested dimensions ---------------------------------------------------------------
+
+
+def nested_dimensions(spark, sf_dir):
+    """Dimensions of orders as baselines, laid flat: the order, its lines below, and below a line its quantity; lines stand twice where the order is even."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    quantity = lambda x: F.array(F.struct(F.concat(F.lit("q"), x["l_quantity"].cast("int").cast("string")).alias("id"), F.lit("exact").alias("comparator_mode")))
+    line = lambda x: F.struct(F.concat(F.lit("l"), x["l_linenumber"].cast("string")).alias("dimension_id"), F.lit("subset").alias("comparator_mode"), quantity(x).alias("children"))
+    kept = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))).alias("x")).select("l_orderkey", F.transform("x", line).alias("lines"))
+    top = F.array(F.struct(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("id"), F.lit("exact").alias("comparator_mode"), F.col("lines").alias("dimensions")))
+    document = F.to_json(F.struct(top.alias("dimensions"), F.when(F.col("l_orderkey") % 2 == 0, F.col("lines")).alias("required_dimensions")))
+    return baselines.flat_dimensions(kept.select("l_orderkey", document.alias("document")), ["l_orderkey"], "document").select("l_orderkey", "position", "depth", "dimension_id", "comparator_mode")
+
+
+QUERIES["nested_dimensions"] = nested_dimensions
+
+SQL["nested_dimensions"] = """
+    WITH l AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INTEGER) AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n FROM lineitem),
+    d AS (SELECT DISTINCT l_orderkey, [0, 0] AS place, 1 AS depth, 'o' || l_orderkey AS dimension_id, 'exact' AS comparator_mode FROM l
+          UNION ALL SELECT l_orderkey, [0, 0, n], 2, 'l' || l_linenumber, 'subset' FROM l UNION ALL SELECT l_orderkey, [0, 0, n, 0], 3, 'q' || q, 'exact' FROM l
+          UNION ALL SELECT l_orderkey, [1, n], 1, 'l' || l_linenumber, 'subset' FROM l WHERE l_orderkey % 2 = 0 UNION ALL SELECT l_orderkey, [1, n, 0], 2, 'q' || q, 'exact' FROM l WHERE l_orderkey % 2 = 0)
+    SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY place) AS position, depth, dimension_id, comparator_mode FROM d"""
