@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from folioscope.plans import audits, gaps, layouts, sequences, star, texts, trees, verdicts, word_files
+from folioscope.plans import audits, gaps, golds, layouts, sequences, star, texts, trees, verdicts, word_files
 
 FLAGSHIP = "pricing_summary"
 
-_MODULES = (star, sequences, verdicts, trees, texts, layouts, gaps, audits, word_files)
+_MODULES = (star, sequences, verdicts, trees, texts, layouts, gaps, audits, golds, word_files)
 
 
 def queries():
