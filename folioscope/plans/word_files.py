@@ -16,8 +16,11 @@ from folioscope.sources.tables import table
 _NAMESPACE = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
 
-def _package(text: str) -> bytes:
-    """A file with a paragraph for each line, of two runs with one look and a third in bold; the last line ends a section."""
+def _package(text: str, header: bool = False) -> bytes:
+    """A file with a paragraph for each line, of two runs with one look and a third in bold; the last line ends a section.
+
+    With ``header`` the first line stands in a header part too.
+    """
     lines = text.split("\n")
 
     def run(part, look=""):
@@ -32,17 +35,25 @@ def _package(text: str) -> bytes:
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("[Content_Types].xml", "<Types/>")
         z.writestr("word/document.xml", f"<w:document {_NAMESPACE}><w:body>{''.join(body)}<w:sectPr/></w:body></w:document>")
+        if header:
+            z.writestr("word/header1.xml", f"<w:hdr {_NAMESPACE}><w:p>{run(lines[0])}</w:p></w:hdr>")
     return out.getvalue()
 
 
-def _facts(spark, sf_dir):
+def packed(spark, sf_dir, header: bool = False):
+    """The documents as Word files (path, content)."""
+
     def pack(frames):
         for frame in frames:
-            yield pd.DataFrame({"path": frame["doc_id"].astype(str), "content": [_package(t) for t in frame["text"]]})
+            yield pd.DataFrame({"path": frame["doc_id"].astype(str), "content": [_package(t, header) for t in frame["text"]]})
 
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.repartition(F.col("doc_id"))  # packing is all the work, and one file may be one split
-    return docx.facts(docs.mapInPandas(pack, "path string, content binary"))
+    return docs.mapInPandas(pack, "path string, content binary")
+
+
+def _facts(spark, sf_dir):
+    return docx.facts(packed(spark, sf_dir))
 
 
 def word_paragraphs(spark, sf_dir):
