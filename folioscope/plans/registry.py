@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from folioscope.plans import audits, gaps, golds, layouts, sequences, star, stored, texts, trees, verdicts, word_files
+from folioscope.plans import audits, gaps, golds, layouts, sequences, star, stored, texts, trees, units, verdicts, word_files
 
 FLAGSHIP = "pricing_summary"
 
-_MODULES = (star, sequences, verdicts, trees, texts, layouts, gaps, audits, golds, word_files, stored)
+_MODULES = (star, sequences, verdicts, trees, texts, layouts, gaps, audits, golds, word_files, stored, units)
 
 
 def queries():
