@@ -30,7 +30,7 @@ def supplier_files(spark, sf_dir):
 def package_headers(spark, sf_dir):
     """Documents as Word files whose header holds their first line; the headers, read without the bodies."""
     path = _folder(spark, "packages")
-    files.write_files(packed(spark, sf_dir, header=True).select(F.concat("path", F.lit(".docx")).alias("name"), "content"), path, "bytes")
+    files.write_files(packed(spark, sf_dir, header=True).select(F.concat("path", F.lit(".docx")).alias("name"), "content"), path, "bytes", dealt=True)
     found = packages.header_paragraphs(spark, path)
     return found.select(F.regexp_extract("path", r"([^/]+)\.docx$", 1).cast("long").alias("doc_id"), "part", "place", F.md5("text").alias("text"))
 

@@ -19,7 +19,7 @@ _NAMESPACE = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/m
 def _package(text: str, header: bool = False) -> bytes:
     """A file with a paragraph for each line, of two runs with one look and a third in bold; the last line ends a section.
 
-    With ``header`` the first line stands in a header part too.
+    With ``header`` the first line stands in a header part too, and the parts are deflated, as the file is to be kept.
     """
     lines = text.split("\n")
 
@@ -32,7 +32,7 @@ def _package(text: str, header: bool = False) -> bytes:
         style = f'<w:pPr><w:pStyle w:val="{"H" if i == 0 else "B"}"/>{"<w:sectPr/>" if i == len(lines) - 1 else ""}</w:pPr>'
         body.append(f"<w:p>{style}{run(line[:a])}{run(line[a:b])}{run(line[b:], '<w:b/>')}</w:p>")
     out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED if header else zipfile.ZIP_STORED, compresslevel=1) as z:
         z.writestr("[Content_Types].xml", "<Types/>")
         z.writestr("word/document.xml", f"<w:document {_NAMESPACE}><w:body>{''.join(body)}<w:sectPr/></w:body></w:document>")
         if header:

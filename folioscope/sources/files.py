@@ -145,18 +145,19 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(Files)
 
 
-def write_files(rows: DataFrame, path: str, form: str = "json", overwrite: bool = False, name: str = "name", content: str = "content") -> None:
+def write_files(rows: DataFrame, path: str, form: str = "json", overwrite: bool = False, name: str = "name", content: str = "content", dealt: bool = False) -> None:
     """Writes each row as the file ``name``: canonical JSON or YAML of the JSON text ``content``, or its bytes.
 
     Rows are dealt by name, so that equal names meet in one task and fail the
     write, which then leaves nothing; so do null and unsafe names and content
     that is no JSON.  Null content is an empty file; no rows are a manifest
     without parts.  Without ``overwrite`` files are added to those that stand;
-    with it, those of earlier writes go after the commit.
+    with it, those of earlier writes go after the commit.  ``dealt`` says that
+    equal names are in one partition already, which saves the shuffle.
     """
     register(rows.sparkSession)
-    dealt = rows.select(F.col(name).alias("name"), F.col(content).alias("content")).repartition("name")
-    dealt.write.format(FORMAT).option("form", form).mode("overwrite" if overwrite else "append").save(path)
+    named = rows.select(F.col(name).alias("name"), F.col(content).alias("content"))
+    (named if dealt else named.repartition("name")).write.format(FORMAT).option("form", form).mode("overwrite" if overwrite else "append").save(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
