@@ -1,9 +1,8 @@
 """A data source that reads chosen parts of Word packages by their central directories.
 
-Which parts are read is an option of the source, not a pushed filter: Spark
-keeps one set of pushed filters for a Python relation, so two branches of a
-plan that filter the same relation in two ways would both get the last one's
-rows (seen with 4.1.2).
+Which parts are read is an option of the source, not a pushed filter: with
+Spark 4.1.2 a union of two pushed filters of one relation came back empty,
+probably because a Python relation keeps one set of them.
 """
 
 from __future__ import annotations
