@@ -29,13 +29,15 @@ def ranked_match(left: DataFrame, key, tries, order) -> DataFrame:
 
     ``tries`` is a list of (right, left columns, right columns); the rank is the
     place in the list.  Among equals the first in ``order`` (columns of the right)
-    wins.  Each try is an equi-join; rows without any match stay, with nulls.
+    wins.  Each try is an equi-join with one right row a value, the first in
+    order, so the left side is never multiplied; rows without any match stay, with nulls.
     """
     found = None
     for rank, (right, own, theirs) in enumerate(tries, 1):
-        renamed = right.select(*[F.col(t).alias(f"_k{i}") for i, t in enumerate(theirs)], F.struct(*right.columns).alias("_right"))
+        first = F.min_by(F.struct(*right.columns), F.struct(*order)).alias("_right")
+        firsts = right.dropna(subset=list(theirs)).groupBy(*[F.col(t).alias(f"_k{i}") for i, t in enumerate(theirs)]).agg(first)
         on = [F.col(c) == F.col(f"_k{i}") for i, c in enumerate(own)]
-        hit = left.join(renamed, on).select(*key, F.lit(rank).alias("rank"), "_right")
+        hit = left.join(firsts, on).select(*key, F.lit(rank).alias("rank"), "_right")
         found = hit if found is None else found.unionByName(hit)
     place = F.struct("rank", *[F.col(f"_right.{c}") for c in order])
     best = found.groupBy(*key).agg(F.min_by(F.struct("rank", "_right"), place).alias("_best"))
