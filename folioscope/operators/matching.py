@@ -48,15 +48,35 @@ def ranked_match(left: DataFrame, key, tries, order) -> DataFrame:
 def prefix_match(left: DataFrame, right: DataFrame, by, left_ref, right_ref, key, order, length: int) -> DataFrame:
     """An equal reference, or else the first right row of which either reference begins with the other.
 
-    Prefix pairs are found through the first ``length`` characters as a join
-    key, so references must have as many characters or be equal so far.
+    The shorter reference must have ``length`` characters, or be equal.  Each
+    text has one right row, the first in order; texts that begin a reference
+    are found by its beginnings, cut at the lengths that the texts of its group
+    have, and the first of the texts that go on from it by theirs.  So no rows
+    are made for pairs of texts, however many begin alike.
     """
-    own = left.withColumn("_cut", F.substring(left_ref, 1, length))
-    theirs = right.withColumn("_cut", F.substring(right_ref, 1, length))
-    pairs = own.join(theirs, [*by, "_cut"]).filter(F.col(left_ref).startswith(F.col(right_ref)) | F.col(right_ref).startswith(F.col(left_ref)))
-    pairs = pairs.withColumn("exact", F.col(left_ref) == F.col(right_ref))
-    w = Window.partitionBy(*key).orderBy(F.col("exact").desc(), *order)
-    return pairs.withColumn("_row", F.row_number().over(w)).filter("_row = 1").drop("_row", "_cut")
+    groups = [f"_by{i}" for i in range(len(by))]
+    named = [F.col(b).alias(g) for b, g in zip(by, groups)]
+    place = F.struct(*order)
+    rows = right.dropna(subset=[*by, right_ref]).select(*named, F.col(right_ref).alias("_text"), place.alias("_place"), F.struct(*[c for c in right.columns if c not in by]).alias("_right"))
+    texts = rows.groupBy(*groups, "_text").agg(F.min_by(F.struct("_place", "_right"), F.col("_place")).alias("_first"))
+    asked = left.dropna(subset=[*by, left_ref]).select(*named, F.col(left_ref).alias("_ref")).distinct()
+
+    def beginnings(whole, text, others, other):
+        """Rows of ``whole`` for the beginnings of ``text`` that are as long as an ``other`` of the group, as ``_cut``."""
+        lengths = others.groupBy(*groups).agg(F.collect_set(F.length(other)).alias("_lengths"))
+        fits = F.filter("_lengths", lambda n: (n <= F.length(text)) & ((n >= length) | (n == F.length(text))))
+        return whole.join(lengths, groups).withColumn("_n", F.explode(fits)).withColumn("_cut", F.substring(F.col(text), F.lit(1), F.col("_n"))).drop("_lengths", "_n")
+
+    shorter = beginnings(asked, "_ref", texts, "_text").join(texts.withColumnRenamed("_text", "_cut"), [*groups, "_cut"])
+    shorter = shorter.select(*groups, "_ref", (F.col("_cut") == F.col("_ref")).alias("exact"), "_first")
+    longer = beginnings(texts, "_text", asked, "_ref").groupBy(*groups, F.col("_cut").alias("_ref")).agg(F.min_by("_first", F.col("_first._place")).alias("_first"))
+    longer = longer.join(asked, [*groups, "_ref"]).select(*groups, "_ref", F.lit(False).alias("exact"), "_first")
+    best = shorter.unionByName(longer).groupBy(*groups, "_ref").agg(F.min_by(F.struct("exact", "_first"), F.struct(~F.col("exact"), F.col("_first._place"))).alias("_best"))
+    on = [F.col(b) == F.col(g) for b, g in zip([*by, left_ref], [*groups, "_ref"])]
+    pairs = left.join(best, on).withColumns({"_place": F.col("_best._first._place"), "exact": F.col("_best.exact")})
+    w = Window.partitionBy(*key).orderBy(F.col("exact").desc(), "_place")
+    rest = [F.col(f"_best._first._right.{c}").alias(c) for c in right.columns if c not in by]
+    return pairs.withColumn("_row", F.row_number().over(w)).filter("_row = 1").select(*by, *[c for c in left.columns if c not in by], *rest, "exact")
 
 
 def asof_backward(left: DataFrame, right: DataFrame, by, at, value, tie=()) -> DataFrame:

@@ -1,5 +1,9 @@
 """Work that grows with the rows, not with pairs of them: rows that the steps of a plan put out."""
 
+import random
+
+import pytest
+
 from folioscope.operators import matching
 
 
@@ -25,3 +29,29 @@ def test_ranked_match_makes_no_row_for_each_equal_right_row(spark):
     got, most = most_rows(spark, matching.ranked_match(left, ["id"], [(right, ["num"], ["num"]), (right, ["style"], ["style"])], ["o"]))
     assert {(r["id"], r["rank"], r["m_num"]) for r in got} == {(i, 1, i) if i % 2 == 0 and i < 300 else (i, 2, 289) for i in range(400)}
     assert most <= 1200
+
+
+def test_prefix_match_makes_no_row_for_each_pair_with_one_beginning(spark):
+    names = ["part", "part a", "part a/b", "part b"]
+    left = spark.range(400).selectExpr("'g' AS g", "id AS key", f"element_at(array({', '.join(map(repr, [*names, 'part a/run']))}), cast(id % 5 + 1 as int)) AS ref")
+    right = spark.range(400).selectExpr("'g' AS g", "400 - id AS other", f"element_at(array({', '.join(map(repr, names[1:]))}), cast(id % 3 + 1 as int)) AS name")
+    got, most = most_rows(spark, matching.prefix_match(left, right, ["g"], "ref", "name", ["key"], ["other"], 4))
+    firsts = {n: min(400 - i for i in range(400) if i % 3 == k) for k, n in enumerate(names[1:])}
+    first = {0: (min(firsts.values()), False), 1: (firsts["part a"], True), 2: (firsts["part a/b"], True), 3: (firsts["part b"], True), 4: (firsts["part a"], False)}
+    assert {(r["key"], r["other"], r["exact"]) for r in got} == {(i, *first[i % 5]) for i in range(400)}
+    assert most <= 1200
+
+
+@pytest.mark.parametrize("length", [0, 2])
+def test_prefix_match_as_by_pairs(spark, length):
+    draw = random.Random(length)
+    text = lambda: draw.choice([None, "".join(draw.choice("aä") for _ in range(draw.randint(0, 5)))] + ["".join(draw.choice("ab😀") for _ in range(draw.randint(0, 4))) for _ in range(4)])
+    left = [(draw.choice("xyz") if i % 9 else None, i, text()) for i in range(150)]
+    right = [(draw.choice("xyz") if i % 7 else None, 1000 - i, text()) for i in range(60)]
+    out = matching.prefix_match(spark.createDataFrame(left, "g string, key int, ref string"), spark.createDataFrame(right, "g string, other int, name string"), ["g"], "ref", "name", ["key"], ["other"], length)
+    want = set()
+    for g, key, ref in left:
+        hits = [(ref != name, other, name) for h, other, name in right if None not in (g, h, ref, name) and g == h and (ref.startswith(name) or name.startswith(ref)) and ref[:length] == name[:length]]
+        if hits:
+            want.add((g, key, ref, min(hits)[1], min(hits)[2], not min(hits)[0]))
+    assert {(r["g"], r["key"], r["ref"], r["other"], r["name"], r["exact"]) for r in out.collect()} == want
