@@ -76,17 +76,17 @@ def _nested(batches, keys: list[str], kinds: int):
         yield from _cut(pa.Table.from_batches(held).combine_chunks(), keys, kinds).to_batches()
 
 
-def nest(parents: DataFrame, children: dict[str, tuple[DataFrame, list[str]]], key: list[str]) -> DataFrame:
+def nest(parents: DataFrame, children: dict[str, tuple[DataFrame, list[str]]], key: list[str], unseen=()) -> DataFrame:
     """``parents`` with an array column of structs for each kind of child, in its order.
 
     ``children`` gives by name a frame with the columns of ``key`` and those
-    that order it; the structs have all of its columns but the key, ties stand in
-    any order, nulls first.  Parents without children get empty arrays.  Children
+    that order it; the structs have all of its columns but the key and those in
+    ``unseen``, ties stand in any order, nulls first.  Parents without children get empty arrays.  Children
     without a parent are left out; of parents that repeat a key one gets the
     children.  Null keys are keys like others.
     """
     keys = [f"k{i}" for i in range(len(key))]
-    payload = [F.struct(*[F.col(c) for c in parents.columns]), *[F.struct(*[F.col(c) for c in df.columns if c not in key]) for df, _ in children.values()]]
+    payload = [F.struct(*[F.col(c) for c in parents.columns]), *[F.struct(*[F.col(c) for c in df.columns if c not in key and c not in unseen]) for df, _ in children.values()]]
     frames = [parents, *[df for df, _ in children.values()]]
     orders = [[], *[list(o) for _, o in children.values()]]
     kinds = [df.select(p.alias("x")).schema["x"].dataType for df, p in zip(frames, payload)]
@@ -157,7 +157,8 @@ def template_spec(units: DataFrame, elements: DataFrame, sections: DataFrame, by
     unit_id, e_order) and ``sections`` those of :func:`section_bindings`.  A unit
     takes the section of the longest overlap, the first of equals, else its own,
     else ``section_unknown``; none or several are flagged.  Elements stand in
-    their order, a null order before 1.  Every document has its units in order of
+    their order, a null order before 1; ``elements`` may have e_place, which
+    settles equal orders and is not in the result.  Every document has its units in order of
     place, which is one unit's own; rows without a document are left out.
     """
     units = units.dropna(subset=list(by))
@@ -173,5 +174,7 @@ def template_spec(units: DataFrame, elements: DataFrame, sections: DataFrame, by
         "flags": F.array_compact(F.array(flag)),
     })
     ready = ready.select(*by, "place", "unit_id", "page_policy", "section_profile", "section_refs", "flags")
-    whole = nest(ready, {"elements": (elements.withColumn("e_order", F.coalesce("e_order", F.lit(0))), ["e_order"])}, [*by, "unit_id"])
+    elements = elements.withColumn("e_order", F.coalesce("e_order", F.lit(0)))
+    order = ["e_order", *[c for c in ("e_place",) if c in elements.columns]]
+    whole = nest(ready, {"elements": (elements, order)}, [*by, "unit_id"], unseen=("e_place",))
     return nest(units.select(*by).distinct(), {"units": (whole, ["place"])}, by)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioscope.operators import assembly, baselines, document_tree, drift, hierarchy
-from folioscope.sources.tables import table
+from folioscope.sources.tables import placed_table, table
 
 BY = ["p_brand"]
 
@@ -190,8 +190,11 @@ SQL["tree_nodes"] = f"""
 
 
 def template_spec(spark, sf_dir):
-    """A customer's orders as units and their lines as elements, put together, as a digest of the nested rows."""
-    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    """A customer's orders as units and their lines as elements, put together, as a digest of the nested rows.
+
+    Lines of an order that have one number stand as in the table.
+    """
+    orders, lines = table(spark, sf_dir, "orders"), placed_table(spark, sf_dir, "lineitem", "e_place")
     n = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
     place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long")
     key = F.col("o_orderkey")
@@ -206,7 +209,7 @@ def template_spec(spark, sf_dir):
     lines = lines.withColumns({"l_shipmode": word(("AIR", "MAIL", "TRUCK", "RAIL", "SHIP"), F.col("l_partkey")), "l_shipinstruct": word(("NONE", "COD", "page", "seq"), F.col("l_suppkey"))})
     elements = lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("doc")), "l_orderkey").select(
         "doc", F.concat(F.lit("u"), "l_orderkey").alias("unit_id"), F.concat(F.lit("e"), number).alias("element_id"), F.when(F.col("l_returnflag") == "N", "fill").when(F.col("l_returnflag") == "R", "generated").alias("policy"),
-        F.when(F.col("l_shipmode") == "AIR", "student_field_candidate").when(F.col("l_shipmode") != "MAIL", "fixed_text_candidate").alias("role_hint"), F.concat_ws(" ", "l_shipmode", "l_shipinstruct").alias("content"), F.when(number != 3, number).alias("e_order"),
+        F.when(F.col("l_shipmode") == "AIR", "student_field_candidate").when(F.col("l_shipmode") != "MAIL", "fixed_text_candidate").alias("role_hint"), F.concat_ws(" ", "l_shipmode", "l_shipinstruct").alias("content"), F.when(number != 3, number).alias("e_order"), "e_place",
     )
     spec = assembly.template_spec(units, assembly.element_spec(elements, ["TRUCK", "RAIL"], ["NONE", "COD"]), sections, ["doc"])
     element = lambda e: F.concat_ws("^", e["stable_id"], e["executed"], e["role"], F.coalesce(e["fill_source"], F.lit("-")), F.coalesce(e["field_type"], F.lit("-")), e["confidence"], F.array_join(e["flags"], "+"))

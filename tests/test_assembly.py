@@ -64,3 +64,11 @@ def test_template_spec(spark):
         ("cover.e0", "fixed", "template_fixed", "low", ["element_confidence_needs_review"]), ("cover.e1", "fill", "student_content", "high", []), ("cover.e2", "fixed", "template_fixed", "high", [])]
     assert [(e.field_type, e.fill_source) for e in body.elements] == [("PAGE", "generated_field"), ("FIELD_PLACEHOLDER", "generated_field")]
     assert end.elements[0].confidence == "medium" and lost.elements == []
+
+
+def test_elements_with_one_order_stand_by_their_place(spark):
+    units = spark.createDataFrame([("d", 1, "u", None, "odd", "page_range_exclusive", 1, 5, 1, 2)], "doc string, place long, unit_id string, section string, start string, scope string, u_start long, u_end long, p_start long, p_end long")
+    sections = spark.createDataFrame([], "doc string, section_id string, s_order long, s_start long, s_end long, sp_start long, sp_end long")
+    elements = spark.range(40).selectExpr("'d' AS doc", "'u' AS unit_id", "id", "if(id % 2 = 0, 1, null) AS e_order", "struct('f' AS file, 40 - id AS row) AS e_place")
+    found = assembly.template_spec(units, elements, sections, ["doc"]).first()["units"][0]["elements"]
+    assert [e["id"] for e in found] == [*range(39, 0, -2), *range(38, -1, -2)] and "e_place" not in found[0]
