@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from folioscope.operators.assembly import _starts
 from folioscope.sources.shared import written
 
 
@@ -39,16 +40,40 @@ def longest_rise(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def rising(pairs: DataFrame, by) -> DataFrame:
-    """Of pairs (by, l, r) of each document those of a longest run that rises on both sides."""
-    schema = T.StructType([*(pairs.schema[c] for c in by), T.StructField("l", T.LongType()), T.StructField("r", T.LongType())])
+def _rising(batches, keys: list[str]):
+    """Rows of longest rising runs; batches are sorted by key, and one key's rows and a batch are held."""
+
+    def whole(rows: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(rows).combine_chunks()
+        r, starts = table["r"].to_numpy(), np.flatnonzero(_starts(table, keys)).tolist()
+        kept = [np.array(longest_rise(r[a:b].tolist()), np.int64) + a for a, b in zip(starts, [*starts[1:], len(r)])]
+        yield from table.take(pa.array(np.concatenate(kept))).combine_chunks().to_batches()
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = [held[-1].slice(held[-1].num_rows - 1)] if held else []
+        new = _starts(pa.Table.from_batches([*last, batch]), keys)[len(last) :]
+        cuts = np.flatnonzero(new[0 if last else 1 :]) + (0 if last else 1)
+        if len(cuts):
+            at = int(cuts[-1])
+            rows = [*held, *([batch.slice(0, at)] if at else [])]
+            yield from whole(rows)
+            held, batch = [], batch.slice(at)
+        held.append(batch)
+    if held:
+        yield from whole(held)
 
-    def kept(frame: pd.DataFrame) -> pd.DataFrame:
-        # of pairs with one left place the larger right one comes first, so that no two of them rise
-        frame = frame.sort_values(["l", "r"], ascending=[True, False], kind="stable", ignore_index=True)
-        return frame.iloc[longest_rise(frame["r"].tolist())]
 
-    return pairs.select(*by, F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r")).groupBy(*by).applyInPandas(kept, schema)
+def rising(pairs: DataFrame, by) -> DataFrame:
+    """Of pairs (by, l, r) of each document those of a longest run that rises on both sides."""
+    keys = [f"k{i}" for i in range(len(by))]
+    rows = pairs.select(*[F.col(b).alias(k) for b, k in zip(by, keys)], F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r"))
+    # of pairs with one left place the larger right one comes first, so that no two of them rise
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "l", F.desc("r"))
+    out = ordered.mapInArrow(lambda batches: _rising(batches, keys), rows.schema)
+    return out.select(*[F.col(k).alias(b) for b, k in zip(by, keys)], "l", "r")
 
 
 def aligned(left: DataFrame, right: DataFrame, by, order: str, text: str) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,12 +29,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _width(kind: T.DataType) -> int:
+    """Bytes of a value in memory, at a guess."""
+    if isinstance(kind, T.StructType):
+        return 16 + sum(_width(f.dataType) for f in kind.fields)
+    return 8 if isinstance(kind, (T.NumericType, T.BooleanType, T.DatetimeType)) else 32
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows from a table in the shared folder.
 
     For loops: a checkpoint keeps the planner's guess of the rows' size, which
     joins multiply from round to round, while a table has its files' size.
+    Files of ids and places are many times smaller than their rows, so where
+    the rows are too large to be sent to every task, joins are told to sort.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/rows-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, rows = df.sparkSession, Observation()
+    path = f"{shared_dir(spark).rstrip('/')}/rows-{uuid.uuid4().hex}"
+    df.observe(rows, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    return out.hint("merge") if rows.get["n"] * _width(df.schema) > SENT_BYTES else out
+
+
+#: Bytes of a written table's rows, at a guess, that a join may still send to every task.
+SENT_BYTES = 10 << 20

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from folioscope.operators import matching
+from folioscope.sources.shared import written
 
 
 def most_rows(spark, df):
@@ -55,3 +56,9 @@ def test_prefix_match_as_by_pairs(spark, length):
         if hits:
             want.add((g, key, ref, min(hits)[1], min(hits)[2], not min(hits)[0]))
     assert {(r["g"], r["key"], r["ref"], r["other"], r["name"], r["exact"]) for r in out.collect()} == want
+
+
+def test_tables_with_small_files_and_many_rows_are_not_sent_to_every_task(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    few, many = (written(spark.range(0, n, 1, 2).selectExpr("id % 50 AS a", "id % 3 AS b")) for n in (1000, 1_000_000))
+    assert "BroadcastHashJoin" in plan(few.join(few.withColumnRenamed("b", "c"), "a")) and "SortMergeJoin" in plan(many.join(many.withColumnRenamed("b", "c"), "a"))
