@@ -80,17 +80,30 @@ def numbered_rows(rows: DataFrame, by) -> DataFrame:
     return rest.unionByName(unnumbered).withColumn("cell_key", key)
 
 
+def _facts_of(runs: DataFrame, by) -> DataFrame:
+    """(by, source_seq, facts): the run facts of each paragraph as one row, so that a paragraph meets them once."""
+    fact = F.struct(F.col("position"), F.col("raw_run_id"), F.col("text"))
+    return runs.groupBy(*by, "source_seq").agg(F.collect_list(fact).alias("facts"))
+
+
+def _bound(paragraphs: DataFrame) -> DataFrame:
+    """Each run id of paragraphs that have their facts; see :func:`bound_runs`."""
+    asked = paragraphs.select("*", F.posexplode(_clean("raw_run_ids")).alias("run_order", "run_id"))
+    facts = F.coalesce("facts", F.array().cast(paragraphs.schema["facts"].dataType))
+    own = F.array_max(F.transform(F.filter(facts, lambda x: x["raw_run_id"] == F.col("run_id")), lambda x: F.struct(x["position"].alias("position"), x["text"].alias("text"))))
+    there = F.array_max(F.transform(F.filter(facts, lambda x: x["position"].cast("int") == F.col("run_order")), lambda x: F.struct(x["text"].alias("text"))))
+    both = asked.withColumns({"own": own, "there": there})
+    text = F.when(F.col("own").isNotNull(), F.col("own.text")).otherwise(F.col("there.text"))
+    return both.withColumns({"fact_text": F.coalesce(text, F.lit("")), "found": F.col("own").isNotNull() | F.col("there").isNotNull()}).drop("own", "there", "facts")
+
+
 def bound_runs(paragraphs: DataFrame, runs: DataFrame, by) -> DataFrame:
     """Each run id of a paragraph with its fact: that of the same id (the last of several), else the one at the same position, else none.
 
-    Adds run_order, run_id, fact_text and found.
+    Adds run_order, run_id, fact_text and found.  A paragraph's facts are laid
+    beside its list of ids, and are looked up there.
     """
-    asked = paragraphs.select("*", F.posexplode(_clean("raw_run_ids")).alias("run_order", "run_id"))
-    by_id = runs.filter("raw_run_id IS NOT NULL").groupBy(*by, "source_seq", F.col("raw_run_id").alias("run_id")).agg(F.max_by(F.struct("text"), F.struct("position", "text")).alias("own"))
-    by_place = runs.groupBy(*by, "source_seq", F.col("position").cast("int").alias("run_order")).agg(F.max(F.struct("text")).alias("there"))
-    both = asked.join(by_id, [*by, "source_seq", "run_id"], "left").join(by_place, [*by, "source_seq", "run_order"], "left")
-    fact = F.coalesce("own", "there")
-    return both.withColumns({"fact_text": F.coalesce(fact["text"], F.lit("")), "found": fact.isNotNull()}).drop("own", "there")
+    return _bound(paragraphs.join(_facts_of(runs, by), [*by, "source_seq"], "left"))
 
 
 def document_nodes(rows: DataFrame, runs: DataFrame, by, spans: bool = True) -> DataFrame:
@@ -138,14 +151,15 @@ def document_nodes(rows: DataFrame, runs: DataFrame, by, spans: bool = True) ->
     where = cells.filter(own).select(*unit, "table_id", "row_at", "cell_key", F.col("cell").alias("parent"), F.col("cell_place").alias("above"))
     loose = placed.filter(F.col("table_id").isNull()).withColumns({"parent": F.concat(F.lit("unit:"), "unit_id"), "above": F.lit("")})
     paragraphs = placed.join(where, [*unit, "table_id", "row_at", "cell_key"]).unionByName(loose)
-    facts = runs.groupBy(*by, "source_seq").agg(F.count(F.lit(1)).alias("n_facts"))
-    paragraphs = paragraphs.join(facts, [*by, "source_seq"], "left").withColumns({
-        "paragraph": F.concat("parent", F.lit("/paragraph:"), F.coalesce("paragraph_id", F.col("source_seq").cast("string"))), "place": F.concat("above", _part("source_seq")), "asked": F.size(_clean("raw_run_ids"))})
+    paragraphs = paragraphs.select(*unit, "source_seq", "parent", "above", "paragraph_id", "text", "raw_run_ids", "binding").join(_facts_of(runs, by), [*by, "source_seq"], "left")
+    paragraphs = paragraphs.select(
+        *unit, "parent", "text", "raw_run_ids", "binding", "facts", F.concat("parent", F.lit("/paragraph:"), F.coalesce("paragraph_id", F.col("source_seq").cast("string"))).alias("paragraph"),
+        F.concat("above", _part("source_seq")).alias("place"), F.size(_clean("raw_run_ids")).alias("asked"))
     paragraphs = written(paragraphs)
-    complete = F.when(F.col("asked") > 0, F.coalesce("n_facts", F.lit(0)) >= F.col("asked")).otherwise(True)
+    complete = F.when(F.col("asked") > 0, F.coalesce(F.size("facts"), F.lit(0)) >= F.col("asked")).otherwise(True)
     paragraph_nodes = level(paragraphs, F.col("paragraph"), F.col("parent"), "paragraph", F.col("place"), F.col("text"), content=complete, unbound=F.col("binding").isin(*_UNBOUND).cast("long"))
     paragraph_nodes = paragraph_nodes.withColumn("unbound", F.coalesce("unbound", zero))
-    bound = bound_runs(paragraphs, runs, by).withColumns({"run": F.concat(F.lit("run:"), "run_id"), "run_place": F.concat("place", _part("run_order"))})
+    bound = _bound(paragraphs).withColumns({"run": F.concat(F.lit("run:"), "run_id"), "run_place": F.concat("place", _part("run_order"))})
     known = F.col("found") | (F.coalesce("text", F.lit("")) == "")
     run_nodes = level(bound, F.col("run"), F.col("paragraph"), "run", F.col("run_place"), F.col("fact_text"), content=known, unbound=(~F.col("found")).cast("long"))
     levels = [cell_nodes, row_nodes, table_nodes, paragraph_nodes, run_nodes]
@@ -163,13 +177,19 @@ def document_nodes(rows: DataFrame, runs: DataFrame, by, spans: bool = True) ->
 def nested_sets(nodes: DataFrame, by) -> DataFrame:
     """Adds first, last and n_leaves: a node's place in document order, the last place below it, and the leaves at or under it.
 
-    ``by`` names the tree; nodes have keys as in :func:`document_nodes`.  Each
-    node counts once in every node whose key begins its own, seven at most.
+    ``by`` names the tree; nodes have keys as in :func:`document_nodes`.  Keys
+    alone are ranged, numbered and counted; all else moves once, to meet its
+    numbers.  A node counts once in every node above it, six at most.
     """
     nodes = written(nodes)
-    placed = ranged_sequence(nodes, by, ["key"], "first")
-    above = F.transform(F.sequence(F.lit(0), F.length("key"), F.lit(WIDTH)), lambda n: F.substring(F.col("key"), F.lit(1), n))
-    size = nodes.select(*by, F.explode(above).alias("key")).groupBy(*by, "key").agg(F.count(F.lit(1)).alias("size"))
-    sized = written(placed.join(size, [*by, "key"]).withColumn("last", F.col("first") + F.col("size") - 1))
-    leaves = sized.filter(F.col("size") == 1).select(*by, F.explode(above).alias("key")).groupBy(*by, "key").agg(F.count(F.lit(1)).alias("n_leaves"))
-    return sized.join(leaves, [*by, "key"]).select(*nodes.columns, "first", "last", "n_leaves")
+    keys = nodes.select(*by, "key")
+    above = F.transform(F.sequence(F.lit(0), F.length("key") - WIDTH, F.lit(WIDTH)), lambda n: F.substring(F.col("key"), F.lit(1), n))
+    under = lambda df, name: df.filter(F.length("key") > 0).select(*by, F.explode(above).alias("key")).groupBy(*by, "key").agg(F.count(F.lit(1)).alias(name))
+    # nodes of one key, if there are any, share their counts and have places of their own
+    placed = ranged_sequence(keys, by, ["key"], "first").groupBy(*by, "key").agg(F.array_sort(F.collect_list("first")).alias("firsts"))
+    sized = written(placed.join(under(keys, "held"), [*by, "key"], "left").withColumn("size", F.size("firsts") + F.coalesce("held", F.lit(0))).drop("held"))
+    leaves = under(sized.filter(F.col("size") == 1), "n_leaves")
+    numbers = sized.join(leaves, [*by, "key"], "left").withColumn("n_leaves", F.when(F.col("size") == 1, F.lit(1).cast("long")).otherwise(F.col("n_leaves"))).filter("n_leaves IS NOT NULL")
+    nth = F.row_number().over(Window.partitionBy(*by, "key").orderBy("node"))
+    out = nodes.withColumn("_nth", nth).join(numbers, [*by, "key"]).withColumn("first", F.element_at("firsts", F.col("_nth")))
+    return out.select(*nodes.columns, "first", (F.col("first") + F.col("size") - 1).alias("last"), "n_leaves")

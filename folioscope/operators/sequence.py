@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.sources.shared import cut
+from folioscope.sources.shared import written
 
 
 def _window(by, order):
@@ -33,7 +33,7 @@ def ranged_sequence(df: DataFrame, by, order, name="seq") -> DataFrame:
     partition.  The ranges are kept in the shared folder, as later passes must
     see the same ones.
     """
-    ranged = cut(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
+    ranged = written(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
     inside = Window.partitionBy("_part", *by).orderBy(*order)
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))

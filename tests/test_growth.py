@@ -1,11 +1,12 @@
 """Work that grows with the rows, not with pairs of them: rows that the steps of a plan put out."""
 
 import random
+from pathlib import Path
 
 import pytest
 
-from folioscope.operators import matching
-from folioscope.sources.shared import written
+from folioscope.operators import document_tree, matching
+from folioscope.sources.shared import shared_dir, written
 
 
 def most_rows(spark, df):
@@ -62,3 +63,13 @@ def test_tables_with_small_files_and_many_rows_are_not_sent_to_every_task(spark)
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     few, many = (written(spark.range(0, n, 1, 2).selectExpr("id % 50 AS a", "id % 3 AS b")) for n in (1000, 1_000_000))
     assert "BroadcastHashJoin" in plan(few.join(few.withColumnRenamed("b", "c"), "a")) and "SortMergeJoin" in plan(many.join(many.withColumnRenamed("b", "c"), "a"))
+
+
+def test_nested_sets_keep_what_nodes_hold_once(spark):
+    nodes = spark.range(0, 2000, 1, 2).selectExpr("id % 7 AS doc", "concat('n', id) AS node", "lpad(cast(id as string), 12, '0') AS key", "concat_ws('', transform(sequence(1, 40), i -> sha2(cast(id * 100 + i as string), 256))) AS text")
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before = size()
+    got = document_tree.nested_sets(nodes, ["doc"]).select("doc", "node", "first", "last", "n_leaves", "text").collect()
+    assert {(r["doc"], r["node"], r["first"], r["last"], r["n_leaves"]) for r in got} == {(i % 7, f"n{i}", i // 7 + 1, i // 7 + 1, 1) for i in range(2000)}
+    assert size() - before < 2000 * 40 * 64
