@@ -6,7 +6,6 @@ import io
 import zipfile
 from xml.sax.saxutils import escape
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from folioscope.operators import sequence
@@ -43,34 +42,38 @@ def _package(text: str, header: bool = False) -> bytes:
 def packed(spark, sf_dir, header: bool = False):
     """The documents as Word files (path, content)."""
 
-    def pack(frames):
-        for frame in frames:
-            yield pd.DataFrame({"path": frame["doc_id"].astype(str), "content": [_package(t, header) for t in frame["text"]]})
+    def pack(batches):
+        import pyarrow as pa
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        for batch in batches:
+            for piece in docx.slices(batch, "text"):
+                content = [_package(t, header) for t in piece.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([piece.column("path"), pa.array(content, pa.binary())], ["path", "content"])
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.repartition(F.col("doc_id"))  # packing is all the work, and one file may be one split
-    return docs.mapInPandas(pack, "path string, content binary")
+    return docs.select("path", "text").mapInArrow(pack, "path string, content binary")
 
 
-def _facts(spark, sf_dir):
-    return docx.facts(packed(spark, sf_dir))
+def _facts(spark, sf_dir, kinds):
+    return docx.facts(packed(spark, sf_dir), kinds)
 
 
 def word_paragraphs(spark, sf_dir):
     """Visible paragraphs of the files, numbered."""
-    flow = docx.body_flow(_facts(spark, sf_dir))
+    flow = docx.body_flow(_facts(spark, sf_dir, docx.BANDS))
     return flow.select(F.col("path").cast("long").alias("doc_id"), "source_seq", "place", F.md5("text").alias("text"), F.col("attrs")["style"].alias("style"))
 
 
 def word_runs(spark, sf_dir):
     """Runs of the files after folding: how many of each look and how many characters."""
-    runs = docx.logical_runs(_facts(spark, sf_dir))
+    runs = docx.logical_runs(_facts(spark, sf_dir, ["run"]))
     return runs.groupBy(F.col("path").cast("long").alias("doc_id"), F.coalesce("bold", F.lit("no")).alias("bold")).agg(F.count(F.lit(1)).alias("n_runs"), F.sum("n_rows").alias("n_raw"), F.sum(F.length("text")).alias("n_chars"))
 
 
 def word_sections(spark, sf_dir):
     """Sections of the files and the paragraphs that they end after."""
-    found = _facts(spark, sf_dir).filter("kind = 'section'").withColumn("at", F.coalesce("place", F.lit(1 << 40)))
+    found = _facts(spark, sf_dir, ["section"]).filter("kind = 'section'").withColumn("at", F.coalesce("place", F.lit(1 << 40)))
     numbered = sequence.dense_sequence(found, ["path"], ["at"], "section")
     return numbered.select(F.col("path").cast("long").alias("doc_id"), "section", "place")
 

@@ -3,6 +3,7 @@
 import io
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from folioscope import streaming
@@ -86,3 +87,14 @@ def test_stream_counts_like_a_batch(spark, tmp_path):
     want = streaming.windowed_counts(spark.read.parquet(path))
     pick = lambda df: sorted((r["start"], r["event_type"], r["n"]) for r in df.collect())
     assert pick(spark.table("counted")) == pick(want)
+
+
+def test_facts_of_asked_kinds_alone_and_files_a_few_at_a_time(spark):
+    content = word_file()
+    every, asked = list(docx.document_rows(content)), [set(docx.BANDS), {"run"}, {"section", "break"}, {"style"}, {"numbering"}, {"field", "relationship", "image", "numbering_level"}]
+    assert all([r for r in every if r[0] in kinds] == list(docx.document_rows(content, kinds)) for kinds in asked)
+    files = spark.createDataFrame([("a", content), ("b", b"no zip")], "path string, content binary")
+    key = lambda df: sorted(repr(r) for r in df.collect())
+    assert key(docx.facts(files, ["run", "section"])) == key(docx.facts(files).filter("kind IN ('run', 'section')"))
+    batch = pa.RecordBatch.from_pydict({"content": [b"x" * 400, b"", None, b"x" * 5000, b"x"]})
+    assert [piece.num_rows for piece in docx.slices(batch, "content", 1000)] == [3, 1, 1]
