@@ -74,7 +74,7 @@ class _Writer(DataSourceArrowWriter):
         context = TaskContext.get()
         store, base = open_store(self.path)
         folder = f"{self._staging(base)}/task-{context.partitionId()}-{context.taskAttemptId()}"
-        encode, index, names, size = FORMS[self.form], [], set(), 0
+        encode, index, names, made, size = FORMS[self.form], [], set(), set(), 0
         for batch in iterator:
             for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
                 if not name or name.startswith(("/", "_")) or ".." in name.split("/"):
@@ -87,7 +87,9 @@ class _Writer(DataSourceArrowWriter):
                 except ValueError as error:
                     raise ValueError(f"content of {name!r} is no JSON: {error}") from error
                 target = f"{folder}/{name}"
-                store.create_dir(target.rpartition("/")[0], recursive=True)
+                if (inside := target.rpartition("/")[0]) not in made:
+                    store.create_dir(inside, recursive=True)
+                    made.add(inside)
                 with store.open_output_stream(target, compression=None) as out:
                     out.write(data)
                 size += len(data)

@@ -14,7 +14,6 @@ import zipfile
 from dataclasses import dataclass
 from xml.etree import ElementTree
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -113,28 +112,31 @@ def main_parts(spark: SparkSession, path: str, **options) -> DataFrame:
     return parts(spark, path, docx.MAIN, **options).select("path", "part", F.make_valid_utf8(F.col("content").cast("string")).alias("xml"))
 
 
-def part_facts(found: DataFrame) -> DataFrame:
-    """The facts of parts (path, part, content) that hold paragraphs, as ``docx.facts`` has them for whole packages; null content has none."""
-
-    def read(frames):
-        for frame in frames:
-            for path, part, content in zip(frame["path"], frame["part"], frame["content"]):
-                if content is None:
-                    continue
-                root = ElementTree.parse(io.BytesIO(content)).getroot()
-                rows = [(path, kind, part, *rest) for kind, *rest in docx._part_rows(root, part, part == docx.MAIN)]
+def part_facts(found: DataFrame, kinds=None) -> DataFrame:
+    """The facts of parts (path, part, content) that hold paragraphs, as ``docx.facts`` has them for whole packages; null content has none; of ``kinds`` alone, if given."""
+    wanted = None if kinds is None else frozenset(kinds)
+
+    def read(batches):
+        for batch in batches:
+            for piece in docx.slices(batch, "content"):
+                rows = []
+                for path, part, content in zip(*(piece.column(c).to_pylist() for c in ("path", "part", "content"))):
+                    if content is not None:
+                        root = ElementTree.parse(io.BytesIO(content)).getroot()
+                        rows += [(path, kind, part, *rest) for kind, *rest in docx._part_rows(root, part, part == docx.MAIN, wanted)]
+                    if len(rows) >= docx.SLICE_FACTS:
+                        yield docx.fact_batch(rows)
+                        rows = []
                 if rows:
-                    out = pd.DataFrame(rows, columns=docx.FACTS.names)
-                    out["place"] = out["place"].astype("Int64")
-                    yield out
+                    yield docx.fact_batch(rows)
 
-    return found.select("path", "part", "content").mapInPandas(read, docx.FACTS)
+    return found.select("path", "part", "content").mapInArrow(read, docx.FACTS)
 
 
 def header_paragraphs(spark: SparkSession, path: str, **options) -> DataFrame:
     """Paragraphs of headers and footers, with their part, in its order; no other part is read."""
-    facts = part_facts(parts(spark, path, "word/header*.xml", "word/footer*.xml", **options))
-    return facts.filter("kind IN ('part_paragraph', 'cell_paragraph')").select("path", "part", "place", "source_ref", "text", F.col("attrs")["style"].alias("style"))
+    facts = part_facts(parts(spark, path, "word/header*.xml", "word/footer*.xml", **options), ["part_paragraph", "cell_paragraph"])
+    return facts.select("path", "part", "place", "source_ref", "text", F.col("attrs")["style"].alias("style"))
 
 
 # Kinds of visible objects, the marks of each in a part, and the place in the main part that stands for them.

@@ -99,3 +99,9 @@ def test_visible_objects_and_bad_utf8(spark, tmp_path):
     assert got == [("a.docx", "u_image_001", "word/document.xml:drawing[1]")] and "<a:blip" in BODY
     every = spark.createDataFrame([("p", "m", "<w:txbxContent/> wps:txbx <w:footnoteReference/> pic:pic"), ("q", "m", None)], "path string, part string, xml string")
     assert [r["object_type"] for r in packages.visible_objects(every).collect()] == ["text_box", "footnote", "image"]
+
+
+def test_facts_of_parts_of_asked_kinds(spark):
+    found = spark.createDataFrame([("a", docx.MAIN, zipfile.ZipFile(io.BytesIO(word_file())).read(docx.MAIN)), ("b", "word/header1.xml", None)], "path string, part string, content binary")
+    every = sorted(repr(r) for r in packages.part_facts(found).filter("kind IN ('paragraph', 'cell_paragraph')").collect())
+    assert every and every == sorted(repr(r) for r in packages.part_facts(found, ["paragraph", "cell_paragraph"]).collect())
