@@ -75,8 +75,11 @@ def fold_runs(df: DataFrame, by, order, same, text, name="island", members=None)
 def integer_ranges(df: DataFrame, by, value) -> DataFrame:
     """Maximal runs of consecutive integers as (start, end, n); repeats count once."""
     distinct = df.select(*by, value).filter(F.col(value).isNotNull()).distinct()
-    keyed = distinct.withColumn("_run", F.col(value) - F.row_number().over(_window(by, [value])))
-    return keyed.groupBy(*by, "_run").agg(F.min(value).alias("start"), F.max(value).alias("end"), F.count(F.lit(1)).alias("n")).drop("_run")
+    # first and last values of the runs alone, in the order of one sort: a row has its run's end, or the next row is that
+    w, v = _window(by, [value]), F.col(value)
+    edges = distinct.withColumns({"_first": F.coalesce(F.lag(v).over(w) + 1 < v, F.lit(True)), "_last": F.coalesce(v < F.lead(v).over(w) - 1, F.lit(True))}).filter("_first OR _last")
+    ends = edges.withColumn("_end", F.when(F.col("_last"), v).otherwise(F.lead(v).over(w))).filter("_first")
+    return ends.select(*by, v.alias("start"), F.col("_end").alias("end"), (F.col("_end") - v + 1).cast("long").alias("n"))
 
 
 def last_known(column, by, order, current: bool = True) -> Column:

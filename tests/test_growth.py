@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from folioscope.operators import document_tree, matching
+from folioscope.operators import document_tree, matching, sequence
 from folioscope.sources.shared import shared_dir, written
 
 
@@ -73,3 +73,12 @@ def test_nested_sets_keep_what_nodes_hold_once(spark):
     got = document_tree.nested_sets(nodes, ["doc"]).select("doc", "node", "first", "last", "n_leaves", "text").collect()
     assert {(r["doc"], r["node"], r["first"], r["last"], r["n_leaves"]) for r in got} == {(i % 7, f"n{i}", i // 7 + 1, i // 7 + 1, 1) for i in range(2000)}
     assert size() - before < 2000 * 40 * 64
+
+
+def test_integer_ranges_keep_no_group_of_all_ranges(spark):
+    edge = (1 << 63) - 1
+    rows = [("a", v) for v in (5, 6, 6, 7, 9, -1, -1, None, edge, edge - 1, -edge - 1)] + [(None, 1), (None, 2)]
+    out = sequence.integer_ranges(spark.createDataFrame(rows, "g string, v long"), ["g"], "v")
+    assert {tuple(r) for r in out.collect()} == {("a", -edge - 1, -edge - 1, 1), ("a", -1, -1, 1), ("a", 5, 7, 3), ("a", 9, 9, 1), ("a", edge - 1, edge, 2), (None, 1, 2, 2)}
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan[: plan.index("Window")].count("HashAggregate") == 0 and plan.count("Sort [") == 1
