@@ -44,7 +44,7 @@ def binding_findings(spark, sf_dir):
     day = F.datediff("l_shipdate", F.lit("1990-01-01").cast("date"))
     lines = table(spark, sf_dir, "lineitem").filter("l_returnflag <> 'A'").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_suppkey") % 50).alias("section_profile_id"), day.alias("s"), (day + 3).alias("e"))
     refs = lines.join(o, "o_orderkey").select("o_custkey", unit.alias("unit_id"), "section_profile_id", F.col("s").alias("start"), F.col("e").alias("end"))
-    profiles = o.select("o_custkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(44).cast("long"))).alias("section_profile_id")).distinct()
+    profiles = o.select("o_custkey").distinct().select("o_custkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(44).cast("long"))).alias("section_profile_id"))
     return audits.binding_findings(units, refs, profiles, ["o_custkey"])
 
 

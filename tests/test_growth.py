@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 
 from folioscope.operators import document_tree, matching, sequence
+from folioscope.plans import audits
 from folioscope.sources.shared import shared_dir, written
 
 
@@ -82,3 +83,12 @@ def test_integer_ranges_keep_no_group_of_all_ranges(spark):
     assert {tuple(r) for r in out.collect()} == {("a", -edge - 1, -edge - 1, 1), ("a", -1, -1, 1), ("a", 5, 7, 3), ("a", 9, 9, 1), ("a", edge - 1, edge, 2), (None, 1, 2, 2)}
     plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan[: plan.index("Window")].count("HashAggregate") == 0 and plan.count("Sort [") == 1
+
+
+def test_binding_findings_make_sections_for_customers_not_for_orders(spark, tmp_path):
+    spark.range(1, 401).selectExpr("id AS o_orderkey", "id % 2 AS o_custkey", "timestamp_ntz '1995-01-01 00:00:00' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(1, 401).selectExpr("id AS l_orderkey", "id AS l_suppkey", "'N' AS l_returnflag", "timestamp_ntz '1995-01-02 00:00:00' AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got, most = most_rows(spark, audits.binding_findings(spark, str(tmp_path)))
+    unknown = {(r["o_custkey"], r["unit_id"]) for r in got if r["check"] == "section_ref_unknown"}
+    unit = lambda k: "other" if k % 30 == 0 else "twin" if k % 11 == 0 else str(k)
+    assert unknown == {(k % 2, unit(k)) for k in range(1, 401) if k % 50 > 44} and most <= 2000
