@@ -1,16 +1,21 @@
 """Signed baselines: nested dimensions laid flat, what makes a baseline invalid, and comparison of the valid ones.
 
-A baseline is a JSON text.  Its dimensions may hold dimensions to any depth; a
-frontier of them is opened level by level as variants, each with a place key of
-its ancestors' ordinals, whose order is that of a walk depth first.
+A baseline is a JSON text.  Its dimensions may hold dimensions to any depth.
+Plain documents are walked where they are; of odd ones a frontier is opened
+level by level as variants, each with a place key of its ancestors' ordinals,
+whose order is that of a walk depth first.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.operators import comparators
 from folioscope.sources.shared import written
@@ -19,8 +24,12 @@ from folioscope.sources.shared import written
 TOP, NESTED = ("dimensions", "required_dimensions"), ("dimensions", "children")
 METADATA = ("auto_update_allowed", "change_reason", "review_source", "reviewed_by", "source_docx_sha256")
 TOLERANCES = ("tolerance", "tolerance_abs", "tolerance_percent")
+#: What is told of a dimension, besides its position and depth.
+FACTS = ("dimension_id", "comparator_mode", "required", "path", *TOLERANCES, "dimension")
 #: Digits of an ordinal.
 _WIDTH = 9
+#: Levels of brackets in a document that is walked at once, and documents whose dimensions are made into one batch.
+_DEEPEST, _DOCUMENTS = 400, 2000
 
 
 def _at(document: Column, path: str, kind: str = "variant") -> Column:
@@ -32,38 +41,174 @@ def _nothing(value: Column) -> Column:
     return F.coalesce(F.to_json(value).isin("null", "false", "0", '""', "[]", "{}"), F.lit(True))
 
 
-def _opened(rows: DataFrame, items: Column, prefix: Column) -> DataFrame:
-    """The objects of a list of variants, as JSON, with their places."""
-    some = rows.select("id", F.col("place"), F.posexplode(items).alias("n", "item")).filter(F.schema_of_variant("item").startswith("OBJECT"))
-    return some.select("id", F.concat(prefix, F.lpad(F.col("n").cast("string"), _WIDTH, "0")).alias("place"), F.to_json("item").alias("dimension"))
+def _of(node: Column, name: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(node, f"$.{name}", kind)
 
 
-def flat_dimensions(baselines: DataFrame, key, document: str) -> DataFrame:
-    """(key, position, depth, dimension_id, comparator_mode, required, path, tolerance, tolerance_abs, tolerance_percent, dimension) of all dimensions, depth first.
+def _own(node: Column) -> Column:
+    """The list that a dimension has below it: its ``dimensions``, or where those are nothing its ``children``."""
+    first, second = (_of(node, name, "array<variant>") for name in NESTED)
+    return F.when(F.size(first) > 0, first).when(_nothing(_of(node, NESTED[0])), second)
+
+
+def _facts(node: Column, wanted) -> list[Column]:
+    """The columns of a dimension, a variant."""
+    def text(name):
+        value = _of(node, name)
+        return F.when(~_nothing(value), F.coalesce(_of(node, name, "string"), F.to_json(value)))
+
+    facts = {
+        "dimension_id": lambda: F.coalesce(text("dimension_id"), text("id"), F.lit("unknown")), "comparator_mode": lambda: text("comparator_mode"),
+        "required": lambda: ~F.coalesce(F.to_json(_of(node, "required")) == "false", F.lit(False)), "path": lambda: text("path"),
+        **{t: lambda t=t: _of(node, t, "double") for t in TOLERANCES}, "dimension": lambda: F.to_json(node),
+    }
+    return [facts[f]().alias(f) for f in wanted]
+
+
+class _Odd(Exception):
+    """A document that is left to the walk by levels."""
+
+
+def _object(pairs):
+    out = dict(pairs)
+    if len(out) != len(pairs):
+        raise _Odd
+    return out
+
+
+def _no_constant(_):
+    raise _Odd
+
+
+def _plain(value) -> bool:
+    """Whether a value is nothing, as in :func:`_nothing`; one whose text may be written in several ways is odd."""
+    if isinstance(value, float):
+        raise _Odd
+    return value is None or value is False or value in (0, "", [], {})
+
+
+def _word(node: dict, name: str) -> str | None:
+    value = node.get(name)
+    if _plain(value):
+        return None
+    if not isinstance(value, str):
+        raise _Odd
+    return value
+
+
+def _number(node: dict, name: str) -> float | None:
+    value = node.get(name)
+    if value is not None and (isinstance(value, bool) or not isinstance(value, (int, float)) or not abs(value) < 1 << 53):
+        raise _Odd
+    return None if value is None else float(value)
+
+
+#: Facts of a dimension that is plain JSON.
+_MADE = {
+    "dimension_id": lambda x: _word(x, "dimension_id") or _word(x, "id") or "unknown", "comparator_mode": lambda x: _word(x, "comparator_mode"), "required": lambda x: x.get("required") is not False,
+    "path": lambda x: _word(x, "path"), **{t: lambda x, t=t: _number(x, t) for t in TOLERANCES},
+}
+
+
+def _walk(text: str | None, makers: list) -> list[tuple]:
+    """(depth, facts) of a document's dimensions, depth first; odd where Spark's own JSON functions might see it otherwise."""
+    if not text:
+        return []
+    if len(text) > 1 << 23 or "\\ud" in text or "\\uD" in text or _nesting(text) > _DEEPEST:
+        raise _Odd
+    try:
+        document = json.loads(text, object_pairs_hook=_object, parse_constant=_no_constant)
+    except (ValueError, RecursionError) as error:
+        raise _Odd from error
+    rows, left = [], []
+    for name in reversed(TOP if isinstance(document, dict) else ()):
+        left += [(1, x) for x in reversed(document[name])] if isinstance(document.get(name), list) else []
+    while left:
+        depth, x = left.pop()
+        if isinstance(x, dict):
+            rows.append((depth, *[make(x) for make in makers]))
+            items = x.get(NESTED[0])
+            items = x.get(NESTED[1]) if _plain(items) else items
+            left += [(depth + 1, y) for y in reversed(items)] if isinstance(items, list) else []
+    return rows
+
+
+def _nesting(text: str) -> int:
+    """Levels of brackets, at most."""
+    if text.count("[") + text.count("{") <= _DEEPEST:
+        return 0
+    depth = most = 0
+    for c in re.findall(r"[\[\]{}]", text):
+        depth += 1 if c in "[{" else -1
+        most = max(most, depth)
+    return most
+
+
+def _walks(batches, wanted, fields: list[pa.Field]):
+    """Rows (id, no, position, depth, facts, document) of documents (id, no, document); an odd one is one row with its text."""
+    makers = [_MADE[f] for f in wanted]
+    for batch in (b.slice(i, _DOCUMENTS) for b in batches for i in range(0, b.num_rows, _DOCUMENTS)):
+        owner, rows, odd = [], [], []
+        for i, text in enumerate(batch.column("document").to_pylist()):
+            try:
+                found = [(n, *row, None) for n, row in enumerate(_walk(text, makers), 1)]
+            except _Odd:
+                found = [(None,) * (len(makers) + 2) + (text,)]
+            rows += found
+            owner += [i] * len(found)
+        keys = batch.select(["id", "no"]).take(pa.array(owner, pa.int32()))
+        columns = zip(*rows) if rows else [()] * len(fields)
+        yield pa.RecordBatch.from_arrays([*keys.columns, *[pa.array(c, f.type) for c, f in zip(columns, fields)]], schema=pa.schema([*keys.schema, *fields]))
+
+
+def _by_levels(documents: DataFrame, wanted) -> DataFrame:
+    """(id, position, depth, facts) of documents (id, no, document) of any depth, opened level by level."""
+    v = F.col("v")
+
+    def opened(rows, items, prefix):
+        some = rows.select("id", "no", "place", F.posexplode(items).alias("n", "item")).filter(F.try_variant_get("item", "$", "map<string,variant>").isNotNull())
+        return some.select("id", "no", F.concat(prefix, F.lpad(F.col("n").cast("string"), _WIDTH, "0")).alias("place"), F.to_json("item").alias("node"))
+
+    parsed = lambda df: df.withColumn("v", F.try_parse_json("node"))
+    tops = parsed(documents.select("id", "no", F.lit("").alias("place"), F.col("document").alias("node")))
+    frontier = written(reduce(DataFrame.unionByName, [opened(tops, _of(v, name, "array<variant>"), F.lit(str(i))) for i, name in enumerate(TOP)]))
+    levels = []
+    while frontier.count():
+        levels.append(frontier)
+        frontier = written(opened(parsed(frontier), _own(v), F.col("place")))
+    rows = parsed(reduce(DataFrame.unionByName, levels or [frontier])).select("id", "no", "place", *_facts(v, wanted))
+    position = F.row_number().over(Window.partitionBy("id", "no").orderBy("place"))
+    return rows.select("id", position.alias("position"), F.floor((F.length("place") - 1) / _WIDTH).cast("int").alias("depth"), *wanted)
+
+
+def flat_dimensions(baselines: DataFrame, key, document: str, facts=FACTS) -> DataFrame:
+    """(key, position, depth, facts) of all dimensions, depth first; ``facts`` are some of or all FACTS, and no others are made.
 
     The list ``dimensions`` goes before ``required_dimensions``; a dimension's
     own are its ``dimensions``, or where that is empty its ``children``.  What
     is not an object, and lists that are none, are passed over; so are texts
-    that cannot be parsed.  ``required`` is false only where it says so.
+    that cannot be parsed.  ``required`` is false only where it says so.  Rows
+    that repeat a key are numbered each by itself.
+
+    A document is parsed once and walked by the task that holds it, so its
+    dimensions have their order without a sort.  Odd ones (such as with numbers
+    for texts, keys that repeat, or a great depth) are opened level by level by
+    Spark's JSON functions, and so are all where ``dimension`` is asked for,
+    each dimension's own JSON.
     """
-    ids = baselines.select(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(key)]).alias("id"), F.lit("").alias("place"), F.col(document).alias("dimension"))
-    frontier = written(reduce(DataFrame.unionByName, [_opened(ids, _at(F.col("dimension"), name, "array<variant>"), F.lit(str(i))) for i, name in enumerate(TOP)]))
-    levels = []
-    while frontier.count():
-        levels.append(frontier)
-        first, second = (_at(F.col("dimension"), name) for name in NESTED)
-        lists = [_at(F.col("dimension"), name, "array<variant>") for name in NESTED]
-        frontier = written(_opened(frontier, F.when(_nothing(first), lists[1]).otherwise(lists[0]), F.col("place")))
-    rows = reduce(DataFrame.unionByName, levels or [frontier])
-    d = F.col("dimension")
-    text = lambda name: F.when(~_nothing(_at(d, name)), F.coalesce(_at(d, name, "string"), F.to_json(_at(d, name))))
-    required = ~F.coalesce(F.to_json(_at(d, "required")) == "false", F.lit(False))
-    position = F.row_number().over(Window.partitionBy("id").orderBy("place"))
-    return rows.select(
-        *[F.col(f"id.k{i}").alias(k) for i, k in enumerate(key)], position.alias("position"), F.floor((F.length("place") - 1) / _WIDTH).cast("int").alias("depth"),
-        F.coalesce(text("dimension_id"), text("id"), F.lit("unknown")).alias("dimension_id"), text("comparator_mode").alias("comparator_mode"), required.alias("required"), text("path").alias("path"),
-        *[_at(d, t, "double").alias(t) for t in TOLERANCES], "dimension",
-    )
+    ids = baselines.select(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(key)]).alias("id"), F.monotonically_increasing_id().alias("no"), F.col(document).alias("document"))
+    if "dimension" in facts:
+        rows = _by_levels(written(ids), facts)
+    else:
+        kinds = {"required": T.BooleanType(), **dict.fromkeys(TOLERANCES, T.DoubleType())}
+        fields = [T.StructField("position", T.IntegerType()), T.StructField("depth", T.IntegerType()), *[T.StructField(f, kinds.get(f, T.StringType())) for f in facts], T.StructField("document", T.StringType())]
+        schema, odd, wanted = T.StructType([*ids.schema.fields[:2], *fields]), Observation(), list(facts)
+        columns = [pa.field(f.name, {T.IntegerType(): pa.int32(), T.BooleanType(): pa.bool_(), T.DoubleType(): pa.float64()}.get(f.dataType, pa.string())) for f in fields]
+        walked = written(ids.mapInArrow(lambda batches: _walks(batches, wanted, columns), schema).observe(odd, F.count("document").alias("n")))
+        rows = walked.filter("document IS NULL")
+        if odd.get["n"]:
+            rows = rows.select("id", "position", "depth", *facts).unionByName(_by_levels(walked.filter("document IS NOT NULL").select("id", "no", "document"), facts))
+    return rows.select(*[F.col(f"id.k{i}").alias(k) for i, k in enumerate(key)], "position", "depth", *facts)
 
 
 def baseline_faults(baselines: DataFrame, key, document: str) -> DataFrame:

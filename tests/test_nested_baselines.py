@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from folioscope.operators import baselines
 
 META = {"reviewed_by": "a", "review_source": "b", "source_docx_sha256": "sha256:00", "change_reason": "c", "auto_update_allowed": False}
@@ -55,3 +57,22 @@ def test_faults_and_comparison(spark):
         ("blind", None, None, "missing_expected_artifact", "UNKNOWN"),
     }
     assert baselines.compared_baselines(df.limit(0), ["name"], "doc", "made").count() == 0
+
+
+def test_walks_at_once_and_by_levels_are_one(spark):
+    """Plain, deep and odd documents, two of one key among them; only the facts asked for are made, and plain ones need no sort."""
+    chain = lambda n, name: dim(name, dimensions=[chain(n - 1, f"{name}x"), 7, dim(f"{name}y", tolerance=n / 4)]) if n else dim(name, required=False)
+    documents = [json.dumps(d) for d in [*NESTED.values(), *({"dimensions": [chain(n, "a"), dim("b")], "required_dimensions": [chain(n, "c")]} for n in range(6))]]
+    odd = ['{"dimensions": [{"id": 1.50, "path": 1e5}, {"id": 0.0}, {"id": [1]}, {"id": true, "tolerance": "0.5"}]}', '{"dimensions": [{"id": "a", "id": "b"}]}', '{"dimensions": [{"id": NaN}]}', '{"dimensions": [{"id": "x"}]} more', "[1]", "", None, '{"dimensions": 0.0}']
+    texts = [*documents, *odd, documents[5]]
+    df = spark.createDataFrame([(i % (len(texts) - 1), t) for i, t in enumerate(texts)], "name int, doc string")
+    facts = [f for f in baselines.FACTS if f != "dimension"]
+    rows = lambda df: sorted(map(repr, df.collect()))
+    fast = baselines.flat_dimensions(df, ["name"], "doc", facts)
+    assert fast.columns == ["name", "position", "depth", *facts]
+    assert rows(fast) == rows(baselines.flat_dimensions(df, ["name"], "doc").drop("dimension"))
+    plain = baselines.flat_dimensions(df.limit(len(documents)), ["name"], "doc", ["dimension_id"])
+    plan = plain._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+    with pytest.raises(baselines._Odd):
+        baselines._walk('{"dimensions": [' * 201 + '{"id": "end"}' + "]}" * 201, [])
