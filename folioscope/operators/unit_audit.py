@@ -40,9 +40,11 @@ def anchored(entries: DataFrame, terms: DataFrame, owners: DataFrame, by: list[s
     named = terms.withColumn("key", match_key("term")).filter("key <> ''").select(*by, "unit_id", "tier", "key").distinct()
     sought = named.select("*", *_keys_of_term(F.col("key")))
     text = F.col("text_key")
-    heads = F.array(F.struct(F.lit(0).alias("size"), text.alias("head")), *[F.struct(F.lit(n).alias("size"), F.left(text, F.lit(n)).alias("head")) for n in range(len(SHORT_TITLE), MOST_PREFIX + 1)])
+    # texts are cut only at the sizes that the titles of their document have
+    sizes = sought.groupBy(*by).agg(F.collect_set("size").alias("sizes"))
+    heads = F.transform("sizes", lambda n: F.struct(n.alias("size"), F.when(n > 0, F.left(text, n)).otherwise(text).alias("head")))
     held = entries.withColumns({"text_key": match_key("text"), "toc": F.coalesce(is_toc_entry("text"), F.lit(False))}).filter("text_key <> ''")
-    spread = held.select(*by, "seq", "text_key", "toc", F.explode(F.array_distinct(heads)).alias("h")).select(*by, "seq", "text_key", "toc", "h.size", "h.head")
+    spread = held.join(sizes, by).select(*by, "seq", "text_key", "toc", F.explode(heads).alias("h")).filter((F.col("h.size") == 0) | (F.length("text_key") >= F.col("h.size"))).select(*by, "seq", "text_key", "toc", "h.size", "h.head")
     met = spread.join(sought, [*by, "size", "head"]).filter(F.startswith("text_key", "key") & (~F.col("toc") | F.col("unit_id").isin(*catalog)))
     found = met.select(*by, "unit_id", "tier", "seq").distinct()
     place = F.row_number().over(Window.partitionBy(*by, "unit_id", "tier").orderBy("seq"))

@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from folioscope.operators import document_tree, matching, sequence
+from folioscope.operators import document_tree, matching, sequence, unit_audit
 from folioscope.plans import audits
 from folioscope.sources.shared import shared_dir, written
 
@@ -92,3 +92,11 @@ def test_binding_findings_make_sections_for_customers_not_for_orders(spark, tmp_
     unknown = {(r["o_custkey"], r["unit_id"]) for r in got if r["check"] == "section_ref_unknown"}
     unit = lambda k: "other" if k % 30 == 0 else "twin" if k % 11 == 0 else str(k)
     assert unknown == {(k % 2, unit(k)) for k in range(1, 401) if k % 50 > 44} and most <= 2000
+
+
+def test_anchors_cut_texts_only_at_the_sizes_of_titles(spark):
+    entries = spark.range(400).selectExpr("id % 2 AS doc", "id AS seq", "concat('some long title ', id) AS text")
+    terms = spark.createDataFrame([(0, "a", 0, "some long title 7"), (0, "b", 0, "so"), (1, "a", 0, "some long title 8")], "doc long, unit_id string, tier int, term string")
+    owners = spark.createDataFrame([(0, 70, "a")], "doc long, seq long, unit_id string")
+    got, most = most_rows(spark, unit_audit.anchored(entries, terms, owners, ["doc"]))
+    assert {(r["doc"], r["unit_id"], r["n_matched"], r["owned"]) for r in got} == {(0, "a", 3, True), (0, "b", 0, False), (1, "a", 3, False)} and most <= 800
