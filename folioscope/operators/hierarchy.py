@@ -8,6 +8,8 @@ their parents, and where few are left, chains of only children are folded into
 one edge; both at least halve the tree in a few rounds, and the folded nodes get
 their sums afterwards.  Neither holds a row for each node and ancestor.  Each
 round is written as a table in the shared folder, and only counts come to the driver.
+Before the rounds, rows are sorted by node and what lies within a slice of them
+is folded there (:mod:`slices`), so that the rounds see what crosses slices alone.
 
 Columns keep their names at the edges; within, a node is the struct of ``by``
 and its own id, so that no column of the input can clash with a helper.  Rows
@@ -22,7 +24,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from folioscope.operators import slices
 from folioscope.operators.sequence import ranged_sequence
 from folioscope.sources.shared import written
 
@@ -110,20 +114,43 @@ def _folded(alive: DataFrame, kinds: list[str]) -> tuple[DataFrame, DataFrame, D
     return written(rest.select("id", pick("up"), *vs, *[pick(e) for e in es], "kids")), chains.select("id", "below", *vs), ring
 
 
+def _in_slices(rows: DataFrame, told, schema: T.StructType) -> DataFrame:
+    """``told`` over the rows of a written table, sorted by id."""
+    return written(rows.repartitionByRange("id").sortWithinPartitions("id").mapInArrow(told, schema))
+
+
+def _plain(kind: str, of: T.DataType) -> bool:
+    """Whether Python combines values of a type as Spark does."""
+    return isinstance(of, (T.IntegralType, T.BooleanType)) or kind in ("min", "max") and isinstance(of, (T.StringType, T.DateType)) and of in (T.StringType(), T.DateType())
+
+
 def _totals(forest: DataFrame, kinds: list[str]) -> DataFrame:
     """(id, known, *v): each v over the node and all below it; a node on a ring has none and is not ``known``."""
     vs, es = [f"v{i}" for i in range(len(kinds))], [f"e{i}" for i in range(len(kinds))]
     kids = forest.filter(F.col("up").isNotNull()).groupBy(F.col("up").alias("id")).agg(F.count(F.lit(1)).alias("kids"))
     nothing = {f"e{i}": F.lit(None).cast(forest.schema[v].dataType) for i, v in enumerate(vs)}
-    alive = written(forest.select("id", "up", *vs).withColumns(nothing).join(kids, "id", "left").withColumn("kids", F.coalesce("kids", F.lit(0))))
+    rows = written(forest.select("id", "up", *vs).join(kids, "id", "left").withColumn("kids", F.coalesce("kids", F.lit(0).cast("long"))))
+    summed = lambda both: both.groupBy("id").agg(F.max("up").alias("up"), *[_AGGREGATES[k](v).alias(v) for k, v in zip(kinds, vs)], *[F.max(e).alias(e) for e in es], F.sum("kids").alias("kids"))
+    settled = []
+    if all(_plain(k, forest.schema[v].dataType) for k, v in zip(kinds, vs)):
+        of = [T.StructField(c, forest.schema[v].dataType) for c, v in [*zip(vs, vs), *zip(es, vs)]]
+        schema = T.StructType([T.StructField("part", T.StringType()), T.StructField("id", forest.schema["id"].dataType), T.StructField("up", forest.schema["up"].dataType), T.StructField("kids", T.LongType()), *of])
+        size = slices.ROWS
+        near = _in_slices(rows, lambda batches: slices.folded(batches, kinds, size), schema)
+        settled = [near.filter("part = 'done'").select("id", F.lit(True).alias("known"), *vs)]
+        inside = near.filter("part = 'chain'").select("id", F.col("up").alias("below"), *vs)
+        alive = written(summed(near.filter("part IN ('alive', 'told')")).select("id", "up", *vs, *es, "kids"))
+    else:
+        inside, alive = None, rows.select("id", "up", *vs, *[nothing[e].alias(e) for e in es], "kids")
     done, chains, n = [], [], alive.count()
+    if inside is not None and n:
+        chains.append(inside)
     while n:
         leaves = alive.filter("kids = 0")
         done.append(leaves.select("id", F.lit(True).alias("known"), *vs))
         told = leaves.filter(F.col("up").isNotNull()).select(F.col("up").alias("id"), F.lit(None).cast(alive.schema["up"].dataType).alias("up"),
             *[_both(k, F.col(v), F.col(e)).alias(v) for k, v, e in zip(kinds, vs, es)], *[nothing[e].alias(e) for e in es], F.lit(-1).cast("long").alias("kids"))
-        both = alive.filter("kids > 0").unionByName(told).groupBy("id")
-        alive = written(both.agg(F.max("up").alias("up"), *[_AGGREGATES[k](v).alias(v) for k, v in zip(kinds, vs)], *[F.max(e).alias(e) for e in es], F.sum("kids").alias("kids")))
+        alive = written(summed(alive.filter("kids > 0").unionByName(told)))
         m = alive.count()
         if m and (n - m) * _FEW < n:
             alive, chain, ring = _folded(alive, kinds)
@@ -135,9 +162,9 @@ def _totals(forest: DataFrame, kinds: list[str]) -> DataFrame:
         below = reduce(DataFrame.unionByName, done).select(F.col("id").alias("below"), "known", *[F.col(v).alias(f"u_{v}") for v in vs])
         sums = [F.when(F.col("known"), _both(k, F.col(v), F.col(f"u_{v}"))).alias(v) for k, v in zip(kinds, vs)]
         done.append(written(chain.join(below, "below").select("id", "known", *sums)))
-    if not done:
+    if not [*settled, *done]:
         return forest.select("id", F.lit(True).alias("known"), *vs)
-    return reduce(DataFrame.unionByName, done)
+    return reduce(DataFrame.unionByName, [*settled, *done])
 
 
 def ancestors(nodes: DataFrame, by, node="node", parent="parent") -> DataFrame:
@@ -176,16 +203,26 @@ def resolve_inherited(nodes: DataFrame, by, values, node="node", parent="parent"
     return _named(both, by, [*[F.col(x).alias(v) for x, v in zip(names, values)], "depth"])
 
 
-def roll_up(nodes: DataFrame, by, sums=(), alls=(), mins=(), xors=(), node="node", parent="parent") -> DataFrame:
+def _of_leaves(forest: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """``forest`` with values that leaves have, null elsewhere."""
+    inner = forest.filter(F.col("up").isNotNull()).select(F.col("up").alias("id"), F.lit(True).alias("inner")).distinct()
+    return forest.join(inner, "id", "left").select(*forest.columns, *[F.when(F.col("inner").isNull(), c).alias(name) for name, c in values.items()])
+
+
+def roll_up(nodes: DataFrame, by, sums=(), alls=(), mins=(), xors=(), node="node", parent="parent", leaves: bool = False) -> DataFrame:
     """Sums, conjunctions, minima and exclusive ors over each node and its descendants, and how many nodes those are.
 
     Nulls count for nothing; of rows that repeat a node all count, but it is
     one node.  A node on a ring has no end below it: its values are null.
+    ``leaves`` adds n_leaves and first_leaf, as in :func:`leaf_sets`.
     """
     kinds = {c: "sum" for c in sums} | {c: "all" for c in alls} | {c: "min" for c in mins} | {c: "xor" for c in xors}
     forest = _forest(nodes, by, node, parent, {**{c: _AGGREGATES[k](c) for c, k in kinds.items()}, "": F.lit(1).cast("long")})
-    total = _totals(forest, [*kinds.values(), "sum"])
-    return _named(total, by, [*[F.col(f"v{i}").alias(c) for i, c in enumerate(kinds)], F.col(f"v{len(kinds)}").alias("n_nodes")])
+    names, kinds = [*kinds, "n_nodes"], [*kinds.values(), "sum"]
+    if leaves:
+        forest = _of_leaves(forest, {f"v{len(names)}": F.lit(1).cast("long"), f"v{len(names) + 1}": F.col("id.n")})
+        names, kinds = [*names, "n_leaves", "first_leaf"], [*kinds, "sum", "min"]
+    return _named(_totals(forest, kinds), by, [F.col(f"v{i}").alias(c) for i, c in enumerate(names)])
 
 
 def leaf_members(nodes: DataFrame, by, node="node", parent="parent") -> DataFrame:
@@ -202,11 +239,8 @@ def leaf_sets(nodes: DataFrame, by, node="node", parent="parent") -> DataFrame:
     need no order and no list, and two sets of the same size with the same
     prints are taken for equal.
     """
-    forest = _forest(nodes, by, node, parent)
-    inner = forest.filter(F.col("up").isNotNull()).select(F.col("up").alias("id"), F.lit(True).alias("inner")).distinct()
-    own = lambda c: F.when(F.col("inner").isNull(), c)
     leaf = F.col("id.n")
-    rows = forest.join(inner, "id", "left").select("id", "up", own(F.lit(1).cast("long")).alias("v0"), own(leaf).alias("v1"), own(F.xxhash64(leaf)).alias("v2"), own(F.xxhash64(F.lit(1), leaf)).alias("v3"))
+    rows = _of_leaves(_forest(nodes, by, node, parent).select("id", "up"), {"v0": F.lit(1).cast("long"), "v1": leaf, "v2": F.xxhash64(leaf), "v3": F.xxhash64(F.lit(1), leaf)})
     total = _totals(rows, ["sum", "min", "xor", "xor"])
     return _named(total, by, [F.col("v0").alias("n_leaves"), F.col("v1").alias("first_leaf"), F.col("v2").alias("print_1"), F.col("v3").alias("print_2")])
 

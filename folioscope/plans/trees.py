@@ -33,8 +33,7 @@ def tree_spans(spark, sf_dir):
 
 def deep_sums(spark, sf_dir):
     """Sums, leaves and first leaves under every part of deep trees."""
-    t = _deep(spark, sf_dir)
-    return hierarchy.roll_up(t, BY, ["own"]).join(hierarchy.leaf_sets(t, BY).select("p_brand", "node", "n_leaves", "first_leaf"), ["p_brand", "node"])
+    return hierarchy.roll_up(_deep(spark, sf_dir), BY, ["own"], leaves=True)
 
 
 def leaf_faults(spark, sf_dir):

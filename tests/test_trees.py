@@ -1,11 +1,13 @@
 """Tree operators against plain walks, on random trees, long chains, stars and rings."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import hierarchy
+from folioscope.operators import hierarchy, slices
+from folioscope.sources.shared import shared_dir
 
 SCHEMA = "t string, node long, parent long, n long, ok boolean, v long, id string, up string"
 
@@ -99,6 +101,38 @@ def test_chain_star_and_rings(spark):
     assert hierarchy.ancestors(df.filter("t = 'comb'"), ["t"]).filter("node = 99").count() == 51
 
 
+@pytest.fixture
+def small_slices(spark, monkeypatch):
+    monkeypatch.setattr(slices, "ROWS", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_sums_across_slices_and_rings(spark, small_slices):
+    edges = random_trees(2) + [("ring", i, (i + 1) % 9) for i in range(9)] + [("ring", 100 + i, 99 + i if i else 3) for i in range(20)] + [("near", 1, 2), ("near", 2, 1), ("near", 3, 2), ("near", 4, 4)]
+    rows, df = table(spark, edges, 2)
+    by_node, (_, under) = {(r[0], r[1]): r for r in rows}, below([r for r in rows if r[0] in "ab"])
+    got = {(r.t, r.node): r for r in hierarchy.roll_up(df, ["t"], ["n"], ["ok"], ["v"]).collect()}
+    assert len(got) == len(rows)
+    for (t, n), all_below in under.items():
+        some, r = [by_node[t, x] for x in all_below], got[t, n]
+        numbers, values = [x[3] for x in some if x[3] is not None], [x[5] for x in some if x[5] is not None]
+        assert (r.n, r.ok, r.v, r.n_nodes) == (sum(numbers) if numbers else None, all(x[4] for x in some), min(values, default=None), len(some))
+    assert [got["ring", i].n_nodes for i in [*range(9), *range(100, 120)]] == [None] * 9 + list(range(20, 0, -1))
+    assert [got["near", i].n_nodes for i in (1, 2, 3, 4)] == [None, None, 1, None]
+
+
+def test_paths_within_a_slice_take_no_rounds(spark):
+    nodes = spark.range(3000).selectExpr("'t' AS t", "id AS node", "if(id > 0, id - 1 - id % 3 % least(2, id), null) AS parent", "id AS n")
+    tables = lambda: len(list(Path(shared_dir(spark).removeprefix("file:")).glob("rows-*")))
+    before = tables()
+    tops = hierarchy.roll_up(nodes, ["t"], ["n"], leaves=True).filter("node = 0").select("n", "n_nodes", "n_leaves", "first_leaf").collect()
+    leaves = set(range(3000)) - {i - 1 - i % 3 % min(2, i) for i in range(1, 3000)}
+    assert tops == [(2999 * 1500, 3000, len(leaves), min(leaves))]
+    assert tables() - before <= 3
+
+
 def test_declared_leaves(spark):
     edges = [("t", i, (i - 1) // 2 if i else None) for i in range(31)] + [("c", i, i - 1 if i else None) for i in range(60)]
     rows, df = table(spark, edges)
