@@ -65,16 +65,27 @@ def _named(df: DataFrame, by, columns) -> DataFrame:
     return df.select(*[F.col(f"id.b{i}").alias(b) for i, b in enumerate(by)], F.col("id.n").alias("node"), *columns)
 
 
-def _climb(forest: DataFrame, carried: dict[str, tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+def _climb(forest: DataFrame, carried: dict[str, str], sliced: bool = True) -> tuple[DataFrame, DataFrame]:
     """Rows (id, up, *carried) of nodes that reach a top, ``up`` null, and of those that run into a ring, ``up`` on the ring.
 
     ``carried`` names columns of ``forest`` and says how that of a stretch
     follows from its lower and upper part: ``nearest`` and ``topmost`` take the
     first that is not null from below or above, ``last`` the upper one, and
-    others as in :func:`_both`.
+    others as in :func:`_both`.  Paths are first climbed within slices; the
+    rounds are for the nodes alone that paths from other slices enter by.  Not
+    ``sliced``, each node of a ring is the ``up`` of one.
     """
     rules = {"nearest": F.coalesce, "topmost": lambda a, b: F.coalesce(b, a), "last": lambda a, b: b}
     joined = {name: rules[kind] if kind in rules else (lambda a, b, k=kind: _both(k, a, b)) for name, kind in carried.items()}
+    above = lambda rows: rows.select(F.col("id").alias("u_id"), F.col("up").alias("u_up"), *[F.col(c).alias(f"u_{c}") for c in carried])
+    both = lambda rows, upper: rows.join(above(upper), F.col("up") == F.col("u_id")).select("id", F.col("u_up").alias("up"), *[joined[c](F.col(c), F.col(f"u_{c}")).alias(c) for c in carried])
+    if sliced and all(k in rules or _plain(k, forest.schema[c].dataType) for c, k in carried.items()):
+        rows, size = forest.select("id", "up", *carried), slices.ROWS
+        near = _in_slices(written(rows), lambda batches: slices.climbed(batches, carried, size), T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema]))
+        far = near.filter(F.col("up").isNotNull())
+        entered = near.join(far.select(F.col("up").alias("id")).distinct(), "id", "left_semi")
+        at_top, in_rings = _climb(entered, carried, sliced=False)
+        return near.filter(F.col("up").isNull()).unionByName(both(far, at_top)), both(far, in_rings)
     parts, moving = [], written(forest.select("id", "up", *carried))
     steps, before, n = 1, -1, -1
     while True:
@@ -84,9 +95,7 @@ def _climb(forest: DataFrame, carried: dict[str, tuple[str, str]]) -> tuple[Data
         # each round brings nodes to the top while any can get there; what stays runs into rings, and is walked once around
         if not n or n == before and steps >= n:
             break
-        known = reduce(DataFrame.unionByName, [*parts, moving]).select(F.col("id").alias("u_id"), F.col("up").alias("u_up"), *[F.col(c).alias(f"u_{c}") for c in carried])
-        step = moving.join(known, F.col("up") == F.col("u_id"))
-        moving = written(step.select("id", F.col("u_up").alias("up"), *[joined[c](F.col(c), F.col(f"u_{c}")).alias(c) for c in carried]))
+        moving = written(both(moving, reduce(DataFrame.unionByName, [*parts, moving])))
         steps *= 2
     return reduce(DataFrame.unionByName, parts), moving
 
@@ -168,7 +177,7 @@ def _totals(forest: DataFrame, kinds: list[str]) -> DataFrame:
 
 
 def ancestors(nodes: DataFrame, by, node="node", parent="parent") -> DataFrame:
-    """All (node, ancestor, distance) with distance 0 to itself, nearest distance first found.
+    """All (node, ancestor, distance) with distance 0 to itself, the smallest.
 
     The result has a row for each node and ancestor; the other operators here
     do without it.  Nodes that stand twice with different parents keep all of
@@ -178,14 +187,20 @@ def ancestors(nodes: DataFrame, by, node="node", parent="parent") -> DataFrame:
     rows = nodes.filter(F.col(node).isNotNull())
     selves = rows.select(key(node).alias("id")).distinct()
     step = rows.filter(F.col(parent).isNotNull()).select(key(node).alias("id"), key(parent).alias("a"), F.lit(1).alias("d")).distinct()
-    known, size = written(step.join(selves.withColumnRenamed("id", "a"), "a", "left_semi").select("id", "a", "d")), -1
-    while True:
-        far = known.select(F.col("id").alias("a"), F.col("a").alias("far"), F.col("d").alias("e"))
-        longer = known.join(far, "a").select("id", F.col("far").alias("a"), (F.col("d") + F.col("e")).alias("d"))
-        known = written(known.unionByName(longer).groupBy("id", "a").agg(F.min("d").alias("d")))
-        before, size = size, known.count()
-        if size == before:
-            break
+    parts, at, new = [], 1, written(step.join(selves.withColumnRenamed("id", "a"), "a", "left_semi").select("id", "a", "d"))
+    # where each node has one parent, a pair is found once, unless on a ring: nodes there come to stand above themselves
+    again = bool(new.groupBy("id").count().filter("count > 1").limit(1).count())
+    while new.limit(1).count():
+        parts.append(new)
+        known = reduce(DataFrame.unionByName, parts)
+        tips = new.filter(F.col("d") == at).select("id", F.col("a").alias("t"))
+        far = known.select(F.col("id").alias("t"), F.col("a"), (F.col("d") + at).alias("d"))
+        new, at = tips.join(far, "t").select("id", "a", "d"), at * 2
+        new = written(new.groupBy("id", "a").agg(F.min("d").alias("d")).join(known.select("id", "a"), ["id", "a"], "left_anti") if again else new)
+        if not again and new.filter("id = a").limit(1).count():
+            again = True
+            new = written(new.groupBy("id", "a").agg(F.min("d").alias("d")).join(known.select("id", "a"), ["id", "a"], "left_anti"))
+    known = reduce(DataFrame.unionByName, parts or [new])
     known = known.filter("id <> a").unionByName(selves.select("id", F.col("id").alias("a"), F.lit(0).alias("d")))
     return _named(known, by, [F.col("a.n").alias("ancestor"), F.col("d").alias("distance")])
 
@@ -284,7 +299,7 @@ def tree_errors(nodes: DataFrame, by, node="node", parent="parent") -> DataFrame
     edges = rows.filter(F.col(parent).isNotNull()).select(key(node).alias("id"), key(parent).alias("up"))
     lost = _named(edges.join(rows.select(key(node).alias("up")).distinct(), "up", "left_anti"), by, [F.lit("unknown_parent").alias("error")])
     forest = _forest(nodes, by, node, parent).withColumn("rooted", F.col("up").isNull() & ~F.col("lost"))
-    at_top, in_rings = _climb(forest, {"rooted": "last"})
+    at_top, in_rings = _climb(forest, {"rooted": "last"}, sliced=False)
     adrift = at_top.filter("NOT rooted").select("id").unionByName(in_rings.select("id"))
     ring = in_rings.select(F.col("up").alias("id")).distinct()
     return reduce(DataFrame.unionByName, [out, lost, _named(ring, by, [F.lit("cycle").alias("error")]), _named(adrift, by, [F.lit("unreachable").alias("error")])]).distinct()

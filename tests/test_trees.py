@@ -123,6 +123,31 @@ def test_sums_across_slices_and_rings(spark, small_slices):
     assert [got["near", i].n_nodes for i in (1, 2, 3, 4)] == [None, None, 1, None]
 
 
+def test_climbs_across_slices_and_rings(spark, small_slices):
+    edges = random_trees(3) + [("ring", i, (i + 1) % 9) for i in range(9)] + [("ring", 100 + i, 99 + i if i else 3) for i in range(20)]
+    rows, df = table(spark, edges, 3)
+    up, value = {(r[0], r[1]): r[2] for r in rows}, {(r[0], r[1]): r[5] for r in rows}
+    for r in hierarchy.resolve_inherited(df, ["t"], ["v"]).collect():
+        path = [r.node]
+        while up[r.t, path[-1]] is not None and up[r.t, path[-1]] not in path:
+            path.append(up[r.t, path[-1]])
+        assert (r.v, r.depth) == (next((value[r.t, x] for x in path if value[r.t, x] is not None), None), None if r.t == "ring" else len(path) - 1)
+    pairs = {(r.t, r.node, r.ancestor): r.distance for r in hierarchy.ancestors(df, ["t"]).collect()}
+    for (t, n), _ in up.items():
+        path = [n]
+        while up[t, path[-1]] is not None and up[t, path[-1]] not in path:
+            path.append(up[t, path[-1]])
+        assert {a: d for (s, x, a), d in pairs.items() if (s, x) == (t, n)} == {a: d for d, a in enumerate(path)}
+
+
+def test_preorder_of_one_slice_takes_no_rounds(spark):
+    nodes = spark.range(3000).selectExpr("'t' AS t", "id AS node", "if(id > 0, id - 1, null) AS parent")
+    tables = lambda: len(list(Path(shared_dir(spark).removeprefix("file:")).glob("rows-*")))
+    before = tables()
+    assert hierarchy.preorder(nodes, ["t"], "node").filter("depth <> node OR first <> node + 1 OR last <> 3000").count() == 0
+    assert tables() - before <= 9
+
+
 def test_paths_within_a_slice_take_no_rounds(spark):
     nodes = spark.range(3000).selectExpr("'t' AS t", "id AS node", "if(id > 0, id - 1 - id % 3 % least(2, id), null) AS parent", "id AS n")
     tables = lambda: len(list(Path(shared_dir(spark).removeprefix("file:")).glob("rows-*")))
