@@ -148,6 +148,14 @@ def test_preorder_of_one_slice_takes_no_rounds(spark):
     assert tables() - before <= 9
 
 
+def test_ancestors_write_each_pair_once(spark):
+    n, folder = 128, Path(shared_dir(spark).removeprefix("file:"))
+    nodes = spark.range(n).selectExpr("'t' AS t", "id AS node", "if(id > 0, id - 1, null) AS parent")
+    before = set(folder.glob("rows-*"))
+    assert hierarchy.ancestors(nodes, ["t"]).filter("distance = node - ancestor").count() == n * (n + 1) // 2
+    assert sum(spark.read.parquet(str(f)).count() for f in set(folder.glob("rows-*")) - before) == n * (n - 1) // 2
+
+
 def test_paths_within_a_slice_take_no_rounds(spark):
     nodes = spark.range(3000).selectExpr("'t' AS t", "id AS node", "if(id > 0, id - 1 - id % 3 % least(2, id), null) AS parent", "id AS n")
     tables = lambda: len(list(Path(shared_dir(spark).removeprefix("file:")).glob("rows-*")))
