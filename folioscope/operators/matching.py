@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.operators.sequence import ranged_sequence
+from folioscope.sources.shared import written
 
 
 def one_each(df: DataFrame, key, order, last: bool = True) -> DataFrame:
@@ -166,6 +167,10 @@ def contains_match(texts: DataFrame, needles: DataFrame, text, needle, key, orde
     return pairs.withColumn("match_no", F.row_number().over(w)).filter(F.col("match_no") <= n)
 
 
+#: Bitmaps of 4 KB that one task unites.
+TASK_BITMAPS = 1 << 16
+
+
 def tokens_spread(items: DataFrame, places: DataFrame, key, by, token, place, least: int, close: bool = False) -> DataFrame:
     """(key, by, n_tokens, n_places, first_place): items of which ``least`` or more distinct tokens stand in the places of a group.
 
@@ -185,11 +190,14 @@ def tokens_spread(items: DataFrame, places: DataFrame, key, by, token, place, le
     else:
         posted = posted.withColumn("number", F.col("place").cast("long"))
     groups = [f"by_{i}" for i in range(len(by))]
-    bitmaps = posted.groupBy(*groups, "token", F.bitmap_bucket_number("number").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"), F.min("place").alias("first"))
+    # rows are dealt before bitmaps are made of them, as a bitmap is a hundred times its size in a shuffle, by which tasks are cut
+    dealt = posted.withColumn("bucket", F.bitmap_bucket_number("number")).repartition(*groups, "token", "bucket")
+    bitmaps = written(dealt.groupBy(*groups, "token", "bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"), F.min("place").alias("first")))
     named = wanted.select(*[F.col(c).alias(f"key_{i}") for i, c in enumerate(key)], "token")
     owners = [f"key_{i}" for i in range(len(key))]
     both = named.join(bitmaps, "token")
-    spread = both.groupBy(*owners, *groups, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"), F.min("first").alias("first"))
+    n_rows = named.groupBy("token").agg(F.count(F.lit(1)).alias("n")).join(bitmaps.groupBy("token").agg(F.count(F.lit(1)).alias("m")), "token").agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+    spread = both.repartition(max(1, -(-n_rows // TASK_BITMAPS)), *owners, *groups, "bucket").groupBy(*owners, *groups, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"), F.min("first").alias("first"))
     n_places = spread.select(*owners, *groups, F.lit(0).cast("long").alias("n_tokens"), F.bitmap_count("bits").alias("n_places"), "first")
     n_tokens = both.groupBy(*owners, *groups).agg(F.countDistinct("token").alias("n_tokens")).withColumns({"n_places": F.lit(0).cast("long"), "first": F.lit(None).cast(places.schema[place].dataType)})
     out = n_places.unionByName(n_tokens).groupBy(*owners, *groups).agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_places").alias("n_places"), F.min("first").alias("first_place"))

@@ -100,3 +100,12 @@ def test_anchors_cut_texts_only_at_the_sizes_of_titles(spark):
     owners = spark.createDataFrame([(0, 70, "a")], "doc long, seq long, unit_id string")
     got, most = most_rows(spark, unit_audit.anchored(entries, terms, owners, ["doc"]))
     assert {(r["doc"], r["unit_id"], r["n_matched"], r["owned"]) for r in got} == {(0, "a", 3, True), (0, "b", 0, False), (1, "a", 3, False)} and most <= 800
+
+
+def test_spread_tokens_unite_a_set_number_of_bitmaps_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr(matching, "TASK_BITMAPS", 4)
+    items, places = spark.range(20).selectExpr("id % 10 AS item", "id AS token"), spark.range(40).selectExpr("'s' AS source", "id AS place", "id % 20 AS token")
+    out = matching.tokens_spread(items, places, ["item"], ["source"], "token", "place", 2, close=True)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert any("RepartitionByExpression" in line and line.rstrip().endswith("], 6") for line in plan.splitlines()), plan  # 21 bitmaps, as place 0 lies in a bucket of its own, 4 a task
+    assert {tuple(r) for r in out.collect()} == {(i, "s", 2, 4, i) for i in range(10)}
