@@ -389,19 +389,25 @@ def _sums(batches, shared, bits: int):
                 other[_ONES] += (seating.counts == 1).sum(), (seating.counts == 2).sum()
                 other[_SPREAD] += (spread == 1).sum(), (spread == 2).sum()
         release_memory()
-    slots = np.flatnonzero(tables)
-    columns = [[*other, *slots.tolist()], [*(v[0] for v in other.values()), *customers[slots].tolist()], [*(v[1] for v in other.values()), *tables[slots].tolist()]]
-    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["slot", "customers", "tables"])
+    slots, rest = np.flatnonzero(tables), np.array(list(other.values()))
+    columns = [np.concatenate([list(other), slots]).astype(np.int32), np.concatenate([rest[:, 0], customers[slots]]), np.concatenate([rest[:, 1], tables[slots]])]
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["slot", "customers", "tables"])
 
 
 def _totals(gathered: DataFrame, history: list[Totals], bits: int) -> Totals:
-    """The corpus's totals after one sweep more than ``history`` has: a job that sends one row a context to the driver."""
-    spark = gathered.sparkSession
+    """The corpus's totals after one sweep more than ``history`` has: a job that writes one row a context, which the driver reads.
+
+    The gathered pairs go to Python one row a batch, but the sums must not come
+    to the driver so: a batch of its own for each context takes a hundred times
+    what the context's row does.
+    """
+    spark, path = gathered.sparkSession, scratch_path(gathered.sparkSession, "lm-totals")
     shared = spark.sparkContext.broadcast(history)
     with arrow_rows(spark, 1):
         rows = gathered.mapInArrow(lambda batches: _sums(batches, shared, bits), "slot int, customers long, tables long")
-        sums = rows.groupBy("slot").agg(F.sum("customers").alias("customers"), F.sum("tables").alias("tables")).toArrow()
-    shared.unpersist()
+        rows.groupBy("slot").agg(F.sum("customers").alias("customers"), F.sum("tables").alias("tables")).write.option("compression", "zstd").parquet(path)
+    shared.destroy()  # unpersist would leave the driver's own copy
+    sums = spark.read.schema("slot int, customers long, tables long").parquet(path).toArrow()
     slot, a, b = (sums.column(c).to_numpy() for c in ("slot", "customers", "tables"))
     other = {int(s): (int(x), int(y)) for s, x, y in zip(slot[slot < 0], a[slot < 0], b[slot < 0])}
     customers, tables = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)

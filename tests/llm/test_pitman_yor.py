@@ -218,3 +218,19 @@ def test_awkward_and_empty(spark):
     assert hpy.score_documents(empty(spark), crc_mod("doc_id") != 1).count() == 0
     untrained = hpy.score_documents(docs, F.lit(None).cast("boolean")).collect()
     assert all((r["n_known"], r["train_tokens"], r["base_score"], r["score"]) == (0, 0, 0.0, 0.0) and r["held_out"] for r in untrained)
+
+
+def test_totals_come_to_the_driver_in_few_batches(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{i * 7 + j}" for j in range(7))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sent, whole = [], type(docs).toArrow
+
+    def counted(df):
+        table = whole(df)
+        sent.append((table.num_rows, sum(len(c.chunks) for c in table.columns[:1])))
+        return table
+
+    monkeypatch.setattr(type(docs), "toArrow", counted)
+    hpy.score_documents(docs, F.lit(True))
+    assert len(sent) == 1 + hpy.BURN_IN + hpy.SAMPLES
+    assert all(n > 1000 and chunks <= 100 for n, chunks in sent)
