@@ -1,9 +1,19 @@
-"""Audit of the units found in documents against those that a signed standard expects."""
+"""Audit of the units found in documents against those that a signed standard expects.
+
+What is asked of a document's places, its titles and the places that its units
+own, is read in one pass: all of it meets in one partition, titles and units
+first, then places in order, and a row a unit comes out.  So a place moves once
+as a text and once as one that is owned, and no row is made for a pair.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.functions.text import is_toc_entry, match_key
 from folioscope.operators.matching import one_each
@@ -16,15 +26,134 @@ SHORT_TITLE = "附录"
 
 #: Titles of this many characters or more may be followed by other text; so many matches, the first ones, are looked at.
 LEAST_PREFIX, LOOKED_AT = 3, 3
-#: Titles meet texts by their first characters, as many as they have but this many at most.
-MOST_PREFIX = 8
+
+_TITLE, _UNIT, _PLACE, _ENTRY = range(4)
+#: Rows of a batch that comes out of the pass.
+_ROWS = 10_000
+
+
+class _Document:
+    """What one document's rows have told so far; see :func:`_unit_facts`."""
+
+    def __init__(self, key, ranked: bool, catalog: frozenset):
+        self.key, self.catalog, self.ranks = key, catalog, {} if ranked else None
+        self.titles, self.whole, self.lengths, self.found, self.owned = {}, {}, (), {}, {}
+        self.seq, self.owners, self.rank, self.n_units = (), set(), -1, 0
+
+    def title(self, unit, tier, key: bytes, exact: bool):
+        slot = self.found.setdefault((unit, tier), [unit, (), 0, False])  # the unit, the last place, how many, whether one is its own
+        (self.whole if exact else self.titles).setdefault(key, []).append(slot)
+        if not exact and len(key) not in self.lengths:
+            self.lengths = (*self.lengths, len(key))
+
+    def unit(self, unit):
+        self.n_units += 1
+        self.ranks[unit] = self.n_units
+
+    def at(self, seq):
+        if self.seq == () or seq != self.seq:
+            self.seq, self.owners, self.rank = seq, set(), -1
+
+    def place(self, unit, seq):
+        self.at(seq)
+        own = self.owned.get(unit)
+        if own is None:
+            self.owned[unit] = [1, 1, seq, seq]
+        else:
+            own[0] += 1
+            own[1] += seq != own[3]
+            own[3] = seq
+        if self.ranks is None:
+            self.owners.add(unit)
+        elif self.ranks.get(unit, -1) > self.rank:
+            self.rank, self.owners = self.ranks[unit], {unit}
+
+    def entry(self, seq, text: bytes, toc: bool):
+        self.at(seq)
+        for titles, key in [(self.whole, text), *((self.titles, text[:n]) for n in self.lengths if n <= len(text))]:
+            slots = titles.get(key)
+            if not slots:
+                continue
+            for slot in slots:
+                if slot[1] != seq or slot[2] == 0:
+                    if not toc or slot[0] in self.catalog:
+                        slot[1:] = seq, slot[2] + 1, slot[3] or slot[0] in self.owners
+            if any(slot[2] >= LOOKED_AT for slot in slots):
+                titles[key] = [slot for slot in slots if slot[2] < LOOKED_AT]
+
+    def rows(self):
+        best = {}
+        for (unit, tier), (_, _, n, own) in self.found.items():
+            before = best.setdefault(unit, (None, 0, False))
+            if n and tier is not None and (before[0] is None or tier < before[0]):
+                best[unit] = tier, n, own
+        for unit in {**self.owned, **best}:
+            yield (*self.key, unit, *self.owned.get(unit, (None,) * 4), *best.get(unit, (None,) * 3)[1:])
 
 
-def _keys_of_term(term):
-    """How a title is looked up: (number of first characters, those), or (0, all of it) where it must be the whole text."""
-    n = F.length(term)
-    size = F.when(term == SHORT_TITLE, n).when(n >= LEAST_PREFIX, F.least(n, F.lit(MOST_PREFIX))).otherwise(0)
-    return size.alias("size"), F.when(size > 0, F.left(term, size)).otherwise(term).alias("head")
+def _documents(batches, n_by: int, ranked: bool, catalog: frozenset, schema: pa.Schema):
+    """Rows of whole documents in order to a row a unit."""
+    document, out = None, []
+
+    def made():
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [()] * len(schema), schema)], schema=schema)
+
+    for batch in batches:
+        keys = list(zip(*(c.to_pylist() for c in batch.columns[:n_by])))
+        for key, tag, unit, tier, seq, text, flag in zip(keys, *(batch.column(c).to_pylist() for c in ("tag", "unit_id", "tier", "seq", "key", "flag"))):
+            if document is None or key != document.key:
+                if document is not None:
+                    out.extend(document.rows())
+                if len(out) >= _ROWS:
+                    yield made()
+                    out = []
+                document = _Document(key, ranked, catalog)
+            if tag == _ENTRY:
+                document.entry(seq, text, flag)
+            elif tag == _PLACE:
+                document.place(unit, seq)
+            elif tag == _TITLE:
+                document.title(unit, tier, text, flag)
+            else:
+                document.unit(unit)
+    if document is not None:
+        out.extend(document.rows())
+    yield made()
+
+
+def _unit_facts(by: list[str], places: DataFrame, units: DataFrame | None = None, entries: DataFrame | None = None, terms: DataFrame | None = None, catalog=()) -> DataFrame:
+    """(by, unit_id, n_refs, n_distinct, low, high, n_matched, owned) of the units that own places or have titles; see :func:`anchored` and :func:`audit`.
+
+    The first four are null for units without places, the last two for those
+    without titles.  ``units`` (by, unit_id, place) tells which of several units
+    owns a place: the last one; without it all do.  Rows without a document and
+    places without unit or number are left out.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    frames = [places.dropna(subset=[*by, "unit_id", "seq"]).select(*by, F.lit(_PLACE).alias("tag"), "unit_id", "seq")]
+    if units is not None:
+        frames.append(units.dropna(subset=[*by, "unit_id"]).select(*by, F.lit(_UNIT).alias("tag"), "unit_id", "place"))
+    if entries is not None and terms is not None:
+        short = (F.length("key") < LEAST_PREFIX) & (F.col("key") != SHORT_TITLE)
+        named = terms.dropna(subset=list(by)).withColumn("key", match_key("term")).filter("key <> ''")
+        frames.append(named.select(*by, F.lit(_TITLE).alias("tag"), "unit_id", "tier", F.col("key").cast("binary").alias("key"), short.alias("flag")))
+        held = entries.dropna(subset=list(by)).withColumns({"key": match_key("text"), "flag": F.coalesce(is_toc_entry("text"), F.lit(False))}).filter("key <> ''")
+        frames.append(held.select(*by, F.lit(_ENTRY).alias("tag"), "seq", F.col("key").cast("binary").alias("key"), "flag"))
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    for name, kind in (("place", "int"), ("tier", "int"), ("key", "binary"), ("flag", "boolean")):
+        union = union if name in union.columns else union.withColumn(name, F.lit(None).cast(kind))
+    keys = [f"k{i}" for i in range(len(by))]
+    rows = union.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col("tag").cast("byte").alias("tag"), "unit_id", "tier", "seq", "place", "key", "flag")
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, F.least("tag", F.lit(_PLACE)), "place", "seq", "tag", "unit_id").drop("place")
+    seq = rows.schema["seq"].dataType
+    schema = T.StructType([*rows.schema.fields[: len(by)], rows.schema["unit_id"]])
+    for name, kind in (("n_refs", T.LongType()), ("n_distinct", T.LongType()), ("low", seq), ("high", seq), ("n_matched", T.LongType()), ("owned", T.BooleanType())):
+        schema = schema.add(name, kind)
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields])
+    n_by, ranked, chosen, columns = len(by), units is not None, frozenset(catalog), to_arrow_schema(schema)
+    made = ordered.mapInArrow(lambda batches: _documents(batches, n_by, ranked, chosen, columns), schema)
+    return made.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], *schema.names[n_by:])
 
 
 def anchored(entries: DataFrame, terms: DataFrame, owners: DataFrame, by: list[str], catalog: list[str] = ()) -> DataFrame:
@@ -36,24 +165,10 @@ def anchored(entries: DataFrame, terms: DataFrame, owners: DataFrame, by: list[s
     a text that equals it or, if it has three characters, begins with it, by
     their match keys; lines of a table of contents are passed over unless the
     unit is one of ``catalog``.  Null and empty titles and texts match nothing.
+    Titles without a document are left out.
     """
-    named = terms.withColumn("key", match_key("term")).filter("key <> ''").select(*by, "unit_id", "tier", "key").distinct()
-    sought = named.select("*", *_keys_of_term(F.col("key")))
-    text = F.col("text_key")
-    # texts are cut only at the sizes that the titles of their document have
-    sizes = sought.groupBy(*by).agg(F.collect_set("size").alias("sizes"))
-    heads = F.transform("sizes", lambda n: F.struct(n.alias("size"), F.when(n > 0, F.left(text, n)).otherwise(text).alias("head")))
-    held = entries.withColumns({"text_key": match_key("text"), "toc": F.coalesce(is_toc_entry("text"), F.lit(False))}).filter("text_key <> ''")
-    spread = held.join(sizes, by).select(*by, "seq", "text_key", "toc", F.explode(heads).alias("h")).filter((F.col("h.size") == 0) | (F.length("text_key") >= F.col("h.size"))).select(*by, "seq", "text_key", "toc", "h.size", "h.head")
-    met = spread.join(sought, [*by, "size", "head"]).filter(F.startswith("text_key", "key") & (~F.col("toc") | F.col("unit_id").isin(*catalog)))
-    found = met.select(*by, "unit_id", "tier", "seq").distinct()
-    place = F.row_number().over(Window.partitionBy(*by, "unit_id", "tier").orderBy("seq"))
-    first = found.withColumn("nth", place).filter(F.col("nth") <= LOOKED_AT)
-    owned = first.join(owners.select(*by, "seq", F.col("unit_id").alias("owner")), [*by, "seq"], "left")
-    tiers = owned.groupBy(*by, "unit_id", "tier").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.coalesce(F.col("owner") == F.col("unit_id"), F.lit(False))).alias("own"))
-    best = tiers.groupBy(*by, "unit_id").agg(F.min_by("n", "tier").alias("n_matched"), F.min_by("own", "tier").alias("owned"))
-    asked = named.select(*by, "unit_id").distinct()
-    return asked.join(best, [*by, "unit_id"], "left").withColumns({"n_matched": F.coalesce("n_matched", F.lit(0)), "owned": F.coalesce("owned", F.lit(False))})
+    facts = _unit_facts(by, owners, entries=entries, terms=terms, catalog=catalog)
+    return facts.filter("owned IS NOT NULL").select(*by, "unit_id", "n_matched", "owned")
 
 
 def audit(expected: DataFrame, actual: DataFrame, places: DataFrame, by: list[str], entries: DataFrame | None = None, terms: DataFrame | None = None, catalog: list[str] = ()) -> DataFrame:
@@ -93,8 +208,10 @@ def audit(expected: DataFrame, actual: DataFrame, places: DataFrame, by: list[st
     # one row an id with what is expected of it and what was found
     found = one_each(actual, key, ["place", "page_start", "page_scope"]).select(*key, F.struct("page_start", "page_scope").alias("got"), F.lit(True).alias("is_found"))
     want = one_each(expected, key, ["place"]).select(*key, "seq_start", "seq_end", F.struct("page_start", "page_scope").alias("want"), F.lit(True).alias("is_expected"))
-    owned = places.filter("seq IS NOT NULL").groupBy(*key).agg(F.count(F.lit(1)).alias("n_refs"), F.countDistinct("seq").alias("n_distinct"), F.min("seq").alias("low"), F.max("seq").alias("high"))
-    units = want.join(found, key, "full_outer").join(owned, key, "left")
+    if terms is not None:
+        terms = terms.join(expected.select(*key).distinct(), key, "left_semi")
+    facts = _unit_facts(by, places, actual.select(*key, "place"), entries, terms, catalog)
+    units = want.join(found, key, "full_outer").join(facts, key, "left")
     lost, extra = F.col("is_found").isNull(), F.col("is_expected").isNull()
     custom = F.startswith(F.col("unit_id"), F.lit(CUSTOM))
     size = F.col("seq_end") - F.col("seq_start") + 1
@@ -107,14 +224,10 @@ def audit(expected: DataFrame, actual: DataFrame, places: DataFrame, by: list[st
         (~lost & custom, "custom_unit", F.col("unit_id")),
         (ranged & (lost | ~F.coalesce(exact, F.lit(False))), "source_range_mismatch", F.concat("unit_id", F.lit(".boundary"))),
         (paged & (lost | ~F.col("want").eqNullSafe(F.col("got"))), "page_policy_mismatch", F.concat("unit_id", F.lit(".page_policy"))),
+        (~F.col("owned"), "anchor_owner_mismatch", F.col("unit_id")),
     ]
     rows = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(n).alias("finding"), F.lit(FAIL).alias("status"), a.alias("affected_id"))) for c, n, a in tests]))
     out.append(units.select(*by, F.explode(rows).alias("f")).select(*by, "f.*"))
-    if entries is not None and terms is not None:
-        last = actual.select(*key, "place").groupBy(*key).agg(F.max("place").alias("place"))
-        owners = places.join(last, key).groupBy(*by, "seq").agg(F.max_by("unit_id", F.struct("place", "unit_id")).alias("unit_id"))
-        terms = terms.join(expected.select(*key).distinct(), key, "left_semi")
-        out.append(said(anchored(entries, terms, owners, by, catalog).filter("NOT owned"), "anchor_owner_mismatch", F.col("unit_id")))
     found_all = out[0]
     for df in out[1:]:
         found_all = found_all.unionByName(df)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioscope.operators import unit_audit
+from folioscope.sources.shared import written
 from folioscope.sources.tables import table
 
 
@@ -13,10 +14,14 @@ def unit_findings(spark, sf_dir):
     """What differs between a customer's orders as a standard and a copy with orders left out, renamed and moved, and lines lost and doubled."""
     k = F.col("o_orderkey")
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").join(o, "o_orderkey")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").join(o.select("o_orderkey", "o_custkey"), "o_orderkey")
+    # a line is ranked where its order's lines meet, so that of what ranks it the rank alone goes on
+    in_order = Window.partitionBy("o_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    times = F.when(F.col("l_suppkey") % 29 == 0, 0).when(F.col("l_suppkey") % 31 == 0, 2).otherwise(1)
+    lines = lines.select("o_custkey", "o_orderkey", "l_partkey", times.alias("times"), F.row_number().over(in_order).alias("nth"))
     lines = lines.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("text")), "l_partkey")
-    in_order = Window.partitionBy("o_custkey").orderBy("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    lines = lines.withColumn("seq", F.row_number().over(in_order).cast("long"))
+    seq = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey", "nth")).cast("long")
+    lines = written(lines.select("o_custkey", "o_orderkey", seq.alias("seq"), "times", "text"))
     spans = lines.groupBy("o_orderkey").agg(F.min("seq").alias("low"), F.max("seq").alias("high"), F.min_by("text", "seq").alias("title"), F.max_by("text", "seq").alias("alias"))
     named = F.concat(F.lit("u"), k.cast("string"))
     start = F.when(F.col("o_orderstatus") == "F", "document_start").when(F.col("o_orderstatus") == "O", "new_page")
@@ -27,8 +32,7 @@ def unit_findings(spark, sf_dir):
     renamed = F.when(k % 23 == 0, F.concat(F.lit("custom:"), k.cast("string"))).otherwise(named)
     kept = k % 19 != 0
     actual = o.filter(kept).select("o_custkey", renamed.alias("unit_id"), F.when(k % 17 == 0, -k).otherwise(k).alias("place"), F.when(k % 13 == 0, "new_page").otherwise(start).alias("page_start"), scope.alias("page_scope"))
-    times = F.when(F.col("l_suppkey") % 29 == 0, 0).when(F.col("l_suppkey") % 31 == 0, 2).otherwise(1)
-    places = lines.select("o_custkey", renamed.alias("unit_id"), "seq", F.explode(F.array_repeat(F.lit(1), times))).drop("col")
+    places = lines.select("o_custkey", renamed.alias("unit_id"), "seq", F.explode(F.array_repeat(F.lit(1), F.col("times")))).drop("col")
     terms = units.select("o_custkey", named.alias("unit_id"), F.posexplode(F.array(F.when(k % 5 != 0, F.col("title")), F.left("alias", F.lit(5)))).alias("tier", "term"))
     return unit_audit.audit(expected, actual, places, ["o_custkey"], lines.select("o_custkey", "seq", "text"), terms)
 

@@ -109,3 +109,11 @@ def test_spread_tokens_unite_a_set_number_of_bitmaps_in_a_task(spark, monkeypatc
     plan = out._jdf.queryExecution().analyzed().toString()
     assert any("RepartitionByExpression" in line and line.rstrip().endswith("], 6") for line in plan.splitlines()), plan  # 21 bitmaps, as place 0 lies in a bucket of its own, 4 a task
     assert {tuple(r) for r in out.collect()} == {(i, "s", 2, 4, i) for i in range(10)}
+
+
+def test_anchors_make_no_row_for_each_size_of_title(spark):
+    entries = spark.range(400).selectExpr("id % 2 AS doc", "id AS seq", "concat('abcdefgh', id) AS text")
+    terms = spark.range(3, 10).selectExpr("0L AS doc", "concat('u', id) AS unit_id", "0 AS tier", "left('abcdefghi', cast(id AS int)) AS term")
+    owners = spark.createDataFrame([(0, 2, "u3")], "doc long, seq long, unit_id string")
+    got, most = most_rows(spark, unit_audit.anchored(entries, terms, owners, ["doc"]))
+    assert {(r["unit_id"], r["n_matched"], r["owned"]) for r in got} == {(f"u{n}", 0 if n == 9 else 3, n == 3) for n in range(3, 10)} and most <= 800
