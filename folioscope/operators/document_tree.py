@@ -8,13 +8,15 @@ is the order of the keys, and both are range predicates.
 
 from __future__ import annotations
 
+import os
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.functions.text import atomic_spans
-from folioscope.operators.sequence import ranged_sequence
 from folioscope.sources.shared import written
 
 #: Digits of an ordinal in a key.
@@ -86,9 +88,10 @@ def _facts_of(runs: DataFrame, by) -> DataFrame:
     return runs.groupBy(*by, "source_seq").agg(F.collect_list(fact).alias("facts"))
 
 
-def _bound(paragraphs: DataFrame) -> DataFrame:
-    """Each run id of paragraphs that have their facts; see :func:`bound_runs`."""
-    asked = paragraphs.select("*", F.posexplode(_clean("raw_run_ids")).alias("run_order", "run_id"))
+def _bound(paragraphs: DataFrame, itself: bool = False) -> DataFrame:
+    """Each run id of paragraphs that have their facts; see :func:`bound_runs`.  With ``itself`` a paragraph is a row too, with order -1 and no id."""
+    asked = paragraphs.select("*", F.posexplode(F.concat(F.array(F.lit(None).cast("string")), _clean("raw_run_ids")) if itself else _clean("raw_run_ids")).alias("run_order", "run_id"))
+    asked = asked.withColumn("run_order", F.col("run_order") - 1) if itself else asked
     facts = F.coalesce("facts", F.array().cast(paragraphs.schema["facts"].dataType))
     own = F.array_max(F.transform(F.filter(facts, lambda x: x["raw_run_id"] == F.col("run_id")), lambda x: F.struct(x["position"].alias("position"), x["text"].alias("text"))))
     there = F.array_max(F.transform(F.filter(facts, lambda x: x["position"].cast("int") == F.col("run_order")), lambda x: F.struct(x["text"].alias("text"))))
@@ -123,11 +126,11 @@ def document_nodes(rows: DataFrame, runs: DataFrame, by, spans: bool = True) ->
     yes, none, zero = F.lit(True), F.lit(None).cast("string"), F.lit(0).cast("long")
 
     def level(df, node, parent, kind, key, text, alias_of=none, children=yes, content=yes, unbound=zero, omitted=zero):
-        cells = dict(node=node, parent=parent, kind=F.lit(kind), key=key, text=text, alias_of=alias_of, children_complete=children, content_complete=content, unbound=unbound.cast("long"), omitted=omitted.cast("long"))
+        cells = dict(node=node, parent=parent, kind=F.lit(kind) if isinstance(kind, str) else kind, key=key, text=text, alias_of=alias_of, children_complete=children, content_complete=content, unbound=unbound.cast("long"), omitted=omitted.cast("long"))
         return df.select(*unit, *[c.alias(n) for n, c in cells.items()])
 
-    # what several levels are made of is written once
-    placed = written(numbered_rows(rows, by))
+    # what several levels are made of is written once: rows of tables, but not the paragraphs, which are all the text
+    placed = written(numbered_rows(rows.filter(F.col("table_id").isNotNull()), by))
     cells = _cells(placed, by)
     firsts = placed.filter(F.col("table_id").isNotNull()).groupBy(*unit, "table_id").agg(
         F.min("source_seq").alias("table_at"), F.count(F.lit(1)).alias("held"), F.count_if(F.col("row_no").isNull()).alias("lost"))
@@ -149,27 +152,39 @@ def document_nodes(rows: DataFrame, runs: DataFrame, by, spans: bool = True) ->
     table_nodes = level(by_table, F.concat(F.lit("table:"), "table_id"), F.concat(F.lit("unit:"), "unit_id"), "table", _part("table_at"), none, none, whole & (F.col("lost") == 0), whole & F.col("content"), F.col("unbound") + F.col("lost"), F.col("omitted"))
     # paragraphs under the unit or under a cell of their own
     where = cells.filter(own).select(*unit, "table_id", "row_at", "cell_key", F.col("cell").alias("parent"), F.col("cell_place").alias("above"))
-    loose = placed.filter(F.col("table_id").isNull()).withColumns({"parent": F.concat(F.lit("unit:"), "unit_id"), "above": F.lit("")})
-    paragraphs = placed.join(where, [*unit, "table_id", "row_at", "cell_key"]).unionByName(loose)
-    paragraphs = paragraphs.select(*unit, "source_seq", "parent", "above", "paragraph_id", "text", "raw_run_ids", "binding").join(_facts_of(runs, by), [*by, "source_seq"], "left")
+    loose = rows.dropna(subset=[*unit, "source_seq"]).filter(F.col("table_id").isNull()).withColumns({"parent": F.concat(F.lit("unit:"), "unit_id"), "above": F.lit("")})
+    held = [*unit, "source_seq", "parent", "above", "paragraph_id", "text", "raw_run_ids", "binding"]
+    paragraphs = placed.join(where, [*unit, "table_id", "row_at", "cell_key"]).select(*held).unionByName(loose.select(*held))
+    paragraphs = paragraphs.join(_facts_of(runs, by), [*by, "source_seq"], "left")
+    asked = F.size(_clean("raw_run_ids"))
     paragraphs = paragraphs.select(
         *unit, "parent", "text", "raw_run_ids", "binding", "facts", F.concat("parent", F.lit("/paragraph:"), F.coalesce("paragraph_id", F.col("source_seq").cast("string"))).alias("paragraph"),
-        F.concat("above", _part("source_seq")).alias("place"), F.size(_clean("raw_run_ids")).alias("asked"))
-    paragraphs = written(paragraphs)
-    complete = F.when(F.col("asked") > 0, F.coalesce(F.size("facts"), F.lit(0)) >= F.col("asked")).otherwise(True)
-    paragraph_nodes = level(paragraphs, F.col("paragraph"), F.col("parent"), "paragraph", F.col("place"), F.col("text"), content=complete, unbound=F.col("binding").isin(*_UNBOUND).cast("long"))
-    paragraph_nodes = paragraph_nodes.withColumn("unbound", F.coalesce("unbound", zero))
-    bound = _bound(paragraphs).withColumns({"run": F.concat(F.lit("run:"), "run_id"), "run_place": F.concat("place", _part("run_order"))})
+        F.concat("above", _part("source_seq")).alias("place"), asked.alias("asked"), F.size("facts").alias("n_facts"))
+    paragraphs = written(paragraphs) if spans else paragraphs
+    complete = F.when(F.col("asked") > 0, F.coalesce("n_facts", F.lit(0)) >= F.col("asked")).otherwise(True)
+    loosely = F.coalesce(F.col("binding").isin(*_UNBOUND).cast("long"), zero)
+    # paragraphs and their runs come out of one pass
     known = F.col("found") | (F.coalesce("text", F.lit("")) == "")
-    run_nodes = level(bound, F.col("run"), F.col("paragraph"), "run", F.col("run_place"), F.col("fact_text"), content=known, unbound=(~F.col("found")).cast("long"))
-    levels = [cell_nodes, row_nodes, table_nodes, paragraph_nodes, run_nodes]
+    itself = F.col("run_order") < 0
+    either = lambda a, b: F.when(itself, a).otherwise(b)
+    named = {"run": F.concat(F.lit("run:"), "run_id"), "run_place": F.concat("place", _part("run_order"))}
+    both = _bound(paragraphs, itself=True).withColumns(named)
+    paragraph_nodes = level(
+        both, either(F.col("paragraph"), F.col("run")), either(F.col("parent"), F.col("paragraph")), either(F.lit("paragraph"), F.lit("run")), either(F.col("place"), F.col("run_place")), either(F.col("text"), F.col("fact_text")),
+        content=either(complete, known), unbound=either(loosely, (~F.col("found")).cast("long")))
+    levels = [cell_nodes, row_nodes, table_nodes, paragraph_nodes]
     if spans:
-        cut = bound.withColumn("span", F.explode(atomic_spans("fact_text")))
+        cut = _bound(paragraphs).withColumns(named).withColumn("span", F.explode(atomic_spans("fact_text")))
         name = F.concat(F.lit("span:"), "run_id", F.lit("@"), F.lpad(F.col("span.start").cast("string"), 6, "0"), F.lit(":"), F.lpad(F.col("span.end").cast("string"), 6, "0"))
         levels.append(level(cut, name, F.col("run"), "span", F.concat("run_place", _part("span.start")), F.col("span.text"), content=known, unbound=(~F.col("found")).cast("long")))
     table_nodes = written(table_nodes)
     levels[2] = table_nodes
-    top = table_nodes.unionByName(paragraph_nodes.filter(F.length("key") == WIDTH)).groupBy(*unit).agg(F.bool_and("content_complete").alias("content"), F.sum("unbound").alias("unbound"), F.sum("omitted").alias("omitted"))
+    # a unit's own paragraphs are counted by themselves, without their texts
+    n_facts = runs.groupBy(*by, "source_seq").agg(F.count(F.lit(1)).alias("n_facts"))
+    own = loose.select(*unit, "source_seq", asked.alias("asked"), loosely.alias("unbound")).join(n_facts, [*by, "source_seq"], "left")
+    sums = [*unit, "content_complete", "unbound", "omitted"]
+    own = own.select(*unit, complete.alias("content_complete"), "unbound", zero.alias("omitted"))
+    top = table_nodes.select(*sums).unionByName(own).groupBy(*unit).agg(F.bool_and("content_complete").alias("content"), F.sum("unbound").alias("unbound"), F.sum("omitted").alias("omitted"))
     levels.append(level(top, F.concat(F.lit("unit:"), "unit_id"), none, "unit", F.lit(""), none, content=F.col("content"), unbound=F.col("unbound"), omitted=F.col("omitted")))
     return reduce(DataFrame.unionByName, levels).select(*columns)
 
@@ -177,19 +192,46 @@ def document_nodes(rows: DataFrame, runs: DataFrame, by, spans: bool = True) ->
 def nested_sets(nodes: DataFrame, by) -> DataFrame:
     """Adds first, last and n_leaves: a node's place in document order, the last place below it, and the leaves at or under it.
 
-    ``by`` names the tree; nodes have keys as in :func:`document_nodes`.  Keys
-    alone are ranged, numbered and counted; all else moves once, to meet its
-    numbers.  A node counts once in every node above it, six at most.
+    ``by`` names the tree; nodes have keys as in :func:`document_nodes`.  Nodes
+    move once, to meet the others of their tree; they are numbered in order of
+    their keys and then read backwards, where all that is below a node has just
+    been seen, so no more is held than a count for each level.  Nodes of one
+    key share their counts and have places of their own, in order of ``node``;
+    without anything below them they have no leaves, and are left out.  So are
+    nodes without tree or key, though those without key take the first places.
     """
-    nodes = written(nodes)
-    keys = nodes.select(*by, "key")
-    above = F.transform(F.sequence(F.lit(0), F.length("key") - WIDTH, F.lit(WIDTH)), lambda n: F.substring(F.col("key"), F.lit(1), n))
-    under = lambda df, name: df.filter(F.length("key") > 0).select(*by, F.explode(above).alias("key")).groupBy(*by, "key").agg(F.count(F.lit(1)).alias(name))
-    # nodes of one key, if there are any, share their counts and have places of their own
-    placed = ranged_sequence(keys, by, ["key"], "first").groupBy(*by, "key").agg(F.array_sort(F.collect_list("first")).alias("firsts"))
-    sized = written(placed.join(under(keys, "held"), [*by, "key"], "left").withColumn("size", F.size("firsts") + F.coalesce("held", F.lit(0))).drop("held"))
-    leaves = under(sized.filter(F.col("size") == 1), "n_leaves")
-    numbers = sized.join(leaves, [*by, "key"], "left").withColumn("n_leaves", F.when(F.col("size") == 1, F.lit(1).cast("long")).otherwise(F.col("n_leaves"))).filter("n_leaves IS NOT NULL")
-    nth = F.row_number().over(Window.partitionBy(*by, "key").orderBy("node"))
-    out = nodes.withColumn("_nth", nth).join(numbers, [*by, "key"]).withColumn("first", F.element_at("firsts", F.col("_nth")))
-    return out.select(*nodes.columns, "first", (F.col("first") + F.col("size") - 1).alias("last"), "n_leaves")
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    met = nodes.dropna(subset=list(by)).repartition(*by)
+    same = F.count(F.lit(1)).over(Window.partitionBy(*by, "key"))
+    numbered = met.withColumn("first", F.row_number().over(Window.partitionBy(*by).orderBy("key", "node")).cast("long")).withColumn("_same", same)
+    backwards = numbered.sortWithinPartitions(*by, F.desc("first"))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in backwards.schema.fields[:-1]]).add("last", "long").add("n_leaves", "long")
+    columns = to_arrow_schema(schema)
+    return backwards.mapInArrow(lambda batches: _counted(batches, columns), schema).filter("n_leaves IS NOT NULL")
+
+
+def _counted(batches, columns: pa.Schema):
+    """Nodes of whole trees, the last first, with the last place and the leaves below each."""
+    key, path, size, leaves = None, "", 0, 0
+    held, held_leaves = [0], [0]  # by the number of its ordinals: nodes and leaves below each node of the path
+    for batch in batches:
+        lasts, counts = [], []
+        firsts = batch.column("first").to_pylist()
+        for k, first, same in zip(batch.column("key").to_pylist(), firsts, batch.column("_same").to_pylist()):
+            if k is not None and k != key:
+                depth, common = len(k) // WIDTH, len(os.path.commonprefix([k, path])) // WIDTH
+                del held[common + 1 :], held_leaves[common + 1 :]
+                held += [0] * (depth + 1 - len(held))
+                held_leaves += [0] * (depth + 1 - len(held_leaves))
+                size = same + held[depth]
+                leaves = 1 if size == 1 else held_leaves[depth]
+                for level in range(depth):
+                    held[level] += same
+                    held_leaves[level] += size == 1
+                key = path = k
+            lasts.append(first + size - 1)
+            counts.append(leaves or None if k is not None else None)
+            if first == 1:  # the next row is another tree's
+                key, path, held, held_leaves = None, "", [0], [0]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lasts, pa.int64()), pa.array(counts, pa.int64())], schema=columns)

@@ -73,3 +73,16 @@ def test_empty(spark):
     rows, runs = spark.createDataFrame([], ROWS), spark.createDataFrame([], RUNS)
     made = document_tree.nested_sets(document_tree.document_nodes(rows, runs, ["doc"]), ["doc", "unit_id"])
     assert made.count() == 0 and document_tree.table_cells(rows, ["doc"]).filter(F.lit(True)).count() == 0
+
+
+def test_nested_sets_of_odd_keys(spark):
+    part = lambda *numbers: "".join(f"{n:012d}" for n in numbers)
+    rows = [("a", "top", part()), ("a", "x", part(1)), ("a", "y", part(1, 1)), ("a", "twin 2", part(2)), ("a", "twin 1", part(2)), ("a", "z", part(2, 5, 1)), ("a", "lost 1", part(3)), ("a", "lost 2", part(3)),
+            ("b", "y", part(1, 1)), ("b", "x", part(4)), (None, "n", part(1)), ("b", "no key", None)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # so that trees go on from batch to batch
+    try:
+        got = document_tree.nested_sets(spark.createDataFrame(rows, "doc string, node string, key string").repartition(3), ["doc"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.doc, r.node): (r.first, r.last, r.n_leaves) for r in got} == {
+        ("a", "top"): (1, 8, 2), ("a", "x"): (2, 3, 1), ("a", "y"): (3, 3, 1), ("a", "twin 1"): (4, 6, 1), ("a", "twin 2"): (5, 7, 1), ("a", "z"): (6, 6, 1), ("b", "y"): (2, 2, 1), ("b", "x"): (3, 3, 1)}

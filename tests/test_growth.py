@@ -117,3 +117,23 @@ def test_anchors_make_no_row_for_each_size_of_title(spark):
     owners = spark.createDataFrame([(0, 2, "u3")], "doc long, seq long, unit_id string")
     got, most = most_rows(spark, unit_audit.anchored(entries, terms, owners, ["doc"]))
     assert {(r["unit_id"], r["n_matched"], r["owned"]) for r in got} == {(f"u{n}", 0 if n == 9 else 3, n == 3) for n in range(3, 10)} and most <= 800
+
+
+def test_document_nodes_keep_no_texts_of_paragraphs(spark):
+    long = "concat_ws('', transform(sequence(1, 20), i -> sha2(cast(id * 100 + i as string), 256)))"
+    rows = spark.range(600).selectExpr("id % 7 AS doc", "'u' AS unit_id", "id AS source_seq", "CAST(null AS string) AS table_id", "CAST(null AS int) AS row_no", "CAST(null AS int) AS column_no", "CAST(null AS string) AS cell_id",
+                                       "concat('p', id) AS paragraph_id", f"{long} AS text", "array('r') AS raw_run_ids", "'bound' AS binding")
+    runs = spark.range(600).selectExpr("id % 7 AS doc", "id AS source_seq", "0 AS position", "'r' AS raw_run_id", f"{long} AS text")
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before = size()
+    got = document_tree.nested_sets(document_tree.document_nodes(rows, runs, ["doc"], spans=False), ["doc", "unit_id"]).collect()
+    assert len(got) == 1207 and {(r["first"], r["last"], r["n_leaves"]) for r in got if r["kind"] == "unit"} == {(1, 2 * n + 1, n) for n in (85, 86)}
+    assert size() - before < 600 * 64
+
+
+def test_nested_sets_move_nodes_once(spark):
+    nodes = spark.range(2000).selectExpr("id % 7 AS doc", "concat('n', id) AS node", "lpad(cast(id as string), 12, '0') AS key")
+    out = document_tree.nested_sets(nodes, ["doc"])
+    assert out.count() == 2000
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
