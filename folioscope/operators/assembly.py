@@ -57,7 +57,16 @@ def _cut(table: pa.Table, keys: list[str], kinds: int) -> pa.Table:
     return pa.table(columns)
 
 
-def _nested(batches, keys: list[str], kinds: int):
+def _gathered(table: pa.Table, keys: list[str], name: str) -> pa.Table:
+    """One row for each of whole keys: the key, and an array of its rows' payload."""
+    starts = np.flatnonzero(_starts(table, keys))
+    columns = {k: table[k].take(pa.array(starts)).combine_chunks() for k in keys}
+    columns[name] = pa.ListArray.from_arrays(pa.array(np.append(starts, len(table)).astype(np.int32)), table["row"].take(pa.array(np.arange(len(table)))).combine_chunks())
+    return pa.table(columns)
+
+
+def _nested(batches, keys: list[str], cut):
+    """``cut`` of the rows of whole keys, some keys at a time."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -69,26 +78,31 @@ def _nested(batches, keys: list[str], kinds: int):
         cuts = np.flatnonzero(new)
         if len(cuts):
             whole = pa.Table.from_batches([*held, batch.slice(0, int(cuts[-1]))])
-            yield from _cut(whole.combine_chunks(), keys, kinds).to_batches()
+            yield from cut(whole.combine_chunks(), keys).to_batches()
             held, batch = [], batch.slice(int(cuts[-1]))
         held.append(batch)
     if held:
-        yield from _cut(pa.Table.from_batches(held).combine_chunks(), keys, kinds).to_batches()
+        yield from cut(pa.Table.from_batches(held).combine_chunks(), keys).to_batches()
 
 
-def nest(parents: DataFrame, children: dict[str, tuple[DataFrame, list[str]]], key: list[str], unseen=()) -> DataFrame:
+def nest(parents: DataFrame, children: dict[str, tuple], key: list[str], unseen=(), spread: list[str] | None = None) -> DataFrame:
     """``parents`` with an array column of structs for each kind of child, in its order.
 
     ``children`` gives by name a frame with the columns of ``key`` and those
     that order it; the structs have all of its columns but the key and those in
-    ``unseen``, ties stand in any order, nulls first.  Parents without children get empty arrays.  Children
+    ``unseen``, ties stand in any order, nulls first.  A third item may be a
+    function of such a frame that makes the structs' columns out of the
+    frame's, row by row: it is called for the rows where they have met, so that
+    what it adds is not moved.  Parents without children get empty arrays.  Children
     without a parent are left out; of parents that repeat a key one gets the
-    children.  Null keys are keys like others.
+    children.  Null keys are keys like others.  Rows meet by ``spread``, some of
+    the key, or else by all of it; see :func:`gathered`.
     """
     keys = [f"k{i}" for i in range(len(key))]
-    payload = [F.struct(*[F.col(c) for c in parents.columns]), *[F.struct(*[F.col(c) for c in df.columns if c not in key and c not in unseen]) for df, _ in children.values()]]
-    frames = [parents, *[df for df, _ in children.values()]]
-    orders = [[], *[list(o) for _, o in children.values()]]
+    makers = {j: rest[0] for j, (_, _, *rest) in enumerate(children.values(), 1) if rest}
+    frames = [parents, *[df for df, *_ in children.values()]]
+    payload = [F.struct(*[F.col(c) for c in parents.columns]), *[F.struct(*[F.col(c) for c in df.columns if c not in key and c not in unseen]) for df in frames[1:]]]
+    orders = [[], *[list(o) for _, o, *_ in children.values()]]
     kinds = [df.select(p.alias("x")).schema["x"].dataType for df, p in zip(frames, payload)]
     sorts = [df.select(F.struct(*o).alias("x")).schema["x"].dataType if o else None for df, o in zip(frames, orders)]
     rows = []
@@ -98,12 +112,32 @@ def nest(parents: DataFrame, children: dict[str, tuple[DataFrame, list[str]]], k
         rows.append(df.select(*[F.col(k).alias(n) for k, n in zip(key, keys)], F.lit(i).alias("tag"), *ranks, *cells))
     union = reduce(DataFrame.unionByName, rows)
     ranks = [c for c in union.columns if c.startswith("o")]
-    ordered = union.repartition(*keys).sortWithinPartitions(*keys, "tag", *ranks).select(*keys, "tag", *[f"p{j}" for j in range(len(kinds))])
+    meet = [n for k, n in zip(key, keys) if spread is None or k in spread]
+    ordered = union.repartition(*meet).sortWithinPartitions(*keys, "tag", *ranks).select(*keys, "tag", *[f"p{j}" for j in range(len(kinds))])
+    for j, make in makers.items():
+        flat = make(ordered.select(F.struct("*").alias("_moved"), *[F.col(n).alias(k) for k, n in zip(key, keys)], *[F.col(f"p{j}")[f].alias(f) for f in kinds[j].names]))
+        own = F.struct(*[F.col(c) for c in flat.columns if c not in key and c not in unseen and c != "_moved"])
+        kinds[j] = flat.select(own.alias("x")).schema["x"].dataType
+        ordered = flat.select(*[(F.when(F.col("_moved.tag") == j, own) if c == f"p{j}" else F.col("_moved")[c]).alias(c) for c in ordered.columns])
     schema = T.StructType([T.StructField("parent", kinds[0]), *[T.StructField(f"c{j}", T.ArrayType(kind)) for j, kind in enumerate(kinds) if j]])
-    made = ordered.mapInArrow(lambda batches: _nested(batches, keys, len(kinds) - 1), schema)
+    n_kinds = len(kinds) - 1
+    made = ordered.mapInArrow(lambda batches: _nested(batches, keys, lambda table, own: _cut(table, own, n_kinds)), schema)
     return made.select(*[F.col("parent")[c].alias(c) for c in parents.columns], *[F.col(f"c{j}").alias(name) for j, name in enumerate(children, 1)])
 
 
+def gathered(nested: DataFrame, by: list[str], name: str, order: list[str]) -> DataFrame:
+    """(by, name): the other columns of each key's rows as an array of structs, in order.
+
+    ``nested`` is what :func:`nest` gave with ``by`` for its ``spread``, so the
+    rows of a key lie in one partition, and are not moved again.
+    """
+    keys = [f"k{i}" for i in range(len(by))]
+    rows = nested.sortWithinPartitions(*by, *order).select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.struct(*[c for c in nested.columns if c not in by]).alias("row"))
+    schema = T.StructType([*[T.StructField(k, rows.schema[k].dataType) for k in keys], T.StructField("c", T.ArrayType(rows.schema["row"].dataType))])
+    made = rows.mapInArrow(lambda batches: _nested(batches, keys, lambda table, own: _gathered(table, own, "c")), schema)
+    return made.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], F.col("c").alias(name))
+
+
 def field_type(text, unit_name=None) -> Column:
     """The field that a generated element asks for by its words, in their order, or by its unit's name; else FIELD_PLACEHOLDER."""
     low = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
@@ -149,7 +183,7 @@ def section_bindings(units: DataFrame, sections: DataFrame, by, width: int = 64)
     return direct.unionByName(pairs(rest, sections, ("p_start", "p_end"), ("sp_start", "sp_end")))
 
 
-def template_spec(units: DataFrame, elements: DataFrame, sections: DataFrame, by) -> DataFrame:
+def template_spec(units: DataFrame, elements: DataFrame, sections: DataFrame, by, made=None) -> DataFrame:
     """One row a document: (by, units), an array of units with their page policy, sections and elements.
 
     ``units`` holds (by, place, unit_id, section, start, scope, u_start, u_end,
@@ -158,7 +192,9 @@ def template_spec(units: DataFrame, elements: DataFrame, sections: DataFrame, by
     takes the section of the longest overlap, the first of equals, else its own,
     else ``section_unknown``; none or several are flagged.  Elements stand in
     their order, a null order before 1; ``elements`` may have e_place, which
-    settles equal orders and is not in the result.  Every document has its units in order of
+    settles equal orders and is not in the result.  With ``made``, a function
+    of a frame that makes such rows one by one, ``elements`` holds what it makes
+    them of, besides the columns named.  Every document has its units in order of
     place, which is one unit's own; rows without a document are left out.
     """
     units = units.dropna(subset=list(by))
@@ -176,5 +212,6 @@ def template_spec(units: DataFrame, elements: DataFrame, sections: DataFrame, by
     ready = ready.select(*by, "place", "unit_id", "page_policy", "section_profile", "section_refs", "flags")
     elements = elements.withColumn("e_order", F.coalesce("e_order", F.lit(0)))
     order = ["e_order", *[c for c in ("e_place",) if c in elements.columns]]
-    whole = nest(ready, {"elements": (elements, order)}, [*by, "unit_id"], unseen=("e_place",))
-    return nest(units.select(*by).distinct(), {"units": (whole, ["place"])}, by)
+    kind = (elements, order) if made is None else (elements, order, made)
+    whole = nest(ready, {"elements": kind}, [*by, "unit_id"], unseen=("e_place",), spread=list(by))
+    return gathered(whole, list(by), "units", ["place"])

@@ -206,13 +206,20 @@ def template_spec(spark, sf_dir):
     )
     sections = units.filter("place % 3 = 1").select("doc", F.concat(F.lit("s"), "place").alias("section_id"), F.col("place").alias("s_order"), (F.col("place") * 5 - 2).alias("s_start"), (F.col("place") * 5 + 12).alias("s_end"), (F.col("place") * 2).alias("sp_start"), (F.col("place") * 2 + 2).alias("sp_end"))
     number = F.col("l_linenumber")
-    word = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (n % len(words) + 1).cast("int"))
-    lines = lines.withColumns({"l_shipmode": word(("AIR", "MAIL", "TRUCK", "RAIL", "SHIP"), F.col("l_partkey")), "l_shipinstruct": word(("NONE", "COD", "page", "seq"), F.col("l_suppkey"))})
-    elements = lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("doc")), "l_orderkey").select(
-        "doc", F.concat(F.lit("u"), "l_orderkey").alias("unit_id"), F.concat(F.lit("e"), number).alias("element_id"), F.when(F.col("l_returnflag") == "N", "fill").when(F.col("l_returnflag") == "R", "generated").alias("policy"),
-        F.when(F.col("l_shipmode") == "AIR", "student_field_candidate").when(F.col("l_shipmode") != "MAIL", "fixed_text_candidate").alias("role_hint"), F.concat_ws(" ", "l_shipmode", "l_shipinstruct").alias("content"), F.when(number != 3, number).alias("e_order"), "e_place",
-    )
-    spec = assembly.template_spec(units, assembly.element_spec(elements, ["TRUCK", "RAIL"], ["NONE", "COD"]), sections, ["doc"])
+    word = lambda words, n: F.element_at(F.array(*map(F.lit, words)), n + 1)
+    raw = lines.select("l_orderkey", number.alias("number"), (F.col("l_partkey") % 5).cast("int").alias("mode"), (F.col("l_suppkey") % 4).cast("int").alias("instruct"), F.col("l_returnflag").alias("flag"), "e_place")
+    raw = raw.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("doc")), "l_orderkey")
+    elements = raw.select("doc", F.concat(F.lit("u"), "l_orderkey").alias("unit_id"), "number", "mode", "instruct", "flag", F.when(F.col("number") != 3, F.col("number")).alias("e_order"), "e_place")
+
+    def made(x):
+        """Elements with what the digest asks of them, made of lines."""
+        x = x.withColumns({"mode": word(("AIR", "MAIL", "TRUCK", "RAIL", "SHIP"), F.col("mode")), "instruct": word(("NONE", "COD", "page", "seq"), F.col("instruct"))}).withColumns({
+            "element_id": F.concat(F.lit("e"), "number"), "policy": F.when(F.col("flag") == "N", "fill").when(F.col("flag") == "R", "generated"), "content": F.concat_ws(" ", "mode", "instruct"),
+            "role_hint": F.when(F.col("mode") == "AIR", "student_field_candidate").when(F.col("mode") != "MAIL", "fixed_text_candidate"),
+        })
+        return assembly.element_spec(x, ["TRUCK", "RAIL"], ["NONE", "COD"]).drop("number", "mode", "instruct", "flag", "element_id", "policy", "content", "role_hint", "e_order")
+
+    spec = assembly.template_spec(units, elements, sections, ["doc"], made)
     element = lambda e: F.concat_ws("^", e["stable_id"], e["executed"], e["role"], F.coalesce(e["fill_source"], F.lit("-")), F.coalesce(e["field_type"], F.lit("-")), e["confidence"], F.array_join(e["flags"], "+"))
     text = lambda u: F.concat_ws("~", u["unit_id"], u["page_policy"]["start"], u["section_profile"], F.array_join(F.transform(u["section_refs"], lambda r: F.concat(r["section_id"], F.lit(":"), r["from"], F.lit("-"), r["to"])), ","),
                                  F.array_join(u["flags"], ","), F.array_join(F.transform(u["elements"], element), ";"))

@@ -3,6 +3,7 @@
 import random
 
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from folioscope.operators import assembly
 
@@ -72,3 +73,31 @@ def test_elements_with_one_order_stand_by_their_place(spark):
     elements = spark.range(40).selectExpr("'d' AS doc", "'u' AS unit_id", "id", "if(id % 2 = 0, 1, null) AS e_order", "struct('f' AS file, 40 - id AS row) AS e_place")
     found = assembly.template_spec(units, elements, sections, ["doc"]).first()["units"][0]["elements"]
     assert [e["id"] for e in found] == [*range(39, 0, -2), *range(38, -1, -2)] and "e_place" not in found[0]
+
+
+def few_units(spark):
+    units = spark.createDataFrame([(d, p, f"u{p}", None, "odd", "page_range_exclusive", 1, 5, 1, 2) for d in ("d", "e") for p in (3, 1, 2)],
+                                  "doc string, place long, unit_id string, section string, start string, scope string, u_start long, u_end long, p_start long, p_end long")
+    sections = spark.createDataFrame([], "doc string, section_id string, s_order long, s_start long, s_end long, sp_start long, sp_end long")
+    elements = spark.range(60).selectExpr("if(id % 2 = 0, 'd', 'e') AS doc", "concat('u', id % 3 + 1) AS unit_id", "id", "60 - id AS e_order")
+    return units, elements, sections
+
+
+def test_units_are_not_moved_again(spark):
+    spec = assembly.template_spec(*few_units(spark), ["doc"])
+    got = {r.doc: [(u.unit_id, [e.id for e in u.elements]) for u in r.units] for r in spec.collect()}
+    assert got == {d: [(f"u{p}", [i for i in range(59, -1, -1) if i % 2 == k and i % 3 == p - 1]) for p in (1, 2, 3)] for k, d in enumerate("de")}
+    between = spec._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[1]
+    assert "Exchange" not in between, between
+
+
+def test_what_is_made_of_elements_is_not_moved(spark):
+    units, elements, sections = few_units(spark)
+    made = lambda df: df.select("*", F.upper(F.concat("doc", "unit_id", F.col("id").cast("string"))).alias("long")).drop("id")
+    spec = assembly.template_spec(units, elements, sections, ["doc"], made)
+    got = {r.doc: [(u.unit_id, [e.long for e in u.elements]) for u in r.units] for r in spec.collect()}
+    assert got == {d: [(f"u{p}", [f"{d}u{p}{i}".upper() for i in range(59, -1, -1) if i % 2 == k and i % 3 == p - 1]) for p in (1, 2, 3)] for k, d in enumerate("de")}
+    plain = assembly.template_spec(units, made(elements), sections, ["doc"])
+    assert sorted(plain.collect(), key=lambda r: r.doc) == sorted(spec.collect(), key=lambda r: r.doc)
+    plan = spec._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "upper(" in plan[: plan.index("Exchange")] and "upper(" not in plan[plan.index("Exchange") :]
